@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +59,23 @@ def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no model learns from: crc32 of the id's text divides by 5."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def with_results(docs: DataFrame, results: Callable[[list[str | None]], list[pa.Array]], added: str, column: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs (without its texts, unless keep_text) and the columns `added`, which results() makes from a batch of texts.
+
+    The other columns stay Arrow arrays on the way, so nulls and 64-bit ids keep their values. An added
+    column takes the place of one of its name.
+    """
+    new = T.StructType.fromDDL(added)
+    taken = {f.name for f in new} | (set() if keep_text else {column})
+    kept = [f for f in docs.schema.fields if f.name not in taken]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = results(batch.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, *new.names])
+
+    quoted = [F.col(f"`{n}`") for n in names]
+    return docs.select(*quoted, F.col(column).alias("_text")).mapInArrow(run, T.StructType([*kept, *new]))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, licenses, mixing
+from plumbline.llm import chat, langid, licenses, minhash, mixing
 
 QUERIES = {
+    "op1_mixture_language": langid.op1_mixture_language,
+    "op2_hamming_join": minhash.op2_hamming_join,
     "op3_license_digests": licenses.op3_license_digests,
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op10_preference_pairs": chat.op10_preference_pairs,
