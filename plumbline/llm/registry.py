@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, langid, licenses, minhash, mixing
+from plumbline.llm import chat, langid, licenses, minhash, mixing, toxicity
 
 QUERIES = {
     "op1_mixture_language": langid.op1_mixture_language,
     "op2_hamming_join": minhash.op2_hamming_join,
     "op3_license_digests": licenses.op3_license_digests,
+    "op4_segment_toxicity": toxicity.op4_segment_toxicity,
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op10_preference_pairs": chat.op10_preference_pairs,
 }
