@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, langid, licenses, minhash, mixing, toxicity, webp
+from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, toxicity, webp
 
 QUERIES = {
     "op1_mixture_language": langid.op1_mixture_language,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_digests": licenses.op3_license_digests,
     "op4_segment_toxicity": toxicity.op4_segment_toxicity,
     "op5_pareto_mix": mixing.op5_pareto_mix,
+    "op6_block_rules": html.op6_block_rules,
     "op7_streaming_bpe": bpe.op7_streaming_bpe,
     "op8_lossless_webp": webp.op8_lossless_webp,
     "op10_preference_pairs": chat.op10_preference_pairs,
