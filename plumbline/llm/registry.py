@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, toxicity, webp
+from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, toxicity, vectors, webp
 
 QUERIES = {
     "op1_mixture_language": langid.op1_mixture_language,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_block_rules": html.op6_block_rules,
     "op7_streaming_bpe": bpe.op7_streaming_bpe,
     "op8_lossless_webp": webp.op8_lossless_webp,
+    "op9_projection_forest": vectors.op9_projection_forest,
     "op10_preference_pairs": chat.op10_preference_pairs,
 }
 ORACLES = {
