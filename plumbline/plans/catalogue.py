@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import q_text  # noqa: F401
+from plumbline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the cleaner is in place: row counts by source."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return QUERIES["q_S52_scrub"](spark, sf_dir)
