@@ -54,8 +54,8 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: floa
         .withColumn("before", F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("filled", (F.col("budget") - F.col("before")) / F.col("open"))
-        # The first source whose own limit lies above the level that is left sets that level.
-        .withColumn("water", F.min(F.when(F.col("filled") <= F.col("level"), F.col("filled"))).over(Window.partitionBy()))
+        # The first source whose own limit isn't below the level that is left sets that level; later ones would set lower ones.
+        .withColumn("water", F.max(F.when(F.col("filled") <= F.col("level"), F.col("filled"))).over(Window.partitionBy()))
         .withColumn("target", F.least(F.col("most"), F.coalesce(F.col("weight") * F.col("water"), F.col("most"))))
         .select("source", "source_size", "target")
     )
@@ -150,7 +150,7 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) -
 l AS (SELECT *, most / weight AS level FROM w),
 f AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY level, source COLLATE C NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY level, source COLLATE C NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled FROM l),
-t AS (SELECT source, source_size, least(most, coalesce(weight * min(CASE WHEN filled <= level THEN filled END) OVER (), most)) AS target FROM f),
+t AS (SELECT source, source_size, least(most, coalesce(weight * max(CASE WHEN filled <= level THEN filled END) OVER (), most)) AS target FROM f),
 x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size::DOUBLE) ELSE 0 END AS expected,
   ((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
