@@ -36,10 +36,6 @@ def month_number(name: Column) -> Column:
     return F.element_at(table, F.lower(name))
 
 
-def _part(c: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(c, pattern, k)
-
-
 def inspect(c: Column) -> Column:
     """kind (not-a-date, fixed, ordered, ambiguous), order (dmy, mdy), y, first, second and time.
 
@@ -47,45 +43,53 @@ def inspect(c: Column) -> Column:
     """
     value = js_trim(c)
     timed = value.rlike(TIME)
-    body = F.when(timed, js_trim(_part(value, TIME, 1))).otherwise(value)
-    time = F.when(timed, js_trim(_part(value, TIME, 2))).otherwise("")
+    body = F.when(timed, js_trim(F.regexp_extract(value, TIME, 1))).otherwise(value)
+    time = F.when(timed, js_trim(F.regexp_extract(value, TIME, 2))).otherwise("")
     usable = F.length(value).between(4, 40) & value.rlike(r"\d") & (body != "")
-    # The body is bound once: an array of one, transformed.
-    return F.transform(F.array(F.struct(body.alias("b"), time.alias("t"), usable.alias("u"))), lambda s: _inspected(s["b"], s["t"], s["u"]))[0]
-
-
-def _inspected(body: Column, time: Column, usable: Column) -> Column:
-    def number(pattern: str, k: int) -> Column:
-        return _part(body, pattern, k).try_cast("int")
-
-    def result(kind: str, y: Column, first: Column, second: Column, order: str | None = None) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), F.lit(order).cast("string").alias("order"), y.cast("int").alias("y"),
-            first.cast("int").alias("first"), second.cast("int").alias("second"), time.alias("time"),
-        )
-
-    none = F.struct(
-        F.lit("not-a-date").alias("kind"), F.lit(None).cast("string").alias("order"), F.lit(None).cast("int").alias("y"),
-        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("second"), F.lit("").alias("time"),
-    )
-
-    def fixed(y: Column, m: Column, d: Column) -> Column:
-        return F.when(is_real(y, m, d), result("fixed", y, m, d)).otherwise(none)
-
-    out = F.when(~usable, none).when(body.rlike(ISO), fixed(number(ISO, 1), number(ISO, 2), number(ISO, 3)))
-    out = out.when(body.rlike(MONTH_FIRST), fixed(full_year(_part(body, MONTH_FIRST, 3)), month_number(_part(body, MONTH_FIRST, 1)), number(MONTH_FIRST, 2)))
-    out = out.when(body.rlike(DAY_FIRST), fixed(full_year(_part(body, DAY_FIRST, 3)), month_number(_part(body, DAY_FIRST, 2)), number(DAY_FIRST, 1)))
-    out = out.when(body.rlike(YEAR_FIRST), fixed(number(YEAR_FIRST, 1), month_number(_part(body, YEAR_FIRST, 2)), number(YEAR_FIRST, 3)))
-    for pattern in SLASHED:
-        a, b, y = number(pattern, 1), number(pattern, 2), full_year(_part(body, pattern, 3))
-        dmy, mdy = is_real(y, b, a), is_real(y, a, b)
-        found = (
-            F.when(dmy & mdy, result("ambiguous", y, a, b)).when(dmy, result("ordered", y, a, b, "dmy")).when(mdy, result("ordered", y, a, b, "mdy")).otherwise(none)
-        )
-        out = out.when(body.rlike(pattern), found)
+    said = F.struct(body.alias("b"), time.alias("t"), usable.alias("u"))
+    return _bound(said, lambda x: _bound(_parts(x), lambda y: _bound(_numbers(y), _judged)))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is evaluated once: an array of one, transformed."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _parts(s: Column) -> Column:
+    """shape (1 fixed, 2 numbers in either order, 0 none) and year, first, second as written; for shape 1 first is the month."""
+    body = s["b"]
+
+    def found(shape: int, pattern: str, year: int, first: int, second: int) -> Column:
+        y, a, b = (F.regexp_extract(body, pattern, k) for k in (year, first, second))
+        return F.struct(F.lit(shape).alias("shape"), y.alias("y"), a.alias("a"), b.alias("b"), s["t"].alias("t"))
+
+    none = F.struct(F.lit(0).alias("shape"), F.lit("").alias("y"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("t"))
+    out = F.when(~s["u"], none)
+    for shape, pattern, *at in ((1, ISO, 1, 2, 3), (1, MONTH_FIRST, 3, 1, 2), (1, DAY_FIRST, 3, 2, 1), (1, YEAR_FIRST, 1, 2, 3), *((2, p, 3, 1, 2) for p in SLASHED)):
+        out = out.when(body.rlike(pattern), found(shape, pattern, *at))
     return out.otherwise(none)
 
 
+def _numbers(p: Column) -> Column:
+    first = F.when(p["a"].rlike("^[0-9]+$"), p["a"].try_cast("int")).otherwise(month_number(p["a"]))
+    return F.struct(p["shape"].alias("shape"), full_year(p["y"]).alias("y"), first.alias("a"), p["b"].try_cast("int").alias("b"), p["t"].alias("t"))
+
+
+def _judged(n: Column) -> Column:
+    y, a, b = n["y"], n["a"], n["b"]
+
+    def result(kind: str, order: str | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(order).cast("string").alias("order"), y.alias("y"), a.alias("first"), b.alias("second"), n["t"].alias("time"))
+
+    nothing = F.lit(None).cast("int")
+    none = F.struct(F.lit("not-a-date").alias("kind"), F.lit(None).cast("string").alias("order"), nothing.alias("y"), nothing.alias("first"), nothing.alias("second"), F.lit("").alias("time"))
+    can = F.struct(is_real(y, a, b).alias("mdy"), is_real(y, b, a).alias("dmy"))
+    return _bound(can, lambda c: (
+        F.when((n["shape"] == 1) & c["mdy"], result("fixed")).when(n["shape"] != 2, none)
+        .when(c["dmy"] & c["mdy"], result("ambiguous")).when(c["dmy"], result("ordered", "dmy")).when(c["mdy"], result("ordered", "mdy")).otherwise(none)
+    ))
+
+
 def normalise(c: Column, order: Column | str | None = None, style: str = "iso") -> Column:
     """The date in one style (iso, us, eu) with its time kept; null leaves a text as it is.
 
@@ -102,7 +106,7 @@ def normalise(c: Column, order: Column | str | None = None, style: str = "iso")
         settled = (i["kind"] == "fixed") | own.isNotNull()
         return F.when((i["kind"] != "not-a-date") & settled, F.concat(date, F.when(i["time"] == "", "").otherwise(F.concat(F.lit(" "), i["time"]))))
 
-    return F.transform(F.array(inspect(c)), made)[0]
+    return _bound(inspect(c), made)
 
 
 def spreadsheet_serial(iso: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import q_tables, q_text  # noqa: F401
+from plumbline.plans import q_clean, q_tables, q_text  # noqa: F401
 from plumbline.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["q_S52_scrub"](spark, sf_dir)
+    return QUERIES["q_S63_reasons"](spark, sf_dir)

@@ -53,8 +53,9 @@ def tokens(spark, sf_dir):
 @query("q_S52_scrub", f"SELECT doc_id, out, out <> raw AS changed FROM (SELECT doc_id, raw, {sql_scrub('raw')} AS out FROM (SELECT doc_id, {DIRTIED} AS raw FROM documents))")
 def scrub(spark, sf_dir):
     raw = dirtied(F.col("text"), F.col("doc_id"))
-    out = t.blank_sentinels(t.js_trim(t.flatten_newlines(t.collapse_spaces(t.drop_invisible(F.col("raw"))))))
-    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", out.alias("out"), (out != F.col("raw")).alias("changed"))
+    tidy = t.js_trim(t.flatten_newlines(t.collapse_spaces(t.drop_invisible(F.col("raw")))))
+    staged = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", "raw", tidy.alias("tidy")).select("doc_id", "raw", t.blank_sentinels(F.col("tidy")).alias("out"))
+    return staged.select("doc_id", "out", (F.col("out") != F.col("raw")).alias("changed"))
 
 
 @query("q_S53_invisible", f"SELECT doc_id, regexp_replace(regexp_replace(raw, {quote(t.INVISIBLE)}, '', 'g'), {quote(t.ODD_SPACE)}, ' ', 'g') AS out FROM (SELECT doc_id, {DIRTIED} AS raw FROM documents)")
