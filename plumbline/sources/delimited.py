@@ -115,7 +115,8 @@ def widened(grid: DataFrame, width: int) -> DataFrame:
 def read_large(spark: SparkSession, path: str, columns: list[str], separator: str = ",", encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
     """All columns as texts, read in parallel; multiline files can't be split."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, sep=separator, encoding=encoding, multiLine=multiline, quote='"', escape='"', emptyValue="", nullValue="\0")
+    read = spark.read.schema(schema).csv(path, header=True, sep=separator, encoding=encoding, multiLine=multiline, quote='"', escape='"')
+    return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])  # a blank is a blank, not null
 
 
 def formula_safe(c: Column) -> Column:
