@@ -141,3 +141,44 @@ def roman(n: Column) -> Column:
         out = F.concat(out, F.repeat(F.lit(letters), F.floor(left / value).cast("int")))
         left = left % value
     return F.when(n.between(1, 3999), out)
+
+
+def percent_change(before: Column, after: Column) -> Column:
+    """Whole percent, halves up; 0 where there was nothing before."""
+    return F.when(before > 0, F.floor((after - before) / before * 100 + 0.5)).otherwise(0).cast("long")
+
+
+def spreadsheet_number(c: Column) -> Column:
+    """A number as a spreadsheet reads it: (99), 12%, $1,234.50, 1.234,56; a lone separator before three digits groups."""
+    s = js_trim(c)
+    negative = s.rlike(r"^\(.*\)$") | s.rlike(r"^[(\s$£€¥₹]*-")
+    percent = s.rlike(r"%\)?$")
+    bare = F.regexp_replace(F.regexp_replace(s, r"[()%\s$£€¥₹+-]", ""), r"^'", "")
+    comma_point = bare.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$") & (bare.contains(",") | bare.rlike(r"^\d{1,3}(\.\d{3}){2,}$")) | bare.rlike(r"^\d+,\d{1,2}$|^\d+,\d{4,}$")
+    plain = F.when(comma_point, F.translate(F.replace(bare, F.lit("."), F.lit("")), ",", ".")).otherwise(
+        F.when(bare.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(bare, F.lit("."), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
+    )
+    value = F.when(plain.rlike(r"^(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+    signed = F.when(negative, -value).otherwise(value)
+    return F.when(percent, signed / 100).otherwise(signed)
+
+
+def value_kind(c: Column) -> Column:
+    """blank, number, date or text."""
+    from plumbline.functions import dates
+
+    return F.when(js_trim(c) == "", "blank").when(spreadsheet_number(c).isNotNull(), "number").when(dates.inspect(c)["kind"] != "not-a-date", "date").otherwise("text")
+
+
+def count_across(space: Column, item: Column, gap: Column) -> Column:
+    """How many items with gaps between them fit a space."""
+    return F.greatest(F.lit(0), F.floor((space + gap) / (item + gap) + 1e-9)).cast("int")
+
+
+def letters(n: Column, places: int = 7) -> Column:
+    """a to z, aa, ab, …: 1 is a."""
+    out, left = F.lit(""), n.cast("long")
+    for _ in range(places):
+        out = F.when(left > 0, F.concat(F.char(97 + (left - 1) % 26), out)).otherwise(out)
+        left = F.when(left > 0, F.floor((left - 1) / 26)).otherwise(F.lit(0)).cast("long")
+    return out

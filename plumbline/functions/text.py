@@ -332,3 +332,44 @@ def would_spreadsheet_change(c: Column) -> Column:
 def needs_formula_escape(c: Column) -> Column:
     """True for texts that a spreadsheet would run as a formula; plain signed numbers aren't."""
     return c.rlike(r"^[=+\-@\t\r]") & ~c.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")
+
+
+# ---- whole texts, line by line
+
+#: What a text cleaner strips (a little less and more than the cell scrubber), and stray controls.
+FORMATTING = r"[\x{AD}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}]"
+CONTROL = r"[\x{00}-\x{08}\x0B\x0C\x{0E}-\x{1F}\x{7F}]"
+
+
+def collapse_blank_lines(c: Column, most: int = 1) -> Column:
+    """At most so many blank lines in a row; line ends are those of the text."""
+    return F.regexp_replace(c, r"((?:^|\n)(?:[ \t]*\r?\n){%d})(?:[ \t]*\r?\n)+" % most, "$1")
+
+
+def clean_whitespace(c: Column, most_blank: int = 1) -> Column:
+    """Formatting and control characters away, odd spaces plain, line ends bare, blank lines few."""
+    bare = F.regexp_replace(F.regexp_replace(c, FORMATTING, ""), CONTROL, "")
+    plain = F.regexp_replace(F.regexp_replace(bare, ODD_SPACE, " "), r"(?m)[ \t]+$", "")
+    return collapse_blank_lines(plain, most_blank)
+
+
+def expand_tabs(line: Column, width: int = 4) -> Column:
+    """Tabs of one line to the next stop."""
+    cells = F.split(line, "\t", -1)
+
+    def padded(text: Column, i: Column) -> Column:
+        # A cell begins at a stop, so it is filled up to the next one by its own length.
+        return F.when(i < F.size(cells) - 1, F.concat(text, F.repeat(F.lit(" "), (width - F.length(text) % width).cast("int")))).otherwise(text)
+
+    return F.array_join(F.transform(cells, padded), "")
+
+
+def jwt_part(c: Column, part: int) -> Column:
+    """Header (0) or claims (1) of a token as JSON; nothing is verified."""
+    return base64_plain(F.get(F.split(c, r"\.", -1), F.lit(part)))
+
+
+def line_and_column(text: Column, offset: Column) -> Column:
+    """line and column, from 1, of an offset from 0."""
+    before = F.substring(text, F.lit(1), offset)
+    return F.struct((F.regexp_count(before, F.lit("\n")) + 1).cast("long").alias("line"), (F.length(F.regexp_extract(before, r"([^\n]*)\z", 1)) + 1).cast("long").alias("column"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
+from plumbline.operators.graph import components
+from plumbline.session import scratch, settled
 
 #: Header words that name references, and shapes of plain numbers and of ids.
 REFERENCE_WORDS = tuple("id ids uuid guid key code codes ref refs reference references sku isbn ean barcode account number no num postcode zip phone mobile email url link hash token".split())
@@ -107,6 +109,33 @@ def allowed_distance(c: Column) -> Column:
     return F.when(n < 5, 0).when(n < 10, 1).otherwise(2)
 
 
+def loose_clusters(counts: DataFrame, folder: str | None = None) -> DataFrame:
+    """cluster, members, total, suggested: values that chains of near spellings join, for tallied values (value, count)."""
+    spark = counts.sparkSession
+    folder = folder or scratch(spark)
+    numbered = settled(counts.select("value", "count", F.xxhash64("value").alias("node")), folder, "values")
+    links = near_spellings(numbered).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    joined = components(links, f"{folder}/components")
+    member = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("rank"), "value")))
+    return numbered.join(joined, "node").groupBy("component").agg(member.alias("m"), F.sum("count").alias("total")).select(
+        F.array_min(F.transform("m", lambda x: x["value"])).alias("cluster"), F.array_join(F.array_sort(F.transform("m", lambda x: x["value"])), "|").alias("members"), "total", F.col("m")[0]["value"].alias("suggested"),
+    )
+
+
+def merge_plan(clusters_: list[tuple[str, list[str]]]) -> dict[str, str]:
+    """Accepted clusters (target, members) as a map; later ones win, and chains are followed to their end, cycles aside."""
+    plan = {m: target for target, members in clusters_ for m in members if m != target}
+    out = {}
+    for value in plan:
+        seen, at = {value}, plan[value]
+        while at in plan and plan[at] not in seen | {at}:
+            seen.add(at)
+            at = plan[at]
+        if at != value:
+            out[value] = at
+    return out
+
+
 def near_spellings(values: DataFrame, value: str = "value") -> DataFrame:
     """Pairs of values within the edit distance that their length allows; candidates share a 4-gram.
 
