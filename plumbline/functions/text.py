@@ -126,63 +126,6 @@ def toggle_case(c: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
-def _word_pieces(line: Column) -> Column:
-    """A line cut before and after its words: every second piece, from the second on, is a word."""
-    marked = F.regexp_replace(line, r"([\p{L}\p{N}_'’]+)", "\x01$1\x01")
-    return F.split(marked, "\x01", -1)
-
-
-def _expanded(word: Column) -> Column:
-    """A word that looks like an identifier becomes its words."""
-    shaped = word.contains("_") | word.rlike(r"[\p{Ll}\p{N}]\p{Lu}") | word.rlike(r"\p{Lu}\p{Lu}\p{Ll}")
-    parts = tokenize(word)
-    return F.when(shaped & (F.size(parts) > 0), parts).otherwise(F.array(word))
-
-
-def title_case(c: Column) -> Column:
-    """Words capitalised, small words kept small but at a line's edges; punctuation and spacing stay."""
-
-    def line(x: Column) -> Column:
-        pieces = F.transform(_word_pieces(x), lambda p, i: F.struct((i % 2 == 1).alias("is_word"), F.when(i % 2 == 1, _expanded(p)).otherwise(F.array(p)).alias("parts")))
-        # An array of one is a name for what is used often: SQL would evaluate it anew each time.
-        total = lambda ps: F.aggregate(ps, F.lit(0), lambda n, p: n + F.when(p["is_word"], F.size(p["parts"])).otherwise(0))
-        bound = F.transform(F.array(pieces), lambda ps: F.struct(ps.alias("pieces"), total(ps).alias("total")))
-        return F.transform(bound, lambda b: made(b["pieces"], b["total"]))[0]
-
-    def made(pieces: Column, total: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            def shown(w: Column, i: Column) -> Column:
-                at = acc["n"] + i
-                small = F.lower(w).isin(list(SMALL_WORDS)) & (at > 0) & (at < total - 1)
-                return F.when(small, F.lower(w)).otherwise(capitalise(w))
-
-            text = F.when(p["is_word"], F.array_join(F.transform(p["parts"], shown), " ")).otherwise(F.array_join(p["parts"], ""))
-            return F.struct(F.concat(acc["out"], F.array(text)).alias("out"), (acc["n"] + F.when(p["is_word"], F.size(p["parts"])).otherwise(0)).alias("n"))
-
-        start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("n"))
-        return F.array_join(F.aggregate(pieces, start, step)["out"], "")
-
-    return map_lines(c, line)
-
-
-def sentence_case(c: Column) -> Column:
-    """Lower case, but for the first letter of each line and after . ! ? and an ellipsis."""
-
-    def line(x: Column) -> Column:
-        pieces = _word_pieces(x)
-        low = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.array_join(F.transform(_expanded(p), F.lower), " ")).otherwise(p)), "")
-        sentences = F.split(F.regexp_replace(low, f"([.!?…][\"'’”)\\]]*[{SPACE}]+)", "$1\x01"), "\x01", -1)
-
-        def first_up(s: Column) -> Column:
-            before = F.regexp_extract(s, r"^[^\p{L}]*", 0)
-            at = F.length(before)
-            return F.concat(before, F.upper(F.substring(s, at + 1, F.lit(1))), F.substring(s, at + 2, F.lit(1 << 30)))
-
-        return F.array_join(F.transform(sentences, first_up), "")
-
-    return map_lines(c, line)
-
-
 # ---- headers
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
+from plumbline.functions import words
 from plumbline.plans.base import DIRTIED, L, S, dirtied, query, quote, sql_scrub, sql_trim, table
 
 UP = "replace(replace(upper({0}), 'ß', 'SS'), 'ẞ', 'SS')"
@@ -40,8 +41,8 @@ _case_query("q_F05_constant_case", t.constant_case, _cased(f"array_to_string(lis
 _case_query("q_F05_pascal_case", t.pascal_case, _cased(f"array_to_string(list_transform(WS, lambda w: {CAP}), '')"))
 _case_query("q_F05_camel_case", t.camel_case, _cased(f"array_to_string(list_transform(WS, lambda w, i: CASE WHEN i = 1 THEN lower(w) ELSE {CAP} END), '')"))
 _case_query("q_F06_toggle_case", t.toggle_case, "SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = 'ß' THEN 'SS' WHEN c = lower(c) AND c <> upper(c) THEN upper(c) WHEN c = upper(c) AND c <> lower(c) THEN lower(c) ELSE c END), '') AS out FROM documents")
-_case_query("q_F03_title_case", t.title_case, None)
-_case_query("q_F04_sentence_case", t.sentence_case, None)
+_case_query("q_F03_title_case", words.title_case, None)
+_case_query("q_F04_sentence_case", words.sentence_case, None)
 
 
 @query("q_F02_tokenize", f"SELECT doc_id, len(ts)::BIGINT AS n, array_to_string(ts, '|') AS tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents)")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import dates, diff, numbers, paths
+from plumbline.functions import dates, diff, numbers, paths, words
 from plumbline.functions import text as t
 from plumbline.operators import clean as cleaner
 from plumbline.operators import headers, sequences
@@ -50,8 +50,8 @@ def values(spark, function, inputs):
 @pytest.mark.parametrize(
     "function, cases",
     [
-        (t.title_case, {"the lord of the rings": "The Lord of the Rings", "XMLHttpRequest is here": "Xml Http Request Is Here", "to be or not\nto be": "To Be or Not\nTo Be", "": ""}),
-        (t.sentence_case, {"HELLO world. bye NOW! ok": "Hello world. Bye now! Ok", "(what)\nTHEN": "(What)\nThen"}),
+        (words.title_case, {"the lord of the rings": "The Lord of the Rings", "XMLHttpRequest is here": "Xml Http Request Is Here", "to be or not\nto be": "To Be or Not\nTo Be", "": ""}),
+        (words.sentence_case, {"HELLO world. bye NOW! ok": "Hello world. Bye now! Ok", "(what)\nTHEN": "(What)\nThen"}),
         (t.camel_case, {"XMLHttpRequest": "xmlHttpRequest", "  hello big_world": "  helloBigWorld"}),
         (t.snake_case, {"helloWorld 2x": "hello_world_2x", "a\r\nbC\rd": "a\r\nb_c\rd"}),
         (t.toggle_case, {"aBc1": "AbC1"}),
@@ -77,6 +77,16 @@ def test_scalar(spark, function, cases):
     assert values(spark, function, list(cases)) == list(cases.values())
 
 
+def test_loose_clusters_and_merge_plans(spark):
+    from plumbline.operators import tally
+
+    counts = spark.createDataFrame([("Birmingham", 9), ("Birmingam", 2), ("Birminghamm", 1), ("Leeds", 4), ("10000", 3), ("10001", 3)], "value string, count long")
+    got = tally.loose_clusters(counts).collect()
+    assert [(r.members, r.total, r.suggested) for r in got] == [("Birmingam|Birmingham|Birminghamm", 12, "Birmingham")]
+    assert tally.merge_plan([("B", ["A", "B"]), ("C", ["B", "C"]), ("A", ["D"])]) == {"A": "C", "B": "C", "D": "C"}
+    assert tally.merge_plan([("B", ["A"]), ("A", ["B"])]) == {"A": "B", "B": "A"}
+
+
 def test_headers():
     assert headers.standardise(["Price ($)", "Price (£)", "", ""]) == headers.Headers(["Price $", "Price £", "Column 3", "Column 4"], 2, 0, 2, 0)
     assert headers.standardise(["firstName", "HTTPServer", "first_name"], snake_case=True).names == ["first_name", "http_server", "first_name_2"]
