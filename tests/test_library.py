@@ -112,6 +112,22 @@ def test_clean_example(spark):
     assert blanked.stats.first().sentinel_cells == 1 and blanked.removed.where("reason = 'footer'").count() == 1
 
 
+def test_structure(spark):
+    from plumbline.operators import structure
+
+    rows = spark.createDataFrame(GRID, "_row long, c0 string, c1 string, c2 string")
+    found = structure.analyse(rows)
+    assert found.header_row == 1 and found.footers == {6: "total-word"} and found.index_column is None
+    body = [(i + 2, str(i), f"name {i}", str(10 * i), "2024-01-0%d" % (i + 1)) for i in range(8)]
+    sheet = [(0, "List of things", "", "", ""), (1, "", "Name", "Price", "Day"), *body, (10, "8", "", "280", ""), (11, "a note about all of this", "", "", "")]
+    found = structure.analyse(spark.createDataFrame(sheet, "_row long, a string, b string, c string, d string"))
+    assert found.header_row == 1 and found.footers[10] == "fewer-values" and found.footers[11] == "trailing-note"
+    plain = [(i, str(i), f"{i * i}.5", "2024-01-01") for i in range(5)]
+    found = structure.analyse(spark.createDataFrame(plain, "_row long, a string, b string, c string"))
+    assert found.header_row is None and found.index_column == 0
+    assert structure.header([]) == (None, "low", {})
+
+
 def test_clean_edges(spark):
     rows = spark.createDataFrame([(0, "1", ""), (1, "2", ""), (2, None, "x"), (3, None, None)], "_row long, c0 string, c1 string")
     out = cleaner.clean(rows, cleaner.CleanOptions(header_row=None, index_column="c0"))
