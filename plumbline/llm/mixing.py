@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import WORD, scratch, settled
 
 BINS = 4096
+#: So many sources at most are sent to all tasks (a row each, under a megabyte); more are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -88,15 +90,17 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float
         plan = plan.join(slim.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("own") * F.col("size")).alias("mass")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     else:
         plan = plan.withColumn("mass", F.col("source_size").cast("double"))
+    plan = settled(plan, folder, "targets")
+    small = plan.count() <= FEW_SOURCES
     expected = F.when(F.col("mass") > 0, F.least(F.lit(float(limit)), F.col("target") * F.col("own") / F.col("mass"))).otherwise(0.0)
     u, f = uniform(F.col("doc_id"), seed), F.col("fraction")
     q = F.when(f > 0, (u / (1 - u)) / (f / (1 - f)))
-    rows = _with_source(slim, plan).withColumn("expected", expected).withColumn("certain", F.floor("expected").cast("long")).withColumn("fraction", F.col("expected") - F.col("certain"))
+    rows = _with_source(slim, plan, small).withColumn("expected", expected).withColumn("certain", F.floor("expected").cast("long")).withColumn("fraction", F.col("expected") - F.col("certain"))
     if weight is None:  # all documents of a source have the same whole part
         rows = rows.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
     else:
         sure = rows.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
-        rows = rows.join(sure, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rest", F.col("target") - F.col("sure"))
+        rows = _with_source(rows, sure.withColumnRenamed("_s", "source"), small).withColumn("rest", F.col("target") - F.col("sure"))
     rows = (
         rows.withColumn("q", q)
         .withColumn("v", F.col("q") / (1 + F.col("q")) * BINS)
@@ -105,10 +109,10 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float
     )
     ranked = rows.where(F.col("q").isNotNull())
     first = settled(_crossing(ranked, "bin1", F.lit(0.0)), folder, "first")
-    at_first = _with_source(ranked, first.withColumnRenamed("bin", "cut1").withColumnRenamed("before", "before1")).where(F.col("bin1") == F.col("cut1"))
+    at_first = _with_source(ranked, first.withColumnRenamed("bin", "cut1").withColumnRenamed("before", "before1"), small).where(F.col("bin1") == F.col("cut1"))
     second = settled(_crossing(at_first, "bin2", F.col("before1")), folder, "second")
-    cuts = _left(first.select("source", F.col("bin").alias("cut1")), second.select("source", F.col("bin").alias("cut2"), F.col("before").alias("before2")))
-    placed = _left(rows, cuts)
+    cuts = _with_source(first.select("source", F.col("bin").alias("cut1")), second.select("source", F.col("bin").alias("cut2"), F.col("before").alias("before2")), small, "left")
+    placed = _with_source(rows, cuts, small, "left")
     at_cut = (F.col("bin1") == F.col("cut1")) & (F.col("bin2") == F.col("cut2"))
     extra = (
         F.when(F.col("q").isNull(), 0)
@@ -128,14 +132,10 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float
     return decided.unionByName(last)
 
 
-def _with_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def _with_source(rows: DataFrame, facts: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """rows with what is known of their source. Few sources go to all tasks, so that no source's rows meet in one."""
     renamed = facts.withColumnRenamed("source", "_s")
-    return rows.join(renamed, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-
-def _left(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    renamed = facts.withColumnRenamed("source", "_s")
-    return rows.join(renamed, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return rows.join(F.broadcast(renamed) if small else renamed, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
 
 def op5_pareto_mix(spark, sf_dir: str) -> DataFrame:
