@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import scratch, settled
+
+__all__ = ["WORD", "held_out", "scratch", "settled", "small_batches", "table", "with_results"]
+
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,35 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can read.
-
-    Only a local session without that setting gets a folder of its own machine.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        context.setCheckpointDir(base)
-    return f"{base}/plumbline-{uuid.uuid4().hex}"
-
-
-def settled(frame: DataFrame, folder: str, name: str) -> DataFrame:
-    """frame written as Parquet below folder and read back, which cuts its lineage."""
-    path = f"{folder}/{name}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a table that settled() wrote and no later step reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Holds Arrow batches of whole texts to so many rows, so that a Python worker's memory stays bounded."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
