@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import small_batches, with_results
 
 #: Words whose tokens a worker remembers (it forgets all and goes on at that number), and code points a slice.
-MEMORY, SLICE = 200_000, 1 << 16
+MEMORY, SLICE = 500_000, 1 << 16
 #: The white space of Unicode's property, which is a little less than Python's.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -69,10 +69,22 @@ def _words(letter: str = r"[^\W\d_]", number: str = r"\d") -> re.Pattern:
 _PLAIN_WORDS = _words()
 
 
+#: The numbers of that kind in Latin-1.
+_LATIN_NUMBERS = re.compile("[²³¹¼½¾]")
+
+
+def _has_numbers(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _numbers()[0].isdisjoint(set(text))
+    return _LATIN_NUMBERS.search(text) is not None
+
+
 def words(text: str) -> list[str]:
-    if text.isascii() or _numbers()[0].isdisjoint(set(text)):
-        return _PLAIN_WORDS.findall(text)
-    return _numbers()[1].findall(text)
+    return _numbers()[1].findall(text) if _has_numbers(text) else _PLAIN_WORDS.findall(text)
 
 
 class Vocabulary:
@@ -108,20 +120,17 @@ class Vocabulary:
         """The merges of least rank first, leftmost first."""
         if len(symbols) > 64:
             return self._merged_long(symbols)
-        ranks = self.ranks
-        while len(symbols) > 1:
-            pair = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, 1 << 60))  # noqa: B905
-            if pair not in ranks:
-                break
-            out, i, n = [], 0, len(symbols)
-            while i < n:
-                if i + 1 < n and symbols[i] == pair[0] and symbols[i + 1] == pair[1]:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        rank, none = self.ranks.get, 1 << 60
+        symbols = list(symbols)
+        pairs = [rank(p, none) for p in zip(symbols, symbols[1:])]  # noqa: B905
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank((symbols[i], symbols[i + 1]), none)
+            if i:
+                pairs[i - 1] = rank((symbols[i - 1], symbols[i]), none)
         return symbols
 
     def _merged_long(self, symbols: list[str]) -> list[str]:
@@ -152,6 +161,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.window = 2 * vocabulary.lookahead
         self.memory: dict[str, tuple[int, str, str]] = {}
+        self.decoder = Decoder(vocabulary)
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
 
     def tokens(self, word: str) -> Iterator[str]:
@@ -166,7 +176,7 @@ class Encoder:
                 yield from v.merged(held)
             elif len(held) >= self.window:
                 at = 0
-                for token in v.merged(held):
+                for token in v.merged(list(held)):
                     if at + len(token) > len(held) - v.lookahead:
                         break
                     at += len(token)
@@ -179,8 +189,9 @@ class Encoder:
         return len(ids), " ".join(map(str, ids)), self.vocabulary_text(ids)
 
     def vocabulary_text(self, ids: list[int]) -> str:
-        decoder = Decoder(self.vocabulary)
-        return decoder.feed(ids) + decoder.finish()
+        text = self.decoder.feed(ids) + self.decoder.finish()
+        self.decoder.begun = False
+        return text
 
     def pieces(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
         """Slice by slice, of each word or special token in turn: tokens, ids, text."""
