@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import struct
 import zlib
 from functools import cache
@@ -86,24 +87,35 @@ class _Bits:
         return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7)) & ((1 << n) - 1)
 
 
+_NO_BITS = np.zeros(1, np.int32)
+
+
+@cache
+def _mirror(bits: int) -> np.ndarray:
+    """Numbers of so many bits in the other order."""
+    return _reversed()[: 1 << bits] >> (15 - bits)
+
+
 class _Code:
     """A prefix code as a table over its longest code's bits: symbols and lengths."""
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
-        if len(symbols) == 1:
-            self.bits, self.symbols, self.lengths = 0, symbols.astype(np.int32), np.zeros(1, np.int32)
-        else:
-            order = np.lexsort((symbols, lengths))
-            symbols, lengths = symbols[order], lengths[order]
-            self.bits = int(lengths[-1])
-            spans = 1 << (self.bits - lengths)
-            if spans.sum() != 1 << self.bits:
-                raise ValueError("the code isn't complete")
-            mirror = _reversed()[: 1 << self.bits] >> (15 - self.bits)
-            self.symbols = np.repeat(symbols, spans).astype(np.int32)[mirror]
-            self.lengths = np.repeat(lengths, spans).astype(np.int32)[mirror]
-        self.only = int(self.symbols[0]) if self.bits == 0 else None
+        """For rising symbols."""
+        self.only: int | None = None
         self.rows: list[tuple[int, int]] | None = None
+        if len(symbols) == 1:
+            self.bits, self.only = 0, int(symbols[0])
+            self.symbols, self.lengths = np.array([self.only], np.int32), _NO_BITS
+            return
+        order = np.argsort(lengths, kind="stable")
+        symbols, lengths = symbols[order], lengths[order]
+        self.bits = int(lengths[-1])
+        spans = 1 << (self.bits - lengths)
+        if spans.sum() != 1 << self.bits:
+            raise ValueError("the code isn't complete")
+        mirror = _mirror(self.bits)
+        self.symbols = symbols.astype(np.int32).repeat(spans)[mirror]
+        self.lengths = lengths.astype(np.int32).repeat(spans)[mirror]
 
     def read(self, bits: _Bits) -> int:
         if self.only is not None:
@@ -119,7 +131,7 @@ class _Code:
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
     if bits.read(1):
         two, eight = bits.read(1), bits.read(1)
-        found = [bits.read(8 if eight else 1)] + ([bits.read(8)] if two else [])
+        found = sorted({bits.read(8 if eight else 1)} | ({bits.read(8)} if two else set()))
         return _Code(np.array(found), np.ones(len(found), np.int64))
     of = np.zeros(19, np.int64)
     for k in range(4 + bits.read(4)):
@@ -457,13 +469,9 @@ def _header(lengths: np.ndarray) -> list[tuple[int, int]]:
         return out + ([(int(used[1]), 8)] if len(used) == 2 else [])
     tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
     values = lengths.tolist()
-    before, i = 8, 0
-    while i < len(values):
-        j = i
-        while j < len(values) and values[j] == values[i]:
-            j += 1
-        run, value = j - i, values[i]
-        i = j
+    before = 8
+    for value, same in itertools.groupby(values):
+        run = len(list(same))
         if value == 0:
             while run >= 11:
                 n = min(run, 138)
