@@ -2,10 +2,12 @@
 
 1. Equal vectors of a label are one class (a partial minimum and count), so a group of copies is
    one row from there on.
-2. Forest: each label gets `TREES` trees. A node splits along a random direction at the median of a
-   bounded sample (`SAMPLE` vectors in all, so a tree's size is bounded), and vectors within the
-   middle `SPILL` share of the sample go to both sides. A label is split until its leaves have
-   about `LEAF` classes, as far as its sample allows. Every class is indexed.
+2. Forest: each label gets `TREES` trees. A node splits along a random direction at a quantile of a
+   bounded sample (`SAMPLE` vectors in all, so a tree's size is bounded), by preference the median,
+   and vectors within `SPILL` of the sample around it go to both sides. A cut that would part more than `LOSS` of the
+   links in the sample is not made: another place or direction is tried, and a node that has none,
+   as a large group of near copies, stays one leaf. A label is split until its leaves have
+   about `LEAF` classes, as far as its sample and its links allow. Every class is indexed.
 3. Leaves are compared by matrix products in double precision; a leaf that is larger than a
    block is cut into blocks, each pair of which is a task of its own, so nothing is capped. A
    pair that meets in several leaves is counted in the first: each row carries its leaves. A
@@ -21,8 +23,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,10 +35,13 @@ from plumbline.operators.graph import components
 THRESHOLD, TREES, LEAF, SPILL, SAMPLE = 0.93, 8, 600, 0.1, 40_000
 #: Sampled vectors that a node needs to be split, and classes a block.
 FEWEST, BLOCK = 16, 1000
+#: Of a node's sample, the vectors whose links are tried; directions tried, where in the sample they are cut, and the mean share of a
+#: vector's links that a cut may part (the other trees find those). Levels at most.
+PEERS, TURNS, MIDDLES, LOSS, DEEPEST = 1000, 8, (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8), 0.03, 39
 
 
-def _direction(seed: int, tree: int, node: int, size: int) -> np.ndarray:
-    return np.random.default_rng((seed, tree, node)).standard_normal(size)
+def _direction(seed: int, tree: int, node: int, turn: int, size: int) -> np.ndarray:
+    return np.random.default_rng((seed, tree, node, turn)).standard_normal(size)
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -46,25 +49,50 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def grow(sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 9) -> list[dict[int, tuple[float, float]]]:
-    """Trees as bounds by node (root 1, children 2n and 2n + 1): below the upper bound left, above the lower one right."""
+def _cut(x: np.ndarray, spill: float, seed: int, tree: int, node: int) -> tuple[int, float, float] | None:
+    """The first direction and bounds that part few links of a node's sample; None if all do, as within a group of near copies."""
+    some = np.arange(len(x))
+    if len(x) > PEERS:
+        some = np.random.default_rng((seed, tree, node)).choice(len(x), PEERS, replace=False)
+    near = (x[some] @ x[some].T >= THRESHOLD).astype(np.float32)
+    np.fill_diagonal(near, 0)
+    own = near.any(axis=1)
+    near = near[own] / near[own].sum(axis=1, keepdims=True)
+    for turn in range(TURNS):
+        p = x @ _direction(seed, tree, node, turn, x.shape[1])
+        q = p[some]
+        for middle in MIDDLES:
+            low, high = (float(v) for v in np.quantile(p, [middle - spill / 2, middle + spill / 2]))
+            left, right = q < low, q > high
+            parted = np.where(left[own], near @ right, np.where(right[own], near @ left, 0))
+            if low < high and parted.sum() <= LOSS * len(parted):
+                return turn, low, high
+    return None
+
+
+def grow(sample: np.ndarray, count: int, trees: int = TREES, spill: float = SPILL, seed: int = 9) -> list[dict[int, tuple[int, float, float]]]:
+    """Trees over a sample of count classes, as cuts by node (root 1, children 2n and 2n + 1): below the upper bound left, above the lower one right."""
+    enough = max(FEWEST - 1, LEAF * len(sample) / count)
     forest = []
     for tree in range(trees):
-        bounds: dict[int, tuple[float, float]] = {}
+        bounds: dict[int, tuple[int, float, float]] = {}
         todo = [(1, np.arange(len(sample)))]
         while todo:
             node, rows = todo.pop()
-            if node.bit_length() > depth or len(rows) < FEWEST:
+            if node.bit_length() >= DEEPEST or len(rows) <= enough:
+                continue
+            cut = _cut(sample[rows], spill, seed, tree, node)
+            if cut is None:
                 continue
-            p = sample[rows] @ _direction(seed, tree, node, sample.shape[1])
-            low, high = (float(x) for x in np.quantile(p, [0.5 - spill / 2, 0.5 + spill / 2]))
-            bounds[node] = (low, high)
+            bounds[node] = cut
+            turn, low, high = cut
+            p = sample[rows] @ _direction(seed, tree, node, turn, sample.shape[1])
             todo += [(2 * node, rows[p <= high]), (2 * node + 1, rows[p >= low])]
         forest.append(bounds)
     return forest
 
 
-def leaves(vectors: np.ndarray, forest: list[dict[int, tuple[float, float]]], seed: int = 9) -> list[list[int]]:
+def leaves(vectors: np.ndarray, forest: list[dict[int, tuple[int, float, float]]], seed: int = 9) -> list[list[int]]:
     """For each vector the codes (tree and node) of its leaves, rising."""
     found: list[list[int]] = [[] for _ in range(len(vectors))]
     for tree, bounds in enumerate(forest):
@@ -77,8 +105,8 @@ def leaves(vectors: np.ndarray, forest: list[dict[int, tuple[float, float]]], se
                 for r in rows.tolist():
                     found[r].append(tree << 40 | node)
                 continue
-            p = vectors[rows] @ _direction(seed, tree, node, vectors.shape[1])
-            low, high = bounds[node]
+            turn, low, high = bounds[node]
+            p = vectors[rows] @ _direction(seed, tree, node, turn, vectors.shape[1])
             todo += [(2 * node, rows[p <= high]), (2 * node + 1, rows[p >= low])]
     return [sorted(f) for f in found]
 
@@ -137,8 +165,7 @@ def forest_links(vectors: DataFrame, folder: str | None = None, trees: int = TRE
     drawn = classes.where(picked).join(many, ["label", "size"]).select("label", "size", "n", "embedding").toPandas()  # SAMPLE rows
     forests = {}
     for (label, size), group in drawn.groupby(["label", "size"]):
-        depth = math.ceil(math.log2(group["n"].iloc[0] / LEAF))
-        forests[label, size] = grow(_unit(group["embedding"].tolist()), depth, trees)
+        forests[label, size] = grow(_unit(group["embedding"].tolist()), int(group["n"].iloc[0]), trees)
     shared = spark.sparkContext.broadcast(forests)
 
     def indexed(batches):

@@ -299,6 +299,33 @@ def test_vectors(spark, monkeypatch):
     assert vectors.forest_links(table.limit(0)).collect() == []
 
 
+def met_share(vectors_, count, seed=3):
+    """Of the links that 300 vectors of the first count have by brute force, the share that meets in a leaf."""
+    r = np.random.default_rng(seed)
+    sample = vectors_[r.random(len(vectors_)) < min(1, vectors.SAMPLE / len(vectors_))]
+    codes = vectors.leaves(vectors_, vectors.grow(sample, len(vectors_)))
+    pairs = met = 0
+    members = {}
+    for i, code in enumerate(codes):
+        for c in code:
+            members.setdefault(c, []).append(i)
+    for i in r.choice(count, 300, replace=False).tolist():
+        linked = vectors_ @ vectors_[i] >= vectors.THRESHOLD
+        reached = np.zeros(len(vectors_), bool)
+        for c in codes[i]:
+            reached[members[c]] = True
+        pairs, met = pairs + linked.sum() - 1, met + (linked & reached).sum() - 1
+    return met / pairs
+
+
+def test_large_group_of_near_copies_is_not_cut():
+    r = np.random.default_rng(6)
+    spread = np.sqrt((1 / 0.97 - 1) / 64)  # pairs at cosine 0.97
+    centre = vectors._unit(r.standard_normal((1, 64)))
+    group = centre + spread * r.standard_normal((20_000, 64))
+    assert met_share(vectors._unit(np.concatenate([group, r.standard_normal((40_000, 64))])), 20_000) >= 0.99
+
+
 def test_pipeline(spark, small):
     columns = spark.read.parquet(f"{small}/documents.parquet").columns
     docs, sizes = spark.read.parquet(f"{small}/documents.parquet"), []
