@@ -1,7 +1,7 @@
 """Licence scan by canonical digests, in DataFrame operations only.
 
 A text is brought into one canonical form (`canonical`): lower case, copyright lines away, runs of
-punctuation and white space a single space, equivalent spellings made one. Its SHA-256 is looked up by a hash join among the
+what is neither letter nor digit, in any script, a single space, equivalent spellings made one. Its SHA-256 is looked up by a hash join among the
 digests of known licence texts and notices. Looked up are whole documents, and each
 line of a document as a text of its own: a notice mostly stands alone on its line.
 
@@ -42,7 +42,9 @@ KNOWN = (
 )
 #: A copyright line and what it can't do without, punctuation, and equivalent spellings, as parts of text in lower case between single spaces.
 COPYRIGHT, SIGNS = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$", ("copyright", "(c)", "©")
-MARKS = r"[^a-z0-9\x{0080}-\x{10FFFF}]+"
+MARKS = r"[^\p{L}\p{M}\p{N}]+"
+#: The same in ORACLE: it tells only ASCII punctuation, which is all that the tables hold.
+ORACLE_MARKS = r"[^a-z0-9\x{0080}-\x{10FFFF}]+"
 SPELLINGS = (
     *((f" {stem}is", f" {stem}iz") for stem in "author capital categor custom emphas general initial maxim minim optim organ real recogn util".split()),
     (" licence", " license"), (" sublicence", " sub license"), (" sublicense", " sub license"), (" noncommercial", " non commercial"),
@@ -93,7 +95,7 @@ def _sql(text: str) -> str:
     """canonical() in DuckDB's words."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     out = f"regexp_replace(lower({text}), {quote(COPYRIGHT)}, '', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, {quote(MARKS)}, ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace({out}, {quote(ORACLE_MARKS)}, ' ', 'g')) || ' '"
     for variant, to in SPELLINGS:
         out = f"replace({out}, {quote(variant)}, {quote(to)})"
     return f"sha256(trim({out}))"

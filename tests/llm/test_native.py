@@ -74,6 +74,14 @@ def test_license_forms_and_edges(spark, docs):
     assert licenses.scan(table.limit(0)).collect() == []
 
 
+def test_license_marks_of_any_script(spark, docs):
+    text = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    forms = [text, text.replace('"License"', "\u201cLicense\u201d"), text.replace(" ", "\u00a0"), f"\u2014 {text} \u2014", text.replace(", ", " \u2013 "), "Lizenz für é 2", "Lizenz fur e 2"]
+    by = {r.doc_id: r for r in licenses.scan(docs(list(enumerate(forms)))).collect()}
+    assert [by[i].text_license for i in range(5)] == ["Apache-2.0"] * 5 and len({by[i].text_digest for i in range(5)}) == 1
+    assert by[5].text_digest != by[6].text_digest
+
+
 def test_preferences(spark):
     turns = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no 😀"), (1, "rejected", 2, "user", "x"),
