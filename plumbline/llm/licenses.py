@@ -2,11 +2,12 @@
 
 A text is brought into one canonical form (`canonical`): lower case, copyright lines away, runs of
 what is neither letter nor digit, in any script, a single space, equivalent spellings made one. Its SHA-256 is looked up by a hash join among the
-digests of known licence texts and notices. Looked up are whole documents, and each
-line of a document as a text of its own: a notice mostly stands alone on its line.
+digests of known licence texts and notices. Looked up are whole documents, and as texts of their
+own each line, where a notice mostly stands alone, and each paragraph of several lines of a document
+that has blank lines (lines without letters and digits), where a notice is wrapped.
 
 The known table has a fixed number of rows (a parameter; the default lists those below), so
-it is broadcast. Lines are joined where they lie; counts are summed before the shuffle,
+it is broadcast. Lines and paragraphs are joined where they lie; counts are summed before the shuffle,
 which moves one small row a document.
 
 Defined results: a null text has a null digest and no lines; an empty text, and one that
@@ -16,11 +17,13 @@ rows are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Notices and short licence texts with their SPDX names.
-KNOWN = (
+#: Notices with their SPDX names.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -40,10 +43,41 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Standard headers, and parts of them and of texts that stand as paragraphs.
+HEADERS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+)
+
+
+def _texts() -> tuple[tuple[str, str], ...]:
+    """Whole licence texts, each with and without its title, rights line and appendix."""
+    made = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        forms = [text, *(text.split(end)[0] + end for end in ("END OF TERMS AND CONDITIONS",) if end in text)]
+        title, _, rest = text.partition("\n\n")
+        if title.endswith(" License") and "\n" not in title:
+            bare = rest.partition("\n\n")[2]  # the copyright line goes too
+            forms += [bare, f"{title}\n\nAll rights reserved.\n\n{bare}", f"All rights reserved.\n\n{bare}", f"The {title}\n\n{bare}", f"The {title} ({path.stem})\n\n{bare}"]
+        made += [(path.stem, form) for form in forms]
+    return tuple(made)
+
+
+KNOWN = (*NOTICES, *HEADERS, *_texts())
+#: Fixed value: between paragraphs, lines without letters and digits.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
 #: A copyright line and what it can't do without, punctuation, and equivalent spellings, as parts of text in lower case between single spaces.
-COPYRIGHT, SIGNS = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$", ("copyright", "(c)", "©")
+COPYRIGHT, SIGNS = r"(?m)^[ \t#*/;-]*(copyright(?!\s+(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interest)\b)|\(c\)|©)[^\n]*$", ("copyright", "(c)", "©")
 MARKS = r"[^\p{L}\p{M}\p{N}]+"
-#: The same in ORACLE: it tells only ASCII punctuation, which is all that the tables hold.
+#: The same in ORACLE: it tells only ASCII punctuation and takes a wrapped line for a copyright line; the tables hold neither.
+ORACLE_COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
 ORACLE_MARKS = r"[^a-z0-9\x{0080}-\x{10FFFF}]+"
 SPELLINGS = (
     *((f" {stem}is", f" {stem}iz") for stem in "author capital categor custom emphas general initial maxim minim optim organ real recogn util".split()),
@@ -75,11 +109,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, text_license, n_lines, n_notices, notices (sorted names joined by a comma)."""
     known = known_digests(docs.sparkSession) if known is None else known
     base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"), F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("text_digest"))
-    lines = base.select("_row", "doc_id", "text_digest", F.explode_outer(F.split("text", "\n", -1)).alias("line"))
-    digest = F.sha2(canonical(F.col("line")).cast("binary"), 256)
-    hits = lines.withColumn("digest", digest).join(F.broadcast(known), "digest", "left")
+    unit = lambda is_line: lambda x: F.struct(x.alias("unit"), F.lit(is_line).alias("is_line"))
+    lines = F.transform(F.split("text", "\n", -1), unit(True))
+    apart = F.filter(F.split("text", BLANK, -1), lambda x: F.contains(F.trim(x, F.lit(" \t\r\n#*/;-")), F.lit("\n")))
+    paragraphs = F.when(F.regexp_like("text", F.lit(BLANK)), F.transform(apart, unit(False)))
+    units = F.when(paragraphs.isNull(), lines).otherwise(F.concat(lines, paragraphs))
+    each = base.select("_row", "doc_id", "text_digest", F.explode_outer(units).alias("u")).select("_row", "doc_id", "text_digest", "u.unit", "u.is_line")
+    digest = F.sha2(canonical(F.col("unit")).cast("binary"), 256)
+    hits = each.withColumn("digest", digest).join(F.broadcast(known), "digest", "left")
     rows = hits.groupBy("_row", "doc_id", "text_digest").agg(
-        F.count("line").alias("n_lines"), F.count("license").alias("n_notices"), F.collect_set("license").alias("found"),
+        F.count(F.when(F.col("is_line"), 1)).alias("n_lines"), F.count("license").alias("n_notices"), F.collect_set("license").alias("found"),
     )
     whole = known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
     return rows.join(F.broadcast(whole), "text_digest", "left").select(
@@ -94,14 +133,14 @@ def op3_license_digests(spark, sf_dir: str) -> DataFrame:
 def _sql(text: str) -> str:
     """canonical() in DuckDB's words."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    out = f"regexp_replace(lower({text}), {quote(COPYRIGHT)}, '', 'g')"
+    out = f"regexp_replace(lower({text}), {quote(ORACLE_COPYRIGHT)}, '', 'g')"
     out = f"' ' || trim(regexp_replace({out}, {quote(ORACLE_MARKS)}, ' ', 'g')) || ' '"
     for variant, to in SPELLINGS:
         out = f"replace({out}, {quote(variant)}, {quote(to)})"
     return f"sha256(trim({out}))"
 
 
-_ROWS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in KNOWN)
+_ROWS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in NOTICES)
 ORACLE = f"""
 WITH k AS (SELECT {_sql('known')} AS digest, min(license) AS license FROM (VALUES {_ROWS}) v(license, known) GROUP BY 1),
 d AS (SELECT doc_id, text, row_number() OVER () AS r, {_sql('text')} AS text_digest FROM documents),

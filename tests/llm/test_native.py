@@ -82,6 +82,27 @@ def test_license_marks_of_any_script(spark, docs):
     assert by[5].text_digest != by[6].text_digest
 
 
+def test_whole_license_texts_and_wrapped_notices(spark, docs):
+    import textwrap
+    from pathlib import Path
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    names = sorted(p.stem for p in folder.glob("*.txt"))
+    texts = [(folder / f"{n}.txt").read_text() for n in names]
+    mit = texts[names.index("MIT")].partition("\n\n")[2].partition("\n\n")[2]
+    wrap = lambda x, by="": "\n".join(textwrap.wrap(x, 60, initial_indent=by, subsequent_indent=by))
+    own = "MIT License\n\nCopyright (c) 2020 A. Writer\n\n" + "\n\n".join(wrap(p) for p in mit.split("\n\n"))
+    apache = "# Copyright 2020 A. Writer\n#\n" + wrap(licenses.HEADERS[0][1], "# ") + "\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport x"
+    isc = "Some tool.\n\n" + "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nEnd."
+    more = [own, apache, isc, "a\n\nReleased under the MIT License.\n\nb"]
+    by = {r.doc_id: r for r in licenses.scan(docs(list(enumerate([*texts, *more])))).collect()}
+    assert [by[i].text_license for i in range(len(names))] == names
+    n = len(names)
+    assert by[n].text_license == "MIT" and by[n].notices == "MIT"
+    assert (by[n + 1].notices, by[n + 1].n_notices) == ("Apache-2.0", 1) and by[n + 2].notices == "ISC"
+    assert (by[n + 3].n_lines, by[n + 3].n_notices) == (5, 1)
+
+
 def test_preferences(spark):
     turns = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no 😀"), (1, "rejected", 2, "user", "x"),
