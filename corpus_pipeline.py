@@ -30,16 +30,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Documents without an id stay."""
+    """One document of each group of near duplicates: the one with the least id, and of rows that share it the one with the least text. Documents without an id stay."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     alone = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(alone)
+    order = F.struct(F.col("text").isNull(), "text", *(c for c in docs.columns if c != "text"))
+    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order).alias("_row"))
+    return first.select(*(F.col(f"_row.`{c}`") for c in docs.columns)).unionByName(alone)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("_times"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The mix: each row as often as it is taken. Rows have a key of their own here, as ids may be null or shared."""
+    keyed = settled(docs.withColumn("_key", F.monotonically_increasing_id()), scratch(spark), "keyed")
+    taken = mixing.mix(keyed, key="_key").where("taken > 0").select("_key", F.expr("cast(taken div size as int)").alias("_times"))
+    return keyed.join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,13 +76,14 @@ def _crossing(rows: DataFrame, bin_name: str, base: Column) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix", weight: str | None = None, folder: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix", weight: str | None = None, folder: str | None = None, key: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source), and its key if a column is named."""
     spark = docs.sparkSession
     folder = folder or scratch(spark)
     own = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    keys = [] if key is None else [key]
     slim = settled(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), own.alias("own")),
+        docs.select(*keys, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), own.alias("own")),
         folder, "sizes",
     )
     plan = targets(slim, weights, share, limit)
@@ -120,9 +121,9 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float
         .otherwise(0)
     )
     taken = (F.col("size") * (F.col("certain") + F.col("extra"))).alias("taken")
-    out = ["doc_id", "size", "source_size", "target"]
+    out = [*keys, "doc_id", "size", "source_size", "target"]
     decided = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", extra).select(*out, taken)
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("q", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     last = (
         placed.where(at_cut)
         .withColumn("before", F.col("before2") + F.coalesce(F.sum("size").over(order), F.lit(0)))

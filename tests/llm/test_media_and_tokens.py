@@ -339,3 +339,22 @@ def test_pipeline(spark, small):
     assert 200 >= sizes[0] >= 190 and sizes[0] >= sizes[1] > sizes[2] > 0
     out = corpus_pipeline.run(spark, small)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == sizes[3]
+
+
+def test_pipeline_null_and_shared_ids(spark, docs):
+    from plumbline.llm import mixing
+
+    rows = [(None, f"null {i} " + "w " * (i % 5), "en", "ab"[i % 2]) for i in range(12)] + [(7, f"same {i}", "en", "a") for i in range(20)] + [(i, f"own {i} x", "en", "b") for i in range(20, 40)]
+    table = docs(rows)
+    wanted = sum(r.taken for r in mixing.mix(table).collect())
+    out = corpus_pipeline.mixed(spark, table, "")
+    assert out.columns == table.columns
+    copies = {}
+    for r in out.collect():
+        copies[r.doc_id, r.text] = copies.get((r.doc_id, r.text), 0) + 1
+    assert sum(n * len(text.split()) for (_, text), n in copies.items()) == wanted
+    assert max(copies.values()) <= 2 and any(i is None for i, _ in copies)
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "cab"]
+    shared = docs([(7, words[0]), (7, words[1]), (7, None), (None, words[2]), (None, None)])
+    once = [sorted(((r.doc_id, r.text) for r in corpus_pipeline.unique(spark, t, "").collect()), key=str) for t in (shared, shared.orderBy(F.desc("text")))]
+    assert once[0] == once[1] == sorted([(7, words[1]), (None, words[2]), (None, None)], key=str)
