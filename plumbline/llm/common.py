@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.session import scratch, settled
 
-__all__ = ["WORD", "held_out", "scratch", "settled", "small_batches", "table", "with_results"]
+__all__ = ["WORD", "held_out", "scratch", "settled", "table", "with_results"]
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows, and bytes of their texts, that a Python worker makes objects of at a time.
+ROWS, BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Holds Arrow batches of whole texts to so many rows, so that a Python worker's memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def _slices(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where a batch is parted: at so many rows, or where its values come to so many bytes. Spark bounds the batch itself."""
+    sizes = pc.fill_null(pc.binary_length(values), 0) if pa.types.is_string(values.type) or pa.types.is_binary(values.type) else None
+    upto = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) if sizes is not None else np.zeros(len(values), np.int64)
+    start = 0
+    while start < len(values):
+        before = int(upto[start - 1]) if start else 0
+        end = min(start + ROWS, max(start + 1, int(np.searchsorted(upto, before + BYTES, "right"))))
+        yield start, min(end, len(values))
+        start = end
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -46,9 +55,14 @@ def with_results(docs: DataFrame, results: Callable[[list[str | None]], list[pa.
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = results(batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, *new.names])
-
+        for whole in batches:
+            for start, end in _slices(whole.column(len(names))):
+                batch = whole.slice(start, end - start)
+                made = results(batch.column(len(names)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, *new.names])
+
+    given = "_given"
+    while given in names:
+        given += "_"
     quoted = [F.col(f"`{n}`") for n in names]
-    return docs.select(*quoted, F.col(column).alias("_text")).mapInArrow(run, T.StructType([*kept, *new]))
+    return docs.select(*quoted, F.col(column).alias(given)).mapInArrow(run, T.StructType([*kept, *new]))

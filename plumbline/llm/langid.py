@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, small_batches, with_results
+from plumbline.llm.common import held_out, with_results
 
 BUCKETS = 1 << 16
 SAMPLE = 2000
@@ -94,7 +94,6 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from docs (doc_id, text, lang), without the held-out rows."""
-    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
@@ -163,7 +162,6 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """docs (without texts, unless keep_text) with lang_pred and score."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batch: list[str | None]) -> list[pa.Array]:

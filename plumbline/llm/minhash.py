@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch, settled, small_batches, with_results
+from plumbline.llm.common import scratch, settled, with_results
 from plumbline.operators.graph import components
 
 SHINGLE, CHUNKS, PER_CHUNK = 5, 6, 4
@@ -163,7 +163,6 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     folder = folder or scratch(spark)
-    small_batches(spark, 256)
     features = settled(
         with_results(docs.select("doc_id", "text"), _features, "n_shingles long, digest binary, signature array<bigint>"), folder, "features",
     )

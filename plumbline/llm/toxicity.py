@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, scratch, settled, small_batches, with_results
+from plumbline.llm.common import held_out, scratch, settled, with_results
 from plumbline.llm.minhash import shingles
 
 SAMPLE = 8000
@@ -193,7 +193,6 @@ def _rate(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folder: str | None = None) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or scratch(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -271,7 +270,6 @@ def _curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, up: floa
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """docs with score, predicted, n_tokens and passages (first and last token, bits over the bar)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept: dict[str, Scorer] = {}
     spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("excess", pa.float64())]))
