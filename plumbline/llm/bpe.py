@@ -1,24 +1,30 @@
 """BPE encoding and decoding as streaming transducers.
 
-`Vocabulary` reads a public tokenizer file with a word BPE: NFC and lower case, a split into
-words, bytes as letters, a mark on a word's last letter, merges by rank. `Encoder` takes a
-text piece by piece. A word that fits the window is merged at once. A longer one passes
-through a window: after each fill the tokens that end at least `lookahead` symbols before its
-end are stable, are emitted, and leave; so memory depends on the vocabulary, not on the text.
-
-The lookahead is computed from the merge list. A symbol far to the right can change a token
-only through a chain of merges, each taking the token on its left from a merge of a later
-rank: merge (a, b) can reach merge (c, d) if a is d or one of the right ends d is merged from.
-reach(c, d) = |cd| + the greatest reach of such an (a, b) of an earlier rank; the longest reach and
-one token more are sufficient. A boundary that no merge crosses parts the word into two that merge
-independently, so the rest of the window starts afresh there.
-
-`Decoder` turns ids back into text incrementally, with the UTF-8 bytes of an unfinished
-character as its only state; without a decoder in the file it joins token texts by a space.
+`Vocabulary` reads a public tokenizer file: merges by rank over the letters of bytes, with a mark on a
+word's last letter if the file has one. `Transducer` takes a document in slices of fixed size, cut
+anywhere, and gives the ids that are stable: normalised text, word boundaries and merges pass through one
+state, which holds the unfinished word only. A boundary between words is crossed by no merge, so what lies before it is
+stable. Within a word a token is stable once the symbols known after its start reach its bound; it is
+emitted, leaves, and the rest goes on as a word of its own. So the state is bounded by the vocabulary, not by
+the text or its words.
+
+The bounds are computed from the merge list. A token can still change only if its right end r (itself, or
+a part that was its right one until a merge of rank k) is taken from it by a merge (r, x) of a rank below k, and whether that
+happens depends on the text up to
+
+    reach(r, x) = |r| + max(|x|, place + reach of the merges (e, y) that can take a right end e of x in time)
+
+which is finite as ranks fall along such a chain. A token's bound is the greatest reach from its right ends,
+counted from its start; the vocabulary's lookahead is the greatest bound.
+
+A worker remembers the ids of a bounded number of short closed words, which went through the same transducer.
+
+`Decoder` turns a stream of ids back into text: a byte-level vocabulary's bytes run through a UTF-8 state machine
+whose state is the unfinished character; without a decoder in the file token texts are joined by a space.
 
 Defined results: null is encoded as the empty text, which has no tokens; repeated rows give
-equal rows; an empty table gives an empty result; very long texts are cut at white space into
-slices, which changes nothing, as white space parts words and composes with nothing.
+equal rows; an empty table gives an empty result; texts of any length pass in slices (a run of combining marks, which
+normalisation orders as a whole, stays in one); columns of the names of the new ones give way to them.
 """
 
 from __future__ import annotations
@@ -30,8 +36,11 @@ import json
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -39,8 +48,8 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import with_results
 
-#: Words whose tokens a worker remembers (it forgets all and goes on at that number), and code points a slice.
-MEMORY, SLICE = 500_000, 1 << 16
+#: Words whose ids a worker remembers (it forgets all and goes on at that number), their greatest length, code points a slice, symbols between two emissions.
+MEMORY, SHORT, SLICE, STEP = 500_000, 48, 1 << 14, 32
 #: The white space of Unicode's property, which is a little less than Python's.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -53,20 +62,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-@cache
-def _numbers() -> tuple[frozenset[str], re.Pattern]:
-    """The numbers that Python counts as no digits, such as fractions; and the words of a text with some."""
-    numbers = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
-    group = "".join(map(re.escape, numbers))
-    return frozenset(numbers), _words(rf"(?:(?![{group}])[^\W\d_])", rf"(?:\d|[{group}])")
+@dataclass(frozen=True)
+class _Rules:
+    """The file's rule for words: runs of letters, contractions, single numbers, runs of anything else but space."""
+
+    words: re.Pattern
+    letters: re.Pattern
+    others: re.Pattern
+    number: re.Pattern
+
 
+def _rules(letter: str = r"[^\W\d_]", number: str = r"\d") -> _Rules:
+    other = rf"(?:[^\w{SPACE}]|_)"
+    return _Rules(re.compile(rf"{letter}+|'s|'t|'re|'ve|'m|'ll|'d|{number}|{other}+"), re.compile(f"{letter}*"), re.compile(f"{other}*"), re.compile(number))
 
-def _words(letter: str = r"[^\W\d_]", number: str = r"\d") -> re.Pattern:
-    """Runs of letters, contractions, single numbers, runs of anything else but space."""
-    return re.compile(rf"{letter}+|'s|'t|'re|'ve|'m|'ll|'d|{number}|(?:[^\w{SPACE}]|_)+")
 
+_PLAIN = _rules()
 
-_PLAIN_WORDS = _words()
+
+@cache
+def _numbers() -> tuple[frozenset[str], _Rules]:
+    """The numbers that Python counts as no digits, such as fractions; and the rules for a text with some."""
+    numbers = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    group = "".join(map(re.escape, numbers))
+    return frozenset(numbers), _rules(rf"(?:(?![{group}])[^\W\d_])", rf"(?:\d|[{group}])")
 
 
 #: The numbers of that kind in Latin-1.
@@ -83,8 +102,22 @@ def _has_numbers(text: str) -> bool:
     return _LATIN_NUMBERS.search(text) is not None
 
 
-def words(text: str) -> list[str]:
-    return _numbers()[1].findall(text) if _has_numbers(text) else _PLAIN_WORDS.findall(text)
+@cache
+def _joins_left() -> frozenset[str]:
+    """Characters that normalisation may move or join to what stands before them: marks, and second parts of compositions."""
+    jamo = [chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))]
+    seconds = [chr(int(d.split()[1], 16)) for c in range(sys.maxunicode + 1) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d]
+    return frozenset([*jamo, *seconds, *(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c)))])
+
+
+def _slices(text: str, start: int, end: int) -> Iterator[str]:
+    """The text between two places in parts of SLICE code points, or a few more where a part would end within a composition."""
+    while start < end:
+        cut = min(start + SLICE, end)
+        while cut < end and text[cut] >= "\u0300" and text[cut] in _joins_left():
+            cut += 1
+        yield text[start:cut]
+        start = cut
 
 
 class Vocabulary:
@@ -101,20 +134,35 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.joined = file["decoder"] is None
         self.texts = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.lookahead = self._lookahead()
-
-    def _lookahead(self) -> int:
-        size = lambda t: len(t.removesuffix(self.suffix)) if self.suffix else len(t)
-        right: dict[str, tuple[str, ...]] = {}  # a token's right ends, itself first
-        reach: dict[str, int] = {}  # by the left part of the merges so far
-        longest = 0
-        for a, b in self.ranks:
-            ends = right.get(b, (b,))
-            far = size(a) + size(b) + max((reach.get(t, 0) for t in ends), default=0)
-            right.setdefault(a + b, (a + b, *ends))
-            reach[a] = max(reach.get(a, 0), far)
-            longest = max(longest, far)
-        return longest + max(map(size, self.ids), default=1)
+        self.names = {i: str(i) for i in self.texts}
+        self.bound = self._bounds()
+        self.lookahead = max(self.bound.values(), default=1)
+
+    def size(self, token: str) -> int:
+        return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
+
+    def _bounds(self) -> dict[str, int]:
+        """For each token, the symbols from its start on that decide whether it stays (see above)."""
+        ends: dict[str, dict[str, tuple[int, int]]] = {}  # a token's right ends: place, and the rank at which they were merged into it
+        reach: dict[str, tuple[list[int], list[int]]] = {}  # by left part: ranks of its merges, and the greatest reach so far
+
+        def taken(left: str, rank: int) -> int:
+            known = reach.get(left)
+            k = bisect_left(known[0], rank) if known else 0
+            return known[1][k - 1] if k else 0
+
+        def extent(token: str, rank: int) -> int:
+            inner = (place + far for end, (place, merged) in ends.get(token, {}).items() if (far := taken(end, min(merged, rank))))
+            return max(self.size(token), taken(token, rank), max(inner, default=0))
+
+        for (a, b), rank in self.ranks.items():
+            far, (ranks, most) = self.size(a) + extent(b, rank), reach.setdefault(a, ([], []))
+            ranks.append(rank)
+            most.append(max(far, most[-1] if most else 0))
+            own = ends.setdefault(a + b, {})
+            for end, (place, merged) in [(b, (0, rank)), *ends.get(b, {}).items()]:
+                own[end] = (self.size(a) + place, max(merged, own[end][1] if end in own else 0))
+        return {t: extent(t, len(self.ranks)) for t in self.ids}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges of least rank first, leftmost first."""
@@ -154,88 +202,113 @@ class Vocabulary:
         return [s for s in held if s is not None]
 
 
+class Transducer:
+    """Text in, slice by slice; ids out, as soon as they are stable."""
+
+    def __init__(self, vocabulary: Vocabulary, memory: dict[str, list[int]]):
+        self.vocabulary, self.memory = vocabulary, memory
+        #: the symbols of the word that is open and of which kind it is; characters that may yet become a contraction
+        self.held: list[str] = []
+        self.kind = ""
+        self.tail = ""
+        #: the most symbols that were held, for tests
+        self.most = 0
+
+    def _push(self, part: str) -> Iterator[int]:
+        """More of the open word: what of it is stable, looked for at each step. Its last symbol may be its end, so it isn't known yet."""
+        v, letters, data = self.vocabulary, byte_letters(), part.encode("utf-8", "surrogatepass")
+        for start in range(0, len(data), STEP):
+            self.held += [letters[b] for b in data[start : start + STEP]]
+            known, at = len(self.held) - 1, 0
+            if known < STEP:
+                continue
+            self.most = max(self.most, known + 1)
+            for token in v.merged(self.held[:known]):
+                if at + v.bound[token] > known:
+                    break
+                at += len(token)
+                yield v.ids[token]
+            del self.held[:at]
+
+    def _close(self) -> Iterator[int]:
+        """The open word ends."""
+        if self.held:
+            self.held[-1] += self.vocabulary.suffix
+            yield from map(self.vocabulary.ids.__getitem__, self.vocabulary.merged(self.held))
+            self.held, self.kind = [], ""
+
+    def word(self, word: str) -> list[int]:
+        """The ids of a closed word. One of a step or less is closed before anything of it is looked for."""
+        v, data = self.vocabulary, word.encode("utf-8", "surrogatepass")
+        if len(data) > STEP:
+            return [*self._push(word), *self._close()]
+        symbols = list(map(byte_letters().__getitem__, data))
+        symbols[-1] += v.suffix
+        return list(map(v.ids.__getitem__, v.merged(symbols)))
+
+    def feed(self, part: str, final: bool = False) -> list[int]:
+        """The ids that this slice makes stable; final: the text ends here."""
+        part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter, so no final sigma
+        part, self.tail = self.tail + part, ""
+        rules = _numbers()[1] if _has_numbers(part) else _PLAIN
+        out: list[int] = []
+        at = 0
+        if self.kind and part:
+            at = (rules.letters if self.kind == "letters" else rules.others).match(part).end()
+            out += self._push(part[:at])
+            if at < len(part):
+                out += self._close()
+        found = rules.words.findall(part, at)
+        opened = found.pop() if found and not final and part.endswith(found[-1]) and not rules.number.fullmatch(found[-1]) else ""
+        if opened == "'":
+            self.tail = opened
+        elif opened in ("r", "v", "l") and found and part.endswith("'" + opened):
+            self.tail = found.pop() + opened
+        elif len(opened) > 1 and opened[0] == "'" and opened[1].isalpha():
+            found.append(opened)  # a contraction, which is closed
+            opened = ""
+        memory, long = self.memory, {}
+        if len(memory) >= MEMORY:
+            memory.clear()
+        for word in set(found).difference(memory):
+            (memory if len(word) <= SHORT else long)[word] = self.word(word)  # no word is open here
+        out += chain.from_iterable(map(memory.__getitem__, found) if not long else (memory[w] if w in memory else long[w] for w in found))
+        if opened and not self.tail:
+            self.kind = "letters" if rules.letters.fullmatch(opened) else "others"
+            out += self._push(opened)
+        if final:
+            out += self._close()
+        return out
+
+
 class Encoder:
-    """Streams words of any length through a window; remembers the tokens of a bounded number of short words."""
+    """Texts to ids; keeps the memory of short words from text to text."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.window = 2 * vocabulary.lookahead
-        self.memory: dict[str, tuple[int, str, str]] = {}
-        self.decoder = Decoder(vocabulary)
+        self.memory: dict[str, list[int]] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
 
-    def tokens(self, word: str) -> Iterator[str]:
-        """The tokens of one word, each as soon as it is stable."""
-        v, letters = self.vocabulary, byte_letters()
-        data = word.encode("utf-8", "surrogatepass")
-        held: list[str] = []
-        for start in range(0, len(data), v.lookahead):
-            held += [letters[b] for b in data[start : start + v.lookahead]]
-            if start + v.lookahead >= len(data):
-                held[-1] += v.suffix
-                yield from v.merged(held)
-            elif len(held) >= self.window:
-                at = 0
-                for token in v.merged(list(held)):
-                    if at + len(token) > len(held) - v.lookahead:
-                        break
-                    at += len(token)
-                    yield token
-                held = held[at:]
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """How many tokens, their ids and, decoded from these, their text, both joined by a space."""
-        ids = [self.vocabulary.ids[t] for t in self.tokens(word)]
-        return len(ids), " ".join(map(str, ids)), self.vocabulary_text(ids)
-
-    def vocabulary_text(self, ids: list[int]) -> str:
-        text = self.decoder.feed(ids) + self.decoder.finish()
-        self.decoder.begun = False
-        return text
-
-    def pieces(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        """Slice by slice, of each word or special token in turn: tokens, ids, text."""
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, a few at a time."""
         at = 0
-        for found in self.special.finditer(text):
-            yield from self._plain(text[at : found.start()])
-            yield [(1, str(self.vocabulary.special[found[0]]), found[0])]
-            at = found.end()
-        yield from self._plain(text[at:] if at else text)
-
-    def _plain(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        for part in _slices(text):
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter, so no final sigma
-            found = words(part)
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            memory, long = self.memory, {}
-            for word in set(found).difference(memory):
-                (memory if len(word) <= 64 else long)[word] = self.word(word)
-            yield [memory[w] for w in found] if not long else [memory.get(w) or long[w] for w in found]
+        for found in chain(self.special.finditer(text), (None,)):
+            end = found.start() if found else len(text)
+            if at < end:
+                transducer = Transducer(self.vocabulary, self.memory)
+                for part in _slices(text, at, end):
+                    yield transducer.feed(part)
+                yield transducer.feed("", final=True)
+            if found:
+                yield [self.vocabulary.special[found[0]]]
+                at = found.end()
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(i) for part in self.pieces(text or "") for _, ids, _ in part for i in ids.split(" ")]
-
-
-def _slices(text: str) -> Iterator[str]:
-    """The text in parts of about SLICE code points that end at a space; a longer run without one stays whole."""
-    start = 0
-    while start < len(text):
-        end = start + SLICE
-        if end < len(text):
-            space = _space().search(text, end)
-            end = space.start() if space else len(text)
-        yield text[start:end]
-        start = end
-
-
-@cache
-def _space() -> re.Pattern:
-    return re.compile(f"[{SPACE}]")
+        return [i for part in self.stream(text or "") for i in part]
 
 
 class Decoder:
-    """Ids to text, incrementally."""
+    """Ids to text, incrementally: feed() gives the text that is complete, finish() what is left."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.begun = vocabulary, False
@@ -245,7 +318,7 @@ class Decoder:
     def feed(self, ids: Iterable[int]) -> str:
         texts = self.vocabulary.texts
         if self.letters is None:
-            out = " ".join(texts[i] for i in ids)
+            out = " ".join(map(texts.__getitem__, ids))
             out, self.begun = (f" {out}" if self.begun and out else out), self.begun or bool(out)
             return out
         out = []
@@ -265,16 +338,16 @@ class Decoder:
 
 
 def digests(encoder: Encoder, text: str | None) -> tuple[int, str, str]:
-    """Tokens, and the SHA-256 of the ids and of the decoded text, hashed as the pieces come."""
-    n, sep, ids, decoded = 0, "", hashlib.sha256(), hashlib.sha256()
-    for part in encoder.pieces(text or ""):
-        if part:
-            counts, numbers, texts = zip(*part, strict=True)
-            n += sum(counts)
-            ids.update((sep + " ".join(numbers)).encode())
-            decoded.update((sep + " ".join(texts)).encode("utf-8", "surrogatepass"))
-            sep = " "
-    return n, ids.hexdigest(), decoded.hexdigest()
+    """Tokens, and the SHA-256 of the ids and of the text decoded from them, hashed as they come."""
+    n, hashed, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    decoder, names = Decoder(encoder.vocabulary), encoder.vocabulary.names
+    for ids in encoder.stream(text or ""):
+        if ids:
+            hashed.update((" " if n else "").encode() + " ".join(map(names.__getitem__, ids)).encode())
+            decoded.update(decoder.feed(ids).encode("utf-8", "surrogatepass"))
+            n += len(ids)
+    decoded.update(decoder.finish().encode("utf-8", "surrogatepass"))
+    return n, hashed.hexdigest(), decoded.hexdigest()
 
 
 _ENCODERS: dict[str, Encoder] = {}

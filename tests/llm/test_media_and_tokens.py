@@ -45,21 +45,94 @@ def test_bpe_round_trip_as_columns(spark, docs, library):
     assert {r.doc_id: r.text for r in back.collect()} == {1: library.decode(library.encode("Hello World", add_special_tokens=False).ids, skip_special_tokens=False), 2: ""}
 
 
+def whole(vocabulary, word):
+    """The merges of a word at once."""
+    letters = bpe.byte_letters()
+    symbols = [letters[b] for b in word.encode()]
+    symbols[-1] += vocabulary.suffix
+    return [vocabulary.ids[t] for t in vocabulary.merged(symbols)]
+
+
 def test_long_words_stream_like_whole_ones(encoder):
     r = random.Random(5)
-    parts = [t.removesuffix("</w>") for t in list(encoder.vocabulary.ids)[600::97]]
+    v = encoder.vocabulary
+    parts = [t.removesuffix("</w>") for t in list(v.ids)[600::97]]
     for _ in range(6):
         word = "".join(r.choices(parts, k=1500))
-        letters = bpe.byte_letters()
-        symbols = [letters[b] for b in word.encode()]
-        symbols[-1] += "</w>"
-        assert list(encoder.tokens(word)) == encoder.vocabulary.merged(symbols)
-
-
-def test_slices_change_nothing(encoder, library, monkeypatch):
-    monkeypatch.setattr(bpe, "SLICE", 7)
-    text = "some words that are cut é́ anywhere it's odd " * 20
-    assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids
+        transducer = bpe.Transducer(v, {})
+        assert transducer.word(word) == whole(v, word)
+        assert transducer.most <= v.lookahead + bpe.STEP
+
+
+def merge_list(r, alphabet="abc", n=30):
+    """A vocabulary of random merges, of which most parts come from earlier ones."""
+    tokens, merges = list(alphabet), []
+    while len(merges) < n:
+        pair = (r.choice(tokens), r.choice(tokens))
+        if pair not in merges and len(pair[0]) + len(pair[1]) < 12:
+            merges.append(pair)
+            tokens += [pair[0] + pair[1]] if pair[0] + pair[1] not in tokens else []
+    import json
+
+    return bpe.Vocabulary(json.dumps({"model": {"type": "BPE", "end_of_word_suffix": None, "vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}, "added_tokens": [], "decoder": None}))
+
+
+def test_lookahead_is_sufficient_for_any_merge_list(monkeypatch):
+    """Tokens leave early and are those of the whole word, whatever the merges; with less lookahead some are not."""
+    monkeypatch.setattr(bpe, "STEP", 1)
+    r, early, wrong = random.Random(11), 0, 0
+    for _ in range(250):
+        v = merge_list(r)
+        for _ in range(8):
+            word = "".join(r.choices("abc", k=r.choice([5, 40, 120])))
+            transducer = bpe.Transducer(v, {})
+            first = list(transducer._push(word))
+            early += len(first)
+            assert first + list(transducer._close()) == whole(v, word)
+        v.bound = {t: v.size(t) for t in v.bound}
+        wrong += any(bpe.Transducer(v, {}).word(w) != whole(v, w) for w in ("".join(r.choices("abc", k=60)) for _ in range(5)))
+    assert early > 10_000 and wrong > 20
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_slices_change_nothing(encoder, library, monkeypatch, size):
+    """Cut anywhere: within words, contractions, compositions, runs of marks and of digits."""
+    monkeypatch.setattr(bpe, "SLICE", size)
+    r = random.Random(size)
+    pieces = ["some words that are cut é́ anywhere it's odd", "'", "''", "'r", "'re", "'l", "we'll", "!'s", "don't've", "x²½Ⅷ٣_-_", "e\u0301\u0323", "\u1112\u1161\u11ab", "ΟΔΥΣΣΕΥΣ", "İ", "日本語🙂👍🏽", " ", "\n", "12345", "internationalisation" * 3, "<|endoftext|>"]
+    for _ in range(60):
+        text = "".join(r.choices(pieces, k=12))
+        assert encoder.ids(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_state_stays_small_on_long_texts(encoder):
+    """A megabyte without a space: the state never holds more than the lookahead and a step."""
+    v = encoder.vocabulary
+    transducer = bpe.Transducer(v, {})
+    text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=300_000))
+    ids = [i for part in bpe._slices(text, 0, len(text)) for i in transducer.feed(part)] + transducer.feed("", final=True)
+    assert transducer.most <= v.lookahead + bpe.STEP and transducer.memory == {}
+    assert ids == whole(v, text)
+
+
+def test_byte_level_vocabulary(library):
+    """Another public vocabulary, whose decoder turns bytes to text: characters that several tokens share come whole, broken ones as the library has them."""
+    import regex
+
+    own = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
+    with open(bpe.public_path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        v = bpe.Vocabulary(file.read())
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    text = "Grüße, 日本語 🙂👍🏽 naïve ẹ́ and 1234 words\n\n  of   " + "".join(map(chr, range(0xA0, 0x2000, 7)))
+    ids = own.encode(text, add_special_tokens=False).ids
+    transducer = bpe.Transducer(v, {})
+    assert [i for w in pattern.findall(text) for i in transducer.word(w)] == ids
+    for given in (ids, ids[1:], ids[5:-3], random.Random(2).sample(range(50_000), 3000), [v.ids["Ġthe"], 50256, v.ids["Ã"], 50256, v.ids["ł"]]):
+        decoder = bpe.Decoder(v)
+        parts = [decoder.feed([i]) for i in given] + [decoder.finish()]
+        assert "".join(parts) == own.decode(given, skip_special_tokens=False)
+    decoder = bpe.Decoder(v)
+    assert [decoder.feed([v.ids[c]]) for c in (bpe.byte_letters()[b] for b in "🙂".encode())] == ["", "", "", "🙂"]
 
 
 @pytest.mark.parametrize("payload", [b"\0" * 64, b"ab" * 64, bytes(range(256)) * 4, b"the same line\n" * 3200, random.Random(1).randbytes(6400), (b"abcdefghijklmnopqrst" * 300 + b"\n") * 64, b"x" * (webp.PART + 64)], ids=range(7))
