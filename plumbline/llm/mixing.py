@@ -8,15 +8,19 @@ the target is filled in the order of Pareto's ranks
     q = (u / (1 - u)) / (f / (1 - f)),      u uniform, from md5(seed, doc_id)
 
 which gives a sample of fixed size (here: of words) with those probabilities. The rank
-at which a source's words are full is found without sorting a source: words are summed
-over 4,096 equal bins of q / (1 + q), then over 4,096 bins of the bin that crosses the
-target, and only the documents of that last bin, a 16-millionth of the scale, are ordered.
+at which a source's words are full is found without sorting a source: words are summed over
+256 equal bins of q / (1 + q), then over 256 bins of the bin that crosses the target, and so a third
+time; of the last bin, a 16-millionth of the scale, rows of one rank, id and size are counted as one, and
+those counts are ordered. So no window holds more than 256 rows of a source, or the counts of that
+last bin. Rows that share the rank at the target (as many may that share an id, or have none) are
+numbered where they lie.
 
 A document may carry its own `weight`: then f differs within a source too.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; null sources are
 a source of their own, last; repeated rows are documents of their own (with one rank
-for equal ids, and ordered by size among those); an empty table gives an empty result.
+for equal ids, and ordered by size among those); an empty table gives an empty result; very long
+texts are only counted; other columns of the table are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import WORD, scratch, settled
 
-BINS = 4096
-#: So many sources at most are sent to all tasks (a row each, under a megabyte); more are joined by a shuffle.
-FEW_SOURCES = 10_000
+BINS, LEVELS = 256, 3
+#: So many sources at most are sent to all tasks (a row each, under a megabyte); more are joined by a shuffle, which parts each source by a salt.
+FEW_SOURCES, SALTS = 10_000, 64
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -63,9 +67,9 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: floa
     )
 
 
-def _crossing(rows: DataFrame, bin_name: str, base: Column) -> DataFrame:
-    """source, the first bin whose words pass the rest of the target, and the words before it."""
-    sums = rows.groupBy("source", bin_name).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first(base).alias("base"))
+def _crossing(rows: DataFrame, bin_name: str) -> DataFrame:
+    """source, the first bin whose words pass the rest of the target, and the words before it, of rows with the words `base` before all of them."""
+    sums = rows.groupBy("source", bin_name).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("base").alias("base"))
     upto = Window.partitionBy("source").orderBy(bin_name)  # at most BINS rows a source
     return (
         sums.withColumn("upto", F.col("base") + F.sum("words").over(upto))
@@ -76,6 +80,30 @@ def _crossing(rows: DataFrame, bin_name: str, base: Column) -> DataFrame:
     )
 
 
+def _boundary(cell: DataFrame, place: Column) -> DataFrame:
+    """source, the place at which its last bin's words pass the rest, and how many of the rows there are still taken."""
+    counts = cell.groupBy("source", place.alias("place")).agg(F.count("size").alias("n"), F.first("size").alias("size"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+    order = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("base") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0))
+    fit = F.when(F.col("size") > 0, F.floor((2 * (F.col("rest") - F.col("before")) - F.col("size")) / (2 * F.col("size"))) + 1).otherwise(F.col("n"))
+    return (
+        counts.withColumn("before", before).withColumn("fit", F.greatest(F.lit(0), fit)).where("fit < n")
+        .groupBy("source").agg(F.min(F.struct("place", "fit")).alias("b")).select("source", F.col("b.place").alias("boundary"), F.col("b.fit").alias("fit"))
+    )
+
+
+def _numbered(rows: DataFrame, folder: str) -> DataFrame:
+    """rows with number, from 1 within each source, counted part by part so that no source's rows meet."""
+    parted = settled(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), folder, "shared")
+    parts = parted.groupBy("source", "part").agg(F.count("at").alias("n"))
+    before = parts.withColumn("above", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).select(F.col("source").alias("_s"), F.col("part").alias("_p"), "above")
+    here = Window.partitionBy("source", "part").orderBy("at")
+    return (
+        parted.withColumn("here", F.row_number().over(here)).join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+        .withColumn("number", F.col("above") + F.col("here")).drop("_s", "_p", "above", "here", "part", "at")
+    )
+
+
 def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: str = "mix", weight: str | None = None, folder: str | None = None, key: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source), and its key if a column is named."""
     spark = docs.sparkSession
@@ -102,41 +130,41 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float
     else:
         sure = rows.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
         rows = _with_source(rows, sure.withColumnRenamed("_s", "source"), small).withColumn("rest", F.col("target") - F.col("sure"))
-    rows = (
-        rows.withColumn("q", q)
-        .withColumn("v", F.col("q") / (1 + F.col("q")) * BINS)
-        .withColumn("bin1", F.least(F.floor("v"), F.lit(BINS - 1)))
-        .withColumn("bin2", F.least(F.floor((F.col("v") - F.col("bin1")) * BINS), F.lit(BINS - 1)))
-    )
-    ranked = rows.where(F.col("q").isNotNull())
-    first = settled(_crossing(ranked, "bin1", F.lit(0.0)), folder, "first")
-    at_first = _with_source(ranked, first.withColumnRenamed("bin", "cut1").withColumnRenamed("before", "before1"), small).where(F.col("bin1") == F.col("cut1"))
-    second = settled(_crossing(at_first, "bin2", F.col("before1")), folder, "second")
-    cuts = _with_source(first.select("source", F.col("bin").alias("cut1")), second.select("source", F.col("bin").alias("cut2"), F.col("before").alias("before2")), small, "left")
+    rows = rows.withColumn("q", q).withColumn("_v", F.col("q") / (1 + F.col("q")))
+    bins = [f"bin{k}" for k in range(LEVELS)]
+    for name in bins:
+        rows = rows.withColumn(name, F.least(F.floor(F.col("_v") * BINS), F.lit(BINS - 1))).withColumn("_v", F.col("_v") * BINS - F.col(name))
+    open_, cuts = rows.where(F.col("q").isNotNull()).withColumn("base", F.lit(0.0)), None
+    for name in bins:
+        cut = settled(_crossing(open_, name).withColumnsRenamed({"bin": f"cut_{name}", "before": "base"}), folder, name)
+        cuts = cut if cuts is None else _with_source(cuts.drop("base"), cut, small, "left")
+        open_ = _with_source(open_.drop("base"), cut, small).where(F.col(name) == F.col(f"cut_{name}")).drop(f"cut_{name}")
+    place = F.struct("q", "doc_id", "size")
+    # A source whose words pass its target in no bin at all has no cut: all of its documents are within.
+    cuts = settled(_with_source(cuts.drop("base"), _boundary(open_, place), small, "left"), folder, "cuts")
     placed = _with_source(rows, cuts, small, "left")
-    at_cut = (F.col("bin1") == F.col("cut1")) & (F.col("bin2") == F.col("cut2"))
+    at, cut_at = F.struct(*bins), F.struct(*[f"cut_{n}" for n in bins])
+    shares = F.coalesce((at == cut_at) & (place == F.col("boundary")), F.lit(False))
     extra = (
         F.when(F.col("q").isNull(), 0)
-        .when(F.col("cut1").isNull() | (F.col("bin1") < F.col("cut1")) | ((F.col("bin1") == F.col("cut1")) & (F.col("bin2") < F.col("cut2"))), 1)
+        .when(F.col("cut_bin0").isNull() | (at < cut_at) | ((at == cut_at) & (F.col("boundary").isNull() | (place < F.col("boundary")))), 1)
         .otherwise(0)
     )
     taken = (F.col("size") * (F.col("certain") + F.col("extra"))).alias("taken")
     out = [*keys, "doc_id", "size", "source_size", "target"]
-    decided = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", extra).select(*out, taken)
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        placed.where(at_cut)
-        .withColumn("before", F.col("before2") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-        .withColumn("extra", F.when(2 * F.col("before") + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
-        .select(*out, taken)
-    )
-    return decided.unionByName(last)
+    decided = placed.where(~shares).withColumn("extra", extra).select(*out, taken)
+    last = _numbered(placed.where(shares).select("source", *out, "certain", "fit"), folder).withColumn("extra", (F.col("number") <= F.col("fit")).cast("int"))
+    return decided.unionByName(last.select(*out, taken))
 
 
 def _with_source(rows: DataFrame, facts: DataFrame, small: bool, how: str = "inner") -> DataFrame:
-    """rows with what is known of their source. Few sources go to all tasks, so that no source's rows meet in one."""
-    renamed = facts.withColumnRenamed("source", "_s")
-    return rows.join(F.broadcast(renamed) if small else renamed, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
+    """rows with what is known of their source. Few sources go to all tasks; of more, each is parted by a salt, so that no source's rows meet in one task."""
+    facts = facts.withColumnRenamed("source", "_s")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    if small:
+        return rows.join(F.broadcast(facts), same, how).drop("_s")
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return salted.join(facts.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_salted")), how).drop("_s", "_salt", "_salted")
 
 
 def op5_pareto_mix(spark, sf_dir: str) -> DataFrame:

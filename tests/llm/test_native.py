@@ -32,6 +32,19 @@ def test_mix_is_near_its_targets_and_follows_weights(spark, docs):
     assert share[0] > 1.5 * share[1]
 
 
+def test_mix_of_a_shared_rank(spark, docs, monkeypatch):
+    """Rows that share an id, or have none, share a rank: they are numbered part by part, and the words taken stay near the target."""
+    rows = [(7, "a b c", "en", "x")] * 500 + [(None, "d e", "en", "x")] * 300 + [(i, "f " * (1 + i % 5), "en", "y") for i in range(400)] + [(7, "a b c", "en", "y")] * 50
+    for few in (10_000, 0):
+        monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+        out = mixing.mix(docs(rows), share=1.1)
+        got = out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("size").alias("n")).collect()
+        assert sum(r.n for r in got) == len(rows) and all(abs(r.taken - r.target) <= 5 for r in got)
+        again = sorted(map(str, out.collect()))
+        assert again == sorted(map(str, mixing.mix(docs(rows).repartition(5), share=1.1).collect()))
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in out.collect())
+
+
 def test_targets_reshare_what_a_small_source_cannot_take(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 1000)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
