@@ -23,7 +23,7 @@ links; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -159,12 +159,12 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and the columns to keep, for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     folder = folder or scratch(spark)
     features = settled(
-        with_results(docs.select("doc_id", "text"), _features, "n_shingles long, digest binary, signature array<bigint>"), folder, "features",
+        with_results(docs.select("doc_id", *keep, "text"), _features, "n_shingles long, digest binary, signature array<bigint>"), folder, "features",
     )
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = settled(
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
         whole = components(links.unionByName(more), f"{folder}/components2")
     group = classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return features.join(group, "digest", "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", *keep, "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -486,6 +486,54 @@ def test_pipeline_null_and_shared_ids(spark, docs):
     assert sum(n * len(text.split()) for (_, text), n in copies.items()) == wanted
     assert max(copies.values()) <= 2 and any(i is None for i, _ in copies)
     words = [" ".join(f"{c}{k}" for k in range(40)) for c in "cab"]
-    shared = docs([(7, words[0]), (7, words[1]), (7, None), (None, words[2]), (None, None)])
+    shared = docs([(7, words[0]), (7, words[1]), (7, None), (None, words[2]), (None, None), (None, words[0]), (3, words[1]), (None, words[2])])
     once = [sorted(((r.doc_id, r.text) for r in corpus_pipeline.unique(spark, t, "").collect()), key=str) for t in (shared, shared.orderBy(F.desc("text")))]
-    assert once[0] == once[1] == sorted([(7, words[1]), (None, words[2]), (None, None)], key=str)
+    assert once[0] == once[1] == sorted([(7, words[0]), (3, words[1]), (7, None), (None, words[2]), (None, None)], key=str)
+
+
+def test_stages_keep_the_callers_rows_and_columns(spark, small):
+    """Of each stage: rows out are rows in less those with a reason, whatever ids and other columns they have."""
+    from plumbline.llm import langid, toxicity
+
+    base = spark.read.parquet(f"{small}/documents.parquet").limit(120)
+    odd = base.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 4).otherwise(F.col("doc_id")))
+    names = ["score", "predicted", "lang_pred", "passages", "n_tokens", "_times", "_copy", "_key", "_own_2", "taken", "size", "component_id", "kept", "_id", "digest"]
+    rows = odd.unionByName(odd.limit(20)).unionByName(odd.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(odd.limit(2).withColumn("text", F.lit("")))
+    table = rows.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.md5("text"), F.lit("null"))).alias(c) for c in names])
+    table = spark.createDataFrame(table.toPandas(), table.schema)
+
+    def key(r):
+        return str(tuple(r))
+
+    def counted(frame):
+        out = {}
+        for r in frame.collect():
+            out[key(r)] = out.get(key(r), 0) + 1
+        return out
+
+    given = counted(table)
+    assert sum(given.values()) == 145
+    own = table.select("doc_id", "text", "lang")
+    reasons = {
+        "language": langid.identify(own.drop("lang"), langid.fit(own), keep_text=True).where("lang_pred = 'und' or score < 0.5").count(),
+        "toxicity": toxicity.score(own, toxicity.fit(own, spark.read.parquet(f"{small}/labels.parquet"))).where("predicted = 1").count(),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, small)
+        assert out.columns == table.columns, name
+        got = counted(out)
+        assert set(got) <= set(given), name
+        if name in reasons:
+            assert sum(got.values()) == 145 - reasons[name] and all(n == given[k] for k, n in got.items()), name
+        if name == "near_duplicates":
+            texts = {}
+            for r in table.collect():
+                texts.setdefault(r.text, []).append(r)
+            assert {r.text for r in out.collect()} <= set(texts) and sum(1 for r in out.collect() if not r.text) == 5
+            assert max(n for k, n in got.items() if "null" not in k) <= 2
+        if name == "mix":
+            assert max(n / given[k] for k, n in got.items()) <= 2 and any("doc_id" not in k and k.startswith("(None") for k in got)
+        assert stage(spark, table.limit(0), small).collect() == [], name
+    last = corpus_pipeline.STAGES[-1][1](spark, table, small)
+    assert last.count() == 145 and last.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.STAGES[-1][1](spark, table.limit(0), small).collect() == []
