@@ -1,18 +1,19 @@
 """Licence scan by canonical digests, in DataFrame operations only.
 
-A text is brought into one canonical form (`canonical`): lower case, copyright lines away, runs of
-what is neither letter nor digit, in any script, a single space, equivalent spellings made one. Its SHA-256 is looked up by a hash join among the
-digests of known licence texts and notices. Looked up are whole documents, and as texts of their
-own each line, where a notice mostly stands alone, and each paragraph of several lines of a document
+A text is brought into one canonical form, line by line (`canonical_lines`): lower case, copyright lines away (one that begins with (c) needs a year, as items of lists begin so too), runs of
+what is neither letter nor digit, in any script, a single space, equivalent spellings made one. The SHA-256 of the whole
+is looked up by a hash join among the digests of known licence texts and notices. Looked up likewise, as texts of
+their own, are each line, where a notice mostly stands alone, and each paragraph of several lines of a document
 that has blank lines (lines without letters and digits), where a notice is wrapped.
 
-The known table has a fixed number of rows (a parameter; the default lists those below), so
-it is broadcast. Lines and paragraphs are joined where they lie; counts are summed before the shuffle,
-which moves one small row a document.
+The known table is a parameter; the default lists the texts below. Up to `IN_ROW` digests go to all tasks, and lines and paragraphs
+are looked up within the row, so nothing is shuffled; only those of the length of a known text are hashed. A larger
+table is joined by a shuffle, on a stored key a document.
 
 Defined results: a null text has a null digest and no lines; an empty text, and one that
 is nothing but punctuation, has the digest of the empty text, which is no licence; repeated
-rows are documents of their own; an empty table gives an empty result.
+rows are documents of their own; a text that several licences share has the name that sorts first; an
+empty table gives an empty result; texts of any length are read whole; other columns of the table are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import scratch, settled
+
 #: Notices with their SPDX names.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -71,12 +74,10 @@ def _texts() -> tuple[tuple[str, str], ...]:
 
 
 KNOWN = (*NOTICES, *HEADERS, *_texts())
-#: Fixed value: between paragraphs, lines without letters and digits.
-BLANK = r"\n[^\p{L}\p{N}]*\n"
 #: A copyright line and what it can't do without, punctuation, and equivalent spellings, as parts of text in lower case between single spaces.
-COPYRIGHT, SIGNS = r"(?m)^[ \t#*/;-]*(copyright(?!\s+(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interest)\b)|\(c\)|©)[^\n]*$", ("copyright", "(c)", "©")
-MARKS = r"[^\p{L}\p{M}\p{N}]+"
-#: The same in ORACLE: it tells only ASCII punctuation and takes a wrapped line for a copyright line; the tables hold neither.
+COPYRIGHT, SIGNS = r"(?m)^[ \t#*/;-]*(copyright(?!\s+(?:notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interest)\b)|\(c\)(?=\s*copyright|[^\n]*\b(?:19|20)\d\d\b)|©)[^\n]*$", ("copyright", "(c)", "©")
+MARKS_IN_LINE = r"[^\p{L}\p{M}\p{N}\n]+"
+#: The same in ORACLE: it tells only ASCII punctuation and takes wrapped lines and lettered items for copyright lines; the tables hold none of these.
 ORACLE_COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
 ORACLE_MARKS = r"[^a-z0-9\x{0080}-\x{10FFFF}]+"
 SPELLINGS = (
@@ -88,41 +89,73 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
+#: Digests that go to all tasks.
+IN_ROW = 1000
+
+
+def _respelled(out: Column, spellings) -> Column:
+    for variant, to in spellings:  # plain texts, sought much faster than patterns
+        out = F.replace(out, F.lit(variant), F.lit(to))
+    return out
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical lines of a text, joined by line ends."""
     lower = F.lower(text)
     signed = F.contains(lower, F.lit(SIGNS[0])) | F.contains(lower, F.lit(SIGNS[1])) | F.contains(lower, F.lit(SIGNS[2]))
     bare = F.when(signed, F.regexp_replace(lower, COPYRIGHT, "")).otherwise(lower)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, MARKS, " ")), F.lit(" "))
-    for variant, to in SPELLINGS:  # plain texts, sought much faster than patterns
-        out = F.replace(out, F.lit(variant), F.lit(to))
-    return F.trim(out)
+    apart = F.replace(F.concat(F.lit(" "), F.regexp_replace(bare, MARKS_IN_LINE, " "), F.lit(" ")), F.lit("\n"), F.lit(" \n "))
+    return F.trim(F.regexp_replace(_respelled(apart, SPELLINGS), " *\n *", "\n"), F.lit(" "))
+
+
+def joined(lines: Column) -> Column:
+    """Canonical lines as one text; spellings of two words may have stood on two lines."""
+    wide = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, "\n+", " ")), F.lit(" "))
+    return F.trim(_respelled(wide, [s for s in SPELLINGS if " " in s[0].strip()]))
+
+
+def canonical(text: Column) -> Column:
+    return joined(canonical_lines(text))
+
+
+def _digest(canonical_text: Column) -> Column:
+    return F.sha2(canonical_text.cast("binary"), 256)
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """license, digest of each known text, one row a digest."""
-    rows = spark.createDataFrame(list(known), "license string, known string")
-    digest = F.sha2(canonical(F.col("known")).cast("binary"), 256)
-    return rows.groupBy(digest.alias("digest")).agg(F.min("license").alias("license"))
+    """license, digest, length (of the canonical form) of each known text, one row a digest."""
+    rows = spark.createDataFrame(list(known), "license string, known string").select("license", canonical(F.col("known")).alias("form"))
+    return rows.groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("form")).alias("length"))
+
+
+def _units(lines: Column) -> Column:
+    """Lines, and paragraphs of several lines where there are blank lines."""
+    paragraphs = F.filter(F.transform(F.split(lines, "\n\n+", -1), lambda p: F.trim(p, F.lit("\n"))), lambda p: F.contains(p, F.lit("\n")))
+    several = F.when(F.contains(lines, F.lit("\n\n")), F.transform(paragraphs, joined)).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.concat(F.split(lines, "\n", -1), several)
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, text_digest, text_license, n_lines, n_notices, notices (sorted names joined by a comma)."""
+    """doc_id, text_digest, text_license, n_lines, n_notices, notices (sorted names joined by a comma). known: license, digest, length."""
     known = known_digests(docs.sparkSession) if known is None else known
-    base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"), F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("text_digest"))
-    unit = lambda is_line: lambda x: F.struct(x.alias("unit"), F.lit(is_line).alias("is_line"))
-    lines = F.transform(F.split("text", "\n", -1), unit(True))
-    apart = F.filter(F.split("text", BLANK, -1), lambda x: F.contains(F.trim(x, F.lit(" \t\r\n#*/;-")), F.lit("\n")))
-    paragraphs = F.when(F.regexp_like("text", F.lit(BLANK)), F.transform(apart, unit(False)))
-    units = F.when(paragraphs.isNull(), lines).otherwise(F.concat(lines, paragraphs))
-    each = base.select("_row", "doc_id", "text_digest", F.explode_outer(units).alias("u")).select("_row", "doc_id", "text_digest", "u.unit", "u.is_line")
-    digest = F.sha2(canonical(F.col("unit")).cast("binary"), 256)
-    hits = each.withColumn("digest", digest).join(F.broadcast(known), "digest", "left")
-    rows = hits.groupBy("_row", "doc_id", "text_digest").agg(
-        F.count(F.when(F.col("is_line"), 1)).alias("n_lines"), F.count("license").alias("n_notices"), F.collect_set("license").alias("found"),
-    )
+    few = known.limit(IN_ROW + 1).select("digest", "license", "length").collect()
+    lined = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
+    digested = lambda rows: rows.withColumn("text_digest", _digest(joined(F.col("_lines")))).withColumn("n_lines", F.coalesce(F.size(F.split("_lines", "\n", -1)), F.lit(0)))
     whole = known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
-    return rows.join(F.broadcast(whole), "text_digest", "left").select(
-        "doc_id", "text_digest", "text_license", "n_lines", "n_notices", F.array_join(F.array_sort("found"), ",").alias("notices"),
+    if 0 < len(few) <= IN_ROW:
+        names = F.create_map(*[F.lit(x) for r in few for x in (r["digest"], r["license"])])
+        lengths = F.array(*[F.lit(n) for n in sorted({r["length"] for r in few})])
+        named = F.transform(F.filter(_units(F.col("_lines")), lambda u: F.array_contains(lengths, F.length(u))), lambda u: F.element_at(names, _digest(u)))
+        rows = digested(lined).withColumn("_found", F.coalesce(F.array_compact(named), F.expr("cast(array() as array<string>)")))
+        whole = F.broadcast(whole)
+    else:
+        keyed = settled(lined.withColumn("_key", F.monotonically_increasing_id()), scratch(docs.sparkSession), "lines")
+        each = keyed.select("_key", F.explode(_units(F.col("_lines"))).alias("_unit"))
+        hits = each.join(known.select("digest", "license"), _digest(F.col("_unit")) == F.col("digest")).groupBy("_key").agg(F.collect_list("license").alias("_found"))
+        rows = digested(keyed).join(hits, "_key", "left").withColumn("_found", F.coalesce("_found", F.expr("cast(array() as array<string>)")))
+    return rows.join(whole, "text_digest", "left").select(
+        "doc_id", "text_digest", "text_license", F.col("n_lines").cast("long").alias("n_lines"), F.size("_found").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("notices"),
     )
 
 

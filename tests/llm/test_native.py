@@ -116,6 +116,30 @@ def test_whole_license_texts_and_wrapped_notices(spark, docs):
     assert (by[n + 3].n_lines, by[n + 3].n_notices) == (5, 1)
 
 
+def test_disguised_texts_and_a_large_known_table(spark, docs, monkeypatch):
+    """Each whole text in five disguises; more known texts than go to all tasks give the same rows; lettered items are no copyright lines."""
+    import random
+    import re
+    from pathlib import Path
+
+    def disguised(text, k):
+        return [text.upper(), re.sub(r"\b([Ll])icense", r"\1icence", text), "\n".join(f" * {x}" for x in text.split("\n")), "Copyright (c) 1999-2021 The Authors of It\n" + text, text.replace('"', "\u201c").replace("-", "\u2013").replace(",", " ,")][k]
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    names = sorted(p.stem for p in folder.glob("*.txt"))
+    rows = [(5 * i + k, disguised((folder / f"{n}.txt").read_text(), k)) for i, n in enumerate(names) for k in range(5)]
+    random.Random(1).shuffle(rows)
+    table = docs([*rows, (None, "a\n\nb\nLicensed under CC BY 4.0."), (900, None), (901, ""), (902, "(c) the point\nof it"), (902, "(c) the point\nof it")]).withColumn("_found", F.lit(1)).withColumn("text_license", F.lit(2))
+    few = licenses.scan(table).collect()
+    by = {r.doc_id: r for r in few}
+    assert [by[i].text_license for i in range(5 * len(names))] == [n for n in names for _ in range(5)]
+    assert by[902].text_digest == licenses.scan(docs([(1, "C the point of it")])).first().text_digest
+    monkeypatch.setattr(licenses, "IN_ROW", 3)
+    assert sorted(map(str, licenses.scan(table).collect())) == sorted(map(str, few))
+    nothing = licenses.known_digests(spark).where("false")
+    assert {(r.text_license, r.n_notices) for r in licenses.scan(table, nothing).collect()} == {(None, 0)}
+
+
 def test_preferences(spark):
     turns = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no 😀"), (1, "rejected", 2, "user", "x"),
