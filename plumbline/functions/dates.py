@@ -11,11 +11,15 @@ from plumbline.functions.text import js_trim
 MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTHS = {name: k for k, name in enumerate(MONTH_NAMES, 1)} | {name[:3]: k for k, name in enumerate(MONTH_NAMES, 1)} | {"febr": 2, "sept": 9}
 TIME = r"^(.*?)[T\s]+(\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,6})?(?:\s?[APap]\.?[Mm]\.?)?(?:\s?(?:Z|UTC|GMT|[+-]\d{2}:?\d{2}))?)$"
-ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-MONTH_FIRST = r"^([A-Za-z]{3,9})\.?[\s\-/]+(\d{1,2})(?:st|nd|rd|th)?,?[\s\-/]+(\d{2}|\d{4})$"
-DAY_FIRST = r"^(\d{1,2})(?:st|nd|rd|th)?[\s\-/]+([A-Za-z]{3,9})\.?,?[\s\-/]+(\d{2}|\d{4})$"
-YEAR_FIRST = r"^(\d{4})[\s\-/]+([A-Za-z]{3,9})\.?[\s\-/]+(\d{1,2})(?:st|nd|rd|th)?$"
-SLASHED = (r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$", r"^(\d{1,2})-(\d{1,2})-(\d{2}|\d{4})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$")
+ISO = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
+MONTH_FIRST = r"([A-Za-z]{3,9})\.?[\s\-/]+(\d{1,2})(?:st|nd|rd|th)?,?[\s\-/]+(\d{2}|\d{4})"
+DAY_FIRST = r"(\d{1,2})(?:st|nd|rd|th)?[\s\-/]+([A-Za-z]{3,9})\.?,?[\s\-/]+(\d{2}|\d{4})"
+YEAR_FIRST = r"(\d{4})[\s\-/]+([A-Za-z]{3,9})\.?[\s\-/]+(\d{1,2})(?:st|nd|rd|th)?"
+#: One form with the same separator twice, written out, as the parts must keep their numbers in the pattern of all forms.
+SLASHED = (r"(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})", r"(\d{1,2})-(\d{1,2})-(\d{2}|\d{4})", r"(\d{1,2})\.(\d{1,2})\.(\d{4})")
+#: All forms at once, three parts each; and a date as year|month|day or, in either order, as |||year|first|second.
+FORMS = "^(?:" + "|".join((ISO, MONTH_FIRST, DAY_FIRST, YEAR_FIRST, *SLASHED)) + ")$"
+PARTS = "$1$6$9$10|$2$4$8$11|$3$5$7$12|$15$18$21|$13$16$19|$14$17$20"
 
 
 def is_real(y: Column, m: Column, d: Column) -> Column:
@@ -40,14 +44,9 @@ def inspect(c: Column) -> Column:
     """kind (not-a-date, fixed, ordered, ambiguous), order (dmy, mdy), y, first, second and time.
 
     For fixed dates first is the month and second the day; else they are the numbers as written.
+    Only texts of 4 to 40 characters with a digit are looked into, by one pattern for all forms.
     """
-    value = js_trim(c)
-    timed = value.rlike(TIME)
-    body = F.when(timed, js_trim(F.regexp_extract(value, TIME, 1))).otherwise(value)
-    time = F.when(timed, js_trim(F.regexp_extract(value, TIME, 2))).otherwise("")
-    usable = F.length(value).between(4, 40) & value.rlike(r"\d") & (body != "")
-    said = F.struct(body.alias("b"), time.alias("t"), usable.alias("u"))
-    return _bound(said, lambda x: _bound(_parts(x), lambda y: _bound(_numbers(y), _judged)))
+    return _bound(js_trim(c), lambda value: F.when(F.length(value).between(4, 40) & value.rlike("[0-9]"), _bound(_said(value), lambda x: _bound(_numbers(x), _judged))).otherwise(_none()))
 
 
 def _bound(value: Column, f) -> Column:
@@ -55,24 +54,28 @@ def _bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _parts(s: Column) -> Column:
-    """shape (1 fixed, 2 numbers in either order, 0 none) and year, first, second as written; for shape 1 first is the month."""
-    body = s["b"]
+def _none() -> Column:
+    nothing = F.lit(None).cast("int")
+    return F.struct(F.lit("not-a-date").alias("kind"), F.lit(None).cast("string").alias("order"), nothing.alias("y"), nothing.alias("first"), nothing.alias("second"), F.lit("").alias("time"))
 
-    def found(shape: int, pattern: str, year: int, first: int, second: int) -> Column:
-        y, a, b = (F.regexp_extract(body, pattern, k) for k in (year, first, second))
-        return F.struct(F.lit(shape).alias("shape"), y.alias("y"), a.alias("a"), b.alias("b"), s["t"].alias("t"))
 
-    none = F.struct(F.lit(0).alias("shape"), F.lit("").alias("y"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("t"))
-    out = F.when(~s["u"], none)
-    for shape, pattern, *at in ((1, ISO, 1, 2, 3), (1, MONTH_FIRST, 3, 1, 2), (1, DAY_FIRST, 3, 2, 1), (1, YEAR_FIRST, 1, 2, 3), *((2, p, 3, 1, 2) for p in SLASHED)):
-        out = out.when(body.rlike(pattern), found(shape, pattern, *at))
-    return out.otherwise(none)
+def _said(value: Column) -> Column:
+    """parts of the date as written, and its time."""
+    timed = value.contains(":") & value.rlike(TIME)
+    body = F.when(timed, js_trim(F.regexp_extract(value, TIME, 1))).otherwise(value)
+    time = F.when(timed, js_trim(F.regexp_extract(value, TIME, 2))).otherwise("")
+    return F.struct(F.split(F.regexp_replace(body, FORMS, PARTS), r"\|", -1).alias("p"), time.alias("t"))
 
 
-def _numbers(p: Column) -> Column:
-    first = F.when(p["a"].rlike("^[0-9]+$"), p["a"].try_cast("int")).otherwise(month_number(p["a"]))
-    return F.struct(p["shape"].alias("shape"), full_year(p["y"]).alias("y"), first.alias("a"), p["b"].try_cast("int").alias("b"), p["t"].alias("t"))
+def _numbers(s: Column) -> Column:
+    """shape (1 fixed, 2 numbers in either order, 0 none), year, first and second; for shape 1 first is the month."""
+    p = s["p"]
+    shape = F.when(F.size(p) != 6, 0).when(p[0] != "", 1).when(p[3] != "", 2).otherwise(0)
+    month = F.coalesce(p[1].try_cast("int"), month_number(p[1]))
+    pick = lambda fixed, free: F.when(F.size(p) != 6, None).when(p[0] != "", fixed).otherwise(free)
+    return F.struct(
+        shape.alias("shape"), full_year(pick(p[0], p[3])).alias("y"), pick(month, p[4].try_cast("int")).alias("a"), pick(p[2], p[5]).try_cast("int").alias("b"), s["t"].alias("t"),
+    )
 
 
 def _judged(n: Column) -> Column:
@@ -81,8 +84,7 @@ def _judged(n: Column) -> Column:
     def result(kind: str, order: str | None = None) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(order).cast("string").alias("order"), y.alias("y"), a.alias("first"), b.alias("second"), n["t"].alias("time"))
 
-    nothing = F.lit(None).cast("int")
-    none = F.struct(F.lit("not-a-date").alias("kind"), F.lit(None).cast("string").alias("order"), nothing.alias("y"), nothing.alias("first"), nothing.alias("second"), F.lit("").alias("time"))
+    none = _none()
     can = F.struct(is_real(y, a, b).alias("mdy"), is_real(y, b, a).alias("dmy"))
     return _bound(can, lambda c: (
         F.when((n["shape"] == 1) & c["mdy"], result("fixed")).when(n["shape"] != 2, none)
@@ -90,24 +92,89 @@ def _judged(n: Column) -> Column:
     ))
 
 
+def written(i: Column, order: Column | str | None = None, style: str = "iso") -> Column:
+    """An inspected date in one style (iso, us, eu) with its time kept; null if it is none, or is ambiguous and no order is given."""
+    order = F.lit(order).cast("string") if order is None or isinstance(order, str) else order
+    own = F.coalesce(i["order"], order)
+    month_first = (i["kind"] == "fixed") | (own == "mdy")
+    month, day = F.when(month_first, i["first"]).otherwise(i["second"]), F.when(month_first, i["second"]).otherwise(i["first"])
+    y, m, d = F.lpad(i["y"].cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
+    date = {"iso": F.concat_ws("-", y, m, d), "us": F.concat_ws("/", m, d, y), "eu": F.concat_ws("/", d, m, y)}[style]
+    settled = (i["kind"] == "fixed") | own.isNotNull()
+    return F.when((i["kind"] != "not-a-date") & settled, F.concat(date, F.when(i["time"] == "", "").otherwise(F.concat(F.lit(" "), i["time"]))))
+
+
 def normalise(c: Column, order: Column | str | None = None, style: str = "iso") -> Column:
     """The date in one style (iso, us, eu) with its time kept; null leaves a text as it is.
 
     Ambiguous dates need an order, dmy or mdy.
     """
-    order = F.lit(order).cast("string") if order is None or isinstance(order, str) else order
-
-    def made(i: Column) -> Column:
-        own = F.coalesce(i["order"], order)
-        month = F.when((i["kind"] == "fixed") | (own == "mdy"), i["first"]).otherwise(i["second"])
-        day = F.when((i["kind"] == "fixed") | (own == "mdy"), i["second"]).otherwise(i["first"])
-        y, m, d = F.lpad(i["y"].cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
-        date = {"iso": F.concat_ws("-", y, m, d), "us": F.concat_ws("/", m, d, y), "eu": F.concat_ws("/", d, m, y)}[style]
-        settled = (i["kind"] == "fixed") | own.isNotNull()
-        return F.when((i["kind"] != "not-a-date") & settled, F.concat(date, F.when(i["time"] == "", "").otherwise(F.concat(F.lit(" "), i["time"]))))
-
-    return _bound(inspect(c), made)
+    return _bound(inspect(c), lambda i: written(i, order, style))
 
 
 def spreadsheet_serial(iso: Column) -> Column:
     return F.datediff(iso.cast("date"), F.lit("1970-01-01").cast("date")) + 25569
+
+
+#: The forms of dates in tables of a page, three parts each.
+PLACED = r"^(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{1,2})[-/. ]([A-Za-z]{3,9})[-/. ](\d{2,4})|([A-Za-z]{3,9})[-/. ](\d{1,2}),?[-/. ](\d{2,4})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4}))$"
+PLACED_PARTS = "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10|$11|$12"
+
+
+def short_month(name: Column) -> Column:
+    """The month that a name begins with, by its first three letters (or sept)."""
+    key = F.lower(name)
+    return F.coalesce(*[F.when(F.substring(key, 1, 3) == month[:3], k) for k, month in enumerate(MONTH_NAMES, 1)])
+
+
+def _placed_year(raw: Column) -> Column:
+    n = raw.try_cast("int")
+    return F.when(n >= 100, n).when(n >= 70, 1900 + n).otherwise(2000 + n)
+
+
+def placed_date(c: Column, order: Column | str | None = None) -> Column:
+    """iso, order (ymd, dmy, mdy) and ambiguous of a date in a table; null for what is none. Two digits from 70 on are of the last century."""
+    asked = F.lit(order).cast("string") if order is None or isinstance(order, str) else order
+    value = F.translate(js_trim(c), "\u00a0", " ")
+
+    def read(p: Column) -> Column:
+        number = lambda k: p[k].try_cast("int")
+
+        def out(y: Column, m: Column, d: Column, order: str, ambiguous: bool) -> Column:
+            iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+            return F.when(is_real(y, m, d), F.struct(iso.alias("iso"), F.lit(order).alias("order"), F.lit(ambiguous).alias("ambiguous")))
+
+        a, b, y = number(9), number(10), _placed_year(p[11])
+        free = (
+            F.when((a > 12) & (b <= 12), out(y, b, a, "dmy", False)).when((b > 12) & (a <= 12), out(y, a, b, "mdy", False))
+            .when((a > 12) & (b > 12), None).when(asked == "dmy", out(y, b, a, "dmy", True)).when(asked == "mdy", out(y, a, b, "mdy", True))
+            .otherwise(F.struct(F.lit(None).cast("string").alias("iso"), F.lit(None).cast("string").alias("order"), F.lit(True).alias("ambiguous")))
+        )
+        return (
+            F.when(F.size(p) != 12, None).when(p[0] != "", out(number(0), number(1), number(2), "ymd", False))
+            .when(p[3] != "", out(_placed_year(p[5]), short_month(p[4]), number(3), "dmy", False)).when(p[6] != "", out(_placed_year(p[8]), short_month(p[6]), number(7), "mdy", False)).otherwise(free)
+        )
+
+    return _bound(F.split(F.regexp_replace(value, PLACED, PLACED_PARTS), r"\|", -1), read)
+
+
+def column_order(dmy: Column, mdy: Column, ambiguous: Column) -> Column:
+    """The order that a column's unambiguous dates vote for (day first on a tie); day first if there are ambiguous ones only."""
+    return F.when((dmy > 0) | (mdy > 0), F.when(dmy >= mdy, "dmy").otherwise("mdy")).when(ambiguous > 0, "dmy")
+
+
+def iso_of_serial(serial: Column) -> Column:
+    """A spreadsheet's day number as a date, with its time if there is one."""
+    return iso_text(F.timestamp_seconds(F.round((serial - 25569) * 86400)))
+
+
+def iso_text(at: Column) -> Column:
+    """A timestamp as a date, with its time unless it is midnight."""
+    return F.when(F.date_trunc("day", at) == at, F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+
+
+def epoch_text(seconds: Column, now: Column) -> Column:
+    """at and relative (n, unit): an epoch's time and how far from now it is."""
+    from plumbline.functions.text import relative_unit
+
+    return F.struct(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss").alias("at"), relative_unit((seconds - now) * 1000).alias("relative"))

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import js_trim
 
 #: Currency signs and codes, and the ways in which digits are grouped.
-SIGNS = "[£$€₹¥₨]"
+SIGNS = "£$€₹¥₨"
 CODES = r"(?i)(?:\b(?:GBP|USD|EUR|INR|AUD|CAD|SGD|AED)\b|\bRs\.?)"
-GAP = r"[\s\x{A0}\x{2009}\x{202F}]"
+GAPS = " \t\n\x0b\f\r\u00a0\u2009\u202f"
 SPACED = r"^\d{1,3}(?:[ \x{A0}\x{2009}\x{202F}]\d{3})+(?:[.,]\d{1,2})?$"
 PLAIN, INDIAN, EUROPEAN = r"^\d{1,3}(?:,\d{3})+$", r"^\d{1,2}(?:,\d{2})+,\d{3}$", r"^\d{1,3}(?:\.\d{3})+$"
 CREDIT = r"(^|[\s\d.])(CR|DR|Cr|Dr|cr|dr)\.?(\s|$)"
-BRACKETED = r"^\(\s*(.*?)\s*\)$"
 
 
 def _bound(value: Column, f) -> Column:
@@ -23,82 +22,91 @@ def _bound(value: Column, f) -> Column:
 
 
 def amount(c: Column) -> Column:
-    """value, negative, currency, marker (CR, DR), grouping, decimals; null for what is no amount or could be two."""
-    s = js_trim(F.regexp_replace(c, "[−–—]", "-"))
-    sign = F.regexp_extract(s, f"({SIGNS})", 1)
-    code = F.regexp_replace(F.upper(F.regexp_extract(s, f"({CODES})", 1)), r"\.$", "")
-    currency = F.when(sign != "", sign).when(code != "", code)
-
-    def bare(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(x, SIGNS, ""), CODES, "")
-
-    def inside(x: Column) -> Column:
-        return F.when(x.rlike(BRACKETED), F.regexp_extract(x, BRACKETED, 1)).otherwise(x)
-
-    first = js_trim(bare(s))
-
-    def marked(outer: Column) -> Column:
-        x = inside(outer)
-        marker = F.when(x.rlike(CREDIT), F.upper(F.regexp_extract(x, CREDIT, 2)))
-        rest = F.when(marker.isNotNull(), js_trim(F.regexp_replace(x, CREDIT, "$1 "))).otherwise(x)
-        return F.struct(
-            inside(rest).alias("s"), marker.alias("marker"),
-            (outer.rlike(BRACKETED) | F.coalesce(marker == "DR", F.lit(False)) | rest.rlike(BRACKETED)).alias("negative"),
-        )
+    """value, negative, currency, marker (CR, DR), grouping, decimals; null for what is no amount or could be two.
 
-    def digits(m: Column) -> Column:
-        spaced = js_trim(m["s"])
-        tight = F.regexp_replace(bare(m["s"]), GAP, "")
-        negative = m["negative"] | tight.rlike("^-|-$")
-        body = F.when(spaced.rlike(SPACED), spaced).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace(tight, "^-", ""), "-$", ""), r"^\+", ""))
-        return F.struct(body.alias("s"), spaced.rlike(SPACED).alias("spaced"), negative.alias("negative"), m["marker"].alias("marker"))
-
-    def read(d: Column) -> Column:
-        x = d["s"]
-        dots, commas = F.length(x) - F.length(F.replace(x, F.lit("."), F.lit(""))), F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
-        head, tail = F.regexp_extract(x, r"^(.*)[.,]([^.,]*)$", 1), F.regexp_extract(x, r"^(.*)[.,]([^.,]*)$", 2)
-        point = F.substring(x, F.length(head) + 1, F.lit(1))
-        no_commas, no_dots = (lambda y: F.replace(y, F.lit(","), F.lit(""))), (lambda y: F.replace(y, F.lit("."), F.lit("")))
-
-        def out(whole: Column, fraction: Column, grouping: str) -> Column:
-            return F.struct(whole.alias("whole"), fraction.alias("fraction"), F.lit(grouping).alias("grouping"))
-
-        none = F.lit(None).cast("struct<whole:string,fraction:string,grouping:string>")
-        empty = F.lit("")
-        has_tail = tail.rlike(r"^\d{1,3}$")
-        both = (
-            F.when(~has_tail, none)
-            .when((point == ".") & head.rlike(INDIAN), out(no_commas(head), tail, "indian")).when((point == ".") & head.rlike(PLAIN), out(no_commas(head), tail, "plain"))
-            .when((point == ",") & head.rlike(EUROPEAN), out(no_dots(head), tail, "european")).otherwise(none)
-        )
-        spaced_head = F.when(x.rlike("[.,]"), head).otherwise(x)
-        return (
-            F.when(d["spaced"], out(F.regexp_replace(spaced_head, GAP, ""), F.when(x.rlike("[.,]"), tail).otherwise(empty), "space"))
-            .when((x == "") | ~x.rlike(r"\d") | x.rlike(r"[^\d.,]"), none)
-            .when((dots > 0) & (commas > 0), both)
-            .when(dots == 1, F.when(tail.rlike(r"^\d{1,2}$"), out(head, tail, "none")).otherwise(none))
-            .when(dots > 1, F.when(x.rlike(EUROPEAN), out(no_dots(x), empty, "european")).otherwise(none))
-            .when(commas > 0, F.when(x.rlike(INDIAN), out(no_commas(x), empty, "indian")).when(x.rlike(PLAIN), out(no_commas(x), empty, "plain")).when(x.rlike(r"^\d{1,3},\d{1,2}$"), out(head, tail, "european")).otherwise(none))
-            .otherwise(out(x, empty, "none"))
-        )
+    Signs, gaps and brackets are taken off without patterns; currency codes and markers are sought where there are letters.
+    """
+    s = js_trim(F.translate(c, "−–—", "---"))
+    return _bound(s, lambda x: F.when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished)))
+
+
+def _money(s: Column) -> Column:
+    """The text without currencies, the currency, and whether it has letters."""
+    unsigned, lettered = F.translate(s, SIGNS, ""), s.rlike("[A-Za-z]")
+    code = F.when(lettered, F.regexp_replace(F.upper(F.regexp_extract(s, f"({CODES})", 1)), r"\.$", ""))
+    currency = F.when(unsigned != s, F.regexp_extract(s, f"([{SIGNS}])", 1)).when(code != "", code)
+    bare = F.when(lettered, F.regexp_replace(unsigned, CODES, "")).otherwise(unsigned)
+    return F.struct(js_trim(bare).alias("s"), currency.alias("currency"), lettered.alias("lettered"))
+
+
+def _bracketed(x: Column) -> Column:
+    return x.startswith("(") & x.endswith(")") & (F.length(x) > 1)
+
+
+def _inside(x: Column) -> Column:
+    return F.when(_bracketed(x), F.trim(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(" \t\n\x0b\f\r"))).otherwise(x)
+
+
+def _marked(m: Column) -> Column:
+    outer = m["s"]
+    x = _inside(outer)
+    marker = F.when(m["lettered"] & x.rlike(CREDIT), F.upper(F.regexp_extract(x, CREDIT, 2)))
+    rest = F.when(marker.isNotNull(), js_trim(F.regexp_replace(x, CREDIT, "$1 "))).otherwise(x)
+    negative = _bracketed(outer) | F.coalesce(marker == "DR", F.lit(False)) | _bracketed(rest)
+    return F.struct(_inside(rest).alias("s"), marker.alias("marker"), negative.alias("negative"), m["currency"].alias("currency"))
+
+
+def _digits(m: Column) -> Column:
+    tight = F.translate(m["s"], GAPS, "")
+    spaced = (tight != m["s"]) & js_trim(m["s"]).rlike(SPACED)
+    dashed = tight.startswith("-") | tight.endswith("-")
+    bare = F.when(dashed, F.regexp_replace(tight, "^-|-$", "")).otherwise(tight)
+    body = F.when(spaced, js_trim(m["s"])).when(bare.startswith("+"), F.substring(bare, F.lit(2), F.length(bare))).otherwise(bare)
+    return F.struct(body.alias("s"), spaced.alias("spaced"), (m["negative"] | dashed).alias("negative"), m["marker"].alias("marker"), m["currency"].alias("currency"))
+
+
+def _read(d: Column) -> Column:
+    """whole, fraction and grouping of digits with points and commas."""
+    x = d["s"]
+    without = lambda y, sign: F.replace(y, F.lit(sign), F.lit(""))
+    dots, commas = F.length(x) - F.length(without(x, ".")), F.length(x) - F.length(without(x, ","))
+    tail = F.substring_index(F.translate(x, ",", "."), ".", -1)
+    head = F.substring(x, F.lit(1), F.length(x) - F.length(tail) - 1)
+    point = F.substring(x, F.length(x) - F.length(tail), F.lit(1))
 
-    def finished(d: Column) -> Column:
-        def made(r: Column) -> Column:
-            value = F.concat(r["whole"], F.when(r["fraction"] != "", F.concat(F.lit("."), r["fraction"])).otherwise("")).try_cast("double")
-            return F.when(
-                r["whole"].rlike(r"^\d+$"),
-                F.struct(
-                    F.when(d["negative"], -value).otherwise(value).alias("value"), d["negative"].alias("negative"), d["currency"].alias("currency"),
-                    d["marker"].alias("marker"), r["grouping"].alias("grouping"), F.length(r["fraction"]).alias("decimals"),
-                ),
-            )
+    def out(whole: Column, fraction: Column, grouping: str) -> Column:
+        return F.struct(whole.alias("whole"), fraction.alias("fraction"), F.lit(grouping).alias("grouping"))
+
+    none, empty = F.lit(None).cast("struct<whole:string,fraction:string,grouping:string>"), F.lit("")
+    both = (
+        F.when(~tail.rlike(r"^\d{1,3}$"), none)
+        .when((point == ".") & head.rlike(INDIAN), out(without(head, ","), tail, "indian")).when((point == ".") & head.rlike(PLAIN), out(without(head, ","), tail, "plain"))
+        .when((point == ",") & head.rlike(EUROPEAN), out(without(head, "."), tail, "european")).otherwise(none)
+    )
+    parted = dots + commas > 0
+    return (
+        F.when(d["spaced"], out(F.translate(F.when(parted, head).otherwise(x), GAPS, ""), F.when(parted, tail).otherwise(empty), "space"))
+        .when(~x.rlike(r"^[.,]*[0-9][0-9.,]*$"), none)
+        .when(~parted, out(x, empty, "none"))
+        .when((dots > 0) & (commas > 0), both)
+        .when(dots == 1, F.when(tail.rlike(r"^\d{1,2}$"), out(head, tail, "none")).otherwise(none))
+        .when(dots > 1, F.when(x.rlike(EUROPEAN), out(without(x, "."), empty, "european")).otherwise(none))
+        .otherwise(F.when(x.rlike(INDIAN), out(without(x, ","), empty, "indian")).when(x.rlike(PLAIN), out(without(x, ","), empty, "plain")).when(x.rlike(r"^\d{1,3},\d{1,2}$"), out(head, tail, "european")).otherwise(none))
+    )
 
-        return _bound(read(d), made)
 
-    def with_currency(d: Column) -> Column:
-        return F.struct(d["s"].alias("s"), d["spaced"].alias("spaced"), d["negative"].alias("negative"), d["marker"].alias("marker"), currency.alias("currency"))
+def _finished(d: Column) -> Column:
+    def made(r: Column) -> Column:
+        value = F.concat(r["whole"], F.when(r["fraction"] != "", F.concat(F.lit("."), r["fraction"])).otherwise("")).try_cast("double")
+        return F.when(
+            r["whole"].rlike(r"^\d+$"),
+            F.struct(
+                F.when(d["negative"], -value).otherwise(value).alias("value"), d["negative"].alias("negative"), d["currency"].alias("currency"),
+                d["marker"].alias("marker"), r["grouping"].alias("grouping"), F.length(r["fraction"]).alias("decimals"),
+            ),
+        )
 
-    return _bound(_bound(_bound(_bound(first, marked), digits), with_currency), finished)
+    return _bound(_read(d), made)
 
 
 def minor_units(value: Column, decimals: int = 2) -> Column:
@@ -123,6 +131,29 @@ def coerced_kind(c: Column) -> Column:
     )
 
 
+def coerced(c: Column) -> Column:
+    """kind, number and text of a cell: numbers as doubles, everything that stays text as it was."""
+    kind = coerced_kind(c)
+    return F.struct(kind.alias("kind"), F.when(kind == "number", js_trim(c).try_cast("double")).alias("number"), F.when(kind.isin("text", "blank"), c).alias("text"))
+
+
+def typed_cell(raw: Column, column_kind: Column, order: Column) -> Column:
+    """kind (empty, date, number, text), iso, number, text and off_type: what a cell is in a column of a kind. One that doesn't fit keeps its text."""
+    from plumbline.functions import dates
+
+    text = js_trim(raw)
+    iso = F.when(column_kind == "date", dates.placed_date(text, order)["iso"])
+    number = F.when(column_kind.isin("money", "number"), amount(text)["value"])
+    kind = F.when(text == "", "empty").when(iso.isNotNull(), "date").when(number.isNotNull(), "number").otherwise("text")
+    off = (text != "") & (column_kind != "text") & iso.isNull() & number.isNull()
+    return F.struct(kind.alias("kind"), iso.alias("iso"), number.alias("number"), F.when(kind == "text", text).alias("text"), off.alias("off_type"))
+
+
+def sums_match(value: Column, total: Column) -> Column:
+    """Equal up to 0.01, or a thousand millionth of the total."""
+    return F.abs(value - total) <= F.greatest(F.lit(0.01), F.abs(total) * 1e-9)
+
+
 def human_bytes(n: Column) -> Column:
     """Bytes as B, KB, MB or GB with one decimal below 10."""
     def shown(scaled: Column, unit: str) -> Column:
@@ -148,26 +179,31 @@ def percent_change(before: Column, after: Column) -> Column:
     return F.when(before > 0, F.floor((after - before) / before * 100 + 0.5)).otherwise(0).cast("long")
 
 
+#: Fixed value: numbers as a spreadsheet writes them.
+NUMBER_LIKE = r"^[-+(]?\s*[£$€¥]?\s*(?:\d{1,3}(?:[ .,]\d{3})+|\d+)(?:[.,]\d+)?\s*[)%]?$"
+CLOCK = r"(?i)^\d{1,2}:\d{2}(?::\d{2})?(?:\s?[ap]\.?m\.?)?$"
+
+
 def spreadsheet_number(c: Column) -> Column:
-    """A number as a spreadsheet reads it: (99), 12%, $1,234.50, 1.234,56; a lone separator before three digits groups."""
+    """A number as a spreadsheet writes it: (99), 12% (as 12), $1,234.50, 1.234,56; the last separator is the point unless it is the only kind and groups three digits."""
     s = js_trim(c)
-    negative = s.rlike(r"^\(.*\)$") | s.rlike(r"^[(\s$£€¥₹]*-")
-    percent = s.rlike(r"%\)?$")
-    bare = F.regexp_replace(F.regexp_replace(s, r"[()%\s$£€¥₹+-]", ""), r"^'", "")
-    comma_point = bare.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$") & (bare.contains(",") | bare.rlike(r"^\d{1,3}(\.\d{3}){2,}$")) | bare.rlike(r"^\d+,\d{1,2}$|^\d+,\d{4,}$")
-    plain = F.when(comma_point, F.translate(F.replace(bare, F.lit("."), F.lit("")), ",", ".")).otherwise(
-        F.when(bare.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(bare, F.lit("."), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    )
-    value = F.when(plain.rlike(r"^(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
-    signed = F.when(negative, -value).otherwise(value)
-    return F.when(percent, signed / 100).otherwise(signed)
+    digits = F.regexp_replace(s, "[^0-9.,]", "")
+    tail = F.substring_index(F.translate(digits, ",", "."), ".", -1)
+    cut = F.length(digits) - F.length(tail)  # 0: no separator
+    point = F.substring(digits, cut, F.lit(1))
+    other = F.when(point == ".", digits.contains(",")).otherwise(digits.contains("."))
+    decimal = (cut > 0) & ~((F.length(tail) == 3) & ~other)
+    whole = F.translate(F.when(decimal, F.substring(digits, F.lit(1), cut - 1)).otherwise(digits), ".,", "")
+    value = F.concat(F.when(whole == "", "0").otherwise(whole), F.lit("."), F.when(decimal & (tail != ""), tail).otherwise("0")).try_cast("double")
+    negative = s.startswith("-") | (s.startswith("(") & s.endswith(")"))
+    return F.when(s.rlike(NUMBER_LIKE), F.when(negative, -value).otherwise(value))
 
 
 def value_kind(c: Column) -> Column:
     """blank, number, date or text."""
     from plumbline.functions import dates
 
-    return F.when(js_trim(c) == "", "blank").when(spreadsheet_number(c).isNotNull(), "number").when(dates.inspect(c)["kind"] != "not-a-date", "date").otherwise("text")
+    return F.when(js_trim(c) == "", "blank").when(js_trim(c).rlike(NUMBER_LIKE), "number").when(js_trim(c).rlike(CLOCK) | (dates.inspect(c)["kind"] != "not-a-date"), "date").otherwise("text")
 
 
 def count_across(space: Column, item: Column, gap: Column) -> Column:

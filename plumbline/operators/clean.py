@@ -1,8 +1,9 @@
 """The cleaner: one declarative pass over a table of texts that says what happened to each row and cell.
 
-Rows come as `_row` (their place in the file, from the source) and text columns. All steps are Column
-expressions, joins and partial aggregates; only the options and the votes on date columns, one row a
-column, are known to the driver.
+Rows come as `_row` (their place in the file, from the source) and text columns. The table is read and
+scrubbed once, into a settled table with each cell's value, its text before where that differs, the steps that changed it and what it
+says if read as a date; and rows that repeat earlier ones, found by digests, into another. Rows, removals, changes and counters are
+derived from these two. Only the options and the votes on date columns, one row a column, are known to the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dates
 from plumbline.functions import text as t
 from plumbline.operators import headers, sequences, tally
+from plumbline.session import scratch, settled
 
 ROW = "_row"
 
@@ -81,13 +83,13 @@ def scrub_steps(column: str, o: CleanOptions) -> list[tuple[str, object]]:
     return steps
 
 
-def scrubbed(rows: DataFrame, columns: list[str], o: CleanOptions) -> DataFrame:
-    """rows with each column as (value, reasons), and its text before as _raw_0, _raw_1, …
+def scrubbed(rows: DataFrame, columns: list[str], o: CleanOptions, kept: Sequence[str] = ()) -> DataFrame:
+    """rows with each column as (value, reasons, before): before is its text where a step changed it. Columns to keep come along.
 
     Each step is a projection of its own over the texts before it, as an expression that
     holds the step before it twice would double with each step.
     """
-    out = rows.select(ROW, *[F.coalesce(F.col(c), F.lit("")).alias(f"_raw_{i}") for i, c in enumerate(columns)])
+    out = rows.select(ROW, *kept, *[F.coalesce(F.col(c), F.lit("")).alias(f"_raw_{i}") for i, c in enumerate(columns)])
     last = [f"_raw_{i}" for i in range(len(columns))]
     seen: list[list[tuple[str, str, str]]] = [[] for _ in columns]
     steps = [scrub_steps(c, o) for c in columns]
@@ -106,10 +108,24 @@ def scrubbed(rows: DataFrame, columns: list[str], o: CleanOptions) -> DataFrame:
         F.struct(
             F.col(last[i]).alias("value"),
             (F.array_compact(F.array(*[F.when(F.col(after) != F.col(before), F.lit(reason)) for reason, before, after in seen[i]])) if seen[i] else none).alias("reasons"),
+            F.when(F.col(last[i]) != F.col(f"_raw_{i}"), F.col(f"_raw_{i}")).alias("before"),
         ).alias(c)
         for i, c in enumerate(columns)
     ]
-    return out.select(ROW, *[f"_raw_{i}" for i in range(len(columns))], *cells)
+    return out.select(ROW, *kept, *cells)
+
+
+def _votes(said: DataFrame) -> DataFrame:
+    """Votes over rows of name and i, an inspected value: see date_votes."""
+    voted = lambda order: F.count_if(F.coalesce(F.col("i.order") == order, F.lit(False)))
+    votes = said.groupBy("name").agg(
+        F.count("i").alias("values"), F.count_if(F.col("i.kind") != "not-a-date").alias("dates"), voted("dmy").alias("dmy"), voted("mdy").alias("mdy"),
+        F.count_if(F.col("i.kind") == "ambiguous").alias("ambiguous"),
+    )
+    dated = F.col("dates") >= 0.7 * F.col("values")
+    order = F.when((F.col("dmy") > 0) & (F.col("mdy") == 0), "dmy").when((F.col("mdy") > 0) & (F.col("dmy") == 0), "mdy")
+    ask = (F.col("dmy") > 0) & (F.col("mdy") > 0) | ((F.col("dmy") + F.col("mdy") == 0) & (F.col("ambiguous") > 0))
+    return votes.withColumn("status", F.when(~dated, "not-dates").when(ask, "ask").otherwise("auto")).withColumn("order", F.when(dated & ~ask, order))
 
 
 def date_votes(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,21 +135,13 @@ def date_votes(rows: DataFrame, columns: list[str]) -> DataFrame:
     dates vote for; if they disagree, or none votes and some are ambiguous, someone has to be asked.
     """
     long = tally.cells(rows, ROW, columns).where(~t.is_blank(F.coalesce("value", F.lit(""))))
-    i = long.select("name", dates.inspect(F.col("value")).alias("i"))
-    said = lambda order: F.count_if(F.coalesce(F.col("i.order") == order, F.lit(False)))
-    votes = i.groupBy("name").agg(
-        F.count("i").alias("values"), F.count_if(F.col("i.kind") != "not-a-date").alias("dates"), said("dmy").alias("dmy"), said("mdy").alias("mdy"),
-        F.count_if(F.col("i.kind") == "ambiguous").alias("ambiguous"),
-    )
-    dated = F.col("dates") >= 0.7 * F.col("values")
-    order = F.when((F.col("dmy") > 0) & (F.col("mdy") == 0), "dmy").when((F.col("mdy") > 0) & (F.col("dmy") == 0), "mdy")
-    ask = (F.col("dmy") > 0) & (F.col("mdy") > 0) | ((F.col("dmy") + F.col("mdy") == 0) & (F.col("ambiguous") > 0))
-    return votes.withColumn("status", F.when(~dated, "not-dates").when(ask, "ask").otherwise("auto")).withColumn("order", F.when(dated & ~ask, order))
+    return _votes(long.select("name", dates.inspect(F.col("value")).alias("i")))
 
 
-def clean(rows: DataFrame, options: CleanOptions | None = None) -> Cleaned:
+def clean(rows: DataFrame, options: CleanOptions | None = None, folder: str | None = None) -> Cleaned:
     """rows: _row and text columns, the header still among the rows if options.header_row says so."""
     o = options or CleanOptions()
+    folder = folder or scratch(rows.sparkSession)
     columns = [c for c in rows.columns if c != ROW]
     header = [""] * len(columns)
     if o.header_row is not None:
@@ -144,55 +152,58 @@ def clean(rows: DataFrame, options: CleanOptions | None = None) -> Cleaned:
     footer = F.col(ROW).isin(list(o.footer_rows)) if o.footer_rows else F.lit(False)
     outside = F.when(above, "preamble").when(at_header, "header").when(footer, "footer")
 
-    body = rows.where(outside.isNull())
-    tidy = scrubbed(body, columns, o)
-    orders: dict[str, str] = {}
-    if o.normalise_dates:
-        auto = [c for c in columns if c not in o.date_columns]
-        orders = {c: d for c, d in o.date_columns.items() if d != "skip"}
-        if auto:
-            plain = tidy.select(ROW, *[F.col(c)["value"].alias(c) for c in auto])
-            orders |= {r["name"]: r["order"] or "dmy" for r in date_votes(plain, auto).where("status = 'auto'").collect()}  # one row a column
+    # One pass over the input. A column without any value changes no verdict on rows, so those are reached here already.
+    auto = [c for c in columns if c not in o.date_columns] if o.normalise_dates else []
+    asked = {c: d for c, d in o.date_columns.items() if d != "skip"} if o.normalise_dates else {}
+    filled = lambda cs: reduce(lambda a, b: a | b, [F.col(c)["value"] != "" for c in cs], F.lit(False))
+    blank = ~filled([c for c in columns if c != o.index_column])
+    reason = F.when(blank & filled(columns), "index-only").when(blank, "blank") if o.remove_blank_rows else F.lit(None).cast("string")
+    said = {c: F.when(F.col(c)["value"] != "", dates.inspect(F.col(c)["value"])) for c in [*auto, *asked]}
+    tidy = settled(
+        scrubbed(rows.withColumn("_outside", outside), columns, o, ["_outside"]).select(
+            ROW, F.coalesce("_outside", reason).alias("_reason"), F.col("_outside").isNull().alias("_body"), *columns, *[x.alias(f"_said_{columns.index(c)}") for c, x in said.items()],
+        ),
+        folder, "scrubbed",
+    )
+    body = tidy.where("_body")
+    orders: dict[str, str] = dict(asked)
+    if auto:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_said_{columns.index(c)}").alias("i")) for c in auto]))
+        voted = _votes(body.select(cells.alias("cell")).select("cell.*").where("i is not null"))
+        orders |= {r["name"]: r["order"] or "dmy" for r in voted.where("status = 'auto'").collect()}  # one row a column
 
     def dated(c: str) -> Column:
         cell = F.col(c)
         if c not in orders:
             return cell.alias(c)
-        made = F.coalesce(dates.normalise(cell["value"], orders[c], o.date_style), cell["value"])
-        return F.struct(made.alias("value"), F.when(made != cell["value"], F.array_append(cell["reasons"], F.lit("date"))).otherwise(cell["reasons"]).alias("reasons")).alias(c)
+        made = F.coalesce(dates.written(F.col(f"_said_{columns.index(c)}"), orders[c], o.date_style), cell["value"])
+        changed = made != cell["value"]
+        return F.struct(
+            made.alias("value"), F.when(changed, F.array_append(cell["reasons"], F.lit("date"))).otherwise(cell["reasons"]).alias("reasons"),
+            F.when(changed, F.coalesce(cell["before"], cell["value"])).otherwise(cell["before"]).alias("before"),
+        ).alias(c)
 
-    worked = tidy.select(ROW, *[F.col(f"_raw_{i}") for i in range(len(columns))], *[dated(c) for c in columns])
-    filled = lambda cs: reduce(lambda a, b: a | b, [F.col(c)["value"] != "" for c in cs], F.lit(False))
     kept_columns = columns
     nameless = [c for c, name in zip(columns, header, strict=True) if t_blank(name)] if o.header_row is not None else []
     if o.remove_blank_columns and nameless:
-        used = worked.agg(*[F.max((F.col(c)["value"] != "").cast("int")).alias(f"u{i}") for i, c in enumerate(nameless)]).first()
+        used = body.agg(*[F.max((F.col(c)["value"] != "").cast("int")).alias(f"u{i}") for i, c in enumerate(nameless)]).first()
         kept_columns = [c for c in columns if c not in nameless or used[f"u{nameless.index(c)}"]]
-    tested = [c for c in kept_columns if c != o.index_column]
-    blank = ~filled(tested)
-    reason = F.when(blank & filled(kept_columns), "index-only").when(blank, "blank") if o.remove_blank_rows else F.lit(None).cast("string")
-    judged = worked.withColumn("_reason", reason)
-    full = judged.where(F.col("_reason").isNull())
-    if o.dedupe:
-        values = full.select("*", *[F.col(c)["value"].alias(f"_v{i}") for i, c in enumerate(kept_columns)])
-        firsts = sequences.first_occurrences(values, ROW, [f"_v{i}" for i in range(len(kept_columns))])
-    else:
-        firsts = full.withColumn("duplicate_of", F.lit(None).cast("long"))
-    stays = F.col("duplicate_of").isNull()
+    full = tidy.where("_reason is null").select(ROW, *[dated(c) for c in kept_columns])
+    values = full.select(ROW, *[F.col(c)["value"].alias(f"_v{i}") for i, c in enumerate(kept_columns)])
+    twins = sequences.duplicates(values, ROW, sequences.row_digest([f"_v{i}" for i in range(len(kept_columns))]))
+    twins = settled(twins if o.dedupe else twins.limit(0), folder, "duplicates")
     named = headers.standardise([header[columns.index(c)] for c in kept_columns], o.standardise_headers, o.lowercase_headers, o.snake_case_headers)
     names = dict(zip(kept_columns, named.names, strict=True)) if o.header_row is not None else {c: c for c in kept_columns}
-    out = firsts.where(stays).select(ROW, *[F.col(c)["value"].alias(names[c]) for c in kept_columns])
-    no_twin = F.lit(None).cast("long").alias("duplicate_of")
-    removed = (
-        rows.where(outside.isNotNull()).select(ROW, outside.alias("reason"), no_twin)
-        .unionByName(judged.where(F.col("_reason").isNotNull()).select(ROW, F.col("_reason").alias("reason"), no_twin))
-        .unionByName(firsts.where(~stays).select(ROW, F.lit("duplicate").alias("reason"), "duplicate_of"))
+    stays = full.join(twins, ROW, "left_anti")
+    out = stays.select(ROW, *[F.col(c)["value"].alias(names[c]) for c in kept_columns])
+    gone = tidy.where("_reason is not null").select(ROW, F.col("_reason").alias("reason"), F.lit(None).cast("long").alias("duplicate_of"))
+    removed = gone.unionByName(twins.select(ROW, F.lit("duplicate").alias("reason"), F.col("duplicate_of").cast("long").alias("duplicate_of")))
+    changed = F.filter(
+        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["before"].alias("before"), F.col(c)["value"].alias("after"), F.col(c)["reasons"].alias("reasons")) for c in kept_columns]),
+        lambda x: x["before"].isNotNull(),
     )
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_raw_{columns.index(c)}").alias("before"), F.col(c)["value"].alias("after"), F.col(c)["reasons"].alias("reasons")) for c in kept_columns
-    ]))
-    changes = firsts.where(stays).select(ROW, cells.alias("c")).select(ROW, "c.*").where("before <> after")
-    stats = _stats(rows, removed, judged, changes, kept_columns, named, orders)
+    changes = stays.select(ROW, F.explode(changed).alias("c")).select(ROW, "c.*").where("before <> after")
+    stats = _stats(tidy, body, twins, changes, kept_columns, named, orders)
     return Cleaned(out, removed, changes, stats, names, orders)
 
 
@@ -200,16 +211,15 @@ def t_blank(name: str) -> bool:
     return not name.strip(" \t\r\n ﻿")
 
 
-def _stats(rows, removed, judged, changes, columns, named, orders) -> DataFrame:
+def _stats(tidy, body, twins, changes, columns, named, orders) -> DataFrame:
     """One row of counters. Cells are counted before duplicates and blank rows go, dates and changed rows after."""
-    by = removed.agg(*[F.count_if(F.col("reason") == r).alias(r.replace("-", "_") + "_rows") for r in ("preamble", "header", "footer", "blank", "index-only", "duplicate")])
-    counted = judged.agg(*[
+    rows = tidy.agg(F.count(ROW).alias("source_rows"), *[F.count_if(F.coalesce(F.col("_reason") == r, F.lit(False))).alias(r.replace("-", "_") + "_rows") for r in ("preamble", "header", "footer", "blank", "index-only")])
+    counted = body.agg(*[
         reduce(lambda a, b: a + b, [F.count_if(F.array_contains(F.col(c)["reasons"], r)) for c in columns]).alias(f"{r}_cells")
         for r in ("invisible", "collapsed", "flattened", "trimmed", "sentinel", "merged")
     ])
     after = changes.agg(F.count_if(F.array_contains("reasons", "date")).alias("date_cells"), F.count_distinct(ROW).alias("changed_rows"))
-    before = rows.agg(F.count(ROW).alias("source_rows"))
-    one = before.crossJoin(by).crossJoin(counted).crossJoin(after)  # four single rows
+    one = rows.crossJoin(twins.agg(F.count(ROW).alias("duplicate_rows"))).crossJoin(counted).crossJoin(after)  # four single rows
     return one.withColumn("rows_after", F.col("source_rows") - sum((F.col(f"{r}_rows") for r in ("header", "footer", "blank", "index_only", "duplicate")), F.col("preamble_rows"))).select(
         "*", F.lit(len(orders)).alias("date_columns"), F.lit(named.renamed).alias("renamed_headers"), F.lit(named.deduped).alias("deduped_headers"), F.lit(named.named_blank).alias("named_blank_headers"),
     )

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import minor_units
 
 
-def first_occurrences(rows: DataFrame, row: str, by: list[str]) -> DataFrame:
-    """rows with duplicate_of: null for the first row of equal ones, else that row.
+def row_digest(by: Sequence[str]) -> Column:
+    """SHA-256 of a row's values, each told by its length, nulls apart: 32 bytes stand for texts of any length in a shuffle."""
+    told = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in by]
+    return F.unhex(F.sha2(F.concat(*told), 256))
+
+
+def duplicates(rows: DataFrame, row: str, digest: Column) -> DataFrame:
+    """row and duplicate_of of each row that repeats an earlier one.
 
-    A minimum and a join, so that one value that many rows share is combined before the shuffle and
-    a skewed join can be split, where a window would hold them all in one task.
+    A minimum and a join on the digest, so that one value that many rows share is combined before the shuffle and
+    a skewed join can be split, where a window would hold them all in one task. No text is shuffled.
     """
-    firsts = rows.groupBy(*by).agg(F.min(row).alias("_first")).select(F.struct(*by).alias("_by"), "_first")
-    joined = rows.withColumn("_own", F.struct(*by)).join(firsts, F.col("_own").eqNullSafe(F.col("_by")))
-    return joined.withColumn("duplicate_of", F.when(F.col(row) != F.col("_first"), F.col("_first"))).drop("_first", "_by", "_own")
+    keyed = rows.select(F.col(row), digest.alias("_digest"))
+    firsts = keyed.groupBy("_digest").agg(F.min(row).alias("duplicate_of"))
+    return keyed.join(firsts, "_digest").where(F.col(row) != F.col("duplicate_of")).select(row, "duplicate_of")
+
+
+def first_occurrences(rows: DataFrame, row: str, by: list[str]) -> DataFrame:
+    """rows with duplicate_of: null for the first row of equal ones, else that row. `row` tells rows apart."""
+    return rows.join(duplicates(rows, row, row_digest(by)), row, "left")
 
 
 def reconciled(rows: DataFrame, account: list[str], row: str, delta: Column, balance: Column, decimals: int = 2) -> DataFrame:

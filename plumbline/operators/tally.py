@@ -58,7 +58,7 @@ def checks(long: DataFrame) -> DataFrame:
     kinds = F.array_compact(F.array(
         F.when(t.would_spreadsheet_change(value), F.lit("leading-zeros")),
         F.when(F.upper(t.js_trim(value)).isin(list(ERRORS)), F.lit("excel-error-cells")),
-        F.when(value.rlike(t.INVISIBLE) | value.rlike(t.ODD_SPACE), F.lit("invisible-characters")),
+        F.when(t.has_invisible(value), F.lit("invisible-characters")),
     ))
     return (
         long.select("name", "row", F.explode(kinds).alias("kind")).groupBy("name", "kind")
@@ -76,32 +76,41 @@ def invisible_tally(values: DataFrame, value: str) -> DataFrame:
     )
 
 
-def clusters(counts: DataFrame, value: str = "value", count: str = "count") -> DataFrame:
-    """Spellings of one value: cluster, members, total, suggested, reason, rows_affected.
+def clusters(counts: DataFrame, value: str = "value", count: str = "count", folder: str | None = None) -> DataFrame:
+    """Spellings of one value, a row for each: cluster, reason, suggested, total, rows_affected, value, count.
 
-    Values with the same words in the same order make a cluster; values with the same words in
-    another order make one of their own, whose reason is word-order. The commonest spelling is suggested
-    (the first by text, if several are as common).
+    Values with the same words in the same order that state the same amounts make a cluster; values with the same
+    words in another order make one of their own, whose reason is word-order. The commonest spelling is suggested
+    (the first by text, if several are as common). A cluster is named by its words, and by its amounts where the words have
+    several. Facts of a cluster are partial aggregates joined back to its spellings, so none is gathered in a row.
     """
-    keyed = counts.select(F.col(value).alias("value"), F.col(count).alias("count"), t.word_key(F.col(value)).alias("key"), t.ordered_key(F.col(value)).alias("ordered")).where("key <> ''")
-    member = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("rank"), "value")))
+    folder = folder or scratch(counts.sparkSession)
+    given = counts.select(F.col(value).alias("value"), F.col(count).alias("count"))
+    parts = given.withColumn("_words", t.words(F.col("value"))).withColumn("folded", t.fold_accents(t.squash(F.lower("value"))))
+    keyed = settled(
+        parts.select(
+            "value", "count", "folded", F.array_join(F.array_sort("_words"), " ").alias("key"), F.array_join("_words", " ").alias("ordered"), t.amount_signature(F.col("value")).alias("amounts"),
+        ).where("key <> ''"),
+        folder, "keys",
+    )
 
-    def made(grouped: DataFrame, reason: Column) -> DataFrame:
-        return grouped.where("n > 1").select(
-            "cluster", F.array_join(F.transform("members", lambda m: F.concat(m["value"], F.lit("="), (-m["rank"]).cast("string"))), "|").alias("members"),
-            "total", F.col("members")[0]["value"].alias("suggested"), reason.alias("reason"), (F.col("total") + F.col("members")[0]["rank"]).alias("rows_affected"),
+    def made(by: str, reason: Column, orders: int) -> DataFrame:
+        lower = F.lower("value")
+        facts = keyed.groupBy(by, "amounts").agg(
+            F.count("value").alias("_n"), F.sum("count").alias("total"), F.min_by("value", F.struct(-F.col("count"), "value")).alias("suggested"), F.max("count").alias("_top"),
+            (F.min(lower) == F.max(lower)).alias("_case"), (F.min(t.squash(lower)) == F.max(t.squash(lower))).alias("_space"), (F.min("folded") == F.max("folded")).alias("_accents"),
+            F.max(F.struct("ordered")).alias("_last"), F.min(F.struct("ordered")).alias("_first"),
+        )
+        # A cluster is named by its amounts too where its words have several.
+        several = keyed.groupBy(by).agg((F.min("amounts") != F.max("amounts")).alias("_several"), (F.min("ordered") != F.max("ordered")).alias("_orders"))
+        found = facts.join(several, by).where((F.col("_n") > 1) & ((F.col("_first") != F.col("_last")) if orders > 1 else F.lit(True)))
+        return found.join(keyed.select(by, "amounts", "value", "count"), [by, "amounts"]).select(
+            F.when(F.col("_several"), F.concat(by, F.lit("#"), "amounts")).otherwise(F.col(by)).alias("cluster"), reason.alias("reason"), "suggested", "total",
+            (F.col("total") - F.col("_top")).alias("rows_affected"), "value", "count",
         )
 
-    squashed, folded = t.squash(F.col("value")), t.squash(F.lower("value"))
-    same = keyed.groupBy(F.col("ordered").alias("cluster")).agg(
-        F.count("value").alias("n"), member.alias("members"), F.sum("count").alias("total"),
-        F.count_distinct(squashed).alias("by_space"), F.count_distinct(folded).alias("by_case"),
-    )
-    spelling = made(same, F.when(F.col("by_space") == 1, "whitespace").when(F.col("by_case") == 1, "case").otherwise("punctuation"))
-    orders = keyed.groupBy(F.col("key").alias("cluster")).agg(
-        F.count("value").alias("n"), member.alias("members"), F.sum("count").alias("total"), F.count_distinct("ordered").alias("orders"),
-    ).where("orders > 1")
-    return spelling.unionByName(made(orders, F.lit("word-order")))
+    spelling = F.when(F.col("_case"), "case").when(F.col("_space"), "whitespace").when(F.col("_accents"), "accents").otherwise("punctuation")
+    return made("ordered", spelling, 1).unionByName(made("key", F.lit("word-order"), 2))
 
 
 def allowed_distance(c: Column) -> Column:
@@ -110,16 +119,32 @@ def allowed_distance(c: Column) -> Column:
 
 
 def loose_clusters(counts: DataFrame, folder: str | None = None) -> DataFrame:
-    """cluster, members, total, suggested: values that chains of near spellings join, for tallied values (value, count)."""
-    spark = counts.sparkSession
-    folder = folder or scratch(spark)
-    numbered = settled(counts.select("value", "count", F.xxhash64("value").alias("node")), folder, "values")
-    links = near_spellings(numbered).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    joined = components(links, f"{folder}/components")
-    member = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("rank"), "value")))
-    return numbered.join(joined, "node").groupBy("component").agg(member.alias("m"), F.sum("count").alias("total")).select(
-        F.array_min(F.transform("m", lambda x: x["value"])).alias("cluster"), F.array_join(F.array_sort(F.transform("m", lambda x: x["value"])), "|").alias("members"), "total", F.col("m")[0]["value"].alias("suggested"),
+    """cluster, suggested, total, rows_affected, value, count: values that chains of near spellings join, for tallied values (value, count).
+
+    Spellings with the same words in the same order stand together, by their commonest; of groups whose words are reorderings of one another only
+    the one of most rows stays; and each chain is parted by the amounts its values state. A cluster is named by its least value.
+    """
+    folder = folder or scratch(counts.sparkSession)
+    given = counts.select("value", "count").withColumn("_words", t.words(F.col("value"))).withColumn("spelled", t.fold_accents(t.squash(F.lower("value"))))
+    keyed = settled(
+        given.select(
+            "value", "count", "spelled", F.array_join("_words", " ").alias("ordered"), F.array_join(F.array_sort("_words"), " ").alias("key"), t.amount_signature(F.col("value")).alias("amounts"),
+        ).where("ordered <> ''"),
+        folder, "values",
+    )
+    groups = settled(
+        keyed.groupBy("ordered", "key").agg(F.sum("count").alias("rows"), F.min_by("spelled", F.struct(-F.col("count"), "value")).alias("spelled")).withColumn("node", F.monotonically_increasing_id()),
+        folder, "groups",
     )
+    pairs = near_spellings(groups.select("node", "spelled"), "spelled", "node")
+    joined = settled(groups.join(components(pairs.select("a", "b"), f"{folder}/components"), "node"), folder, "joined")
+    kept = joined.groupBy("component", "key").agg(F.max_by("ordered", F.struct("rows", -F.col("node"))).alias("ordered"))
+    several = kept.groupBy("component").agg(F.count("key").alias("_sets")).where("_sets > 1").select("component")
+    members = kept.join(several, "component").select("component", "ordered").join(keyed.select("ordered", "value", "count", "amounts"), "ordered")
+    facts = members.groupBy("component", "amounts").agg(
+        (F.min("ordered") != F.max("ordered")).alias("_new"), F.sum("count").alias("total"), F.max("count").alias("_top"), F.min("value").alias("cluster"), F.min_by("value", F.struct(-F.col("count"), "value")).alias("suggested"),
+    ).where("_new")
+    return facts.join(members, ["component", "amounts"]).select("cluster", "suggested", "total", (F.col("total") - F.col("_top")).alias("rows_affected"), "value", "count")
 
 
 def merge_plan(clusters_: list[tuple[str, list[str]]]) -> dict[str, str]:
@@ -136,19 +161,28 @@ def merge_plan(clusters_: list[tuple[str, list[str]]]) -> dict[str, str]:
     return out
 
 
-def near_spellings(values: DataFrame, value: str = "value") -> DataFrame:
-    """Pairs of values within the edit distance that their length allows; candidates share a 4-gram.
+def near_spellings(values: DataFrame, value: str = "value", node: str | None = None) -> DataFrame:
+    """a, b, distance: pairs of values (or of their nodes) within the edit distance that their length allows, which share a 4-gram.
 
-    A pair is left out if either is a plain number or both are equal without their digits.
+    A pair is left out if either is a plain number or both are equal without their digits. Candidates share one of
+    their rarest grams: d edits touch at most 4 d of a text's grams, so of two texts within d one of the 4 d + 1 rarest is
+    common to both, if they have as many, and shorter ones enter under all of theirs. So frequent grams pair nothing, and no pair is lost.
     """
-    spelled = values.select(F.col(value).alias("v"), F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", "").alias("k")).where("k <> ''").distinct()
-    grams = spelled.select("v", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("k") - 3, F.lit(1))), lambda i: F.substring(F.col("k"), i, F.lit(4))))).alias("g"))
-    a, b = grams.select(F.col("v").alias("a"), F.col("k").alias("ka"), "g"), grams.select(F.col("v").alias("b"), F.col("k").alias("kb"), "g")
-    within = F.levenshtein("ka", "kb") <= F.least(allowed_distance(F.col("ka")), allowed_distance(F.col("kb")))
-    bare = lambda c: F.regexp_replace(c, r"\d+", "")
-    number = lambda c: F.col(c).rlike(PLAIN_NUMBER)
-    length = F.abs(F.length("ka") - F.length("kb")) <= 2
-    return (
-        a.join(b, "g").where((F.col("a") < F.col("b")) & length).select("a", "b", "ka", "kb").distinct()
-        .where(within & ~number("a") & ~number("b") & (bare("ka") != bare("kb"))).select("a", "b", F.levenshtein("ka", "kb").alias("distance"))
+    own = node or value
+    spelled = values.select(F.col(own).alias("v"), t.squash(F.lower(value)).alias("t")).distinct().withColumn("k", F.regexp_replace("t", r"[^\p{L}\p{N}]+", ""))
+    usable = spelled.where((F.length("k") >= 4) & ~F.col("t").rlike(PLAIN_NUMBER)).withColumn("most", allowed_distance(F.col("t")))
+    grams = F.transform(F.sequence(F.lit(1), F.length("k") - 3), lambda i: F.substring(F.col("k"), i, F.lit(4)))
+    # The second "aaaa" of a text is a gram of its own, as an edit touches occurrences.
+    told = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    each = usable.where("most > 0").select("v", F.explode(told).alias("g"))
+    rare = F.slice(F.array_sort(F.collect_list(F.struct("n", "g"))), F.lit(1), F.first("most") * 4 + 1)
+    entered = (
+        each.join(each.groupBy("g").agg(F.count("v").alias("n")).where("n > 1"), "g").join(usable, "v")
+        .groupBy("v", "t", "k").agg(rare.alias("rare")).select("v", "t", "k", F.explode("rare.g").alias("g"))
     )
+    a = entered.select(F.col("v").alias("a"), F.col("t").alias("ta"), F.length("k").alias("na"), "g", F.explode(F.sequence(F.length("k"), F.length("k") + 2)).alias("size"))
+    b = entered.select(F.col("v").alias("b"), F.col("t").alias("tb"), "g", F.length("k").alias("size"))
+    within = F.levenshtein("ta", "tb") <= F.least(allowed_distance(F.col("ta")), allowed_distance(F.col("tb")))
+    bare = lambda c: F.regexp_replace(c, r"[0-9]+", "")
+    found = a.join(b, ["g", "size"]).where((F.col("na") < F.col("size")) | (F.col("a") < F.col("b"))).where(within & (bare("ta") != bare("tb")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.levenshtein("ta", "tb").alias("distance")).distinct()

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from plumbline.functions import numbers
 from plumbline.functions import text as t
 from plumbline.operators import tally
-from plumbline.plans.base import DIRTIED, dirtied, query, quote, table
+from plumbline.plans.base import query, table
+from plumbline.plans.q_tables import _NEAR
 
 
-@query("q_F12_W33_whitespace", f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, {quote(t.FORMATTING)}, '', 'g'), {quote(t.CONTROL)}, '', 'g'), {quote(t.ODD_SPACE)}, ' ', 'g'), '(?m)[ \\t]+$', '', 'g'), '((?:^|\\n)(?:[ \\t]*\\r?\\n){{1}})(?:[ \\t]*\\r?\\n)+', '\\1', 'g') AS out
-FROM (SELECT doc_id, replace({DIRTIED}, chr(10), CASE WHEN doc_id % 4 = 0 THEN chr(10) || chr(10) || ' ' || chr(10) ELSE chr(10) END) AS raw FROM documents)""")
-def whitespace(spark, sf_dir):
-    key = F.col("doc_id")
-    raw = F.replace(dirtied(F.col("text"), key), F.lit("\n"), F.when(key % 4 == 0, "\n\n \n").otherwise("\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", t.clean_whitespace(raw).alias("out"))
+@query("q_W33_blank_lines", "SELECT doc_id, regexp_replace(raw, '((?:^|\\n)(?:[ \\t]*\\r?\\n){1})(?:[ \\t]*\\r?\\n)+', '\\1', 'g') AS out FROM (SELECT doc_id, replace(text, chr(10), CASE WHEN doc_id % 4 = 0 THEN chr(10) || chr(10) || ' ' || chr(10) ELSE chr(10) END) AS raw FROM documents)")
+def blank_lines(spark, sf_dir):
+    raw = F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 4 == 0, "\n\n \n").otherwise("\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.collapse_blank_lines(raw).alias("out"))
 
 
 @query("q_F13_expand_tabs", "SELECT o_orderkey, rpad(o_orderstatus, 4, ' ') || rpad(o_orderpriority, ((len(o_orderpriority) // 4 + 1) * 4)::INT, ' ') || o_orderkey AS out FROM orders")
@@ -45,7 +44,7 @@ def percents(spark, sf_dir):
 _FORMS = "CASE c_custkey % 6 WHEN 0 THEN concat('(', n, ')') WHEN 1 THEN concat('$', n, '.50') WHEN 2 THEN concat(n, '%') WHEN 3 THEN concat(n, ',5') WHEN 4 THEN concat('1.', lpad(n, 3, '0'), ',25') ELSE c_mktsegment END"
 
 
-@query("q_N01_N02_numbers", f"SELECT c_custkey, v, CASE c_custkey % 6 WHEN 0 THEN -x WHEN 1 THEN x + 0.5 WHEN 2 THEN x / 100 WHEN 3 THEN x + 0.5 WHEN 4 THEN 1000 + x + 0.25 END AS number, CASE c_custkey % 6 WHEN 5 THEN 'text' ELSE 'number' END AS kind FROM (SELECT *, {_FORMS} AS v, n::DOUBLE AS x FROM (SELECT c_custkey, c_mktsegment, (c_custkey % 1000)::VARCHAR AS n FROM customer))")
+@query("q_N01_N02_numbers", f"SELECT c_custkey, v, CASE c_custkey % 6 WHEN 0 THEN -x WHEN 1 THEN x + 0.5 WHEN 2 THEN x WHEN 3 THEN x + 0.5 WHEN 4 THEN 1000 + x + 0.25 END AS number, CASE c_custkey % 6 WHEN 5 THEN 'text' ELSE 'number' END AS kind FROM (SELECT *, {_FORMS} AS v, n::DOUBLE AS x FROM (SELECT c_custkey, c_mktsegment, (c_custkey % 1000)::VARCHAR AS n FROM customer))")
 def read_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 1000).cast("string").alias("n")).select("c_custkey", F.expr(_FORMS).alias("v"))
     return rows.select("c_custkey", "v", numbers.spreadsheet_number(F.col("v")).alias("number"), numbers.value_kind(F.col("v")).alias("kind"))
@@ -74,16 +73,12 @@ def pieces(spark, sf_dir):
     return rows.groupBy("l_orderkey", "piece").agg(F.min("l_linenumber").alias("low"), F.max("l_linenumber").alias("high"))
 
 
-_K = r"regexp_replace(lower(value), '[^\p{L}\p{N}]+', '', 'g')"
-
-
 @query("q_C03_loose_clusters", f"""WITH RECURSIVE c AS (SELECT value, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN p_name || 's' WHEN p_partkey % 7 = 0 THEN replace(p_name, 'e', 'ee') ELSE p_name END AS value FROM part) GROUP BY 1),
-v AS (SELECT value, {_K} AS k, CASE WHEN len({_K}) < 5 THEN 0 WHEN len({_K}) < 10 THEN 1 ELSE 2 END AS m FROM c),
-e AS (SELECT a.value AS a, b.value AS b FROM v a JOIN v b ON a.value <> b.value AND abs(len(a.k) - len(b.k)) <= 2 WHERE a.k <> b.k AND levenshtein(a.k, b.k) <= least(a.m, b.m)
-AND len(list_intersect(list_transform(range(1, greatest(len(a.k) - 3, 1) + 1), lambda i: substr(a.k, i, 4)), list_transform(range(1, greatest(len(b.k) - 3, 1) + 1), lambda i: substr(b.k, i, 4)))) > 0),
-r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
-g AS (SELECT x, min(y) AS cluster FROM r GROUP BY 1)
-SELECT cluster, string_agg(value, '|' ORDER BY value) AS members, sum(n)::BIGINT AS total, arg_min(value, (-n, value)) AS suggested FROM g JOIN c ON c.value = g.x GROUP BY 1""")
+{_NEAR}, d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS x, a AS y FROM d UNION SELECT r.x, d.b FROM r JOIN d ON r.y = d.a),
+g AS (SELECT x, min(y) AS cluster FROM r GROUP BY 1),
+f AS (SELECT cluster, sum(n)::BIGINT AS total, max(n) AS top, arg_min(value, (-n, value)) AS suggested FROM g JOIN c ON c.value = g.x GROUP BY 1)
+SELECT cluster, suggested, total, (total - top)::BIGINT AS rows_affected, value, n AS count FROM f JOIN g USING (cluster) JOIN c ON c.value = g.x""")
 def loose(spark, sf_dir):
     key = F.col("p_partkey")
     value = F.when(key % 9 == 0, F.concat("p_name", F.lit("s"))).when(key % 7 == 0, F.replace("p_name", F.lit("e"), F.lit("ee"))).otherwise(F.col("p_name"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import dates, numbers
 from plumbline.functions import text as t
-from plumbline.operators import sequences, tally
+from plumbline.operators import clean, sequences, tally
 from plumbline.plans.base import DIRTIED, S, dirtied, query, quote, sql_scrub, sql_trim, table
 
 # ---- dates
@@ -37,13 +37,10 @@ def normalise_dates(spark, sf_dir):
     return _dated(spark, sf_dir).select("o_orderkey", dates.normalise(F.col("v"), "dmy").alias("iso"), us.alias("us"))
 
 
-@query("q_A11_date_votes", f"SELECT count(*)::BIGINT AS \"values\", count(*) FILTER (kind <> 'not-a-date')::BIGINT AS dates, count(*) FILTER (o = 'dmy')::BIGINT AS dmy, count(*) FILTER (o = 'mdy')::BIGINT AS mdy, count(*) FILTER (kind = 'ambiguous')::BIGINT AS ambiguous FROM (SELECT {_KIND_SQL} AS kind, {_ORDER_SQL} AS o FROM orders)")
+@query("q_A11_date_votes", f"SELECT count(*)::BIGINT AS \"values\", count(*) FILTER (kind <> 'not-a-date')::BIGINT AS dates, count(*) FILTER (o = 'dmy')::BIGINT AS dmy, count(*) FILTER (o = 'mdy')::BIGINT AS mdy, count(*) FILTER (kind = 'ambiguous')::BIGINT AS ambiguous, 'ask' AS status, NULL::VARCHAR AS \"order\" FROM (SELECT {_KIND_SQL} AS kind, {_ORDER_SQL} AS o FROM orders)")
 def date_votes(spark, sf_dir):
-    i = _dated(spark, sf_dir).select(dates.inspect(F.col("v")).alias("i"))
-    return i.agg(
-        F.count("i").alias("values"), F.count_if(F.col("i.kind") != "not-a-date").alias("dates"), F.count_if(F.coalesce(F.col("i.order") == "dmy", F.lit(False))).alias("dmy"),
-        F.count_if(F.coalesce(F.col("i.order") == "mdy", F.lit(False))).alias("mdy"), F.count_if(F.col("i.kind") == "ambiguous").alias("ambiguous"),
-    )
+    rows = _dated(spark, sf_dir).select(F.col("o_orderkey").alias("_row"), "v")
+    return clean.date_votes(rows, ["v"]).select("values", "dates", "dmy", "mdy", "ambiguous", "status", "order")
 
 
 @query("q_D10_serial", "SELECT o_orderkey, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 25569)::INT AS serial FROM orders")
@@ -124,26 +121,42 @@ def checked(spark, sf_dir):
     return tally.checks(tally.cells(rows, "doc_id", ["text", "source", "code"]))
 
 
-_SPELT = "CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) WHEN 2 THEN concat(p_type, ' ', p_brand) WHEN 3 THEN concat(p_brand, ', ', p_type) ELSE concat(p_type, '-', p_brand) END"
-_WS = r"list_filter(string_split_regex(lower(value), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+#: Spellings, and the amounts that each form states.
+_SPELT = (
+    ("p_type", "''"), ("lower(p_type)", "''"), ("concat(p_type, ' ', p_brand)", "substr(p_brand, 7)"), ("concat(p_brand, ', ', p_type)", "substr(p_brand, 7)"), ("concat(p_type, '-', p_brand)", "substr(p_brand, 7)"),
+    ("concat('Caf\u00e9  ', p_size)", "p_size"), ("concat('cafe ', p_size, '%')", "concat(p_size, '%')"), ("concat('Caf\u00e9 -', p_size)", "concat('-', p_size)"), ("concat('cafe (', p_size, ')')", "concat('(', p_size, ')')"),
+    ("concat('CAFE ', p_size)", "p_size"), ("concat(p_size, ' %, caf\u00e9')", "concat('%|', p_size)"), ("concat('caf\u00e9 - ', p_size)", "concat('-', p_size)"), ("concat('$ ', p_size, ',500.25 + 3 cafe')", "concat('$', p_size, ',500.25|+3')"),
+)
+_SPELLING = "CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN {form}" for k, (form, _) in enumerate(_SPELT)) + " END"
+_SIGNED = "CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN {amounts}::VARCHAR" for k, (_, amounts) in enumerate(_SPELT)) + " END"
+_WS = r"list_filter(string_split_regex(strip_accents(lower(value)), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
-@query("q_C01_clusters", f"""WITH c AS (SELECT {_SPELT} AS value, count(*) AS n FROM part GROUP BY 1), k AS (SELECT value, n, array_to_string(list_sort({_WS}), ' ') AS key, array_to_string({_WS}, ' ') AS ordered FROM c),
-s AS (SELECT ordered AS cluster, count(*) AS m, string_agg(value || '=' || n, '|' ORDER BY n DESC, value) AS members, sum(n)::BIGINT AS total, arg_min(value, (-n, value)) AS suggested, max(n) AS top, count(DISTINCT trim(regexp_replace(value, '\\s+', ' ', 'g'))) AS sp, count(DISTINCT trim(regexp_replace(lower(value), '\\s+', ' ', 'g'))) AS ca FROM k GROUP BY 1),
-o AS (SELECT key AS cluster, count(*) AS m, string_agg(value || '=' || n, '|' ORDER BY n DESC, value) AS members, sum(n)::BIGINT AS total, arg_min(value, (-n, value)) AS suggested, max(n) AS top FROM k GROUP BY 1 HAVING count(DISTINCT ordered) > 1)
-SELECT cluster, members, total, suggested, CASE WHEN sp = 1 THEN 'whitespace' WHEN ca = 1 THEN 'case' ELSE 'punctuation' END AS reason, (total - top)::BIGINT AS rows_affected FROM s WHERE m > 1 UNION ALL SELECT cluster, members, total, suggested, 'word-order', (total - top)::BIGINT FROM o WHERE m > 1""")
+@query("q_C06_F29_amount_signature", f"SELECT p_partkey, {_SPELLING} AS value, CASE WHEN p_partkey % 13 = 12 THEN '$' || p_size || ',500.25|+3' WHEN p_partkey % 13 = 10 THEN '%|' || p_size ELSE {_SIGNED} END AS amounts FROM part".replace("'$' || p_size || ',500.25|+3'", "list_aggregate(list_sort(['$' || p_size || ',500.25', '+3']), 'string_agg', '|')").replace("'%|' || p_size", "list_aggregate(list_sort(['%', p_size::VARCHAR]), 'string_agg', '|')"))
+def signatures(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_SPELLING).alias("value")).withColumn("amounts", t.amount_signature(F.col("value")))
+
+
+@query("q_C01_clusters", f"""WITH c AS (SELECT {_SPELLING} AS value, {_SIGNED} AS amounts, count(*) AS n FROM part GROUP BY 1, 2), k AS (SELECT value, amounts, n, array_to_string(list_sort({_WS}), ' ') AS key, array_to_string({_WS}, ' ') AS ordered, lower(value) AS low, trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) AS sq FROM c),
+s AS (SELECT *, ordered || CASE WHEN min(amounts) OVER w <> max(amounts) OVER w THEN '#' || amounts ELSE '' END AS cluster FROM k WINDOW w AS (PARTITION BY ordered)),
+o AS (SELECT *, key || CASE WHEN min(amounts) OVER w <> max(amounts) OVER w THEN '#' || amounts ELSE '' END AS cluster FROM k WINDOW w AS (PARTITION BY key)),
+sf AS (SELECT cluster, sum(n)::BIGINT AS total, arg_min(value, (-n, value)) AS suggested, max(n) AS top, CASE WHEN count(DISTINCT low) = 1 THEN 'case' WHEN count(DISTINCT sq) = 1 THEN 'whitespace' WHEN count(DISTINCT strip_accents(sq)) = 1 THEN 'accents' ELSE 'punctuation' END AS reason FROM s GROUP BY cluster, ordered, amounts HAVING count(*) > 1),
+wf AS (SELECT cluster, sum(n)::BIGINT AS total, arg_min(value, (-n, value)) AS suggested, max(n) AS top, 'word-order' AS reason FROM o GROUP BY cluster, key, amounts HAVING count(DISTINCT ordered) > 1)
+SELECT cluster, reason, suggested, total, (total - top)::BIGINT AS rows_affected, value, n AS count FROM sf JOIN s USING (cluster) UNION ALL SELECT cluster, reason, suggested, total, (total - top)::BIGINT, value, n FROM wf JOIN o USING (cluster)""")
 def clustered(spark, sf_dir):
-    counts = table(spark, sf_dir, "part").groupBy(F.expr(_SPELT).alias("value")).agg(F.count("*").alias("count"))
+    counts = table(spark, sf_dir, "part").groupBy(F.expr(_SPELLING).alias("value")).agg(F.count("*").alias("count"))
     return tally.clusters(counts)
 
 
-@query("q_J05_near_spellings", r"""WITH v AS (SELECT DISTINCT p_name AS v, regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '', 'g') AS k FROM part UNION SELECT DISTINCT p_name || 's', regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '', 'g') || 's' FROM part),
-d AS (SELECT *, CASE WHEN len(k) < 5 THEN 0 WHEN len(k) < 10 THEN 1 ELSE 2 END AS m FROM v WHERE k <> '')
-SELECT a.v AS a, b.v AS b, levenshtein(a.k, b.k)::INT AS distance FROM d a JOIN d b ON a.v < b.v AND abs(len(a.k) - len(b.k)) <= 2 WHERE levenshtein(a.k, b.k) <= least(a.m, b.m) AND regexp_replace(a.k, '\d+', '', 'g') <> regexp_replace(b.k, '\d+', '', 'g')
-AND len(list_intersect(list_transform(range(1, greatest(len(a.k) - 3, 1) + 1), lambda i: substr(a.k, i, 4)), list_transform(range(1, greatest(len(b.k) - 3, 1) + 1), lambda i: substr(b.k, i, 4)))) > 0""")
+_NEAR = r"""v AS (SELECT *, regexp_replace(s, '[^\p{L}\p{N}]+', '', 'g') AS k, CASE WHEN len(s) < 5 THEN 0 WHEN len(s) < 10 THEN 1 ELSE 2 END AS m FROM (SELECT value AS v, trim(regexp_replace(lower(value), '\s+', ' ', 'g')) AS s FROM c)),
+e AS (SELECT a.v AS a, b.v AS b, levenshtein(a.s, b.s)::INT AS distance FROM v a JOIN v b ON a.v < b.v AND abs(len(a.k) - len(b.k)) <= 2 WHERE len(a.k) >= 4 AND len(b.k) >= 4 AND levenshtein(a.s, b.s) <= least(a.m, b.m) AND regexp_replace(a.s, '\d+', '', 'g') <> regexp_replace(b.s, '\d+', '', 'g')
+AND len(list_intersect(list_transform(range(1, len(a.k) - 2), lambda i: substr(a.k, i, 4)), list_transform(range(1, len(b.k) - 2), lambda i: substr(b.k, i, 4)))) > 0)"""
+
+
+@query("q_J05_near_spellings", f"WITH c AS (SELECT DISTINCT p_name AS value FROM part UNION SELECT DISTINCT p_name || 's' FROM part UNION SELECT replace(p_name, ' ', '') FROM part), {_NEAR} SELECT a, b, distance FROM e")
 def near(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    return tally.near_spellings(names.union(names.select(F.concat("p_name", F.lit("s")))), "p_name")
+    return tally.near_spellings(names.union(names.select(F.concat("p_name", F.lit("s")))).union(names.select(F.replace("p_name", F.lit(" "), F.lit("")))), "p_name")
 
 
 # ---- sequences

@@ -85,7 +85,7 @@ def merges(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", t.merge_spellings(F.col("c_mktsegment"), plan).alias("out"))
 
 
-_WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_WORDS = r"list_filter(string_split_regex(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
 @query("q_F25_F26_fingerprint", f"SELECT doc_id, array_to_string(list_sort(list_distinct(ws)), ' ') AS fingerprint, array_to_string(list_sort(ws), ' ') AS word_key, array_to_string(ws, ' ') AS ordered FROM (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents)")
@@ -94,9 +94,15 @@ def fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.fingerprint(c).alias("fingerprint"), t.word_key(c).alias("word_key"), t.ordered_key(c).alias("ordered"))
 
 
-@query("q_F27_ngram_fingerprint", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(len(b) - 2, 1) + 1), lambda i: substr(b, i, 3)))), '') AS out FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '', 'g') AS b FROM part)")
+@query("q_F27_ngram_fingerprint", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(len(b) - 2, 1) + 1), lambda i: substr(b, i, 3)))), '') AS out FROM (SELECT p_partkey, regexp_replace(lower(strip_accents(replace(p_name, 'e', chr(233)))), '[^\p{L}\p{N}]+', '', 'g') AS b FROM part)")
 def ngrams(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", t.ngram_fingerprint(F.col("p_name")).alias("out"))
+    folded = table(spark, sf_dir, "part").select("p_partkey", t.fold_accents(F.replace("p_name", F.lit("e"), F.lit("\u00e9"))).alias("folded"))
+    return folded.select("p_partkey", t.ngram_fingerprint(F.col("folded")).alias("out"))
+
+
+@query("q_F23_fold_accents", "SELECT doc_id, strip_accents(text) AS out FROM documents")
+def folded(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.fold_accents(F.col("text")).alias("out"))
 
 
 @query("q_F35_base64", "SELECT doc_id, to_base64(text::BLOB) AS out, regexp_replace(translate(to_base64(text::BLOB), '+/', '-_'), '=+$', '') AS url_safe, text AS back FROM (SELECT doc_id, encode(text) AS text0, text FROM documents)".replace("text::BLOB", "text0"))
@@ -117,9 +123,13 @@ def escapes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.html_escape(F.col("text")).alias("out"))
 
 
-@query("q_F41_html_unescape", "SELECT page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&') AS out FROM pages")
+_NAMES, _CHARS = list(t.NAMED), list(t.NAMED.values())
+_REFERENCE = "concat('&', element_at(array({}), cast(page_id % {} + 1 as int)), ';&#', cast(192 + page_id % 60 as string), ';&#x1F600;&bogus;')".format(", ".join(map(quote, _NAMES)), len(_NAMES))
+
+
+@query("q_F41_html_unescape", "SELECT page_id, replace(replace(replace(replace(html, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '\"'), '&amp;', '&') || ([{}])[page_id % {} + 1] || chr((192 + page_id % 60)::INT) || '\U0001F600&bogus;' || chr(1) || 'x' AS out FROM pages".format(", ".join(map(quote, _CHARS)), len(_CHARS)))
 def unescapes(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", t.html_unescape(F.col("html")).alias("out"))
+    return table(spark, sf_dir, "pages").select("page_id", t.html_unescape(F.concat("html", F.expr(_REFERENCE), F.lit("\x01x"))).alias("out"))
 
 
 @query("q_A47_A48_count_text", f"""SELECT doc_id, len(text)::BIGINT AS characters, len(regexp_replace(text, '[{S}]', '', 'g'))::BIGINT AS characters_no_spaces, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}''’]+'))::BIGINT AS words,
