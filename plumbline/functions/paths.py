@@ -101,4 +101,16 @@ def json_fault(text: str) -> tuple[int, int, str] | None:
         return e.lineno, e.colno, e.msg
     except RecursionError:
         return 1, 1, "nested too deeply"
+    except ValueError as e:  # a number of more digits than Python reads
+        return 1, 1, str(e).partition(";")[0]
     return None
+
+
+def fault_text(fault: tuple[int, int, str] | None) -> str:
+    """A fault as a sentence's end: what, and where."""
+    return "" if fault is None else f"{fault[2]} (line {fault[0]}, column {fault[1]})"
+
+
+def ends_with_index(path: str) -> bool:
+    """True if a path's last segment is a place in a list."""
+    return isinstance(split_path(path)[-1], int)

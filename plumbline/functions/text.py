@@ -564,3 +564,99 @@ def line_and_column(text: Column, offset: Column) -> Column:
     """line and column, from 1, of an offset from 0."""
     before = F.substring(text, F.lit(1), offset)
     return F.struct((F.regexp_count(before, F.lit("\n")) + 1).cast("long").alias("line"), (F.length(F.regexp_extract(before, r"([^\n]*)\z", 1)) + 1).cast("long").alias("column"))
+
+
+# ---- pages, formats, notes
+
+#: Dashes and separators that people paste into ranges of pages.
+RANGE_DASHES, RANGE_MARKS = "‐‑‒–—―−﹘﹣－", ";，、；"
+
+
+def parsed_pages(c: Column, pages: Column) -> Column:
+    """pages (sorted, distinct) and fault (no-pages, no-numbers, below-1, beyond, unreadable; null if it can be read) of text like 9-4, 2, 11-."""
+    plain = js_trim(F.translate(F.translate(c, RANGE_DASHES, "-" * len(RANGE_DASHES)), RANGE_MARKS, "," * len(RANGE_MARKS)))
+    tokens = F.filter(F.transform(F.split(plain, ","), js_trim), lambda x: x != "")
+
+    def read(token: Column) -> Column:
+        low, high = F.regexp_extract(token, r"^([0-9]*)\s*-", 1), F.regexp_extract(token, r"-\s*([0-9]*)$", 1)
+        ranged, single = token.rlike(r"^[0-9]*\s*-\s*[0-9]*$"), token.rlike("^[0-9]+$")
+        number = lambda x, empty: F.when(x == "", empty).otherwise(F.coalesce(x.try_cast("long"), F.lit(1 << 62)))
+        a = F.when(ranged, number(low, F.lit(1))).when(single, number(token, F.lit(0)))
+        b = F.when(ranged, number(high, pages)).when(single, number(token, F.lit(0)))
+        fault = (
+            F.when(~ranged & ~single, "unreadable").when(ranged & (low == "") & (high == ""), "no-numbers").when(F.least(a, b) < 1, "below-1").when(F.greatest(a, b) > pages, "beyond")
+        )
+        return F.struct(fault.alias("fault"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+    def told(parts: Column) -> Column:
+        fault = F.get(F.filter(F.transform(parts, lambda p: p["fault"]), lambda f: f.isNotNull()), F.lit(0))
+        fault = F.when((F.size(parts) > 0) & (pages <= 0), "no-pages").otherwise(fault)
+        numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(p["low"], p["high"])))))
+        return F.struct(F.when(fault.isNull(), numbers).alias("pages"), fault.alias("fault"))
+
+    return F.transform(F.array(F.transform(tokens, read)), told)[0]
+
+
+def page_ranges(pages: Column) -> Column:
+    """Sorted distinct whole numbers as 1-3, 7."""
+    start = F.expr("cast(array() as array<struct<low:bigint,high:bigint>>)")
+
+    def put(out: Column, p: Column) -> Column:
+        last = F.element_at(out, -1)
+        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["low"].alias("low"), p.alias("high"))))
+        return F.when(F.size(out) == 0, F.array(F.struct(p.alias("low"), p.alias("high")))).when(last["high"] + 1 == p, grown).otherwise(F.concat(out, F.array(F.struct(p.alias("low"), p.alias("high")))))
+
+    one = lambda r: F.when(r["low"] == r["high"], r["low"].cast("string")).otherwise(F.concat_ws("-", r["low"].cast("string"), r["high"].cast("string")))
+    return F.array_join(F.transform(F.aggregate(F.transform(pages, lambda p: p.cast("long")), start, put), one), ", ")
+
+
+def lone_header(c: Column) -> Column:
+    """A column's name by itself: short, without white space."""
+    return (c != "") & (F.length(c) <= 64) & ~c.rlike(f"[{SPACE}]")
+
+
+def sample_lines(c: Column, most: int) -> Column:
+    """The whole lines at the start of a text, up to so many characters."""
+    head = F.substring(c, 1, most)
+    kept = F.when(head.contains("\n"), F.regexp_replace(head, "[^\n]*$", "")).otherwise(head)
+    return F.when(F.length(c) <= most, c).otherwise(kept)
+
+
+def hinted_format(extension_: Column) -> Column:
+    known = {"json": "json", "csv": "csv", "tsv": "csv", "tab": "csv", "yaml": "yaml", "yml": "yaml"}
+    return F.coalesce(*[F.when(F.lower(extension_) == e, f) for e, f in known.items()])
+
+
+def merged_lists(a: Column, b: Column) -> Column:
+    """Both lists, in order, without repeats."""
+    return F.array_distinct(F.concat(a, b))
+
+
+def counter_text(n: Column, form: Column) -> Column:
+    """A list's counter in a form: decimal, decimalZero, lowerLetter, upperLetter, lowerRoman, upperRoman, none."""
+    from plumbline.functions.numbers import letters, roman
+
+    plain = n.cast("string")
+    low_roman, low_letters = F.coalesce(roman(n), plain), F.when(n > 0, letters(n)).otherwise("")
+    return (
+        F.when(form == "decimalZero", F.when(n < 10, F.concat(F.lit("0"), plain)).otherwise(plain)).when(form == "lowerLetter", low_letters).when(form == "upperLetter", F.upper(low_letters))
+        .when(form == "lowerRoman", low_roman).when(form == "upperRoman", F.upper(low_roman)).when(form == "none", "").otherwise(plain)
+    )
+
+
+def document_title(c: Column, fallback: str = "Document") -> Column:
+    """The first top heading of a Markdown text, of either form, outside fences."""
+    lines = F.split(c, r"\r?\n", -1)
+    start = F.struct(F.lit("").alias("fence"), F.lit(None).cast("string").alias("title"))
+
+    def step(s: Column, i: Column) -> Column:
+        line, below = F.get(lines, i), F.get(lines, i + 1)
+        mark = F.substring(F.regexp_extract(line, r"^\s{0,3}(`{3,}|~{3,})", 1), 1, 1)
+        fence = F.when(mark == "", s["fence"]).when(s["fence"] == "", mark).when(s["fence"] == mark, "").otherwise(s["fence"])
+        above = (js_trim(line) != "") & F.coalesce(below.rlike(r"^\s{0,3}={2,}\s*$"), F.lit(False))
+        own = F.when(line.rlike(r"^\s{0,3}#\s+\S"), heading_text(F.regexp_extract(line, r"^\s{0,3}#\s+(.+?)\s*#*\s*$", 1)))
+        found = F.coalesce(F.when(own != "", own), F.when(above, F.nullif(heading_text(line), F.lit(""))))
+        free = (mark == "") & (s["fence"] == "") & s["title"].isNull()
+        return F.struct(fence.alias("fence"), F.when(free, found).otherwise(s["title"]).alias("title"))
+
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda s: s["title"]), F.lit(fallback))

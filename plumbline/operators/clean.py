@@ -9,7 +9,7 @@ derived from these two. Only the options and the votes on date columns, one row
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +62,8 @@ class Cleaned:
     stats: DataFrame
     names: dict[str, str]
     date_orders: dict[str, str]
+    #: _row and the kept columns of all rows but preamble, header and footer, removed or not
+    every: DataFrame
 
 
 def scrub_steps(column: str, o: CleanOptions) -> list[tuple[str, object]]:
@@ -192,7 +194,7 @@ def clean(rows: DataFrame, options: CleanOptions | None = None, folder: str | No
     values = full.select(ROW, *[F.col(c)["value"].alias(f"_v{i}") for i, c in enumerate(kept_columns)])
     twins = sequences.duplicates(values, ROW, sequences.row_digest([f"_v{i}" for i in range(len(kept_columns))]))
     twins = settled(twins if o.dedupe else twins.limit(0), folder, "duplicates")
-    named = headers.standardise([header[columns.index(c)] for c in kept_columns], o.standardise_headers, o.lowercase_headers, o.snake_case_headers)
+    named = headers.standardise([header[columns.index(c)] for c in kept_columns], o.standardise_headers, o.lowercase_headers, o.snake_case_headers) if o.header_row is not None else headers.Headers(kept_columns)
     names = dict(zip(kept_columns, named.names, strict=True)) if o.header_row is not None else {c: c for c in kept_columns}
     stays = full.join(twins, ROW, "left_anti")
     out = stays.select(ROW, *[F.col(c)["value"].alias(names[c]) for c in kept_columns])
@@ -204,7 +206,25 @@ def clean(rows: DataFrame, options: CleanOptions | None = None, folder: str | No
     )
     changes = stays.select(ROW, F.explode(changed).alias("c")).select(ROW, "c.*").where("before <> after")
     stats = _stats(tidy, body, twins, changes, kept_columns, named, orders)
-    return Cleaned(out, removed, changes, stats, names, orders)
+    every = body.select(ROW, *[dated(c) for c in kept_columns]).select(ROW, *[F.col(c)["value"].alias(names[c]) for c in kept_columns])
+    return Cleaned(out, removed, changes, stats, names, orders, every)
+
+
+#: What a row was removed for that it can be taken back from.
+RESCUABLE = ("blank", "index-only", "duplicate")
+
+
+def rescued(cleaned: Cleaned, wanted: DataFrame) -> Cleaned:
+    """cleaned with some removed rows (_row) taken back, if their reason allows it."""
+    back = cleaned.removed.where(F.col("reason").isin(*RESCUABLE)).join(wanted.select(ROW), ROW, "left_semi").select(ROW)
+    rows = cleaned.rows.unionByName(cleaned.every.join(back, ROW, "left_semi"))
+    return replace(cleaned, rows=rows, removed=cleaned.removed.join(back, ROW, "left_anti"))
+
+
+def changed_nothing(stats: DataFrame) -> DataFrame:
+    """unchanged: true if no counter of the stats tells of a change."""
+    told = [c for c in stats.columns if c not in ("source_rows", "rows_after", "header_rows", "date_columns")]
+    return stats.select(reduce(lambda a, b: a & b, [F.col(c) == 0 for c in told]).alias("unchanged"))
 
 
 def t_blank(name: str) -> bool:

@@ -52,6 +52,15 @@ def essence(name: str) -> str:
     return re.sub(rf"[{_SPACE}_-]+", "", name.removeprefix("﻿").lower())
 
 
+def same_names(names: list[str]) -> list[list[str]]:
+    """Groups of names that differ in case, spaces, underscores and hyphens only; blank ones never clash."""
+    groups: dict[str, list[str]] = defaultdict(list)
+    for name in names:
+        if _trimmed(name):
+            groups[essence(_trimmed(name))].append(_trimmed(name))
+    return [g for g in groups.values() if len(g) > 1]
+
+
 def _trimmed(name: str) -> str:
     return re.sub(rf"^[{_SPACE}]+|[{_SPACE}]+$", "", name)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import minor_units
+from plumbline.functions.numbers import amount, minor_units
 
 
 def row_digest(by: Sequence[str]) -> Column:
@@ -45,6 +45,38 @@ def reconciled(rows: DataFrame, account: list[str], row: str, delta: Column, bal
     return rows.withColumn("tested", tested).withColumn("broken", F.coalesce(tested & (before + change != here), F.lit(False)))
 
 
+#: The share of rows with an amount that must have a balance, and of breaks beyond which a column is no balance.
+COVERED, BROKEN = 0.8, 0.2
+
+
+def balance_shapes(rows: DataFrame, sheet: list[str], row: str, balance: str, left: list[str], decimals: int = 2) -> DataFrame:
+    """sheet, shape, transitions, breaks: how a sheet's last money column is best read as a running balance of the numbers left of it.
+
+    debit-credit takes the last two columns, signed the last one; the shape with fewer breaks wins, debit-credit on a tie. Cells are
+    texts: an empty one adds nothing, an unreadable one leaves its row untested. Sheets with too few balances have no row.
+    """
+    value = lambda c: amount(F.col(c))["value"]
+    read = rows.select(*sheet, row, value(balance).alias("_b"), *[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", 0.0).otherwise(value(c)).alias(f"_v{i}") for i, c in enumerate(left)], *[value(c).alias(f"_n{i}") for i, c in enumerate(left)])
+    last = len(left) - 1
+    deltas = {"signed": F.col(f"_v{last}")} if last >= 0 else {}
+    if last >= 1:
+        deltas = {"debit-credit": F.abs(F.col(f"_v{last}")) - F.abs(F.col(f"_v{last - 1}")), **deltas}
+    some = F.greatest(F.lit(False), F.col("_b").isNotNull(), *[F.col(f"_n{i}").isNotNull() for i in range(len(left))])
+    covered = read.groupBy(*sheet).agg(F.count_if(some).alias("_a"), F.count_if(F.col("_b").isNotNull()).alias("_c")).where((F.col("_a") > 0) & (F.col("_c") >= COVERED * F.col("_a"))).select(*sheet)
+    told = None
+    for k, (shape, delta) in enumerate(deltas.items()):
+        by = reconciled(read, sheet, row, delta, F.col("_b"), decimals).groupBy(*sheet).agg(F.count_if("tested").alias("transitions"), F.count_if("broken").alias("breaks"))
+        one = by.select(*sheet, F.struct((F.col("transitions") == 0).alias("idle"), "breaks", F.lit(k).alias("k"), F.lit(shape).alias("shape"), "transitions").alias("_s"))
+        told = one if told is None else told.unionByName(one)
+    best = told.groupBy(*sheet).agg(F.min("_s").alias("_s")).join(covered, sheet)
+    return best.select(*sheet, "_s.shape", "_s.transitions", "_s.breaks")
+
+
+def balance_usable(shapes: DataFrame) -> DataFrame:
+    """shapes with usable: tested at all, and at most a fifth of the steps broken; only then are broken rows told."""
+    return shapes.withColumn("usable", (F.col("transitions") > 0) & (F.col("breaks") <= BROKEN * F.col("transitions")))
+
+
 def running_totals(rows: DataFrame, group: list[str], row: str, value: Column) -> DataFrame:
     """rows with total_before (of the rows above) and is_total: this value repeats that sum.
 

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers
+from plumbline.operators import tally
 
-#: Rows looked at, margins, and what each sign of a header weighs.
+#: Rows looked at, margins, and what each sign of a header weighs; the last four count against it.
 SCANNED, BODY, TAIL, INDEX_ROWS = 20, 20, 5, 50
 CLOSE, MOVE, TYPICAL = 0.4, 0.5, 2.2
-WEIGHTS = {"filled": 1.0, "labels": 1.2, "distinct": 0.6, "short": 0.4, "contrast": 1.5, "repeats": -1.0, "narrower": -1.2, "title": -1.0}
-DEEPER = 0.03
+WEIGHT = {"filled": 1.0, "label": 1.2, "distinct": 0.6, "short": 0.4, "contrast": 1.5, "repeats": 1.0, "narrower": 1.2, "title": 1.0, "depth": 0.03}
+AGAINST = ("repeats", "narrower", "title", "depth")
 #: How numbers, times, codes, totals and nameless columns look.
 NUMBER = re.compile(r"[-+(]?\s*[£$€¥]?\s*(?:\d{1,3}(?:[ .,]\d{3})+|\d+)(?:[.,]\d+)?\s*[)%]?")
 TIME = re.compile(r"\d{1,2}:\d{2}(?::\d{2})?(?:\s?[ap]\.?m\.?)?", re.I)
@@ -67,11 +68,11 @@ def row_score(rows: Sequence[Sequence[str]], at: int) -> float:
         if kinds:  # text above a column that isn't
             settled.append(kind(v) == "text" and sum(k != "text" for k in kinds) >= 0.6 * len(kinds))
     signs = {
-        "filled": full, "labels": share(sum(is_label(v) for _, v in filled)), "distinct": share(len({v.lower() for _, v in filled})), "short": share(sum(len(v) <= 40 for _, v in filled)),
+        "filled": full, "label": share(sum(is_label(v) for _, v in filled)), "distinct": share(len({v.lower() for _, v in filled})), "short": share(sum(len(v) <= 40 for _, v in filled)),
         "contrast": sum(settled) / len(settled) if settled else 0.0, "repeats": share(sum(any(r[c].lower() == v.lower() for r in rows[at + 1 :]) for c, v in filled)),
         "narrower": max(0.0, below - full), "title": float(len(filled) == 1 and width >= 3),
     }
-    return sum(WEIGHTS[k] * v for k, v in signs.items())
+    return sum((-1 if k in AGAINST else 1) * WEIGHT[k] * v for k, v in signs.items())
 
 
 def reads_as_names(row: Sequence[str]) -> bool:
@@ -106,7 +107,7 @@ def header(rows: Sequence[Sequence[str]]) -> tuple[int | None, str, dict[int, fl
     if not rows:
         return None, "low", {}
     raw = {r: row_score(rows, r) for r in range(min(len(rows), SCANNED))}
-    scores = {r: s - DEEPER * r for r, s in raw.items()}
+    scores = {r: s - WEIGHT["depth"] * r for r, s in raw.items()}
     best = max(scores, key=lambda r: (scores[r], -r))
     if best and reads_as_names(rows[0]) and scores[best] - scores[0] < MOVE:
         best = 0
@@ -122,20 +123,18 @@ def header(rows: Sequence[Sequence[str]]) -> tuple[int | None, str, dict[int, fl
 
 def _adding_up(sheet: DataFrame, columns: list[str], start: int, rows: list[int]) -> set[tuple[int, int]]:
     """(row, column) where a cell is the sum of those above it, at least two and not all zero, none of them unreadable."""
-    number = {c: numbers.spreadsheet_number(F.col(c)) for c in columns}
-    asked = []
-    for r in rows:
-        above = (F.col("_row") >= start) & (F.col("_row") < r)
-        for c in columns:
-            blank = F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-            total, own = F.sum(F.when(above, number[c])), F.max(F.when(F.col("_row") == r, number[c]))
-            close = F.abs(own - total) <= F.greatest(F.lit(0.01), F.abs(total) * 1e-9)
-            usable = (F.count_if(above & ~blank) >= 2) & (F.count_if(above & ~blank & number[c].isNull()) == 0) & (F.max(F.when(above, F.abs(number[c]))) > 0)
-            asked.append((close & usable).alias(f"{r}_{columns.index(c)}"))
-    if not asked:
+    if not rows or not columns:
         return set()
-    found = sheet.agg(*asked).first().asDict()  # one row
-    return {tuple(map(int, k.split("_"))) for k, v in found.items() if v}
+    long = tally.cells(sheet, "_row", columns).where(F.trim(F.coalesce("value", F.lit(""))) != "").select("row", "name", numbers.spreadsheet_number(F.col("value")).alias("n"))
+    asked = F.explode(F.array(*[F.lit(r) for r in rows]))
+    each = long.where(F.col("row") >= start).withColumn("asked", asked).where(F.col("row") <= F.col("asked"))
+    above = F.col("row") < F.col("asked")
+    by = each.groupBy("asked", "name").agg(
+        F.sum(F.when(above, F.col("n"))).alias("total"), F.max(F.when(~above, F.col("n"))).alias("own"), F.count_if(above).alias("filled"), F.count_if(above & F.col("n").isNull()).alias("unread"),
+        F.max(F.when(above, F.abs("n"))).alias("most"),
+    )
+    found = by.where((F.col("filled") >= 2) & (F.col("unread") == 0) & (F.col("most") > 0) & numbers.sums_match(F.col("own"), F.col("total"))).select("asked", "name").collect()  # a few rows
+    return {(r["asked"], columns.index(r["name"])) for r in found}
 
 
 def analyse(sheet: DataFrame) -> Structure:

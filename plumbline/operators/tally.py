@@ -27,6 +27,17 @@ def tally(values: DataFrame, value: str, row: str) -> DataFrame:
     return values.where(~t.is_blank(F.coalesce(F.col(value), F.lit("")))).groupBy(value).agg(F.count(value).alias("count"), F.min(row).alias("first_row"))
 
 
+def entries_within(counts: DataFrame, most: int) -> DataFrame:
+    """value, count, first_row of the commonest values, the earlier first; all of them if there are no more than `most`."""
+    return counts.orderBy(F.desc("count"), "first_row").limit(most)
+
+
+def scanned(rows: DataFrame, row: str, start: int, most: int) -> DataFrame:
+    """The rows that a report with a bound reads, with sampled: whether there are more."""
+    more = rows.agg((F.coalesce(F.max(row), F.lit(-1)) >= start + most).alias("sampled"))  # one row
+    return rows.where((F.col(row) >= start) & (F.col(row) < start + most)).crossJoin(more)
+
+
 def assess(long: DataFrame) -> DataFrame:
     """name, values, distinct_values, ratio, reason of each column: null reason if its values are worth clustering.
 

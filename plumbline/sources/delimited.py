@@ -1,7 +1,9 @@
 """Delimited files of unknown encoding and separator, and writing them safely.
 
-Sniffing reads the first 64 KiB of a file. `read_grid` numbers rows as they stand in the file, which needs
-one task a file; `read_large` lets Spark split a file whose form is known.
+Sniffing reads the first 64 KiB of a file. `read_rows` lets Spark split large UTF-8 files and still numbers rows as they stand in
+the file: a block's rows have consecutive ids, so a row's place is the count of the blocks before it and its place in the block.
+`read_grid` parses whole files, one task each, for other encodings and values that hold line ends; `read_large` lets Spark split a
+file whose form is known, without places.
 """
 
 from __future__ import annotations
@@ -9,22 +11,29 @@ from __future__ import annotations
 import codecs
 import csv
 import io
-import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import needs_formula_escape
+from plumbline.session import scratch, settled
 
 SNIFF = 64 * 1024
 #: Marks at a file's start, encodings tried without one, separators tried.
 MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
-ENCODINGS = ("cp1252", "iso-8859-15", "cp1250", "cp1251", "mac-roman")
-SEPARATORS = (",", "\t", ";", "|", ":")
+#: Encodings tried without a mark, by how likely they are before any text is read; separators and their order.
+PRIORS = {"utf-8": 1.0, "cp1252": 1.0, "iso-8859-15": 0.97, "cp1251": 0.95, "iso-8859-2": 0.93, "iso-8859-7": 0.93, "shift_jis": 0.9, "gb18030": 0.88, "big5": 0.85, "euc_kr": 0.85, "mac_roman": 0.7}
+SEPARATORS = (",", ";", "\t", "|", "\x1f")
+#: Scripts, their vowels, and the slots in which two Western encodings differ.
+LATIN, CYRILLIC, GREEK, CJK = "\u00c0-\u024f\u1e00-\u1eff", "\u0400-\u04ff", "\u0370-\u03ff", "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff"
+SLOTS = "\u00a4\u00a6\u00a8\u00b4\u00b8\u00bc\u00bd\u00be"
+LATIN_VOWELS = "aeiouyAEIOUY\u00c0-\u00c6\u00c8-\u00cf\u00d2-\u00d6\u00d8-\u00dd\u00e0-\u00e6\u00e8-\u00ef\u00f2-\u00f6\u00f8-\u00fd\u00ff"
+CYRILLIC_VOWELS, GREEK_VOWELS = "аеёиоуыэюяАЕЁИОУЫЭЮЯ", "αεηιουωάέήίόύώϊϋΐΰΑΕΗΙΟΥΩΆΈΉΊΌΎΏ"
 
 
 def sniff_encoding(head: bytes) -> tuple[str, int]:
@@ -32,24 +41,70 @@ def sniff_encoding(head: bytes) -> tuple[str, int]:
     for mark, name in MARKS:
         if head.startswith(mark):
             return name, len(mark)
+    pairs = min(len(head), 4096) // 2
+    odd, even = head[1 : 2 * pairs : 2].count(0), head[0 : 2 * pairs : 2].count(0)
+    if pairs >= 8 and odd + even >= 0.25 * 2 * pairs and max(odd, even) > 3 * min(odd, even):
+        return ("utf-16-le" if odd > even else "utf-16-be"), 0
     try:
         codecs.getincrementaldecoder("utf-8")().decode(head)
         return "utf-8", 0
     except UnicodeDecodeError:
-        pass
-    pairs = len(head) // 2
-    if pairs and head[1::2].count(0) > 0.3 * pairs:
-        return "utf-16-le", 0
-    if pairs and head[0::2].count(0) > 0.3 * pairs:
-        return "utf-16-be", 0
+        return max((n for n in PRIORS if n != "utf-8"), key=lambda n: reading_score(decoded(head, n), PRIORS[n])), 0
 
-    def strange(name: str) -> float:
-        text = head.decode(name, "replace")
-        odd = sum(5 if c == "�" else 3 if "\x80" <= c <= "\x9f" else not (c.isalnum() or c.isspace() or c.isascii()) for c in text)
-        # A letter of another script beside a plain one is a misreading.
-        return odd + sum(2 for a, b in itertools.pairwise(text) if (a.isascii() != b.isascii()) and a.isalpha() and b.isalpha() and "\u0250" <= max(a, b))
 
-    return min(ENCODINGS, key=strange), 0
+#: The high characters of the Western code page; the bytes without one are controls, as browsers read them.
+_HIGH = "".join(bytes([b]).decode("cp1252", "replace") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in range(0x80, 0xA0))
+
+
+def decoded(data: bytes, encoding: str) -> str:
+    return data.decode("latin-1").translate({0x80 + i: c for i, c in enumerate(_HIGH)}) if encoding == "cp1252" else data.decode(encoding, "replace")
+
+
+def western_bytes(text: str, strict: bool = False) -> bytes:
+    """The text in the Western code page; what it hasn't becomes a question mark, or raises ValueError."""
+    table = {c: 0x80 + i for i, c in enumerate(_HIGH)}
+    out = [table.get(c, ord(c) if ord(c) < 0x80 or 0xA0 <= ord(c) <= 0xFF else -1) for c in text]
+    if strict and -1 in out:
+        raise ValueError("not in the Western code page")
+    return bytes(0x3F if b < 0 else b for b in out)
+
+
+def undo_mojibake(text: str) -> str | None:
+    """A text that was UTF-8 and read as Western, as it was meant; None if it wasn't."""
+    try:
+        repaired = western_bytes(text, strict=True).decode("utf-8")
+    except ValueError:
+        return None
+    return None if repaired == text else repaired
+
+
+def mojibake_examples(before: str, after: str, most: int = 3) -> list[tuple[str, str]]:
+    """The first distinct words that a repair changes."""
+    pairs = dict.fromkeys((a, b) for a, b in zip(before.split(), after.split(), strict=False) if a != b)
+    return list(pairs)[:most]
+
+
+def reading_score(text: str, prior: float) -> float:
+    """How well a text reads: its prior less what is strange in it, as controls, signs within words, scripts side by side, too few vowels."""
+    count = lambda pattern: len(regex.findall(pattern, text))
+    high = f"[^\\x00-\\x9f{LATIN}{CYRILLIC}{GREEK}{CJK}\ufffd]"
+    scripts = {s: count(f"[{s}]") for s in (LATIN, CYRILLIC, GREEK, CJK)}
+    plain, most = count("[A-Za-z]"), max(scripts.values())
+    letters, foreign = plain + sum(scripts.values()), sum(scripts.values())
+    beside = f"(?:(?<=[A-Za-z])[{CYRILLIC}{GREEK}{CJK}]|[{CYRILLIC}{GREEK}{CJK}](?=[A-Za-z]))"
+    signs = f"(?:(?<=\\p{{L}})(?=[\\p{{S}}\\p{{N}}]){high}|(?=[\\p{{S}}\\p{{N}}]){high}(?=\\p{{L}}))"
+    if most and most == scripts[CYRILLIC]:
+        n, vowels = most, count(f"[{CYRILLIC_VOWELS}]")
+    elif most and most == scripts[GREEK]:
+        n, vowels = most, count(f"[{GREEK_VOWELS}]")
+    else:
+        n, vowels = (0 if scripts[CJK] else plain + scripts[LATIN]), count(f"[{LATIN_VOWELS}]")
+    size = max(len(text), 1)
+    strange = (
+        12 * count("\ufffd") / size + 10 * count("[\x80-\x9f]") / size + 10 * count(signs) / size + 10 * count(beside) / size + 12 * count(f"[{SLOTS}]") / size
+        + 1.5 * max(0.0, (scripts[LATIN] / letters if letters else 0.0) - 0.35) / 0.65 + (1 - most / foreign if foreign else 0.0) + (6 * max(0.0, 0.22 - vowels / n) if n >= 12 else 0.0)
+    )
+    return prior * max(0.0, 1 - strange)
 
 
 def sniff_separator(text: str) -> str:
@@ -70,7 +125,7 @@ def sniff_separator(text: str) -> str:
 def parse(data: bytes) -> tuple[list[list[str]], str, str]:
     """Rows of texts, encoding and separator of a file; an end of line at the end is no row."""
     encoding, skip = sniff_encoding(data[:SNIFF])
-    text = data[skip:].decode(encoding, "replace")
+    text = decoded(data[skip:], encoding)
     mark = sniff_separator(text[:SNIFF])
     text = re.sub(r"\Asep=.\r?\n", "", text)
     rows = [row or [""] for row in csv.reader(io.StringIO(text, newline=""), delimiter=mark)]
@@ -119,6 +174,20 @@ def read_large(spark: SparkSession, path: str, columns: list[str], separator: st
     return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])  # a blank is a blank, not null
 
 
+def read_rows(spark: SparkSession, path: str, width: int, separator: str = ",", folder: str | None = None) -> DataFrame:
+    """path, _row, c0 … of UTF-8 files, split by Spark: every line is a row, blank ones too; missing cells are blank."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "^\ufeff", "").alias("value"),
+    )
+    stored = settled(lines, folder or scratch(spark), "lines")
+    blocks = stored.groupBy("path", "_block").agg(F.count("_id").alias("_n"), F.min("_id").alias("_first"))  # a row a block
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = F.from_csv("value", schema, {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    numbered = stored.join(blocks.select("path", "_block", "_first", before.alias("_before")), ["path", "_block"])
+    return numbered.select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("_row"), cells.alias("_c")).select("path", "_row", *[F.coalesce(F.col(f"_c.c{i}"), F.lit("")).alias(f"c{i}") for i in range(width)])
+
+
 def formula_safe(c: Column) -> Column:
     """Texts that a spreadsheet would run get an apostrophe before them."""
     return F.when(needs_formula_escape(c), F.concat(F.lit("'"), c)).otherwise(c)

@@ -82,11 +82,99 @@ def test_loose_clusters_and_merge_plans(spark):
 
     counts = spark.createDataFrame([("Birmingham", 9), ("Birmingam", 2), ("Birminghamm", 1), ("Leeds", 4), ("10000", 3), ("10001", 3)], "value string, count long")
     got = tally.loose_clusters(counts).collect()
-    assert [(r.members, r.total, r.suggested) for r in got] == [("Birmingam|Birmingham|Birminghamm", 12, "Birmingham")]
+    assert sorted((r.value, r.total, r.suggested, r.rows_affected) for r in got) == [("Birmingam", 12, "Birmingham", 3), ("Birmingham", 12, "Birmingham", 3), ("Birminghamm", 12, "Birmingham", 3)]
     assert tally.merge_plan([("B", ["A", "B"]), ("C", ["B", "C"]), ("A", ["D"])]) == {"A": "C", "B": "C", "D": "C"}
     assert tally.merge_plan([("B", ["A"]), ("A", ["B"])]) == {"A": "B", "B": "A"}
 
 
+def test_clusters_keep_amounts_and_orders_apart(spark):
+    from plumbline.operators import tally
+
+    counts = [("New York", 5), ("new york", 2), ("York, New", 1), ("New-York", 1), ("-5", 4), ("5", 9), ("5%", 2), ("+ 5", 1), ("(5)", 1), ("Caf\u00e9", 3), ("cafe", 4), ("Rent 1,000", 2), ("rent 1.000", 1), ("a  b", 1), ("A b", 2)]
+    rows = tally.clusters(spark.createDataFrame(counts, "value string, count long")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.reason, r.suggested, r.total, r.rows_affected), set()).add(r.value)
+    assert got == {
+        ("punctuation", "New York", 8, 3): {"New York", "new york", "New-York"}, ("word-order", "New York", 9, 4): {"New York", "new york", "New-York", "York, New"},
+        ("accents", "cafe", 7, 3): {"Caf\u00e9", "cafe"}, ("whitespace", "A b", 3, 1): {"a  b", "A b"},
+    }
+
+
+@pytest.mark.parametrize(
+    "text, amounts",
+    [
+        ("-5", "-5"), ("5", "5"), ("5%", "5%"), ("+ 5", "+5"), ("(5)", "(5)"), ("$ 1,234.50 CR", "$1,234.50"), ("500-", "500-"), ("5 - 3", "-3|5"), ("v1.2.3", "1.2.3"), ("no digits - here %", ""), ("12\u00a0000 \u20ac", "12,000|\u20ac"), ("\u22125 and 7", "-5|7"),
+        ("Q1-Q2", "1-|2"), ("", ""),
+    ],
+)
+def test_amount_signature(spark, text, amounts):
+    assert values(spark, t.amount_signature, [text]) == [amounts]
+
+
+def test_near_spellings_against_all_pairs(spark):
+    """Every pair within the distance that shares a 4-gram, whatever grams are common."""
+    from plumbline.operators import tally
+
+    r = random.Random(4)
+    base = ["customer service " + "".join(r.choices("abcde", k=6)) for _ in range(12)]
+    words = set(base)
+    for w in base * 4:
+        k = r.randrange(len(w))
+        words |= {w[:k] + r.choice(["", "x", w[k] * 2]) + w[k + 1 :], "aaaaaaaa" + w[-2:], w.replace(" ", "")}
+    words |= {"uk", "us", "10000", "10001", "2018 q1", "2019 q1"}
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(old[j + 1] + 1, row[j] + 1, old[j] + (x != y)))
+        return row[-1]
+
+    import re
+
+    wanted = set()
+    bare = {w: re.sub(r"\W", "", w) for w in words}
+    grams = {w: {bare[w][i : i + 4] for i in range(len(bare[w]) - 3)} for w in words}
+    most = lambda w: 0 if len(w) < 5 else 1 if len(w) < 10 else 2
+    for a in words:
+        for b in words:
+            if a < b and grams[a] & grams[b] and lev(a, b) <= min(most(a), most(b)) and re.sub(r"\d", "", a) != re.sub(r"\d", "", b) and not (a.isdigit() or b.isdigit()):
+                wanted.add((a, b))
+    got = {(x.a, x.b) for x in tally.near_spellings(spark.createDataFrame([(w,) for w in words], "value string")).collect()}
+    assert got == wanted and len(wanted) > 50
+
+
+def test_diff_rows_and_spans():
+    rows, counts = diff.line_diff("a\nthe old line here\nc", "a\nthe new line here\nc\nd")
+    assert diff.as_text(rows) == " a\n-the old line here\n+the new line here\n c\n+d" and counts == {"same": 2, "deleted": 0, "inserted": 1, "modified": 1}
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = (" ".join(r.choices(["x", "yy", "z,", "Q"], k=r.randrange(9))) for _ in range(2))
+        assert diff.rebuilds(diff.spans(a, b), a, b)
+    assert diff.alike(diff.spans("abc def ghi", "abc def xyz"), "abc def ghi", "abc def xyz") and not diff.alike(diff.spans("aaa", "bbb"), "aaa", "bbb")
+    assert diff.beyond_limit("x" * 20_000, "y" * 20_000, "chars") == 30_000 and diff.beyond_limit("x", "y", "lines") is None
+
+
+@pytest.mark.parametrize(
+    "text, encoding",
+    [
+        ("na\u00efve caf\u00e9 \u20ac12 \u2018quoted\u2019 text with accents \u00e9\u00e8\u00e0", "cp1252"), ("\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440, \u044d\u0442\u043e \u0442\u0435\u043a\u0441\u0442 \u043d\u0430 \u0440\u0443\u0441\u0441\u043a\u043e\u043c", "cp1251"),
+        ("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059\u3002\u3053\u308c\u306f\u8a66\u9a13", "shift_jis"), ("plain", "utf-8"),
+    ],
+)
+def test_encoding(text, encoding):
+    assert delimited.sniff_encoding(text.encode(encoding)) == (encoding, 0)
+
+
+def test_mojibake():
+    broken = "Caf\u00e9 \u20ac5".encode().decode("cp1252")
+    assert delimited.undo_mojibake(broken) == "Caf\u00e9 \u20ac5" and delimited.undo_mojibake("Caf\u00e9") is None and delimited.undo_mojibake("plain") is None
+    assert delimited.mojibake_examples(broken, "Caf\u00e9 \u20ac5") == [(broken.split()[0], "Caf\u00e9"), (broken.split()[1], "\u20ac5")]
+    assert delimited.western_bytes("a\u20ac\u4e00") == b"a\x80?"
+
+
 def test_headers():
     assert headers.standardise(["Price ($)", "Price (£)", "", ""]) == headers.Headers(["Price $", "Price £", "Column 3", "Column 4"], 2, 0, 2, 0)
     assert headers.standardise(["firstName", "HTTPServer", "first_name"], snake_case=True).names == ["first_name", "http_server", "first_name_2"]
