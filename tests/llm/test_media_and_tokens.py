@@ -430,11 +430,63 @@ def test_vectors(spark, monkeypatch):
     assert vectors.forest_links(table.limit(0)).collect() == []
 
 
+def linked_groups(r, groups, dims, label, low, high, start):
+    """Vectors of near copies: pairs of a group lie between two cosines."""
+    rows = []
+    for g in range(groups):
+        centre = vectors._unit(r.standard_normal((1, dims)))[0]
+        for _ in range(int(r.integers(2, 7))):
+            spread = np.sqrt((1 / r.uniform(low, high) - 1) / dims)
+            rows.append((start + len(rows), [float(np.float32(x)) for x in centre + spread * r.standard_normal(dims)], label))
+    return rows
+
+
+def test_recall_of_links_with_real_leaves(spark):
+    """Thousands of vectors a label, planted pairs just above the threshold: links and components against brute force, at the sizes used."""
+    r = np.random.default_rng(12)
+    rows = linked_groups(r, 600, 32, 1, 0.93, 0.97, 0)
+    rows += [(100_000 + i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(r.standard_normal((3000, 32)))]
+    rows += linked_groups(r, 60, 32, 2, 0.93, 0.99, 200_000)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in vectors.forest_links(table).collect()}
+    wanted, low = {}, {}
+    for label in (1, 2):
+        ids = np.array([i for i, _, one in rows if one == label])
+        x = vectors._unit(np.asarray([v for _, v, one in rows if one == label], np.float32).astype(np.float64))
+        near = x @ x.T >= vectors.THRESHOLD
+        np.fill_diagonal(near, False)
+        least = ids.copy()
+        for _ in range(20):
+            least = np.minimum(least, np.where(near, least[None, :], 1 << 60).min(axis=1))
+        wanted |= dict(zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True))
+        low |= dict(zip(ids.tolist(), least.tolist(), strict=True))
+    total = sum(wanted.values())
+    assert total > 2000 and all(got[i][0] <= n for i, n in wanted.items())
+    assert sum(n for n, _ in got.values()) >= 0.97 * total
+    assert sum(got[i][1] == c for i, c in low.items()) >= 0.97 * len(low)
+
+
+def test_thin_samples_are_split_on(spark, monkeypatch):
+    """With a first sample too thin to split a label, leaves split by samples of their own; recall holds."""
+    monkeypatch.setattr(vectors, "SAMPLE", 40)
+    monkeypatch.setattr(vectors, "LEAF", 30)
+    r = np.random.default_rng(13)
+    rows = linked_groups(r, 150, 24, 7, 0.94, 0.99, 0) + [(10_000 + i, [float(np.float32(x)) for x in v], 7) for i, v in enumerate(r.standard_normal((900, 24)))]
+    rows += [(20_000 + i, rows[0][1], 7) for i in range(40)]
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in vectors.forest_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = vectors._unit(np.asarray([v for _, v, _ in rows]))
+    near = (x @ x.T >= vectors.THRESHOLD).sum(axis=1) - 1
+    assert all(got[i][0] <= n for (i, _, _), n in zip(rows, near.tolist(), strict=True))
+    assert sum(n for n, _, _ in got.values()) >= 0.95 * near.sum() and got[20_000][:2] == got[0][:2]
+
+
 def met_share(vectors_, count, seed=3):
     """Of the links that 300 vectors of the first count have by brute force, the share that meets in a leaf."""
     r = np.random.default_rng(seed)
     sample = vectors_[r.random(len(vectors_)) < min(1, vectors.SAMPLE / len(vectors_))]
-    codes = vectors.leaves(vectors_, vectors.grow(sample, len(vectors_)))
+    forest = vectors.grow(sample, len(vectors_))
+    found = [vectors.descend(vectors_, bounds, tree) for tree, bounds in enumerate(forest)]
+    codes = [[vectors._code(tree, n) for tree, f in enumerate(found) for n in f[i]] for i in range(len(vectors_))]
     pairs = met = 0
     members = {}
     for i, code in enumerate(codes):
