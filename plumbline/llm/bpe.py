@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import with_results
+from plumbline.llm.common import table, with_results
 
 #: Words whose ids a worker remembers (it forgets all and goes on at that number), their greatest length, code points a slice, symbols between two emissions.
 MEMORY, SHORT, SLICE, STEP = 500_000, 48, 1 << 14, 32
@@ -407,4 +407,4 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op7_streaming_bpe(spark, sf_dir: str) -> DataFrame:
-    return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_path())
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_path())

@@ -12,7 +12,10 @@ Turns are grouped by pair, so a task holds one conversation at a time, never a g
 Defined results: turns are ordered by turn, then role and text, and take places 0, 1, …,
 so gaps and repeated turn numbers do no harm; a null text is rendered empty, a null role
 as 'unknown', and null equals null; equal sides give empty completions and `tie` true;
-a side without turns gives an empty prompt; no pairs give no rows.
+a side without turns gives an empty prompt; no pairs give no rows; repeated rows are turns of their own; texts of any length are
+rendered whole; marks within a text or role are parted by a space, so that none forges a turn; other columns are left out, whatever
+their names. `swapped_answers` drops turns without a conv_id, as they belong to no pair; of several last answers on one
+turn the greatest text counts, and all equal to it are swapped.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What the marks begin with, and what texts hold instead.
+MARK, PARTED = "<|im_", "< |im_"
 
 
 def preferences(turns: DataFrame) -> DataFrame:
@@ -28,15 +33,13 @@ def preferences(turns: DataFrame) -> DataFrame:
     place = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
     lined = turns.select(
         "pair_id", "side", (F.row_number().over(place) - 1).alias("place"),
-        F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.replace(F.coalesce("role", F.lit("unknown")), F.lit(MARK), F.lit(PARTED)).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(PARTED)).alias("text"),
     )
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit("\n"))
-    turn = F.struct(
-        "place",
-        F.concat(head, F.col("text"), F.lit(CLOSE)).alias("shown"),
-        F.length(head).alias("head"),
-        (F.col("role") == "assistant").alias("counts"),
-    )
+    shown = lined.select("*", F.concat(head, F.col("text"), F.lit(CLOSE)).alias("shown"), F.length(head).alias("head"))
+    upto = F.sum(F.length("shown")).over(Window.partitionBy("pair_id", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    lined = shown.withColumn("upto", upto)
+    turn = F.struct("place", "shown", "head", "upto", (F.col("role") == "assistant").alias("counts"))
     wide = lined.groupBy("pair_id", "place").agg(
         F.max(F.when(F.col("side") == "chosen", turn)).alias("chosen"),
         F.max(F.when(F.col("side") == "rejected", turn)).alias("rejected"),
@@ -52,22 +55,16 @@ def preferences(turns: DataFrame) -> DataFrame:
         return F.filter(side, lambda t: F.col("split").isNotNull() & (t["place"] >= F.col("split")))
 
     def mask(side: str):
-        """Walks the turns once, carrying the code points so far."""
-        step = F.aggregate(
-            after(side),
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-            lambda acc, t: F.struct(
-                (acc["at"] + F.length(t["shown"])).alias("at"),
-                F.when(t["counts"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), (acc["at"] + F.length(t["shown"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-            ),
-        )
-        return F.concat_ws(",", F.transform(step["spans"], lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
+        """Places in the completion: code points up to a turn, less those of the prompt, which are the same on both sides."""
+        base = F.coalesce(F.element_at(F.transform("shared", lambda t: t["upto"]), -1), F.lit(0))
+        spans = F.transform(F.filter(after(side), lambda t: t["counts"]), lambda t: F.struct((t["upto"] - F.length(t["shown"]) + t["head"] - base).alias("start"), (t["upto"] - base).alias("end")))
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     shared = F.filter("chosen", lambda t: F.col("split").isNull() | (t["place"] < F.col("split")))
-    return pairs.select(
+    return pairs.withColumn("shared", shared).select(
         "pair_id",
-        F.array_join(F.transform(shared, lambda t: t["shown"]), "").alias("prompt"),
-        F.size(shared).cast("long").alias("n_prompt_turns"),
+        F.array_join(F.transform("shared", lambda t: t["shown"]), "").alias("prompt"),
+        F.size("shared").cast("long").alias("n_prompt_turns"),
         F.array_join(F.transform(after("chosen"), lambda t: t["shown"]), "").alias("chosen"),
         mask("chosen").alias("chosen_mask"),
         F.array_join(F.transform(after("rejected"), lambda t: t["shown"]), "").alias("rejected"),
@@ -102,9 +99,9 @@ def op10_preference_pairs(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH a AS (SELECT conv_id, arg_max(text, (turn, text)) AS last, max(turn) AS at FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 sides AS (
-  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, replace(text, '<|im_', '< |im_') AS text FROM conversations
   UNION ALL
-  SELECT c.conv_id, 'rejected', c.turn, c.role, CASE WHEN c.role = 'assistant' AND c.turn = a.at AND b.conv_id IS NOT NULL THEN b.last ELSE c.text END
+  SELECT c.conv_id, 'rejected', c.turn, c.role, replace(CASE WHEN c.role = 'assistant' AND c.turn = a.at AND b.conv_id IS NOT NULL THEN b.last ELSE c.text END, '<|im_', '< |im_')
   FROM conversations c LEFT JOIN a ON a.conv_id = c.conv_id LEFT JOIN a b ON b.conv_id = xor(c.conv_id, 1)),
 p AS (SELECT pair_id, side, role, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS place,
   '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, len('<|im_start|>' || role || chr(10)) AS head FROM sides),

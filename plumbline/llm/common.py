@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import scratch, settled
+from plumbline.session import scratch, settled, spread
 
 __all__ = ["WORD", "held_out", "scratch", "settled", "table", "with_results"]
 
@@ -22,7 +22,8 @@ ROWS, BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; a small one in one piece is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _slices(values: pa.Array) -> Iterator[tuple[int, int]]:

@@ -37,7 +37,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import with_results
+from plumbline.llm.common import table, with_results
 
 #: Block-level elements, elements whose content is no text, and those that never hold main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -282,4 +282,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op6_block_rules(spark, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -16,7 +16,9 @@ summed by key; the model has BUCKETS numbers a language, whatever the input's si
 Defined results: `und` with score 0 for a null text, a text without a letter, and for all
 texts if there is nothing to learn from; rows with a null language teach nothing; repeated
 rows are scored alike; equal proportions go to the first language by name; an empty
-table gives an empty result. Whole texts are scored, a few megabytes at a time.
+table gives an empty result; columns named lang_pred or score give way to the new ones. Whole texts are scored, short ones
+together; a text beyond `LONG` characters is read in pieces in each round of expectation-maximisation, so
+memory stays bounded whatever its length (a word longer than a piece counts as several).
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, with_results
+from plumbline.llm.common import held_out, table, with_results
 
 BUCKETS = 1 << 16
 SAMPLE = 2000
-#: Pseudo-counts a trigram, rounds of expectation-maximisation, price of one more language, characters held at a time.
-PRIOR, ROUNDS, PENALTY, CHUNK = 0.5, 12, 2.0, 1 << 20
+#: Pseudo-counts a trigram, rounds of expectation-maximisation, price of one more language, characters held at a time, and of a text that is read in pieces.
+PRIOR, ROUNDS, PENALTY, CHUNK, LONG = 0.5, 12, 2.0, 1 << 20, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, group in batch.groupby("lang"):
-            texts = group["text"].tolist()
+            texts = [piece for text in group["text"] for piece in (_pieces(text) if len(text) > LONG else (text,))]
             for i, j in _chunks(texts):
                 keys = _trigrams(texts[i:j])[0]
                 totals[lang] = totals.get(lang, 0) + np.bincount(keys, minlength=BUCKETS)
@@ -123,6 +125,63 @@ def _proportions(likelihood: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
     return pi, np.add.reduceat(fit_, starts, dtype=np.float64)
 
 
+def _likelihoods(model: Model, keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each word's likelihoods, scaled so that its best language has 1; kept above 1e-18 so that no share vanishes."""
+    words = np.add.reduceat(model.scores[keys], begins, axis=0)
+    return np.exp(np.maximum(words - words.max(axis=1, keepdims=True), -40))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces that end at white space where there is some."""
+    start = 0
+    while start < len(text):
+        end = start + CHUNK
+        space = text.find(" ", end, end + CHUNK)
+        end = len(text) if end >= len(text) else end if space < 0 else space
+        yield text[start:end]
+        start = end
+
+
+def infer_long(model: Model, text: str) -> tuple[int, float]:
+    """The same for one text, piece by piece: its language (-1: none) and proportion."""
+    n = len(model.languages)
+
+    def rows() -> Iterator[np.ndarray]:
+        for piece in _pieces(text):
+            keys, begins, _ = _trigrams([piece])
+            if len(begins):
+                yield _likelihoods(model, keys, begins)
+
+    size = sum(len(r) for r in rows()) if n else 0
+    if not size:
+        return -1, 0.0
+
+    def proportions(allowed: np.ndarray) -> tuple[np.ndarray, float]:
+        pi = allowed / allowed.sum()
+        for _ in range(ROUNDS):
+            total = np.zeros(n)
+            for r in rows():
+                share = r * pi.astype(np.float32)
+                total += (share / share.sum(axis=1, keepdims=True)).sum(axis=0, dtype=np.float64)
+            pi = total / size
+        return pi, sum(float(np.log((r * pi.astype(np.float32)).sum(axis=1) + 1e-38).sum(dtype=np.float64)) for r in rows())
+
+    price = PENALTY * np.log(size + 1)
+    pi, full = proportions(np.ones(n))
+    ranked = np.argsort(-pi, kind="stable")
+    value = sum(float(np.log(r[:, ranked[0]]).sum(dtype=np.float64)) for r in rows())
+    best, score = int(ranked[0]), 1.0
+    for k in range(2, n + 1):
+        if full - price * (k - 1) <= value:
+            break
+        allowed = np.zeros(n)
+        allowed[ranked[:k]] = 1
+        p, got = proportions(allowed)
+        if got - price * (k - 1) > value:
+            value, best, score = got - price * (k - 1), int(p.argmax()), float(p.max())
+    return best, score
+
+
 def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the number of its language (-1: none) and that language's proportion."""
     n = len(model.languages)
@@ -130,9 +189,7 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keys, begins, owner = _trigrams(texts)
     if not len(begins) or not n:
         return best, score
-    words = np.add.reduceat(model.scores[keys], begins, axis=0)
-    # A word's likelihoods, scaled so that its best language has 1; kept above 1e-18 so that no share vanishes.
-    likelihood = np.exp(np.maximum(words - words.max(axis=1, keepdims=True), -40))
+    likelihood = _likelihoods(model, keys, begins)
     docs, starts, sizes = np.unique(owner, return_index=True, return_counts=True)
     price = PENALTY * np.log(sizes + 1)
     pi, full = _proportions(likelihood, starts, sizes, np.ones((len(docs), n)))
@@ -167,14 +224,18 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
     def scored(batch: list[str | None]) -> list[pa.Array]:
         model, texts = shared.value, [t or "" for t in batch]
         names = np.array([*model.languages, "und"], object)
-        parts = [infer(model, texts[i:j]) for i, j in _chunks(texts)]
+        short = [t if len(t) <= LONG else "" for t in texts]
+        parts = [infer(model, short[i:j]) for i, j in _chunks(short)]
         pred, score = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, int) for k in (0, 1))
+        for k, text in enumerate(texts):
+            if len(text) > LONG:
+                pred[k], score[k] = infer_long(model, text)
         return [pa.array(names[pred], pa.string()), pa.array(score, pa.float64())]
 
     return with_results(docs, scored, "lang_pred string, score double", keep_text=keep_text)
 
 
 def op1_mixture_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

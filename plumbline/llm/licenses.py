@@ -23,7 +23,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch, settled
+from plumbline.llm.common import scratch, settled, table
 
 #: Notices with their SPDX names.
 NOTICES = (
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def op3_license_digests(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def _sql(text: str) -> str:

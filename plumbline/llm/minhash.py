@@ -18,7 +18,8 @@
 Defined results: null texts and texts without words have no shingles and link with nothing;
 texts of fewer than five words are one shingle, their whole sequence; a null doc_id links with
 nothing (component null, kept false); rows that share a doc_id count as one document for
-links; an empty table gives an empty result.
+links, whatever their texts; of equal texts the least doc_id stands for all; columns besides the id, the text and those to keep
+are left out, whatever their names; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch, settled, with_results
+from plumbline.llm.common import scratch, settled, table, with_results
 from plumbline.operators.graph import components
 
 SHINGLE, CHUNKS, PER_CHUNK = 5, 6, 4
 SYMBOLS = CHUNKS * PER_CHUNK
-#: Signature distance up to which a pair's full sets are compared; a pair at similarity 0.75 lies beyond it with 1e-5.
+#: Signature distance up to which a pair's full sets are compared in round 2; a pair at similarity 0.75 lies beyond it with 1e-5. SYMBOLS compares all.
 DISTANCE = 15
 #: Classes a block.
 BLOCK = 400
@@ -118,7 +119,7 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
-def _pairs(group: pd.DataFrame) -> np.ndarray:
+def _pairs(group: pd.DataFrame, most: int = DISTANCE) -> np.ndarray:
     """Pairs of places in a block pair that lie in different components and are near in signature and size."""
     marks = np.stack([np.asarray(s, np.int64) for s in group["signature"]]).view(np.uint16)
     n = group["n_shingles"].to_numpy()
@@ -126,7 +127,7 @@ def _pairs(group: pd.DataFrame) -> np.ndarray:
     for k in range(SYMBOLS):
         distance += marks[:, k, None] != marks[None, :, k]
     component = group["component"].to_numpy()
-    near = (distance <= DISTANCE) & (component[:, None] < component[None, :])
+    near = (distance <= most) & (component[:, None] < component[None, :])
     near &= 100 * np.minimum(n[:, None], n[None, :]) >= 75 * np.maximum(n[:, None], n[None, :])
     part = group["part"].to_numpy()
     if (part != part[0]).any():  # two blocks: pairs inside one are compared where it meets itself
@@ -134,12 +135,12 @@ def _pairs(group: pd.DataFrame) -> np.ndarray:
     return np.argwhere(near)
 
 
-def _open_nodes(group: pd.DataFrame) -> pd.DataFrame:
+def _open_nodes(group: pd.DataFrame, most: int = DISTANCE) -> pd.DataFrame:
     """The members of a block pair that have a pair to compare: only their texts are fetched."""
-    return group.iloc[np.unique(_pairs(group))]
+    return group.iloc[np.unique(_pairs(group, most))]
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
+def _across(group: pd.DataFrame, most: int = DISTANCE) -> pd.DataFrame:
     """Confirmed links of a block pair, without those that join what already hangs together."""
     sets = [shingles(t) for t in group["text"]]
     nodes, component = group["node"].to_numpy(), group["component"].to_numpy()
@@ -151,7 +152,7 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
         return x
 
     found = []
-    for i, j in _pairs(group):
+    for i, j in _pairs(group, most):
         a, b = find(component[i]), find(component[j])
         if a != b and _similar(sets[i], sets[j]):
             root[max(a, b)] = min(a, b)
@@ -159,8 +160,11 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and the columns to keep, for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[str] = (), distance: int = DISTANCE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and the columns to keep, for each row of docs (doc_id, text).
+
+    A smaller distance compares fewer full sets; SYMBOLS compares those of all pairs that share a key.
+    """
     spark = docs.sparkSession
     folder = folder or scratch(spark)
     features = settled(
@@ -205,8 +209,10 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[s
     )
     by = ["key", "i", "j"]
     shape = dealt.schema
-    wanted = settled(dealt.groupBy(*by).applyInPandas(_open_nodes, shape), folder, "open")
-    across = wanted.join(texts, "node").groupBy(*by).applyInPandas(_across, "a long, b long")
+    # Dealt out by number, as the work is in comparing and not in bytes, by which partitions would be merged.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = settled(dealt.repartition(tasks, *by).groupBy(*by).applyInPandas(lambda g: _open_nodes(g, distance), shape), folder, "open")
+    across = wanted.join(texts, "node").repartition(tasks, *by).groupBy(*by).applyInPandas(lambda g: _across(g, distance), "a long, b long")
     more = settled(across.distinct(), folder, "round2")
 
     whole = joined
@@ -220,4 +226,4 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[s
 
 
 def op2_hamming_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"))

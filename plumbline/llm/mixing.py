@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, scratch, settled
+from plumbline.llm.common import WORD, scratch, settled, table
 
 BINS, LEVELS = 256, 3
 #: So many sources at most are sent to all tasks (a row each, under a megabyte); more are joined by a shuffle, which parts each source by a salt.
@@ -168,7 +168,7 @@ def _with_source(rows: DataFrame, facts: DataFrame, small: bool, how: str = "inn
 
 
 def op5_pareto_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

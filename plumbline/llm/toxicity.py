@@ -18,7 +18,8 @@ of the sample was left out of the log-odds.
 Defined results: null and empty texts have no tokens and the least evidence; labels that
 are null, or whose document is missing, teach nothing, and a document with several labels counts as
 toxic if one says so; with only one label to learn from every score is 0; repeated rows
-are scored alike; an empty table gives an empty result. Whole texts are scanned.
+and equal texts are scored alike; of features with one score the longer is as good; columns named as the new ones give way to
+them; an empty table gives an empty result. Whole texts are scanned, of any length.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, scratch, settled, with_results
+from plumbline.llm.common import held_out, scratch, settled, table, with_results
 from plumbline.llm.minhash import shingles
 
 SAMPLE = 8000
@@ -267,6 +268,11 @@ def _curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray, up: floa
     return float(a), float(max(b, 1e-6))
 
 
+def _damped(evidence: float) -> float:
+    """Beyond what the curve was fitted on evidence grows by its logarithm, so that stronger texts still score higher."""
+    return evidence if evidence <= 30 else 30 + math.log1p(evidence - 30)
+
+
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """docs with score, predicted, n_tokens and passages (first and last token, bits over the bar)."""
     spark = docs.sparkSession
@@ -278,7 +284,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
         model = shared.value
         scorer = kept.setdefault("scorer", Scorer(model.scores))  # one for all batches of a task
         found = [passages(model, t, scorer) for t in texts]
-        chances = [chance(model, min(e, 30.0)) for _, e, _ in found]
+        chances = [chance(model, _damped(e)) for _, e, _ in found]
         return [
             pa.array(chances, pa.float64()),
             pa.array([int(c >= 0.5) for c in chances], pa.int32()),
@@ -290,7 +296,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
 
 
 def op4_segment_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score(docs, model)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "n_tokens", F.size("passages").cast("long").alias("n_passages"))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import with_results
+from plumbline.llm.common import table, with_results
 
 WIDTH, PART = 64, 1 << 20
 #: Fixed values of the format: the order in which lengths of length codes come, and alphabet sizes (green without colour cache).
@@ -640,4 +640,4 @@ def media_features(rows: DataFrame) -> DataFrame:
 
 
 def op8_lossless_webp(spark, sf_dir: str) -> DataFrame:
-    return media_features(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return media_features(with_media(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -38,6 +38,60 @@ def test_mixture_of_two_languages(spark, small):
     assert model.languages[best[0]] == "en" and 0.55 < score[0] < 0.85 and score[1] > 0.98
 
 
+def test_mixture_against_brute_force(spark, small):
+    """Expectation-maximisation and the choice of the set, text by text and word by word; and the same piece by piece."""
+    import math
+
+    import numpy as np
+
+    model = langid.fit(spark.read.parquet(f"{small}/documents.parquet"))
+    n = len(model.languages)
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) between 30 and 1500").select("text").limit(14).collect()]
+    texts += [texts[0][:400] + " " + texts[5][:300], texts[1] + " " + texts[7] + " " + texts[9]]
+    got = langid.infer(model, texts)
+
+    def expected(text):
+        rows = []
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            keys = langid._trigrams([word])[0]
+            logs = [sum(float(model.scores[k, j]) for k in keys) for j in range(n)]
+            rows.append([math.exp(max(x - max(logs), -40)) for x in logs])
+
+        def em(allowed):
+            pi = [1 / len(allowed) if j in allowed else 0.0 for j in range(n)]
+            for _ in range(langid.ROUNDS):
+                total = [0.0] * n
+                for r in rows:
+                    weight = sum(r[j] * pi[j] for j in range(n))
+                    total = [t + r[j] * pi[j] / weight for j, t in enumerate(total)]
+                pi = [t / len(rows) for t in total]
+            return pi, sum(math.log(sum(r[j] * pi[j] for j in range(n)) + 1e-38) for r in rows)
+
+        ranked = sorted(range(n), key=lambda j: -em(range(n))[0][j])
+        sets = [(sum(math.log(r[ranked[0]]) for r in rows), ranked[0], 1.0)]
+        for k in range(2, n + 1):
+            pi, fit = em(ranked[:k])
+            sets.append((fit - langid.PENALTY * (k - 1) * math.log(len(rows) + 1), max(range(n), key=lambda j: pi[j]), max(pi)))
+        return max(sets, key=lambda s: s[0])
+
+    for k, text in enumerate(texts):
+        _, best, share = expected(text)
+        assert got[0][k] == best and got[1][k] == pytest.approx(share, abs=2e-3)
+        long_best, long_share = langid.infer_long(model, text)
+        assert long_best == best and long_share == pytest.approx(got[1][k], abs=1e-4)
+    assert np.unique(got[1]).size > 1
+
+
+def test_long_texts_in_pieces(spark, docs, small, monkeypatch):
+    model = langid.fit(spark.read.parquet(f"{small}/documents.parquet"))
+    text = next(r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 3000").collect())
+    whole = langid.infer(model, [text])
+    monkeypatch.setattr(langid, "CHUNK", 500)
+    best, share = langid.infer_long(model, text)
+    assert best == whole[0][0] and share == pytest.approx(whole[1][0], abs=1e-3)
+    assert langid.infer_long(model, "1 2 3") == (-1, 0.0)
+
+
 def recursive_segments(scores, offset=0):
     """Ruzzo and Tompa's definition: the best part, then the same left and right of it."""
     if not any(s > 0 for s in scores):
