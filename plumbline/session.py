@@ -53,7 +53,7 @@ def settled(frame: DataFrame, folder: str, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def spread(frame: DataFrame, most: int = 64 << 20) -> DataFrame:
+def spread(frame: DataFrame, most: int = 32 << 20) -> DataFrame:
     """A table of a few megabytes, which often is one file with one row group, dealt to all cores; larger ones come in splits of their own."""
     size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size <= most else frame
