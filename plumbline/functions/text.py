@@ -618,7 +618,7 @@ def lone_header(c: Column) -> Column:
 def sample_lines(c: Column, most: int) -> Column:
     """The whole lines at the start of a text, up to so many characters."""
     head = F.substring(c, 1, most)
-    kept = F.when(head.contains("\n"), F.regexp_replace(head, "[^\n]*$", "")).otherwise(head)
+    kept = F.when(head.contains("\n"), F.regexp_replace(head, r"[^\n]*\z", "")).otherwise(head)
     return F.when(F.length(c) <= most, c).otherwise(kept)
 
 

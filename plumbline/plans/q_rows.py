@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers
 from plumbline.functions import text as t
-from plumbline.operators import clean, findings, headers, layout, sequences, structure, tally
+from plumbline.operators import clean, findings, semi, sequences, structure, tally
 from plumbline.plans.base import DIRTIED, dirtied, query, quote, sql_scrub, table
 from plumbline.session import scratch
 from plumbline.sources import delimited
@@ -221,3 +221,36 @@ def numbered(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return rows.select("_row", "c0", "c1")
+
+
+# ---- formats, nesting, reference headers
+
+_FORMAT = """CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN concat('a,b\\n', event_id, ',2\\n3,4') WHEN 2 THEN concat('name: ', event_type, '\\nid: 3\\n- x') WHEN 3 THEN event_type WHEN 4 THEN concat('{"k": ', event_id)
+WHEN 5 THEN concat('{"k" ', event_id, '}') WHEN 6 THEN concat('a;b\\n1;2\\n3;4\\n', event_id, '\\n7;8\\n9;9') ELSE concat('[', event_id, ', {"x": null}]') END"""
+
+
+@query("q_M12_M15_mixed_formats", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'json' WHEN 1 THEN 'csv' WHEN 2 THEN 'yaml' WHEN 3 THEN 'text' WHEN 4 THEN 'text' WHEN 5 THEN 'json' WHEN 6 THEN 'csv' ELSE 'json' END AS format, CASE event_id % 8 WHEN 0 THEN 'high' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'low' WHEN 5 THEN 'medium' WHEN 6 THEN 'medium' ELSE 'high' END AS confidence FROM events")
+def formats(spark, sf_dir):
+    return semi.detect(table(spark, sf_dir, "events").select("event_id", F.expr(_FORMAT).alias("v")), "event_id", "v")
+
+
+_NESTED = """concat('{"a":{"b":[', event_id, ',{"c.d":"', event_type, '"}],"e":{}},"0":null,"f":[', event_id % 3 = 0, ',1.50]}')"""
+_LEAVES = """SELECT event_id, 0 AS record, 0 AS place, 'a.b.0' AS path, event_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 0, 1, 'a.b.1.c\\.d', event_type FROM events UNION ALL SELECT event_id, 0, 2, 'a.e', '{}' FROM events
+UNION ALL SELECT event_id, 0, 3, '\\0', 'null' FROM events UNION ALL SELECT event_id, 0, 4, 'f.0', (event_id % 3 = 0)::VARCHAR FROM events UNION ALL SELECT event_id, 0, 5, 'f.1', '1.5' FROM events"""
+
+
+@query("q_M02_M05_nested_leaves", _LEAVES)
+def leaves(spark, sf_dir):
+    return semi.flatten_json(table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED).alias("v")), "event_id", "v")
+
+
+@query("q_M06_M08_nested_again", """SELECT event_id, 0 AS record, '{"a": {"b": ["' || event_id || '", {"c.d": "' || event_type || '"}], "e": "{}"}, "0": "null", "f": ["' || (event_id % 3 = 0) || '", "1.5"]}' AS json FROM events""")
+def nested_again(spark, sf_dir):
+    return semi.unflatten_json(leaves(spark, sf_dir), "event_id")
+
+
+@query("q_A03_F30_reference_headers", "WITH c AS (SELECT 'Product Code' AS name, p_brand AS value FROM part UNION ALL SELECT 'encoded', p_brand FROM part UNION ALL SELECT 'Account No.', p_size::VARCHAR FROM part UNION ALL SELECT 'label', p_brand || '/' || p_size FROM part), d AS (SELECT name, value, count(*) AS n FROM c GROUP BY 1, 2), b AS (SELECT name, sum(n)::BIGINT AS v, count(*)::BIGINT AS dv FROM d GROUP BY 1) SELECT name, v AS \"values\", dv AS distinct_values, CASE WHEN name = 'Account No.' THEN 'looks-numeric' WHEN name = 'Product Code' THEN 'looks-like-a-reference' WHEN name = 'label' AND dv::DOUBLE / v >= 0.5 THEN 'too-varied' END AS reason FROM b")
+def reference_headers(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("Product Code"), F.col("p_brand").alias("encoded"), F.col("p_size").alias("Account No."), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("label"))
+    long = rows.select(F.col("p_partkey").alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in rows.columns[1:]])).alias("c")).select("row", "c.*")
+    return tally.assess(long).select("name", "values", "distinct_values", "reason")
