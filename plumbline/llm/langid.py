@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out, table, with_results
+from plumbline.llm.common import held_out, small_batches, table, with_results
 
 BUCKETS = 1 << 16
 SAMPLE = 2000
@@ -96,6 +96,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from docs (doc_id, text, lang), without the held-out rows."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
