@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline.session import scratch, settled, spread
 
-__all__ = ["WORD", "held_out", "scratch", "settled", "small_batches", "table", "with_results"]
+__all__ = ["WORD", "held_out", "scratch", "settled", "slices", "small_batches", "table", "with_results"]
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS))
 
 
-def _slices(values: pa.Array) -> Iterator[tuple[int, int]]:
+def slices(values: pa.Array) -> Iterator[tuple[int, int]]:
     """Where a batch is parted: at so many rows, or where its values come to so many bytes. Spark bounds the batch itself."""
     sizes = pc.fill_null(pc.binary_length(values), 0) if pa.types.is_string(values.type) or pa.types.is_binary(values.type) else None
     upto = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) if sizes is not None else np.zeros(len(values), np.int64)
@@ -67,7 +67,7 @@ def with_results(docs: DataFrame, results: Callable[[list[str | None]], list[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start, end in _slices(whole.column(len(names))):
+            for start, end in slices(whole.column(len(names))):
                 batch = whole.slice(start, end - start)
                 made = results(batch.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *made], names=[*names, *new.names])

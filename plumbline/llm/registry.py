@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, toxicity, vectors, webp
+from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, packing, toxicity, vectors, webp
 
 QUERIES = {
     "op1_mixture_language": langid.op1_mixture_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lossless_webp": webp.op8_lossless_webp,
     "op9_projection_forest": vectors.op9_projection_forest,
     "op10_preference_pairs": chat.op10_preference_pairs,
+    "op11_harmonic_packing": packing.op11_harmonic_packing,
 }
 ORACLES = {
     "op3_license_digests": licenses.ORACLE,
