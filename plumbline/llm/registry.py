@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, packing, toxicity, vectors, webp
+from plumbline.llm import bpe, chat, html, langid, licenses, minhash, mixing, negatives, packing, toxicity, vacodes, vectors, webp
 
 QUERIES = {
     "op1_mixture_language": langid.op1_mixture_language,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_projection_forest": vectors.op9_projection_forest,
     "op10_preference_pairs": chat.op10_preference_pairs,
     "op11_harmonic_packing": packing.op11_harmonic_packing,
+    "op12_va_codes": vacodes.op12_va_codes,
+    "op13_bit_sliced_negatives": negatives.op13_bit_sliced_negatives,
 }
 ORACLES = {
     "op3_license_digests": licenses.ORACLE,
     "op5_pareto_mix": mixing.ORACLE,
     "op10_preference_pairs": chat.ORACLE,
+    "op12_va_codes": vacodes.ORACLE,
+    "op13_bit_sliced_negatives": negatives.ORACLE,
 }
