@@ -305,8 +305,8 @@ def reading_minutes(c: Column) -> Column:
 
 
 def line_shape(c: Column) -> Column:
-    """Digits as #, spaces squashed: equal for lines that differ in numbers only."""
-    return squash(F.regexp_replace(c, r"[0-9]", "#"))
+    """Runs of digits as #, spaces squashed: equal for lines that differ in numbers only."""
+    return squash(F.regexp_replace(c, "[0-9]+", "#"))
 
 
 def base_name(c: Column) -> Column:

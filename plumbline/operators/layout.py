@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.operators.graph import components
-from plumbline.operators.sequences import merged_intervals, modal, weighted_median
+from plumbline.operators.sequences import merged_intervals
 from plumbline.session import scratch, settled
 
 #: Gaps in sizes of type that part words and fragments, and how near edges and rules must be, in points.
@@ -21,16 +21,23 @@ NO_SPACE, WORD_GAP = 0.25, 2.0
 EDGE, TAB, TOUCH, TWIN = 1.5, 3.0, 1.2, 8.0
 
 
-def anchored(points: DataFrame, group: Sequence[str], at: str, tolerance: float) -> DataFrame:
-    """points with anchor: from the least value on, a value further than the tolerance from the anchor before is the next anchor."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.expr("cast(array() as array<struct<at:double,anchor:double>>)").alias("out"))
+def anchored(points: DataFrame, group: Sequence[str], at: str, tolerance: float | Column) -> DataFrame:
+    """points with anchor: from the least value on, a value further than the tolerance (one a group) from the anchor before is the next anchor.
 
-    def put(s: Column, v: Column) -> Column:
-        anchor = F.when(s["anchor"].isNull() | (v - s["anchor"] > tolerance), v).otherwise(s["anchor"])
-        return F.struct(anchor.alias("anchor"), F.array_append(s["out"], F.struct(v.alias("at"), anchor.alias("anchor"))).alias("out"))
+    The fold keeps the anchors only, which lie further apart than the tolerance, so a group's values cost no more than their number.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.expr("cast(array() as array<double>)").alias("out"))
 
-    sorted_ = points.groupBy(*group).agg(F.array_sort(F.collect_set(F.col(at).cast("double"))).alias("_v"))
-    table = sorted_.select(*group, F.explode(F.aggregate("_v", start, put, lambda s: s["out"])).alias("_a")).select(*group, F.col("_a.at").alias("_at"), F.col("_a.anchor").alias("anchor"))
+    def put(s: Column, v: Column) -> Column:
+        far = s["anchor"].isNull() | (v - s["anchor"] > F.col("_tolerance"))
+        return F.when(far, F.struct(v.alias("anchor"), F.array_append(s["out"], v).alias("out"))).otherwise(s)
+
+    wide = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
+    values = points.select(*group, F.col(at).cast("double").alias("_at"), wide.alias("_tolerance"))
+    sorted_ = values.groupBy(*group).agg(F.array_sort(F.collect_set("_at")).alias("_v"), F.max("_tolerance").alias("_tolerance"))
+    starts = sorted_.select(*group, "_v", F.aggregate("_v", start, put, lambda s: s["out"]).alias("_a"))
+    told = F.transform("_v", lambda v: F.struct(v.alias("_at"), F.element_at(F.filter("_a", lambda a: a <= v), -1).alias("anchor")))
+    table = starts.select(*group, F.explode(told).alias("_t")).select(*group, "_t._at", "_t.anchor")
     return points.withColumn("_at", F.col(at).cast("double")).join(table, [*group, "_at"]).drop("_at")
 
 
@@ -41,25 +48,41 @@ def gap_kind(before_right: Column, x: Column, before_size: Column, size: Column,
     return F.when(F.greatest(before_size, size) <= 0, "none").when(em < NO_SPACE, "none").when(wide, "fragment").otherwise("space")
 
 
-def lines(spans: DataFrame, page: str, tolerance: float) -> DataFrame:
+def lines(spans: DataFrame, page: str | Sequence[str], tolerance: float | Column) -> DataFrame:
     """page, line (its anchor), y, x0, x1, size, fragments, text of spans (page, seq, text, x, y, w, size).
 
     Spans on one height, from the anchor on, are a line; its height is the median by characters, its size the
-    commonest by characters. Fragments, parted by wide gaps, are joined by tabs.
+    commonest by characters. Fragments, parted by wide gaps, are joined by tabs. All of a line is told from its spans, gathered once.
     """
-    placed = anchored(spans.where(F.length(t.js_trim(F.col("text"))) > 0), [page], "y", tolerance).withColumnRenamed("anchor", "line")
-    order = Window.partitionBy(page, "line").orderBy("x", "seq")
-    before = lambda c: F.lag(c).over(order)
-    kind = F.when(before(F.col("x")).isNull(), "").otherwise(gap_kind(before(F.col("x") + F.col("w")), F.col("x"), before(F.col("size")), F.col("size")))
-    spaced = F.coalesce(before(F.col("text")).rlike(r"\s$"), F.lit(False))
-    separator = F.when(kind == "fragment", "\t").when((kind == "space") & ~spaced, " ").otherwise("")
-    told = placed.select("*", kind.alias("_kind"), F.concat(separator, "text").alias("_piece"), F.greatest(F.lit(1), F.length(t.js_trim(F.col("text")))).alias("_weight"), F.round("size", 2).alias("_size"))
-    by = [page, "line"]
-    facts = told.groupBy(*by).agg(
-        F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), (F.count_if(F.col("_kind") == "fragment") + 1).alias("fragments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "_piece"))), lambda s: s["_piece"]), "").alias("text"),
+    by = [page] if isinstance(page, str) else [*page]
+    placed = anchored(spans.where(F.length(t.js_trim(F.col("text"))) > 0), by, "y", tolerance).withColumnRenamed("anchor", "line")
+    span = F.struct("x", "seq", "y", "w", F.col("size").cast("double").alias("size"), "text", F.greatest(F.lit(1), F.length(t.js_trim(F.col("text")))).cast("double").alias("weight"))
+    grouped = placed.groupBy(*by, "line").agg(F.array_sort(F.collect_list(span)).alias("_s"))
+    before = lambda i: F.get("_s", i - 1)
+    kinds = F.transform("_s", lambda s, i: F.when(i == 0, "").otherwise(gap_kind(before(i)["x"] + before(i)["w"], s["x"], before(i)["size"], s["size"])))
+    spaced = lambda i: F.coalesce(before(i)["text"].rlike(r"\s$"), F.lit(False))
+    mark = lambda i: F.when(F.get("_k", i) == "fragment", "\t").when((F.get("_k", i) == "space") & ~spaced(i), " ").otherwise("")
+    return grouped.withColumn("_k", kinds).select(
+        *by, "line", F.array_min(F.transform("_s", lambda s: s["x"])).alias("x0"), F.array_max(F.transform("_s", lambda s: s["x"] + s["w"])).alias("x1"),
+        (F.size(F.filter("_k", lambda k: k == "fragment")) + 1).cast("long").alias("fragments"), F.array_join(F.transform("_s", lambda s, i: F.concat(mark(i), s["text"])), "").alias("text"),
+        median_of("_s", "y").alias("y"), mode_of("_s", "size").alias("size"),
     )
-    return facts.join(weighted_median(told, by, "y", "_weight").withColumnRenamed("median", "y"), by).join(modal(told, by, "_size", "_weight").withColumnRenamed("mode", "size"), by)
+
+
+def median_of(spans: str, value: str) -> Column:
+    """Of an array of spans, the first value at which half of their weight is reached."""
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(s[value].cast("double").alias("v"), s["weight"].alias("w"))))
+    every = F.aggregate(spans, F.lit(0.0), lambda a, s: a + s["weight"])
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("median"))
+    step = lambda a, s: F.struct((a["upto"] + s["w"]).alias("upto"), F.when(a["median"].isNull() & (2 * (a["upto"] + s["w"]) >= every), s["v"]).otherwise(a["median"]).alias("median"))
+    return F.aggregate(sorted_, start, step, lambda a: a["median"])
+
+
+def mode_of(spans: str, value: str) -> Column:
+    """Of an array of spans, the value (to two decimals) with the greatest weight, the larger of two."""
+    values = F.array_distinct(F.transform(spans, lambda s: F.round(s[value], 2)))
+    weight = lambda v: F.aggregate(spans, F.lit(0.0), lambda a, s: a + F.when(F.round(s[value], 2) == v, s["weight"]).otherwise(0.0))
+    return F.array_max(F.transform(values, lambda v: F.struct(weight(v).alias("w"), v.alias("v"))))["v"]
 
 
 def share_near(values: DataFrame, group: Sequence[str], at: str, tolerance: float = EDGE) -> DataFrame:

@@ -116,7 +116,7 @@ def gutters(spark, sf_dir):
     return geometry.gutters(rows, ["l_suppkey"], "a", "b", most=2, least_width=3)
 
 
-@query("q_J07_furniture", "SELECT shape, count(DISTINCT l_suppkey)::BIGINT AS pages FROM (SELECT l_suppkey, regexp_replace(l_returnflag || ' ' || l_linestatus || ' ' || l_linenumber, '[0-9]', '#', 'g') AS shape, l_quantity AS y FROM lineitem) GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= greatest(2, 0.5 * (SELECT count(DISTINCT l_suppkey) FROM lineitem)) AND stddev_pop(y) <= 30")
+@query("q_J07_furniture", "SELECT shape, count(DISTINCT l_suppkey)::BIGINT AS pages FROM (SELECT l_suppkey, regexp_replace(l_returnflag || ' ' || l_linestatus || ' ' || l_linenumber, '[0-9]+', '#', 'g') AS shape, l_quantity AS y FROM lineitem) GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= greatest(2, 0.5 * (SELECT count(DISTINCT l_suppkey) FROM lineitem)) AND stddev_pop(y) <= 30")
 def furniture(spark, sf_dir):
     text = F.concat_ws(" ", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), text.alias("text"), F.col("l_quantity").alias("y"))

@@ -146,7 +146,7 @@ def headers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", special.alias("special"), t.header_snake(special).alias("snake"), t.essence(F.col("text")).alias("essence"))
 
 
-@query("q_F46_line_shape", f"SELECT doc_id, {sql_trim(f'''regexp_replace(regexp_replace(text, '[0-9]', '#', 'g'), '[{S}]+', ' ', 'g')''')} AS shape FROM documents")
+@query("q_F46_line_shape", f"SELECT doc_id, {sql_trim(f'''regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '[{S}]+', ' ', 'g')''')} AS shape FROM documents")
 def shapes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.line_shape(F.col("text")).alias("shape"))
 
