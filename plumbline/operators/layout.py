@@ -167,12 +167,13 @@ def _wraps(outer: Column, inner: Column, slack: float) -> Column:
     return side("x", "w") & side("y", "h")
 
 
-def shade_of(cells: DataFrame, fills: DataFrame, page: str, slack: float = 1.0) -> DataFrame:
-    """cells (id, x, y, w, h) with colour: of the smallest fill around them that isn't white."""
+def shade_of(cells: DataFrame, fills: DataFrame, page: str, slack: float = 1.0, most: str | None = None) -> DataFrame:
+    """cells (id, x, y, w, h) with colour: of the smallest fill around them that isn't white, nor larger than `most` of the cell."""
     box = lambda: F.struct(*[F.col(c).cast("double").alias(c) for c in "xywh"])
-    own = cells.select("id", page, box().alias("_cell"))
+    own = cells.select("id", page, box().alias("_cell"), (F.col(most) if most else F.lit(float("inf"))).alias("_most"))
     shades = fills.where(F.upper("colour") != "#FFFFFF").select(F.col(page).alias("_p"), "colour", box().alias("_fill"), (F.col("w") * F.col("h")).alias("_area"))
-    best = own.join(shades, (F.col(page) == F.col("_p")) & _wraps(F.col("_fill"), F.col("_cell"), slack)).groupBy("id").agg(F.min_by("colour", F.struct("_area", "colour")).alias("colour"))
+    fits = _wraps(F.col("_fill"), F.col("_cell"), slack) & (F.col("_area") <= F.col("_most"))
+    best = own.join(shades, (F.col(page) == F.col("_p")) & fits).groupBy("id").agg(F.min_by("colour", F.struct("_area", "colour")).alias("colour"))
     return cells.join(best, "id", "left")
 
 
