@@ -9,7 +9,7 @@ from plumbline.functions import text as t
 from plumbline.operators import clean, findings, semi, sequences, structure, tally
 from plumbline.plans.base import DIRTIED, dirtied, query, quote, sql_scrub, table
 from plumbline.session import scratch
-from plumbline.sources import delimited
+from plumbline.sources import delimited, records
 
 # ---- findings
 
@@ -223,6 +223,22 @@ def numbered(spark, sf_dir):
     return rows.select("_row", "c0", "c1")
 
 
+@query("q_S02_S10_quoted_lines", """SELECT doc_id::VARCHAR AS c0, replace(replace(text, '. ', '. ' || chr(10)), ', ', '", ') AS c1, 2 + doc_id % 3 AS cells, false AS unclosed FROM documents WHERE text IS NOT NULL""")
+def quoted_lines(spark, sf_dir):
+    """Whole texts with quotes, separators and line ends, rows of two to four cells, written and read in splits of 64 KiB; no value ends where a split does."""
+    folder = scratch(spark)
+    text = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(". \n")), F.lit(", "), F.lit('", '))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')), F.array_repeat(F.lit(" x"), (F.col("doc_id") % 3).cast("int")))
+    table(spark, sf_dir, "documents").where("text is not null").select(line).coalesce(4).write.text(f"{folder}/lines")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = records.read_records(spark, f"{folder}/lines", ",", "utf-8", folder=f"{folder}/rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return rows.select(F.get("cells", F.lit(0)).alias("c0"), F.get("cells", F.lit(1)).alias("c1"), F.size("cells").cast("long").alias("cells"), "unclosed")
+
+
 # ---- formats, nesting, reference headers
 
 _FORMAT = """CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN concat('a,b\\n', event_id, ',2\\n3,4') WHEN 2 THEN concat('name: ', event_type, '\\nid: 3\\n- x') WHEN 3 THEN event_type WHEN 4 THEN concat('{"k": ', event_id)

@@ -1,8 +1,7 @@
 """Delimited files of unknown encoding and separator, and writing them safely.
 
-Sniffing reads the first 64 KiB of a file. `read_rows` lets Spark split large UTF-8 files and still numbers rows as they stand in
-the file: a block's rows have consecutive ids, so a row's place is the count of the blocks before it and its place in the block.
-`read_grid` parses whole files, one task each, for other encodings and values that hold line ends; `read_large` lets Spark split a
+Sniffing reads the first 64 KiB of a file. `read_rows` lets Spark split large files and still numbers rows as they stand in the file
+(`records`). `read_grid` parses whole small files, one task each, as those in UTF-16 must be; `read_large` lets Spark split a
 file whose form is known, without places.
 """
 
@@ -16,13 +15,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import needs_formula_escape
-from plumbline.session import scratch, settled
-
 SNIFF = 64 * 1024
 #: Marks at a file's start, encodings tried without one, separators tried.
 MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
@@ -174,18 +171,13 @@ def read_large(spark: SparkSession, path: str, columns: list[str], separator: st
     return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])  # a blank is a blank, not null
 
 
-def read_rows(spark: SparkSession, path: str, width: int, separator: str = ",", folder: str | None = None) -> DataFrame:
-    """path, _row, c0 … of UTF-8 files, split by Spark: every line is a row, blank ones too; missing cells are blank."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "^\ufeff", "").alias("value"),
-    )
-    stored = settled(lines, folder or scratch(spark), "lines")
-    blocks = stored.groupBy("path", "_block").agg(F.count("_id").alias("_n"), F.min("_id").alias("_first"))  # a row a block
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = F.from_csv("value", schema, {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    numbered = stored.join(blocks.select("path", "_block", "_first", before.alias("_before")), ["path", "_block"])
-    return numbered.select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("_row"), cells.alias("_c")).select("path", "_row", *[F.coalesce(F.col(f"_c.c{i}"), F.lit("")).alias(f"c{i}") for i in range(width)])
+def read_rows(spark: SparkSession, path: str, width: int, separator: str | None = ",", folder: str | None = None, encoding: str | None = "utf-8") -> DataFrame:
+    """path, _row, c0 …, more of files that Spark splits: missing cells are blank, those beyond the width are in `more`. See `records.read_records`."""
+    from plumbline.sources.records import read_records
+
+    rows = read_records(spark, path, separator, encoding, folder=folder)
+    beyond = F.slice("cells", width + 1, F.greatest(F.lit(0), F.size("cells") - width))
+    return rows.select("path", "_row", *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)], beyond.alias("more"))
 
 
 def formula_safe(c: Column) -> Column:
