@@ -5,8 +5,9 @@ A page is cut into blocks at block-level tags. Pass 1 scores each block by itsel
     score = 2 * length * stop words - 3 * link density + prior
 
 length grows to 1 at `LONG` code points; stop words run from below 0 (none) to 1 (a share of `STOP_HIGH`);
-the prior comes from the element, role and class names around the block: `SURE` in menus, footers,
-sidebars, adverts, forms and comments, `LIKELY` under weaker words, a little above 0 in an article. A
+the prior comes from the element, role and class names around the block: `SURE`, which no score makes up for,
+in menus, footers, sidebars, notices, adverts, forms and comments, `LIKELY` under weaker words, a little above 0 in an article. Where
+nothing but headings is left outside marked places, marked blocks that would be good by their words are good. A
 score of `GOOD` makes a block good, one of `BAD` or less bad, and what lies between, as short blocks do,
 is ambiguous. On pages without the stop words known here length and links decide.
 
@@ -17,11 +18,12 @@ label of the nearest decided block at all. On a page without a good block, those
 good; with no decided block, those without links.
 
 An anchor without href is no link, and a block that ends closes the links opened in it. Character
-references are decoded, white space in a block becomes one space, blocks are trimmed and joined in page
+references are decoded, formulas are text, white space in a block becomes one space, blocks are trimmed and joined in page
 order by one space.
 
 Defined results: a null or empty page gives the empty text; broken markup is read as far as
-it goes, an unfinished tag or comment ends the page, an unmatched closing tag is passed over; repeated rows
+it goes, an unfinished tag or comment ends the page, as does a script or the like that isn't closed; other elements without text, as pictures or lists of choices, end where they are
+closed or closed at once, and are passed over if they never are; an unmatched closing tag is passed over; repeated rows
 give equal rows; an empty table gives an empty result; pages of any length are read whole, in time that grows
 with their length; columns named text or n_chars give way to the new ones.
 """
@@ -39,9 +41,10 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import table, with_results
 
-#: Block-level elements, elements whose content is no text, and those that never hold main text.
+#: Block-level elements, elements whose content is no markup (to the end of the page, if they aren't closed), others whose content is no text (if they are closed), and those that never hold main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style title textarea iframe noframes noembed xmp template svg math canvas object audio video select noscript head".split())
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
+SKIPPED = frozenset("template svg canvas object audio video select noscript head annotation annotation-xml".split())
 BOILER = frozenset("nav footer aside form button dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words in a class or id that mark what isn't main text, and those that often do.
@@ -61,7 +64,7 @@ SURE, LIKELY, ARTICLE, GOOD, BAD = -4.0, -1.5, 0.3, 1.2, -0.5
 #: Code points that count as long, shares of stop words that count as none and as full, and what counts on pages without any.
 LONG, STOP_LOW, STOP_HIGH, STOP_UNKNOWN = 140, 0.08, 0.3, 0.7
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none")
@@ -124,6 +127,7 @@ def blocks(html: str) -> list[Block]:
     names: Counter[str] = Counter()
     sure = likely = article = 0
     linked = False
+    unclosed: dict[str, bool] = {}
     number = at = 0
     block = Block()
 
@@ -160,13 +164,17 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         closing = bool(m[1])
-        if tag in RAW and not closing:
+        if tag in RAW or tag in SKIPPED:
+            if closing or unclosed.get(tag) or tag in SKIPPED and m[3].endswith("/"):
+                continue
             # head is skipped to its end, or to the body where that is missing
-            end = re.compile(r"</head\s*>|(?=<body\b)" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = re.compile(r"</head(?=[\s/>])[^>]*>|(?=<body\b)" if tag == "head" else rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if end is not None:
                 at = end.end()
-            elif tag != "head":
+            elif tag in RAW:
                 at = len(html)
+            else:
+                unclosed[tag] = True  # nor does a later one end: it isn't sought again
             continue
         if tag == "br":
             block.parts.append(" ")
@@ -213,13 +221,19 @@ def _judge(page: list[Block]) -> None:
     counts = [_stop_words(b.text) for b in page]
     plain = [c for b, c in zip(page, counts, strict=True) if b.prior != SURE]
     known = sum(s for s, _ in plain) >= 0.05 * sum(n for _, n in plain)
+    scores = []
     for b, (stop, n) in zip(page, counts, strict=True):
         dense = (min(stop / n, STOP_HIGH) - STOP_LOW) / (STOP_HIGH - STOP_LOW) if known else STOP_UNKNOWN
         link = b.linked / len(b.text.replace(" ", ""))
         own = 2 * min(1.0, len(b.text) / LONG) * dense - 3 * link
+        scores.append(own)
         b.good = _label(own + b.prior)
         if b.good is not None:
             b.by = "prior" if _label(own) != b.good else "links" if link > 0.2 else "words"
+    if not any(b.prior != SURE and not b.heading and b.good is not False for b in page):
+        for b, own in zip(page, scores, strict=True):
+            if b.prior == SURE and b.tag not in BOILER and _label(own):
+                b.good, b.by = True, "only"
 
 
 def _nearest(at: list[int], i: int, page: list[Block]) -> bool:
