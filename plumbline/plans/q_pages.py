@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import columns, grids
+from plumbline.operators import columns, grids, running
 from plumbline.plans.base import query, table
 from plumbline.session import scratch
 
@@ -175,3 +175,39 @@ def detected(spark, sf_dir):
     tagged = kept(_sizes(spark, sf_dir).where("k % 7 = 0")).select(name("g").alias("doc"), F.col("k").alias("table"), "page", F.lit(0).alias("row"), F.array(F.lit("tag"), F.col("k").cast("string")).alias("cells"))
     rows, _ = grids.detected_tables(spans, kept(_rules(spark, sf_dir, whole=True)).withColumn("doc", name("g")), ["doc"], "body", tagged, scratch(spark))
     return rows.select("doc", "path", "table", "page", "row", F.array_join("cells", "|").alias("cells"))
+
+
+#: Reports: a document a supplier, its pages those of its statements, with a head, a foot on most pages and another on every second.
+_REPORT = f"SELECT doc, page + 1 AS page, count(*) OVER (PARTITION BY doc) AS total FROM (SELECT DISTINCT doc, page FROM ({_ITEMS}))"
+
+
+def _report(spark, sf_dir):
+    """Lines and pages of reports."""
+    items = _items(spark, sf_dir)
+    pages = items.select("doc", (F.col("page") + 1).alias("page")).distinct().withColumn("total", F.count("*").over(Window.partitionBy("doc")))
+    page, n = F.col("page"), F.col("page").cast("string")
+    line = lambda rows, y, x0, x1, text: rows.select("doc", "page", y.cast("double").alias("y"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), (y - 9).cast("double").alias("top"), (y + 2).cast("double").alias("bottom"), text.alias("text"), F.lit(False).alias("artifact"))
+    lines = (
+        line(pages, 30 + page % 3 * 0.5, F.lit(100), F.lit(500), F.concat(F.lit("Supplier "), F.col("doc").cast("string"), F.lit(", page "), n, F.lit(" of "), F.col("total").cast("string")))
+        .unionByName(line(pages, F.lit(760), F.lit(400), F.lit(560), F.when(page % 4 == 0, "Note").otherwise(F.concat(F.lit("Printed for you on day "), n))))
+        .unionByName(line(pages.where("page % 2 = 0"), F.lit(775), F.lit(40), F.lit(90), F.lit("even")))
+        .unionByName(line(items.withColumn("page", F.col("page") + 1), 100 + 18 * F.col("k"), 71 + F.col("k") % 3, 300 + F.length("b"), F.col("b")))
+    )
+    return lines, pages.select("doc", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+
+
+@query("q_W21_W22_W23_running", f"""WITH p AS ({_REPORT}), f AS (SELECT doc, total, count(*) FILTER (page % 4 <> 0) AS n FROM p GROUP BY 1, 2)
+SELECT doc, 'header' AS zone, 1 AS nth, 30.5::DOUBLE AS y, 'Supplier ' || doc || ', page {{page}} of {{pages}}' AS template, total AS pages, 'center' AS align FROM f WHERE total > 3
+UNION ALL SELECT doc, 'footer', 1, 760, 'Printed for you on day {{page}}', n, 'right' FROM f WHERE total > 3 AND n >= ceil(0.6 * total)""")
+def running_lines(spark, sf_dir):
+    heads, _ = running.running(*_report(spark, sf_dir), ["doc"], scratch(spark))
+    return heads.select("doc", "zone", F.col("nth").cast("int").alias("nth"), "y", "template", "pages", "align")
+
+
+@query("q_A42_margins", f"""WITH r AS ({_ITEMS}), i AS (SELECT doc, max(100 + 18 * k) AS base, min(71 + k % 3) AS l, max(300 + len(b)) AS x1 FROM r GROUP BY 1)
+SELECT doc, 90.0::DOUBLE AS top, 270.0::DOUBLE AS right, least(CASE WHEN abs(800 - base - 90) <= 2 THEN 90 WHEN abs(800 - base - 108) <= 2 THEN 108 WHEN abs(800 - base - 72) <= 2 THEN 72 ELSE least(360, 800 - base) END, 90)::DOUBLE AS bottom, 72.0::DOUBLE AS left, 21.0::DOUBLE AS header, 36.0::DOUBLE AS footer FROM i""")
+def margins(spark, sf_dir):
+    lines, pages = _report(spark, sf_dir)
+    _, members = running.running(lines, pages, ["doc"], scratch(spark))
+    # Feet that don't run are no part of the text here.
+    return running.margins(lines.where("y < 720"), pages, members, ["doc"])
