@@ -25,6 +25,41 @@ def split_path(path: str) -> list[str | int]:
     return out
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _no_constant(name: str) -> Any:
+    raise ValueError(f"{name} is no JSON value")
+
+
+def read_json(text: str) -> tuple[Any, tuple[int, int, str] | None, bool]:
+    """The value of a JSON text, else its first fault (line, column, message); and whether something in it lay deeper than MAX_DEPTH, which becomes null.
+
+    Halves of characters are replaced, so what comes out is text; names as NaN are faults.
+    """
+    try:
+        value = json.loads(text, parse_constant=_no_constant)
+    except json.JSONDecodeError as e:
+        return None, (e.lineno, e.colno, e.msg), False
+    except RecursionError:
+        return None, (1, 1, "nested too deeply"), False
+    except ValueError as e:  # a number of more digits than Python reads, or a name
+        return None, (1, 1, str(e).partition(";")[0]), False
+    deep = []
+
+    def whole(v: Any, depth: int) -> Any:
+        if isinstance(v, str):
+            return _LONE.sub("\ufffd", v)
+        if not isinstance(v, dict | list):
+            return v
+        if depth >= MAX_DEPTH:
+            deep.append(True)
+            return None
+        return {_LONE.sub("\ufffd", k): whole(x, depth + 1) for k, x in v.items()} if isinstance(v, dict) else [whole(x, depth + 1) for x in v]
+
+    return whole(value, 0), None, bool(deep)
+
+
 def flatten(value: Any, prefix: str = "", depth: int = 0) -> list[tuple[str, Any]]:
     """(path, leaf) in document order; empty objects and lists are leaves, as is what lies too deep."""
     if isinstance(value, dict) and value and depth < MAX_DEPTH:
@@ -73,12 +108,10 @@ def detect_format(text: str, extension: str = "") -> tuple[str, str]:
     """(json, csv, yaml or text; high, medium or low): what a text is, the extension breaking ties."""
     body = text.strip().removeprefix("﻿")
     if body[:1] + body[-1:] in ("{}", "[]"):
-        try:
-            json.loads(body)
+        if read_json(body)[1] is None:
             return "json", "high"
-        except ValueError:
-            if re.match(r"[{\[]\s*[\"{\[\]}\d]", body):
-                return "json", "medium"
+        if re.match(r"[{\[]\s*[\"{\[\]}\d]", body):
+            return "json", "medium"
     lines = [x for x in body.split("\n")[:40] if x.strip()]
     for mark in (",", "\t", ";", "|"):
         widths = [x.count(mark) + 1 for x in lines[:25]]
@@ -95,15 +128,7 @@ def detect_format(text: str, extension: str = "") -> tuple[str, str]:
 
 def json_fault(text: str) -> tuple[int, int, str] | None:
     """Line, column (from 1) and message of the first fault of a JSON text; None if it has none."""
-    try:
-        json.loads(text)
-    except json.JSONDecodeError as e:
-        return e.lineno, e.colno, e.msg
-    except RecursionError:
-        return 1, 1, "nested too deeply"
-    except ValueError as e:  # a number of more digits than Python reads
-        return 1, 1, str(e).partition(";")[0]
-    return None
+    return read_json(text)[1]
 
 
 def fault_text(fault: tuple[int, int, str] | None) -> str:

@@ -13,10 +13,28 @@ from pyspark.sql import types as T
 from plumbline.functions import paths
 
 
+#: Columns of a table at most.
+COLUMNS = 16_384
+
+
+def normalised(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """key, json, fault, trimmed of each text: the value written anew without spaces, with null for what lies deeper than `paths.MAX_DEPTH` (trimmed tells); or the fault."""
+
+    @F.pandas_udf("json string, fault string, trimmed boolean")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            value, fault, trimmed = paths.read_json(text or "")
+            out.append((None if fault else json.dumps(value, ensure_ascii=False, separators=(",", ":")), paths.fault_text(fault) or None, trimmed))
+        return pd.DataFrame(out, columns=["json", "fault", "trimmed"])
+
+    return docs.select(key, told(F.col(column)).alias("n")).select(key, "n.*")
+
+
 def flatten_json(docs: DataFrame, key: str, column: str) -> DataFrame:
     """key, record, place, path, value: a row for each leaf; a list at the top is one record an element.
 
-    Texts that aren't JSON give one leaf with the path null and the fault as value.
+    Texts that aren't JSON give one leaf with the path null and the fault as value; what lies deeper than `paths.MAX_DEPTH` is null.
     """
     kind = docs.schema[key].dataType
 
@@ -24,11 +42,10 @@ def flatten_json(docs: DataFrame, key: str, column: str) -> DataFrame:
         for batch in batches:
             out = []
             for k, text in zip(batch[key], batch["_json"], strict=True):
-                fault = paths.json_fault(text or "")
+                value, fault, _ = paths.read_json(text or "")
                 if fault:
                     out.append((k, 0, 0, None, f"{fault[0]}:{fault[1]} {fault[2]}"))
                     continue
-                value = json.loads(text)
                 for r, record in enumerate(value if isinstance(value, list) else [value]):
                     out += [(k, r, i, p, paths.leaf_text(v)) for i, (p, v) in enumerate(paths.flatten(record))]
             yield pd.DataFrame(out, columns=["key", "record", "place", "path", "value"]).rename(columns={"key": key})
@@ -41,7 +58,9 @@ def to_table(leaves: DataFrame, key: str, fields: list[str] | None = None) -> Da
     """key, record and a column for each path, paths in the order in which they come first."""
     if fields is None:
         first = leaves.where("path is not null").groupBy("path").agg(F.min(F.struct(key, "record", "place")).alias("at"))
-        fields = [r["path"] for r in first.orderBy("at").select("path").collect()]  # one row a column
+        fields = [r["path"] for r in first.orderBy("at").select("path").limit(COLUMNS + 1).collect()]
+        if len(fields) > COLUMNS:
+            raise ValueError(f"more than {COLUMNS} paths make no table: name the fields, or keep the rows of paths")
     return leaves.groupBy(key, "record").agg(*[F.max(F.when(F.col("path") == f, F.col("value"))).alias(f) for f in fields])
 
 

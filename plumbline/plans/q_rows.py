@@ -270,3 +270,13 @@ def reference_headers(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("Product Code"), F.col("p_brand").alias("encoded"), F.col("p_size").alias("Account No."), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("label"))
     long = rows.select(F.col("p_partkey").alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in rows.columns[1:]])).alias("c")).select("row", "c.*")
     return tally.assess(long).select("name", "values", "distinct_values", "reason")
+
+
+@query("q_M10_M19_normalised", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 90 <= 64 THEN repeat('[', (event_id % 90)::INT) || event_id || repeat(']', (event_id % 90)::INT) ELSE repeat('[', 64) || 'null' || repeat(']', 64) END AS json,
+CASE WHEN event_id % 7 = 0 THEN 'Expecting value (line 2, column ' || ((event_id % 90)::INT + 1) || ')' END AS fault, event_id % 7 <> 0 AND event_id % 90 > 64 AS trimmed FROM events""")
+def normalised(spark, sf_dir):
+    """Lists in lists, deeper than the ceiling in some, and broken in others."""
+    n = (F.col("event_id") % 90).cast("int")
+    value = F.when(F.col("event_id") % 7 == 0, F.lit("x")).otherwise(F.col("event_id").cast("string"))
+    text = F.concat(F.repeat(F.lit("["), n), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("\n"), F.repeat(F.lit(" "), n))).otherwise(""), value, F.repeat(F.lit("]"), n))
+    return semi.normalised(table(spark, sf_dir, "events").select("event_id", text.alias("v")), "event_id", "v")

@@ -11,6 +11,7 @@ from plumbline.functions import text as t
 from plumbline.operators import clean as cleaner
 from plumbline.operators import headers, sequences
 from plumbline.plans import catalogue
+from plumbline.operators import semi
 from plumbline.sources import delimited
 from plumbline.streaming import clean as streaming
 
@@ -258,6 +259,27 @@ def test_paths():
     assert paths.json_fault('{"a" 1}')[:2] == (1, 6) and paths.json_fault("[1]") is None
 
 
+def test_json_that_is_odd(spark):
+    """Half characters, names that are no JSON, and depth: no row ends the job."""
+    deep = lambda n: "[" * n + "1" + "]" * n
+    rows = [(1, '{"b":"\\ud800","\\udc00":1}'), (2, "[NaN]"), (3, deep(64)), (4, deep(65)), (5, deep(100_000)), (6, None), (7, "1" * 5000), (8, '{"a":{"b":[{"c":-Infinity}]}}')]
+    docs = spark.createDataFrame(rows, "k long, v string")
+    got = {}
+    for r in semi.flatten_json(docs, "k", "v").orderBy("k", "record", "place").collect():
+        got.setdefault(r.k, []).append((r.path, r.value))
+    assert got[1] == [("b", "\ufffd"), ("\ufffd", "1")] and got[2][0][0] is None and got[8][0][0] is None
+    assert got[3] == [(".".join(["0"] * 63), "1")] and got[4] == [(".".join(["0"] * 63), "null")]
+    assert got[5][0][0] is None and got[6][0][0] is None and got[7][0][0] is None
+    told = {r.k: r for r in semi.normalised(docs, "k", "v").collect()}
+    assert told[4].trimmed and not told[3].trimmed and told[4].json == "[" * 64 + "null" + "]" * 64 and told[2].json is None and "NaN" in told[2].fault
+    with pytest.raises(ValueError, match="paths"):
+        semi.COLUMNS, before = 1, semi.COLUMNS
+        try:
+            semi.to_table(semi.flatten_json(docs, "k", "v"), "k")
+        finally:
+            semi.COLUMNS = before
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "cp1252"])
 def test_delimited_files(spark, tmp_path, encoding):
     (tmp_path / "a.csv").write_bytes('Name;Größe €\n"Zoë; x";"1\n2"\nB'.encode(encoding))
