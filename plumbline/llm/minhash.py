@@ -8,17 +8,19 @@
    one error, so each chunk is entered under its 4 keys with one symbol left out: 24 exact
    keys of 48 bits a class. All pairs at distance 11 or less share a key; of texts at
    similarity 0.75 a share of 0.0003 shares none (each chunk fails with 0.26).
-3. Links are confirmed on full sets. Round 1 compares each class with the pivot (least id)
+3. Links are confirmed on full sets. Round 1 compares each class with the pivot (the first)
    of the bucket family it shares most keys with: one pair a class at most, and a
    group of copies becomes one component at once. Round 2 takes the buckets whose members
    still lie in several components, cuts each into blocks and compares, block by block,
    all pairs across components whose signatures are within `DISTANCE`. No step emits all pairs
    of a bucket, and none is capped or sampled.
 
+A link is lost only if its texts share no key (a share of 0.0003 at similarity 0.75, 0.00004 at 0.80, less above) or, in round 2, lie beyond `DISTANCE`
+(1e-5 at 0.75; none with SYMBOLS).
+
 Defined results: null texts and texts without words have no shingles and link with nothing;
-texts of fewer than five words are one shingle, their whole sequence; a null doc_id links with
-nothing (component null, kept false); rows that share a doc_id count as one document for
-links, whatever their texts; of equal texts the least doc_id stands for all; columns besides the id, the text and those to keep
+texts of fewer than five words are one shingle, their whole sequence; ids are of any type that has an order; a null doc_id links with
+nothing (component null, kept false); rows that share a doc_id are documents of their own, linked by their texts only; columns besides the id, the text and those to keep
 are left out, whatever their names; texts of any length are read whole; an empty table gives an empty result.
 """
 
@@ -167,19 +169,21 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[s
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark)
+    hashed = F.xxhash64("text")
     features = settled(
-        with_results(docs.select("doc_id", *keep, "text"), _features, "n_shingles long, digest binary, signature array<bigint>"), folder, "features",
+        with_results(docs.select("doc_id", *keep, "text", hashed.alias("_hash")), _features, "n_shingles long, digest binary, signature array<bigint>"), folder, "features",
     )
     usable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    # A class goes by a number of its own, as an id may be shared; its text is that of one of its rows.
     classes = settled(
-        features.where(usable).groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), folder, "classes",
+        features.where(usable).groupBy("digest").agg(F.min(F.struct("doc_id", "_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        .withColumn("node", F.monotonically_increasing_id()), folder, "classes",
     )
     entered = classes.select("node", F.explode(F.array(*_keys())).alias("key"))
     buckets = entered.groupBy("key").agg(F.count("node").alias("many"), F.min("node").alias("pivot")).where("many > 1")
     members = settled(entered.join(buckets, "key"), folder, "members")
-    texts = settled(
-        docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), folder, "texts",
-    )
+    spoken = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least._hash")
+    texts = settled(docs.select("doc_id", "text", hashed.alias("_hash")).join(spoken, ["doc_id", "_hash"]).groupBy("doc_id", "_hash", "node").agg(F.first("text").alias("text")).select("node", "text"), folder, "texts")
 
     votes = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("key").alias("hits"))
     first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("hits", -F.col("pivot"))).alias("pivot"))
@@ -218,10 +222,11 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[s
     whole = joined
     if not more.isEmpty():
         whole = components(links.unionByName(more), f"{folder}/components2")
-    group = classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    placed = settled(classes.join(whole, "node", "left").select("digest", F.col("least.doc_id").alias("_id"), F.coalesce("component", "node").alias("component")), folder, "placed")
+    group = placed.join(placed.groupBy("component").agg(F.min("_id").alias("_least")), "component").select("digest", "_least")
     return features.join(group, "digest", "left").select(
         "doc_id", *keep, "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
