@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, keep: Sequence[s
     )
     by = ["key", "i", "j"]
     shape = dealt.schema
-    # Dealt out by number, as the work is in comparing and not in bytes, by which partitions would be merged.
+    # Dealt out by number, as the work is in comparing and not in bytes, by which partitions would be merged; and by range, as hashing puts several block pairs in one task.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = settled(dealt.repartition(tasks, *by).groupBy(*by).applyInPandas(lambda g: _open_nodes(g, distance), shape), folder, "open")
+    wanted = settled(dealt.repartitionByRange(tasks, *by).groupBy(*by).applyInPandas(lambda g: _open_nodes(g, distance), shape), folder, "open")
     across = wanted.join(texts, "node").repartition(tasks, *by).groupBy(*by).applyInPandas(lambda g: _across(g, distance), "a long, b long")
     more = settled(across.distinct(), folder, "round2")
 
