@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import columns, grids, running
+from plumbline.operators import columns, grids, paragraphs, running
 from plumbline.plans.base import query, table
 from plumbline.session import scratch
 
@@ -211,3 +211,50 @@ def margins(spark, sf_dir):
     _, members = running.running(lines, pages, ["doc"], scratch(spark))
     # Feet that don't run are no part of the text here.
     return running.margins(lines.where("y < 720"), pages, members, ["doc"])
+
+
+#: Set pages: forty line items of a supplier a page, five to a paragraph, with two headings.
+_TYPED = f"SELECT l_suppkey AS doc, n // 40 AS page, n % 40 AS k, (50 + 12 * (n % 40) + 12 * (n % 40 // 5))::DOUBLE AS y, CASE WHEN n % 20 = 10 THEN 14.0 ELSE 10.0 END::DOUBLE AS size, CASE WHEN n % 20 = 10 THEN 'Heading ' || l_partkey ELSE 'part ' || l_partkey || CASE WHEN n % 5 = 4 THEN '.' ELSE '' END END AS text FROM ({_NUMBERED})"
+
+
+def _typed(spark, sf_dir):
+    keys = "l_orderkey l_linenumber l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+    n, part = F.col("n"), F.col("l_partkey").cast("string")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)) - 1).alias("n"))
+    text = F.when(n % 20 == 10, F.concat(F.lit("Heading "), part)).otherwise(F.concat(F.lit("part "), part, F.when(n % 5 == 4, ".").otherwise("")))
+    none = F.lit(None).cast("double")
+    return rows.select(
+        F.col("l_suppkey").alias("doc"), F.expr("n div 40").alias("page"), F.lit(0).alias("col"), F.expr("cast(50 + 12 * (n % 40) + 12 * (n % 40 div 5) as double)").alias("y"), F.lit(60.0).alias("x0"), (400.0 + 4 * (n % 5)).alias("x1"),
+        F.when(n % 20 == 10, 14.0).otherwise(10.0).alias("size"), text.alias("text"), none.alias("marker_x"), none.alias("text_x"), F.lit(False).alias("bold"), F.lit(60.0).alias("left"), F.lit(460.0).alias("right"), F.lit(10.0).alias("body"), F.lit(12.0).alias("leading"),
+    )
+
+
+@query("q_W19_W20_P22_P23_P24_P25_paragraphs", f"""WITH l AS ({_TYPED}), p AS (SELECT *, sum(CASE WHEN k % 5 = 0 OR k % 20 = 11 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS para FROM l)
+SELECT doc, page, para::INT AS para, CASE WHEN max(size) = 14 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN max(size) = 14 THEN 1 END AS level, string_agg(text, ' ' ORDER BY k) AS text, 'left' AS align, count(*)::INT AS lines, min(y) AS top, 12.0::DOUBLE AS leading, (CASE WHEN min(k) > 0 AND min(k) % 5 = 0 THEN 12 ELSE 0 END)::DOUBLE AS "before" FROM p GROUP BY 1, 2, 3""")
+def set_paragraphs(spark, sf_dir):
+    return paragraphs.paragraphs(_typed(spark, sf_dir), ["doc", "page"]).select("doc", "page", "para", "kind", "level", "text", "align", "lines", "top", "leading", "before")
+
+
+@query("q_A37_body_metrics", f"""WITH l AS ({_TYPED}), f AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'Sans' ELSE 'Serif' END AS family FROM l), s AS (SELECT doc, arg_max(size, (n, size)) AS body FROM (SELECT doc, size, sum(len(text)) AS n FROM l GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT doc, arg_max(family, (n, family)) AS family FROM (SELECT f.doc, family, sum(len(text)) AS n FROM f JOIN s ON f.doc = s.doc AND abs(size - body) <= 0.6 GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT doc, y - lag(y) OVER w AS gap, size, lag(size) OVER w AS was FROM l WINDOW w AS (PARTITION BY doc, page ORDER BY k)), r AS (SELECT g.doc, gap, row_number() OVER (PARTITION BY g.doc ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY g.doc) AS n FROM g JOIN s USING (doc) WHERE abs(size - body) <= 0.6 AND abs(was - body) <= 0.6 AND gap > body / 2 AND gap < 3 * body)
+SELECT doc, body, family, coalesce(gap, 1.15 * body) AS leading FROM s JOIN m USING (doc) LEFT JOIN (SELECT doc, gap FROM r WHERE i = n // 2) USING (doc)""")
+def body_metrics(spark, sf_dir):
+    lines = _typed(spark, sf_dir)
+    at = F.expr("cast((y - 50) / 12 as int)")  # the line's number and that of the paragraphs before it
+    k = at - F.floor(at / 6).cast("int")
+    return paragraphs.body_metrics(lines.withColumn("family", F.when(k % 3 == 0, "Sans").otherwise("Serif")), lines, ["doc"])
+
+
+_TABBED = "SELECT l_orderkey AS block, l_linenumber AS k, (100 + l_orderkey % 3)::DOUBLE AS a, (250 + CASE WHEN l_linenumber % 4 = 3 THEN l_orderkey % 2 * 9 ELSE l_linenumber % 2 END)::DOUBLE AS b FROM lineitem WHERE l_linenumber <= 7 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber) = 1"
+
+
+@query("q_W17_W18_P20_tab_stops", f"""WITH l AS ({_TABBED}), g AS (SELECT block, count(*) AS n, any_value(a) AS a, median(b) AS m, list(b) AS bs FROM l GROUP BY 1)
+SELECT block, n >= 3 AS tabbed, (CASE WHEN n >= 3 THEN n ELSE 0 END)::INT AS run, 'left ' || a || ', ' || CASE WHEN n = 1 OR len(list_filter(bs, lambda v: abs(v - m) > 3)) > 0 THEN 'right 500.0' ELSE 'left ' || m END AS stops FROM g""")
+def tab_stops(spark, sf_dir):
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").where(n <= 7).select(key.alias("block"), n.cast("double").alias("y")).distinct()
+    second = 250 + F.when(F.col("y") % 4 == 3, F.col("block") % 2 * 9).otherwise(F.col("y") % 2)
+    lines = lines.select("block", "y", F.lit(60.0).alias("x0"), F.lit(500.0).alias("x1"), F.array((100 + F.col("block") % 3).cast("double"), second.cast("double")).alias("stops"), F.lit(10.0).alias("body"))
+    text = F.array_join(F.transform("stops", lambda s: F.concat_ws(" ", s["type"], s["pos"].cast("string"))), ", ")
+    return paragraphs.tab_stops(lines, ["block"]).select("block", "tabbed", "run", text.alias("stops"))
