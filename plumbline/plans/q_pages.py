@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import columns, grids, paragraphs, running
+from plumbline.operators import columns, grids, paragraphs, running, trees
 from plumbline.plans.base import query, table
 from plumbline.session import scratch
 
@@ -258,3 +258,31 @@ def tab_stops(spark, sf_dir):
     lines = lines.select("block", "y", F.lit(60.0).alias("x0"), F.lit(500.0).alias("x1"), F.array((100 + F.col("block") % 3).cast("double"), second.cast("double")).alias("stops"), F.lit(10.0).alias("body"))
     text = F.array_join(F.transform("stops", lambda s: F.concat_ws(" ", s["type"], s["pos"].cast("string"))), ", ")
     return paragraphs.tab_stops(lines, ["block"]).select("block", "tabbed", "run", text.alias("stops"))
+
+
+@query("q_P30_tree_paths", """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 0 THEN c_custkey // 3 END AS parent, CASE c_custkey % 5 WHEN 0 THEN 'a' ELSE 'b' END AS role FROM customer),
+p AS (SELECT id, id::VARCHAR AS path, 1 AS depth, NULL::BIGINT AS above, role FROM n WHERE parent IS NULL UNION ALL SELECT n.id, p.path || '/' || n.id, p.depth + 1, CASE WHEN p.role = 'a' THEN p.id ELSE p.above END, n.role FROM p JOIN n ON n.parent = p.id)
+SELECT id, path, depth::INT AS depth, above FROM p""")
+def tree_paths(spark, sf_dir):
+    key = F.col("c_custkey").cast("long")
+    nodes = table(spark, sf_dir, "customer").select(F.lit(1).alias("tree"), key.alias("id"), F.when(key > 0, F.expr("cast(c_custkey div 3 as long)")).alias("parent"), (key % 3).alias("ord"), F.when(key % 5 == 0, "a").otherwise("b").alias("role"))
+    paths = trees.tree_paths(nodes, ["tree"], scratch(spark))
+    return paths.select("id", F.array_join(F.transform("path", lambda n: n["id"].cast("string")), "/").alias("path"), F.size("path").alias("depth"), trees.nearest(F.col("path"), ["a"], itself=False).alias("above"))
+
+
+@query("q_J11_P05_P06_tagged_tables", f"""WITH {_FILLED}, m AS (SELECT doc, max(cols) AS most FROM z GROUP BY 1), g AS (SELECT DISTINCT z.doc, page, r, c FROM z JOIN m USING (doc), unnest(range(rows)) AS u(r), unnest(range(most)) AS v(c))
+SELECT g.doc, 1 AS "table", g.page, g.r::INT AS "row", string_agg(coalesce(text, ''), '|' ORDER BY g.c) AS cells FROM g LEFT JOIN t ON t.doc = g.doc AND t.page = g.page AND t.r = g.r AND t.c = g.c GROUP BY 1, 3, 4""")
+def tagged(spark, sf_dir):
+    """A tree a page: a document, its table, rows in a group, cells; the texts in them carry the marks of their cells."""
+    until = lambda n: F.explode(F.sequence(F.lit(0), n))
+    node = lambda rows, id_, parent, ord_, role: rows.select("doc", "page", id_.cast("long").alias("id"), parent.cast("long").alias("parent"), ord_.cast("int").alias("ord"), F.lit(role).alias("role"))
+    sizes, r, c = _sizes(spark, sf_dir), F.col("r"), F.col("c")
+    rows = sizes.withColumn("r", until(F.col("rows") - 1))
+    cells = rows.withColumn("c", until(F.col("cols") - 1))
+    zero = F.lit(0)
+    nodes = node(sizes, zero, F.lit(None), zero, "Document")
+    for more in (node(sizes, zero + 1, zero, zero, "Table"), node(sizes, zero + 2, zero + 1, zero, "TBody"), node(rows, 10 + r, zero + 2, r, "TR"), node(cells, 1000 + r * 10 + c, 10 + r, c, "TD")):
+        nodes = nodes.unionByName(more)
+    marks = cells.select("doc", "page", F.concat_ws(".", r, c).alias("mark"), (1000 + r * 10 + c).cast("long").alias("node"))
+    spans = _grid_spans(spark, sf_dir).withColumn("mark", F.concat_ws(".", F.floor(F.col("seq") / 1000), F.floor(F.col("seq") % 1000 / 10)))
+    return trees.tagged_tables(spans, nodes, marks, ["doc"], "body", scratch(spark)).select("doc", "table", "page", "row", F.array_join("cells", "|").alias("cells"))
