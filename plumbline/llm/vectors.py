@@ -16,7 +16,7 @@
    with, never its pairs.
 4. Links are summed; components follow from the leaves' rows.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite numbers, and those with a
+Defined results: ids are whole numbers; vectors that are null, empty, zero or hold null or non-finite numbers, and those with a
 null label, link with nothing; so do vectors of different lengths; a null vec_id gets no component
 and is kept false; rows that share a vec_id count apart as links and together as a node; of equal vectors the least
 vec_id stands for all; columns besides the three are left out, whatever their names; an empty table gives an empty result.
@@ -59,6 +59,7 @@ def _direction(seed: int, tree: int, node: int, turn: int, size: int) -> np.ndar
 
 def _unit(rows: list) -> np.ndarray:
     x = np.asarray(rows, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -138,7 +139,7 @@ def _compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         near &= part[:, None] != part[None, :]
     touched = np.flatnonzero(near.any(axis=1))
     if not len(touched):
-        return pd.DataFrame({"node": [], "links": [], "low": []}, dtype="int64")
+        return pd.DataFrame({"label": [], "size": [], "node": [], "links": [], "low": []}, dtype="int64")
     near = near[np.ix_(touched, touched)]
     group = group.iloc[touched]
     earlier = [np.asarray(codes, np.int64) for codes in group["earlier"]]
@@ -155,7 +156,7 @@ def _compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if (better == low).all():
             break
         low = better
-    return pd.DataFrame({"node": nodes, "links": links.astype(np.int64), "low": low})
+    return pd.DataFrame({"label": group["label"], "size": group["size"], "node": nodes, "links": links.astype(np.int64), "low": low})
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
@@ -259,8 +260,9 @@ def forest_links(vectors: DataFrame, folder: str | None = None, trees: int = TRE
     each = placed.select("label", "size", "node", "copies", "kind", "packed", "leaves", F.explode("leaves").alias("code")).withColumn("tree", tree).withColumn("leaf", leaf)
     if not each.groupBy(*_LEAF).agg(F.count("node").alias("n")).where(F.col("n") > FULL * LEAF).isEmpty():
         entered = _split_on(settled(each.drop("leaves", "code").withColumn("open", F.lit(True)), folder, "entered"), folder, trees)
-        codes = entered.select("node", F.shiftleft(F.col("tree").cast("long"), 40).bitwiseOR(F.col("leaf")).alias("code"))
-        each = entered.drop("open").join(codes.groupBy("node").agg(F.array_sort(F.collect_list("code")).alias("leaves")), "node").withColumn("code", F.shiftleft(F.col("tree").cast("long"), 40).bitwiseOR(F.col("leaf")))
+        own = ["label", "size", "node"]  # an id may occur in several labels, whose leaves are others
+        codes = entered.select(*own, F.shiftleft(F.col("tree").cast("long"), 40).bitwiseOR(F.col("leaf")).alias("code"))
+        each = entered.drop("open").join(codes.groupBy(*own).agg(F.array_sort(F.collect_list("code")).alias("leaves")), own).withColumn("code", F.shiftleft(F.col("tree").cast("long"), 40).bitwiseOR(F.col("leaf")))
     first = F.shiftleft(F.col("tree").cast("long"), 40)
     each = each.withColumn("earlier", F.filter("leaves", lambda c: c < first))
     within = F.filter("leaves", lambda c: (c >= first) & (c < F.col("code")))  # of one tree, a pair counts in the first leaf that both are in
@@ -272,10 +274,10 @@ def forest_links(vectors: DataFrame, folder: str | None = None, trees: int = TRE
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*_LEAF, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "kind", "packed", "earlier")
     )
-    found = settled(dealt.groupBy(*_LEAF, "i", "j").applyInPandas(_compare, "node long, links long, low long"), folder, "found")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    found = settled(dealt.groupBy(*_LEAF, "i", "j").applyInPandas(_compare, f"label {dealt.schema['label'].dataType.simpleString()}, size int, node long, links long, low long"), folder, "found")
+    links = found.groupBy("label", "size", "node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), f"{folder}/components")
-    facts = classes.select(*by, "node", "copies").join(links, "node", "left").join(joined, "node", "left").select(
+    facts = classes.select(*by, "node", "copies").join(links, ["label", "size", "node"], "left").join(joined, "node", "left").select(
         *by, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"),
     )
     rows = packed.select("vec_id", "label", "size", F.when(usable, F.col("digest")).alias("digest"))
