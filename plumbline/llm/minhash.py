@@ -43,7 +43,7 @@ SYMBOLS = CHUNKS * PER_CHUNK
 #: Signature distance up to which a pair's full sets are compared in round 2; a pair at similarity 0.75 lies beyond it with 1e-5. SYMBOLS compares all.
 DISTANCE = 15
 #: Classes a block.
-BLOCK = 400
+BLOCK = 300
 
 _random = np.random.default_rng(5)
 _MULTIPLY = _random.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
