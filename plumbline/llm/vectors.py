@@ -139,7 +139,7 @@ def _compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         near &= part[:, None] != part[None, :]
     touched = np.flatnonzero(near.any(axis=1))
     if not len(touched):
-        return pd.DataFrame({"label": [], "size": [], "node": [], "links": [], "low": []}, dtype="int64")
+        return pd.DataFrame({"label": [], "size": [], "node": [], "links": [], "low": []}, dtype="int64").astype({"label": group["label"].dtype})
     near = near[np.ix_(touched, touched)]
     group = group.iloc[touched]
     earlier = [np.asarray(codes, np.int64) for codes in group["earlier"]]

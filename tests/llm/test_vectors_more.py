@@ -26,3 +26,10 @@ def test_ids_in_two_labels(spark, monkeypatch):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         wanted += int((x @ x.T >= 0.93).sum()) - len(x)
     assert 0.95 * wanted <= links <= wanted
+
+
+def test_leaves_without_links(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, v.tolist(), k % 3) for k, v in enumerate(rng.standard_normal((300, 32)))]
+    out = vectors.forest_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.n_links for r in out} == {0} and all(r.kept for r in out)
