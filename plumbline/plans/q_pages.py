@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import columns, grids, paragraphs, running, trees
+from plumbline.operators import columns, grids, paragraphs, running, sheets, trees
 from plumbline.plans.base import query, table
 from plumbline.session import scratch
 
@@ -286,3 +286,31 @@ def tagged(spark, sf_dir):
     marks = cells.select("doc", "page", F.concat_ws(".", r, c).alias("mark"), (1000 + r * 10 + c).cast("long").alias("node"))
     spans = _grid_spans(spark, sf_dir).withColumn("mark", F.concat_ws(".", F.floor(F.col("seq") / 1000), F.floor(F.col("seq") % 1000 / 10)))
     return trees.tagged_tables(spans, nodes, marks, ["doc"], "body", scratch(spark)).select("doc", "table", "page", "row", F.array_join("cells", "|").alias("cells"))
+
+
+#: Sheets: the lines of statements, their header on each page, as tables.
+@query("q_P13_P14_P15_S69_W35_sheets", f"""WITH i AS MATERIALIZED ({_ITEMS}), n AS (SELECT doc, page, k, a, b, c, d, row_number() OVER (PARTITION BY doc ORDER BY page, k) + 1 AS record FROM i)
+SELECT doc, 1 AS record, true AS is_header, 'Date|Details|Paid|Balance' AS cells, 'text text text text' AS kinds, '' AS reasons, '0' AS sources FROM (SELECT DISTINCT doc FROM i)
+UNION ALL SELECT doc, record::INT, false, a || '|' || b || CASE WHEN k % 5 = 3 THEN ' and more of it' ELSE '' END || '|' || c || '|' || CASE WHEN k = 7 THEN 'none' ELSE d END, 'date text number ' || CASE WHEN k = 7 THEN 'text' ELSE 'number' END, CASE WHEN k = 7 THEN 'Something here isn’t a number' ELSE '' END,
+(page * 1000 + k * 10 + 10) || CASE WHEN k % 5 = 3 THEN ',' || (page * 1000 + k * 10 + 11) ELSE '' END FROM n""")
+def made_sheets(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    line = lambda rows, row, *cells: rows.select("doc", row.cast("long").alias("row"), "page", F.array(*cells).alias("cells"))
+    at, none = F.col("page") * 1000 + F.col("k") * 10 + 10, F.lit("")
+    lines = (
+        line(items, at, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d")))
+        .unionByName(line(items.where("k % 5 = 3"), at + 1, none, F.lit("and more of it"), none, none))
+        .unionByName(line(items.select("doc", "page").distinct(), F.col("page") * 1000, F.lit("Date"), F.lit(" Details"), F.lit("Paid"), F.lit("Balance")))
+    )
+    made = sheets.sheets(lines, ["doc"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return made.rows.select("doc", F.col("record").cast("int").alias("record"), "is_header", F.array_join("cells", "|").alias("cells"), F.array_join(F.transform("typed", lambda x: x["kind"]), " ").alias("kinds"), "reasons", text("sources").alias("sources"))
+
+
+@query("q_S69_A23_sheet_summaries", f"""WITH i AS MATERIALIZED ({_ITEMS}) SELECT doc, count(*) + 1 AS "rows", count(DISTINCT page) - 1 AS dropped, 1 - count(*) FILTER (k = 7) / (count(*) + 1)::DOUBLE AS confidence FROM i GROUP BY 1""")
+def sheet_summaries(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    line = lambda rows, row, *cells: rows.select("doc", row.cast("long").alias("row"), "page", F.array(*cells).alias("cells"))
+    lines = line(items, F.col("page") * 100 + F.col("k") + 1, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d"))).unionByName(
+        line(items.select("doc", "page").distinct(), F.col("page") * 100, F.lit("Date"), F.lit("Details"), F.lit("Paid"), F.lit("Balance")))
+    return sheets.sheets(lines, ["doc"]).sheets.select("doc", "rows", "dropped", "confidence")
