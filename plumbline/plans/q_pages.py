@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import wrap
 from plumbline.operators import columns, grids, paragraphs, running, sheets, trees
 from plumbline.plans.base import query, table
 from plumbline.session import scratch
@@ -314,3 +315,14 @@ def sheet_summaries(spark, sf_dir):
     lines = line(items, F.col("page") * 100 + F.col("k") + 1, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d"))).unionByName(
         line(items.select("doc", "page").distinct(), F.col("page") * 100, F.lit("Date"), F.lit("Details"), F.lit("Paid"), F.lit("Balance")))
     return sheets.sheets(lines, ["doc"]).sheets.select("doc", "rows", "dropped", "confidence")
+
+
+_FLAT = r"trim(regexp_replace(regexp_replace(text, '([^ \t\n\r\f\v]{30})', '\1 ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))"
+
+
+@query("q_N36_N39_wrapped", rf"WITH l AS (SELECT doc_id, list_transform(regexp_extract_all({_FLAT}, '([^ ].{{0,39}})( |$)', 1), lambda x: rtrim(x, ' ')) AS l FROM documents WHERE text IS NOT NULL AND {_FLAT} <> '') SELECT doc_id, len(l)::INT AS lines, md5(array_to_string(l, chr(10))) AS digest FROM l")
+def wrapped(spark, sf_dir):
+    """Whole texts in lines of forty letters of one width; words beyond thirty are parted first."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace("text", r"([^ \t\n\r\f\x0b]{30})", "$1 "), r"[ \t\n\r\f\x0b]+", " "))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", flat.alias("t")).where("t <> ''").select("doc_id", wrap.wrapped(F.col("t"), 200.0, 10.0, {}, 500).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
