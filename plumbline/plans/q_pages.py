@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import wrap
+from plumbline.functions import fold, wrap
 from plumbline.operators import columns, grids, paragraphs, running, sheets, trees
 from plumbline.plans.base import query, table
 from plumbline.session import scratch
@@ -326,3 +326,13 @@ def wrapped(spark, sf_dir):
     flat = F.trim(F.regexp_replace(F.regexp_replace("text", r"([^ \t\n\r\f\x0b]{30})", "$1 "), r"[ \t\n\r\f\x0b]+", " "))
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", flat.alias("t")).where("t <> ''").select("doc_id", wrap.wrapped(F.col("t"), 200.0, 10.0, {}, 500).alias("l"))
     return rows.select("doc_id", F.size("l").alias("lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query("q_F58_F59_folded", """WITH d AS (SELECT doc_id, length(text) AS n, regexp_replace(text, '[^ -~¡-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(t || CASE doc_id % 3 WHEN 0 THEN ' Lódz -> cas' WHEN 1 THEN '  <=' ELSE '' END) AS digest, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS simplified, CASE doc_id % 3 WHEN 1 THEN 6 ELSE 0 END::BIGINT + n - length(t) AS dropped FROM d""")
+def folded(spark, sf_dir):
+    """Whole texts with a few letters more that the code page hasn't."""
+    key = F.col("doc_id") % 3
+    text = F.concat("text", F.when(key == 0, " Łódź → čas").when(key == 1, " Привет ≤").otherwise(""))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", fold.folded(text).alias("f"))
+    return rows.select("doc_id", F.md5("f.text").alias("digest"), "f.simplified", "f.dropped")
