@@ -241,6 +241,25 @@ def longest_common(a, b):
     return rows[-1][-1]
 
 
+def test_diff_counts_of_unlike_texts():
+    """Counts equal a shortest script's; unlike texts of thousands of words take no square of their edits in Python steps."""
+    import time
+
+    rng = random.Random(3)
+    for n in [0, 1, 7, 30] * 40:
+        a, b = ("".join(rng.choice("ab c\n") for _ in range(rng.randint(0, n))) for _ in range(2))
+        for mode in ("lines", "words", "chars"):
+            steps = diff.script(diff.pieces(a, mode), diff.pieces(b, mode))
+            assert diff.stats(a, b, mode) == tuple(sum(k for kind, k, _ in steps if kind == one) for one in ("same", "delete", "insert"))
+    a, b = ([rng.randint(0, 900) for _ in range(4000)] for _ in range(2))
+    began = time.process_time()
+    assert 0 < diff.staying(a, b) < 4000
+    assert time.process_time() - began < 2
+    changed = [-1, *a, *a[:3000], -2, *a]
+    assert diff.staying(["x", *a, *a, *a], ["y", *a, *a[:3990], *a]) == 11990
+    assert diff.staying(changed, [-3, *changed[1:]]) == len(changed) - 1
+
+
 def test_diff_is_minimal_and_rebuilds():
     r = random.Random(1)
     for _ in range(500):
