@@ -455,21 +455,26 @@ def invisible_names(c: Column, most: int = 4) -> Column:
 
 
 def invisible_places(c: Column, most: int = 20) -> Column:
-    """line, column (from 1), code and name of the first invisible or odd characters; a CR is no column, and code points count."""
-    pattern = f"{FORMATTING}|{ODD_SPACE}|{CONTROL}"
-    before = F.transform(F.slice(F.split(c, pattern, most + 1), 1, most), lambda x, i: x)
-    chars = F.slice(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), 1, most)
-
-    def place(char: Column, i: Column) -> Column:
-        upto = F.array_join(F.transform(F.slice(before, F.lit(1), i + 1), lambda x, k: F.concat(x, F.when(k < i, F.element_at(chars, k + 1)).otherwise(""))), "")
-        here = F.length(F.replace(F.substring_index(upto, "\n", -1), F.lit("\r"), F.lit(""))) + 1
-        code = F.conv(F.hex(F.encode(char, "UTF-32")), 16, 16)
-        return F.struct(
-            (F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"), here.cast("long").alias("column"),
-            F.concat(F.lit("U+"), F.lpad(code, 4, "0")).alias("code"), character_name(char).alias("name"),
-        )
+    """line, column (from 1), code and name of the first invisible or odd characters; a CR is no column, and code points count.
 
-    return F.transform(chars, place)
+    The text is read once: what lies between two characters moves the place on, and no character looks back at all before it.
+    """
+    pattern = f"[{FORMATTING[1:-1]}{ODD_SPACE[1:-1]}{CONTROL[1:-1]}]"
+    parts = F.split(c, pattern, most + 1)
+    read = F.length(c) - F.when(F.size(parts) > most, F.length(F.element_at(parts, most + 1))).otherwise(0)
+    chars = F.regexp_extract_all(F.left(c, read), F.lit(f"({pattern})"), F.lit(1))
+    told = F.arrays_zip(chars.alias("char"), F.slice(parts, F.lit(1), F.size(chars)).alias("before"))
+    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("width"), F.expr("cast(array() as array<struct<line:bigint,column:bigint,code:string,name:string>>)").alias("out"))
+
+    def put(s: Column, x: Column) -> Column:
+        lines = F.length(x["before"]) - F.length(F.replace(x["before"], F.lit("\n"), F.lit("")))
+        here = F.length(F.replace(F.substring_index(x["before"], "\n", -1), F.lit("\r"), F.lit("")))
+        line, width = s["line"] + lines, F.when(lines > 0, here).otherwise(s["width"] + here) + 1
+        code = F.lpad(F.conv(F.hex(F.encode(x["char"], "UTF-32")), 16, 16), 4, "0")
+        place = F.struct(line.cast("long").alias("line"), width.cast("long").alias("column"), F.concat(F.lit("U+"), code).alias("code"), character_name(x["char"]).alias("name"))
+        return F.struct(line.alias("line"), width.alias("width"), F.array_append(s["out"], place).alias("out"))
+
+    return F.aggregate(told, start, put, lambda s: s["out"])
 
 
 def plural(n: Column, one: str, many: str | None = None) -> Column:

@@ -260,6 +260,19 @@ def test_diff_counts_of_unlike_texts():
     assert diff.staying(changed, [-3, *changed[1:]]) == len(changed) - 1
 
 
+def test_invisible_places_far_into_a_text(spark):
+    """Places equal a plain loop's, also behind many characters, line ends and letters of two units."""
+    odd, rng = "\u200b\u00a0\u00ad\x07\u3000\x7f", random.Random(5)
+    rows = [(k, "".join(rng.choice("ab\n\r\U0001f600" + odd * (k % 3)) for _ in range(rng.randint(0, 90)))) for k in range(60)] + [(60, "x" * 500_000 + "\n" + "\u200by" * 30), (61, "")]
+    got = {r.k: [(p.line, p.column, p.code) for p in r.p] for r in spark.createDataFrame(rows, "k long, v string").select("k", t.invisible_places(F.col("v")).alias("p")).collect()}
+    for k, text in rows:
+        want = []
+        for i, c in enumerate(text):
+            if c in odd and len(want) < 20:
+                want.append((text[:i].count("\n") + 1, len(text[:i].rpartition("\n")[2].replace("\r", "")) + 1, f"U+{ord(c):04X}"))
+        assert got[k] == want, k
+
+
 def test_diff_is_minimal_and_rebuilds():
     r = random.Random(1)
     for _ in range(500):
