@@ -41,27 +41,41 @@ def joined_rules(rules: DataFrame, page: Sequence[str], gap: float | Column) ->
     return runs.select(*page, F.row_number().over(Window.partitionBy(*page).orderBy("axis", "at", "low")).alias("id"), "axis", "at", "low", "high", "thickness")
 
 
+def _lines_at(rules: str, axis: str) -> Column:
+    """The grid lines of an axis, rising: from the least rule on, one further than SEGMENT from the first of the line before begins the next; a line lies at the mean of its rules."""
+    at = F.array_sort(F.transform(F.filter(rules, lambda r: (r["axis"] == axis) & r["at"].isNotNull()), lambda r: r["at"]))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.expr("cast(array() as array<double>)").alias("out"))
+    done = lambda s: F.when(s["n"] > 0, F.array_append(s["out"], s["sum"] / s["n"])).otherwise(s["out"])
+
+    def put(s: Column, v: Column) -> Column:
+        near = s["anchor"].isNotNull() & (v - s["anchor"] <= SEGMENT)
+        more = F.struct(s["anchor"].alias("anchor"), (s["sum"] + v).alias("sum"), (s["n"] + 1).alias("n"), s["out"].alias("out"))
+        return F.when(near, more).otherwise(F.struct(v.alias("anchor"), v.alias("sum"), F.lit(1).alias("n"), done(s).alias("out")))
+
+    return F.aggregate(at, start, put, done)
+
+
 def grids(rules: DataFrame, page: Sequence[str], tolerance: float = MEETS, folder: str | None = None) -> DataFrame:
     """page, grid, xs, ys, cols, rows, closed, rules of each group of rules (id, unique on its page) that draws two grid lines each way at least: closed is the share
     of the edges between neighbouring grid lines that a rule covers whole."""
     page, folder = [*page], folder or scratch(rules.sparkSession)
-    key = F.concat_ws(":", *[F.col(c).cast("string") for c in page])
-    keyed = settled(rules.select(*page, "axis", "at", "low", "high", F.struct(key.alias("page"), F.col("id").cast("long").alias("id")).alias("id")).withColumn("_page", key), folder, "rules")
-    grouped = settled(rule_groups(keyed, "_page", tolerance, f"{folder}/groups").withColumn("grid", F.col("component.id")).drop("_page", "component"), folder, "grouped")
+    kept = settled(rules.select(*page, "id", "axis", *[F.col(c).cast("double").alias(c) for c in ("at", "low", "high")]), folder, "rules")
+    grouped = rule_groups(kept, page, tolerance, f"{folder}/groups").withColumnRenamed("component", "grid")
     grid = [*page, "grid"]
-    lines = anchored(grouped, [*grid, "axis"], "at", SEGMENT).groupBy(*grid, "axis", "anchor").agg(F.avg("at").alias("at"))
-    places = lambda axis: F.array_sort(F.collect_list(F.when(F.col("axis") == axis, F.col("at"))))
-    laid = lines.groupBy(*grid).agg(places("v").alias("xs"), places("h").alias("ys")).withColumn("cols", F.size("xs") - 1).withColumn("rows", F.size("ys") - 1)
-    laid = laid.where(F.col("cols").between(1, MOST_COLUMNS) & F.col("rows").between(1, MOST_ROWS))
-    drawn = grouped.join(laid, grid)
-    across = F.col("axis") == "h"
-    own, other = F.when(across, F.col("ys")).otherwise(F.col("xs")), F.when(across, F.col("xs")).otherwise(F.col("ys"))
-    at = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.abs(F.get(own, i) - F.col("at")) <= SEGMENT)
-    edge = F.filter(F.sequence(F.lit(0), F.size(other) - 2), lambda i: (F.col("low") <= F.get(other, i) + SEGMENT) & (F.col("high") >= F.get(other, i + 1) - SEGMENT))
-    painted = drawn.select(*grid, "axis", F.explode(at).alias("_line"), edge.alias("_edges")).select(*grid, "axis", "_line", F.explode("_edges").alias("_edge")).distinct().groupBy(*grid).agg(F.count("*").alias("_painted"))
-    parts = grouped.groupBy(*grid).agg(F.collect_list(F.struct("axis", "at", "low", "high")).alias("rules"))
+    parts = grouped.groupBy(*grid).agg(F.array_sort(F.collect_list(F.struct("axis", "at", "low", "high"))).alias("rules"))
+    laid = parts.select(*grid, "rules", *[_lines_at("rules", axis).alias(name) for axis, name in (("v", "xs"), ("h", "ys"))])
+    laid = laid.withColumn("cols", F.size("xs") - 1).withColumn("rows", F.size("ys") - 1).where(F.col("cols").between(1, MOST_COLUMNS) & F.col("rows").between(1, MOST_ROWS))
+
+    def painted(axis: str, own: str, other: str) -> Column:
+        """How many edges of the grid lines of one axis its rules cover."""
+        at = lambda r: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.abs(F.get(own, i) - r["at"]) <= SEGMENT)
+        edge = lambda r: F.filter(F.sequence(F.lit(0), F.size(other) - 2), lambda i: (r["low"] <= F.get(other, i) + SEGMENT) & (r["high"] >= F.get(other, i + 1) - SEGMENT))
+        pairs = lambda r: F.flatten(F.transform(at(r), lambda a: F.transform(edge(r), lambda b: a * 1000 + b)))
+        return F.size(F.array_distinct(F.flatten(F.transform(F.filter("rules", lambda r: r["axis"] == axis), pairs))))
+
     total = (F.col("rows") + 1) * F.col("cols") + (F.col("cols") + 1) * F.col("rows")
-    return laid.join(painted, grid, "left").join(parts, grid).select(*grid, "xs", "ys", "cols", "rows", (F.coalesce("_painted", F.lit(0)) / total).alias("closed"), "rules")
+    closed = (painted("v", "xs", "ys") + painted("h", "ys", "xs")) / total
+    return settled(laid.select(*grid, "xs", "ys", "cols", "rows", closed.alias("closed"), "rules"), folder, "laid")
 
 
 def whole_grids(found: DataFrame) -> DataFrame:

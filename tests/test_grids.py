@@ -174,3 +174,21 @@ def test_nothing(spark, tmp_path):
     assert grids.grids(none, PAGE, folder=f"file://{tmp_path}/none").collect() == []
     out, pages = grids.detected_tables(spark.createDataFrame([], SPANS), none, ["doc"], "body", None, f"file://{tmp_path}/empty")
     assert out.collect() == [] and pages.where(F.col("path").isNotNull()).collect() == []
+
+
+def test_crowded_pages_and_folded_ones_agree(spark, pages, tmp_path, monkeypatch):
+    """Groups of rules are the same told a page at a time or by joins, and no step of grids joins or broadcasts what it settled."""
+    from plumbline.operators import layout
+
+    rules, wanted = pages
+    frame = spark.createDataFrame(rules, RULES)
+    told = lambda folder: sorted((r.page, r.id, r.component) for r in layout.rule_groups(frame, PAGE, 4.0, f"file://{tmp_path}/{folder}").collect())
+    folded = told("a")
+    monkeypatch.setattr(layout, "CROWDED", 40)
+    assert told("b") == folded
+    monkeypatch.setattr(layout, "CELLS", 7)
+    assert told("c") == folded
+    assert {(p, c) for p, _, c in folded} >= set(wanted)
+    monkeypatch.undo()
+    plan = layout.rule_groups(frame, PAGE, 4.0)._jdf.queryExecution().toString()
+    assert "Join" not in plan
