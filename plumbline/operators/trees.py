@@ -15,7 +15,7 @@ from plumbline.functions import text as t
 from plumbline.operators.columns import joined, line_tolerance
 from plumbline.operators.layout import anchored
 from plumbline.operators.sequences import merged_intervals
-from plumbline.session import drop, scratch, settled
+from plumbline.session import drop, scratch, settled, shuffled
 
 #: Roles of tables, of groups of rows, of rows and of cells.
 TABLE, GROUPS, ROW, CELLS = "Table", ("THead", "TBody", "TFoot"), "TR", ("TH", "TD")
@@ -31,11 +31,12 @@ def tree_paths(nodes: DataFrame, tree: Sequence[str], folder: str | None = None,
     known = nodes.select(*tree, F.col("id").alias("_parent")).distinct()
     now = nodes.select(*tree, "id", F.col("parent").alias("_parent"), "role", own.alias("path")).join(known.withColumn("_known", F.lit(True)), [*tree, "_parent"], "left")
     now = settled(now.select(*tree, "id", F.when(F.col("_known"), F.col("_parent")).alias("_up"), "role", "path"), folder, "paths0")
+    now = shuffled(now)
     ended = -1
     for k in range(1, rounds + 1):
         above = now.select(*tree, F.col("id").alias("_up"), F.col("_up").alias("_far"), F.col("path").alias("_path"))
         further = now.join(above, [*tree, "_up"], "left").select(*tree, "id", F.col("_far").alias("_up"), "role", F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
-        now = settled(further, folder, f"paths{k}")
+        now = shuffled(settled(further, folder, f"paths{k}"))
         drop(now.sparkSession, f"{folder}/paths{k - 1}")
         done = now.where("_up is null").count()
         if done == ended:  # all that a root reaches; what goes on runs in circles
@@ -84,7 +85,7 @@ def tagged_tables(spans: DataFrame, nodes: DataFrame, marks: DataFrame, doc: Seq
     """
     doc, folder = [*doc], folder or scratch(spans.sparkSession)
     page = [*doc, "page"]
-    placed = settled(tagged_cells(spans, marks, tree_paths(nodes, page, f"{folder}/tree"), page), folder, "placed")
+    placed = shuffled(settled(tagged_cells(spans, marks, tree_paths(nodes, page, f"{folder}/tree"), page), folder, "placed"))
     cell = [*page, "table", "row", "col"]
     extent = placed.groupBy(*cell).agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"))
     bands = merged_intervals(extent, [*doc, "table"], "x0", "x1").groupBy(*doc, "table").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_bands"))
@@ -98,7 +99,7 @@ def tagged_tables(spans: DataFrame, nodes: DataFrame, marks: DataFrame, doc: Seq
     row = [*page, "table", "row"]
     in_band = texts.join(banded, cell).groupBy(*row, "_band", "_cols").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]), " ").alias("text"))
     rows = in_band.groupBy(*row, "_cols").agg(F.map_from_entries(F.collect_list(F.struct("_band", "text"))).alias("_m"))
-    rows = settled(rows.select(*row, F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: F.coalesce(F.element_at("_m", c), F.lit(""))).alias("cells")), folder, "rows")
+    rows = shuffled(settled(rows.select(*row, F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: F.coalesce(F.element_at("_m", c), F.lit(""))).alias("cells")), folder, "rows"))
     pages = rows.select(*page, "table").distinct()
     order = Window.partitionBy(*doc, "table").orderBy("page")
     parts = pages.withColumn("_part", F.col("page") - F.row_number().over(order))

@@ -73,3 +73,11 @@ def test_tagged_tables(spark, tmp_path):
 def test_nothing(spark, tmp_path):
     none = spark.createDataFrame([], NODES)
     assert trees.tree_paths(none, ["doc", "page"], f"file://{tmp_path}/none").collect() == []
+
+
+def test_settled_paths_are_not_broadcast(spark, tmp_path):
+    """The joins of paths that were written are shuffles: their files are small where their rows are many and alike."""
+    nodes = spark.range(40).selectExpr("cast(1 as long) AS doc", "cast(0 as int) AS page", "id", "CASE WHEN id > 0 THEN id div 2 END AS parent", "cast(id as int) AS ord", "CASE WHEN id = 0 THEN 'Table' ELSE 'TR' END AS role")
+    paths = trees.tree_paths(nodes, ["doc", "page"], f"file://{tmp_path}/paths")
+    plan = trees.tree_cells(paths, ["doc", "page"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
