@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import amount, minor_units
+from plumbline.session import settled
 
 
 def row_digest(by: Sequence[str]) -> Column:
@@ -112,6 +113,15 @@ def ranges(numbers: DataFrame, group: list[str], number: str) -> DataFrame:
     return spans.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", text.alias("t")))), lambda s: s["t"]), ", ").alias("ranges"))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str, folder: str) -> DataFrame:
+    """rows with `name`: their number, from 1, in one order over all of them. Rows are dealt by range and ordered in their parts; the driver sees no row, a join adds what stands before a part."""
+    part, place = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")
+    parted = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part, place), folder, f"parted_{name}")
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a part
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parted.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
 def merged_intervals(intervals: DataFrame, group: list[str], low: str, high: str, gap: float = 0) -> DataFrame:
     """group, low, high, parts: intervals that overlap or lie within a gap of one another, joined."""
     order = Window.partitionBy(*group).orderBy(low, high)

@@ -192,3 +192,16 @@ def test_crowded_pages_and_folded_ones_agree(spark, pages, tmp_path, monkeypatch
     monkeypatch.undo()
     plan = layout.rule_groups(frame, PAGE, 4.0)._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_numbers_of_all_rows_take_no_single_task(spark, tmp_path):
+    """Numbers follow one order over all rows, ties and empty parts too, and no window without parts reads the rows."""
+    from plumbline.operators.sequences import numbered
+
+    rows = spark.range(3000).select(((F.col("id") * 7919) % 1000).alias("a"), (F.col("id") % 2).alias("b"), F.col("id").alias("c")).repartition(7)
+    got = numbered(rows, ["a", "b"], "id", f"file://{tmp_path}/numbered")
+    found = sorted((r.id, r.a, r.b) for r in got.collect())
+    assert [f[0] for f in found] == list(range(1, 3001)) and [f[1:] for f in found] == sorted((r.a, r.b) for r in rows.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate [_part")
+    assert numbered(rows.where("a < 0"), ["a", "b"], "id", f"file://{tmp_path}/none").collect() == []
