@@ -136,10 +136,10 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
         two, eight = bits.read(1), bits.read(1)
         found = sorted({bits.read(8 if eight else 1)} | ({bits.read(8)} if two else set()))
         return _Code(np.array(found), np.ones(len(found), np.int64))
-    of = np.zeros(19, np.int64)
+    of = [0] * 19
     for k in range(4 + bits.read(4)):
         of[LENGTH_ORDER[k]] = bits.read(3)
-    meta = _table(of)
+    meta = _table(np.array(of, np.int64))
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
@@ -227,6 +227,13 @@ def _copy(out: np.ndarray, at: int, distance: int, length: int) -> None:
         at, length, distance = at + n, length - n, distance + n
 
 
+@cache
+def _extras() -> tuple[np.ndarray, np.ndarray]:
+    """What a prefix stands for: the least value and the bits that follow."""
+    low, n = (np.array(x) for x in zip(*map(_extra, range(40)), strict=True))
+    return low, n
+
+
 def _read_green(bits: _Bits, width: int, total: int, codes: list[_Code]) -> np.ndarray:
     """Pixels of which only green varies: a code is looked up at each bit, then the chain of codes is followed."""
     rest = (codes[3].only << 24) | (codes[1].only << 16) | codes[2].only
@@ -237,16 +244,16 @@ def _read_green(bits: _Bits, width: int, total: int, codes: list[_Code]) -> np.n
     data = np.frombuffer(bits.data, np.uint8)[start:]
     data = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint32)
     words = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
-    window = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel()
+    window = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).ravel().astype(np.intp)
     symbols = green.symbols[window]
     ends = len(window) - 1
-    after = np.arange(len(window), dtype=np.int32) + green.lengths[window]
+    after = np.arange(len(window), dtype=np.intp) + green.lengths[window]
     jumps = np.flatnonzero(symbols >= 256)
     lengths = distances = None
     if len(jumps):
         if symbols[jumps].max() >= 280:
             raise ValueError("a colour cache code without a cache")
-        low, n = (np.array(x) for x in zip(*map(_extra, range(40)), strict=True))
+        low, n = _extras()
 
         def field(at: np.ndarray, n: np.ndarray) -> np.ndarray:
             at = np.minimum(at, ends)
@@ -266,16 +273,16 @@ def _read_green(bits: _Bits, width: int, total: int, codes: list[_Code]) -> np.n
     np.minimum(after, ends, out=after)
     after[ends] = ends
     steps = [after]
-    for _ in range(4):
+    for _ in range(3):
         steps.append(steps[-1][steps[-1]])
-    far_step, at, starts = steps[4], bits.at & 7, []
-    for _ in range(-(-total // 16)):
+    far_step, at, starts = steps[3], bits.at & 7, []
+    for _ in range(-(-total // 8)):
         starts.append(at)
         at = far_step.item(at)
         if at == ends:
             break
-    places = np.array(starts, np.int32)[:, None]
-    for k in (3, 2, 1, 0):
+    places = np.array(starts, np.intp)[:, None]
+    for k in (2, 1, 0):
         places = np.stack((places, steps[k][places]), axis=2).reshape(len(starts), -1)
     places = places.ravel()
     found = symbols[places]
@@ -497,25 +504,29 @@ def _header(lengths: np.ndarray) -> list[tuple[int, int]]:
     while of.max() > 7:  # lengths of length codes have three bits
         counts = np.where(counts > 0, (counts >> 1) + 1, 0)
         of = code_lengths(counts)
-    codes, bits = _codes(of)
+    codes, bits = (c.tolist() for c in _codes(of))
+    of = of.tolist()
     last = max(k for k in range(19) if of[LENGTH_ORDER[k]])
     out = [(0, 1), (max(last + 1, 4) - 4, 4)]
-    out += [(int(of[LENGTH_ORDER[k]]), 3) for k in range(max(last + 1, 4))]
+    out += [(of[LENGTH_ORDER[k]], 3) for k in range(max(last + 1, 4))]
     out.append((0, 1))
     for s, extra, n in tokens:
-        out.append((int(codes[s]), int(bits[s])))
+        out.append((codes[s], bits[s]))
         if n:
             out.append((extra, n))
     return out
 
 
 def _packed(values: np.ndarray, widths: np.ndarray) -> bytes:
-    """Numbers written one after another, lowest bit first."""
+    """Numbers of at most 31 bits written one after another, lowest bit first: each adds to one word or two, and no two numbers share a bit."""
     ends = np.cumsum(widths)
     if not len(ends):
         return b""
-    inside = np.arange(ends[-1]) - np.repeat(ends - widths, widths)
-    return np.packbits((np.repeat(values, widths) >> inside) & 1, bitorder="little").tobytes()
+    starts = ends - widths
+    shifted = (values & ((1 << widths) - 1)) << (starts & 31)
+    word, n = starts >> 5, (int(ends[-1]) >> 5) + 2
+    words = np.bincount(word, shifted & 0xFFFFFFFF, n) + np.bincount(word + 1, shifted >> 32, n)
+    return words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) >> 3]
 
 
 def _repeats(data: bytes) -> list[tuple[int, int, int]]:
@@ -558,9 +569,10 @@ def encode(payload: bytes) -> bytes:
     only = [(1, 1), (0, 1), (0, 1), (0, 1)]
     fields += _header(tints) + only + only + _header(alphas) + only
     (tint, tint_bits), (alpha, alpha_bits) = _codes(tints), _codes(alphas)
+    tint, tint_bits, alpha, alpha_bits = (v.tolist() for v in (tint, tint_bits, alpha, alpha_bits))
     for k, c in enumerate(changes.tolist()):
         a = 0 if k else 255
-        fields += [(int(tint[c]), int(tint_bits[c])), (int(alpha[a]), int(alpha_bits[a]))]
+        fields += [(tint[c], tint_bits[c]), (alpha[a], alpha_bits[a])]
     fields += [(0, 1), (0, 1), (0, 1)]  # no more transforms, no colour cache, one code group
     # The image: literals of green, and copies of at most 4,096 pixels.
     keep = np.ones(len(green), bool)
