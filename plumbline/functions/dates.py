@@ -155,7 +155,8 @@ def placed_date(c: Column, order: Column | str | None = None) -> Column:
             .when(p[3] != "", out(_placed_year(p[5]), short_month(p[4]), number(3), "dmy", False)).when(p[6] != "", out(_placed_year(p[8]), short_month(p[6]), number(7), "mdy", False)).otherwise(free)
         )
 
-    return _bound(F.split(F.regexp_replace(value, PLACED, PLACED_PARTS), r"\|", -1), read)
+    # The forms are 6 to 18 characters long.
+    return _bound(value, lambda v: F.when(F.length(v).between(6, 18) & v.rlike(PLACED), _bound(F.split(F.regexp_replace(v, PLACED, PLACED_PARTS), r"\|", -1), read)))
 
 
 def column_order(dmy: Column, mdy: Column, ambiguous: Column) -> Column:

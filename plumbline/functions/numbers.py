@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import js_trim
+from plumbline.functions.text import SPACE, js_trim
 
 #: Currency signs and codes, and the ways in which digits are grouped.
 SIGNS = "£$€₹¥₨"
@@ -14,6 +14,9 @@ GAPS = " \t\n\x0b\f\r\u00a0\u2009\u202f"
 SPACED = r"^\d{1,3}(?:[ \x{A0}\x{2009}\x{202F}]\d{3})+(?:[.,]\d{1,2})?$"
 PLAIN, INDIAN, EUROPEAN = r"^\d{1,3}(?:,\d{3})+$", r"^\d{1,2}(?:,\d{2})+,\d{3}$", r"^\d{1,3}(?:\.\d{3})+$"
 CREDIT = r"(^|[\s\d.])(CR|DR|Cr|Dr|cr|dr)\.?(\s|$)"
+#: Digits alone, with a sign and decimals at most; and what no amount holds: anything but digits, points, commas, brackets, signs, white space and letters of codes and markers.
+BARE = r"^-?[0-9]+(?:\.[0-9]{1,2})?$"
+FOREIGN = rf"[^0-9.,()+\-{SIGNS}{SPACE}ABCDEGINPRSUabcdeginprsu]"
 
 
 def _bound(value: Column, f) -> Column:
@@ -24,10 +27,18 @@ def _bound(value: Column, f) -> Column:
 def amount(c: Column) -> Column:
     """value, negative, currency, marker (CR, DR), grouping, decimals; null for what is no amount or could be two.
 
-    Signs, gaps and brackets are taken off without patterns; currency codes and markers are sought where there are letters.
+    Signs, gaps and brackets are taken off without patterns; currency codes and markers are sought where there are letters. Digits alone, and texts that no amount can be, are told at once.
     """
     s = js_trim(F.translate(c, "−–—", "---"))
-    return _bound(s, lambda x: F.when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished)))
+    return _bound(s, lambda x: F.when(x.rlike(BARE), _bare(x)).when(x.rlike(FOREIGN), None).when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished)))
+
+
+def _bare(x: Column) -> Column:
+    none, point = F.lit(None).cast("string"), F.instr(x, ".")
+    decimals = F.when(point > 0, F.length(x) - point).otherwise(0)
+    return F.struct(
+        x.try_cast("double").alias("value"), x.startswith("-").alias("negative"), none.alias("currency"), none.alias("marker"), F.lit("none").alias("grouping"), decimals.alias("decimals"),
+    )
 
 
 def _money(s: Column) -> Column:
@@ -141,12 +152,16 @@ def typed_cell(raw: Column, column_kind: Column, order: Column) -> Column:
     """kind (empty, date, number, text), iso, number, text and off_type: what a cell is in a column of a kind. One that doesn't fit keeps its text."""
     from plumbline.functions import dates
 
+    def told(x: Column) -> Column:
+        text, iso, number = x["text"], x["iso"], x["number"]
+        kind = F.when(text == "", "empty").when(iso.isNotNull(), "date").when(number.isNotNull(), "number").otherwise("text")
+        off = (text != "") & (column_kind != "text") & iso.isNull() & number.isNull()
+        return F.struct(kind.alias("kind"), iso.alias("iso"), number.alias("number"), F.when(kind == "text", text).alias("text"), off.alias("off_type"))
+
     text = js_trim(raw)
     iso = F.when(column_kind == "date", dates.placed_date(text, order)["iso"])
     number = F.when(column_kind.isin("money", "number"), amount(text)["value"])
-    kind = F.when(text == "", "empty").when(iso.isNotNull(), "date").when(number.isNotNull(), "number").otherwise("text")
-    off = (text != "") & (column_kind != "text") & iso.isNull() & number.isNull()
-    return F.struct(kind.alias("kind"), iso.alias("iso"), number.alias("number"), F.when(kind == "text", text).alias("text"), off.alias("off_type"))
+    return _bound(F.struct(text.alias("text"), iso.alias("iso"), number.alias("number")), told)
 
 
 def sums_match(value: Column, total: Column) -> Column:

@@ -42,14 +42,14 @@ def column_types(rows: DataFrame, table: Sequence[str]) -> DataFrame:
     """table, col (from 0), kind (date, money, number, text), decimals, order (of days and months), samples, ambiguous of the columns of rows' cells."""
     table = [*table]
     values = rows.select(*table, F.posexplode("cells").alias("col", "_raw")).select(*table, "col", t.js_trim(F.col("_raw")).alias("_v"))
-    told = values.where("_v <> ''").select(*table, "col", "_v", amount(F.col("_v")).alias("_a"), dates.placed_date(F.col("_v")).alias("_d"))
+    told = values.select(*table, "col", "_v", amount(F.col("_v")).alias("_a"), dates.placed_date(F.col("_v")).alias("_d"))
     rich = F.col("_a").isNotNull() & (F.col("_a.currency").isNotNull() | F.col("_a.marker").isNotNull() | (F.col("_a.decimals") >= MONEY) | F.col("_v").rlike(r"^\(.*\)$"))
     vote = lambda order: F.count_if((F.col("_d.order") == order) & ~F.col("_d.ambiguous"))
+    # Blank cells are no samples, but tell that there is a column.
     by = told.groupBy(*table, "col").agg(
-        F.count("*").alias("samples"), F.count_if(F.col("_a.value").isNotNull()).alias("_amounts"), F.coalesce(F.max(F.col("_a.decimals")), F.lit(0)).alias("_decimals"), F.coalesce(F.max(rich), F.lit(False)).alias("_rich"),
+        F.count_if(F.col("_v") != "").alias("samples"), F.count_if(F.col("_a.value").isNotNull()).alias("_amounts"), F.coalesce(F.max(F.col("_a.decimals")), F.lit(0)).alias("_decimals"), F.coalesce(F.max(rich), F.lit(False)).alias("_rich"),
         vote("dmy").alias("_days"), vote("mdy").alias("_months"), F.count_if("_d.ambiguous").alias("_either"), F.count_if(F.col("_d.iso").isNotNull() | F.col("_d.ambiguous")).alias("_dates"),
     ).withColumn("order", dates.column_order(F.col("_days"), F.col("_months"), F.col("_either")))
-    by = values.groupBy(*table, "col").agg(F.lit(1)).select(*table, "col").join(by, [*table, "col"], "left").fillna(0, ["samples", "_amounts", "_decimals", "_either", "_dates"]).fillna(False, ["_rich"])
     enough = F.col("samples") >= SAMPLES
     share = lambda c: F.try_divide(F.col(c), F.col("samples"))
     kind = F.when(enough & (share("_dates") >= SHARE), "date").when(enough & (share("_amounts") >= SHARE), F.when(F.col("_rich"), "money").otherwise("number")).otherwise("text")
@@ -77,6 +77,7 @@ def sheets(lines: DataFrame, table: Sequence[str], money: DataFrame | None = Non
     over = F.coalesce(F.col("overflow"), F.lit(False)) if "overflow" in lines.columns else F.lit(False)
     rows = lines.select(*table, "row", "page", F.transform("cells", lambda c: t.js_trim(F.coalesce(c, F.lit("")))).alias("cells"), over.alias("overflow"))
     if money is None:
+        rows = settled(rows, folder, "rows")
         money = column_types(rows, table).where(F.col("kind").isin("money", "number")).groupBy(*table).agg(F.collect_list("col").alias("cols"))
     told = rows.join(money, table, "left").withColumn("cols", F.coalesce("cols", F.expr("cast(array() as array<int>)")))
     order = Window.partitionBy(*table).orderBy("row")
@@ -101,14 +102,15 @@ def sheets(lines: DataFrame, table: Sequence[str], money: DataFrame | None = Non
     named = kept.where("is_header").select(*table, F.posexplode("cells").alias("col", "header"))
     typed = types.join(named, [*table, "col"], "full").select(*table, "col", "header", F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("decimals", F.lit(0)).alias("decimals"), "order", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
     typed = settled(typed, folder, "columns")
-    # A cell a row, so that its reading is compiled; then its record again.
-    widest = typed.groupBy(*table).agg(F.max("col").alias("_last"))
-    each = kept.join(widest, table).select(*table, "record", "is_header", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("col"), "cells").withColumn("_c", F.coalesce(F.get("cells", F.col("col")), F.lit(""))).drop("cells")
-    each = each.join(typed.select(*table, "col", F.col("kind").alias("_kind"), F.col("order").alias("_order")), [*table, "col"])
-    as_text = F.struct(F.when(F.col("_c") == "", "empty").otherwise("text").alias("kind"), F.lit(None).cast("string").alias("iso"), F.lit(None).cast("double").alias("number"), F.when(F.col("_c") != "", F.col("_c")).alias("text"), F.lit(False).alias("off_type"))
-    value = F.when(F.col("is_header"), as_text).otherwise(typed_cell(F.col("_c"), F.col("_kind"), F.col("_order")))
-    cells = each.select(*table, "record", "col", value.alias("v")).groupBy(*table, "record").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"]).alias("typed"))
-    out = kept.join(cells, [*table, "record"])
+    # A record's cells are read where they lie; only what a table's columns are comes to them.
+    shape = typed.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("col", "kind", "order"))).alias("_shape"))
+
+    def read(c: Column) -> Column:
+        raw = F.coalesce(F.get("cells", c["col"]), F.lit(""))
+        as_text = F.struct(F.when(raw == "", "empty").otherwise("text").alias("kind"), F.lit(None).cast("string").alias("iso"), F.lit(None).cast("double").alias("number"), F.when(raw != "", raw).alias("text"), F.lit(False).alias("off_type"))
+        return F.when(F.col("is_header"), as_text).otherwise(typed_cell(raw, c["kind"], c["order"]))
+
+    out = kept.join(shape, table).withColumn("typed", F.transform("_shape", read)).drop("_shape")
     flag = lambda on, name: F.when(on, F.array(F.lit(name))).otherwise(F.expr("cast(array() as array<string>)"))
     flags = F.concat(flag(F.col("overflow"), "overflow"), flag(F.col("end_page") > F.col("page"), "pageBreak"), flag(_filled(F.col("cells")) < 2, "sparse"), flag(F.exists("typed", lambda c: c["off_type"]), "type"))
     out = out.withColumn("flags", flags).withColumn("ok", F.size("flags") == 0)

@@ -67,3 +67,27 @@ def test_types_tell_money(spark):
 def test_nothing(spark):
     made = one(spark, [])
     assert made.rows.collect() == [] and made.sheets.collect() == [] and sheets.laid_out(made, ["doc"]).collect() == []
+
+
+def test_types_of_columns_are_one_aggregate(spark):
+    """Cells are read once: no second look at them for columns that are all blank, and no join."""
+    rows = spark.createDataFrame([(1, ["12.50", "", "01/02/2024"]), (1, ["-3.00", " ", "13/02/2024"]), (1, ["7.25", "", "14/02/2024"])], "doc int, cells array<string>")
+    types = sheets.column_types(rows, ["doc"])
+    assert "Join" not in types._jdf.queryExecution().optimizedPlan().toString()
+    told = {r["col"]: (r["kind"], r["decimals"], r["order"], r["samples"], r["ambiguous"]) for r in types.collect()}
+    assert told == {0: ("money", 2, None, 3, False), 1: ("text", 0, None, 0, False), 2: ("date", 0, "dmy", 3, True)}
+
+
+def test_short_ways_of_amounts_and_dates(spark):
+    """Digits alone and texts that can't be amounts are told at once, as the long way tells them; no text is no date."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions.dates import placed_date
+    from plumbline.functions.numbers import amount
+
+    rows = spark.createDataFrame([("7",), ("-0.5",), ("12.345",), ("+7.50",), ("7-",), ("£7.50",), ("part 7",), ("7 CR",), ("1/2",), ("1.",), (None,)], "v string")
+    told = {r["v"]: (r["a"] and (r["a"]["value"], r["a"]["negative"], r["a"]["grouping"], r["a"]["decimals"]), r["d"]) for r in rows.select("v", amount(F.col("v")).alias("a"), placed_date(F.col("v")).alias("d")).collect()}
+    assert told == {
+        "7": ((7.0, False, "none", 0), None), "-0.5": ((-0.5, True, "none", 1), None), "12.345": (None, None), "+7.50": ((7.5, False, "none", 2), None), "7-": ((-7.0, True, "none", 0), None),
+        "£7.50": ((7.5, False, "none", 2), None), "part 7": (None, None), "7 CR": ((7.0, False, "none", 0), None), "1/2": (None, None), "1.": (None, None), None: (None, None),
+    }
