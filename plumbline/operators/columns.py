@@ -115,7 +115,7 @@ def joined(spans: Column, body: Column) -> Column:
         return F.when((i == 0) | close, s["text"]).otherwise(F.concat(F.lit(" "), s["text"]))
 
     whole = F.transform(F.array(spans), lambda every: F.array_join(F.transform(every, lambda s, i: told(s, i, every)), ""))[0]
-    return t.js_trim(F.regexp_replace(whole, f"[{t.SPACE}]+", " "))
+    return t.squash(whole)
 
 
 def _shape(columns: DataFrame, doc: Sequence[str]) -> DataFrame:
@@ -130,10 +130,22 @@ def _shape(columns: DataFrame, doc: Sequence[str]) -> DataFrame:
 def rows_of(runs: DataFrame, columns: DataFrame, doc: Sequence[str], body: str) -> DataFrame:
     """doc, page, line, y, size, cells (a text a column, by where the middle of a run lies), overflow (a run reaches over a bound) of each line; money and amounts tell of its cells."""
     doc = [*doc]
-    shape = _shape(columns, doc)
-    gathered = runs.groupBy(*doc, "page", "line").agg(_spans().alias("_s"), F.max(body).cast("double").alias("_body")).join(shape, doc)
+    return _rows(_gathered(runs, [*doc, "page", "line"], body), columns, doc)
+
+
+def _gathered(runs: DataFrame, line: Sequence[str], body: str) -> DataFrame:
+    """line, _s (its spans, from left to right), _body."""
+    return runs.groupBy(*line).agg(_spans().alias("_s"), F.max(body).cast("double").alias("_body"))
+
+
+def _rows(gathered: DataFrame, columns: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """rows_of gathered lines."""
+    gathered = gathered.join(_shape(columns, doc), [*doc])
     of = lambda s: F.size(F.filter("_until", lambda u: s["x"] + s["w"] / 2 >= u))
-    cells = F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: joined(F.filter("_s", lambda s: of(s) == c), F.col("_body")))
+    # Each span's column is told once: an array of one, transformed.
+    placed = F.array(F.transform("_s", lambda s: F.struct(of(s).alias("k"), s.alias("s"))))
+    of_column = lambda every, c: F.transform(F.filter(every, lambda p: p["k"] == c), lambda p: p["s"])
+    cells = F.transform(placed, lambda every: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: joined(of_column(every, c), F.col("_body"))))[0]
     over = F.exists("_s", lambda s: F.exists("_until", lambda u: (s["x"] < u) & (s["x"] + s["w"] > u)))
     rows = gathered.select(*doc, "page", "line", median_of("_s", "y").alias("y"), mode_of("_s", "size").alias("size"), cells.alias("cells"), over.alias("overflow"), "_right", "_cols", "_body")
     rows = rows.withColumn("amounts", F.transform("cells", lambda c: (c != "") & amount(c)["value"].isNotNull()))
@@ -159,8 +171,12 @@ def band(rows: DataFrame, doc: Sequence[str]) -> DataFrame:
 def running_lines(lines_: DataFrame, doc: Sequence[str]) -> DataFrame:
     """doc, shape: lines, digits aside, that half of a document's pages show at one height; documents of a few pages have none."""
     doc = [*doc]
-    shaped = lines_.withColumn("shape", t.line_shape(F.col("text"))).where("shape <> ''")
-    firsts = shaped.groupBy(*doc, "shape", "page").agg(F.min("y").alias("y"))
+    return _running(lines_.withColumn("shape", t.line_shape(F.col("text"))), doc)
+
+
+def _running(lines_: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """running_lines of lines whose shape is told."""
+    firsts = lines_.where("shape <> ''").groupBy(*doc, "shape", "page").agg(F.min("y").alias("y"))
     pages = lines_.groupBy(*doc, "page").agg(F.lit(1)).groupBy(*doc).agg(F.count("*").alias("_pages")).where(F.col("_pages") >= RUNNING_PAGES)
     by = firsts.groupBy(*doc, "shape").agg(F.count("*").alias("_n"), F.stddev_pop("y").alias("_sd")).join(pages, doc)
     return by.where((F.col("_n") >= RUNNING_HITS) & (F.col("_n") >= RUNNING_SHARE * F.col("_pages")) & (F.col("_sd") <= RUNNING_SPREAD)).select(*doc, "shape")
@@ -182,24 +198,26 @@ def column_tables(spans: DataFrame, doc: Sequence[str], body: str, folder: str |
     more than a small share lies in gutters is left out, and a table of one page must have three rows, two columns and three amounts in one of its money columns.
     """
     doc, folder = [*doc], folder or scratch(spans.sparkSession)
-    runs = settled(runs_of(spans, [*doc, "page"], body), folder, "runs")
-    running = running_lines(lines_text(runs, doc), doc)
-    shapes = lines_text(runs, doc).withColumn("shape", t.line_shape(F.col("text"))).join(running, [*doc, "shape"], "left_semi").select(*doc, "page", "line")
-    kept = settled(runs.join(shapes, [*doc, "page", "line"], "left_anti"), folder, "kept")
     line = [*doc, "page", "line"]
+    # A line's spans are gathered once; all later looks are at lines.
+    every = _gathered(runs_of(spans, [*doc, "page"], body), line, body)
+    told = settled(every.select("*", median_of("_s", "y").alias("y"), t.line_shape(joined(F.col("_s"), F.lit(0.0))).alias("shape")), folder, "lines")
+    running = settled(_running(told, doc), folder, "running")
+    gathered = settled(told.join(running, [*doc, "shape"], "left_anti").select(*line, "_s", "_body"), folder, "kept")
+    kept = gathered.select(*line, F.col("_body").alias(body), F.explode("_s").alias("_r")).select(*line, body, "_r.x", "_r.w")
     scout = settled(profile(kept, doc, body, SCOUT), folder, "scout")
     scout = scout.join(scout.groupBy(*doc).agg(F.count("*").alias("_n")).where("_n >= 2").select(*doc), doc, "left_semi")
-    first = settled(band(rows_of(kept, scout, doc, body), doc), folder, "first")
+    first = settled(band(_rows(gathered, scout, doc), doc), folder, "first")
     many = first.groupBy(*doc).agg(F.count("*").alias("_n1"))
     inside = kept.join(first.select(*line), line, "left_semi").join(many.where("_n1 >= 3").select(*doc), doc, "left_semi")
     strict = profile(inside, doc, body, STRICT)
     final = settled(strict.unionByName(scout.join(many.where("_n1 >= 3").select(*doc), doc, "left_anti")), folder, "final")
-    second = settled(band(rows_of(kept, final, doc, body), doc), folder, "second")
+    second = settled(band(_rows(gathered, final, doc), doc), folder, "second")
     counts = many.join(second.groupBy(*doc).agg(F.count("*").alias("_n2")), doc, "left").select(*doc, (F.coalesce("_n2", F.lit(0)) >= 0.5 * F.col("_n1")).alias("_again"))
     # Lines of the first finding, where that is taken, are still told by the final columns.
     again = second.join(counts.where("_again").select(*doc), doc, "left_semi")
     chosen = first.select(*line).join(counts.where(~F.col("_again")).select(*doc), doc, "left_semi")
-    table = again.unionByName(rows_of(kept.join(chosen, line, "left_semi"), final, doc, body))
+    table = again.unionByName(_rows(gathered.join(chosen, line, "left_semi"), final, doc))
     fits = misfit(kept.join(table.select(*line), line, "left_semi"), final, doc).where(F.col("inside") <= MISFIT).select(*doc, "page")
     table = settled(table.join(fits, [*doc, "page"], "left_semi"), folder, "table")
     hits = table.select(*doc, "page", F.col("_cols"), F.posexplode(F.transform("amounts", lambda a, i: a & F.array_contains("_right", i))).alias("col", "hit")).where("hit").groupBy(*doc, "col").agg(F.count("*").alias("_hits"))

@@ -35,14 +35,15 @@ def _statements(spark, sf_dir):
     """doc, page, seq, text, x, y, w, size, body."""
     items = _items(spark, sf_dir)
     put = lambda text, x, right=False: F.struct(text.alias("t"), (F.lit(x) - 5 * F.length(text) if right else F.lit(x)).cast("double").alias("x"))
-    lines = lambda rows, seq, y, *texts: rows.select("doc", "page", seq.cast("long").alias("seq"), y.cast("double").alias("y"), F.explode(F.array(*texts)).alias("s"))
-    pages = items.select("doc", "page").distinct()
-    every = (
-        lines(items, F.col("k") * 10, F.col("top"), put(F.col("a"), 50), put(F.col("b"), 120), put(F.col("c"), 400, True), put(F.col("d"), 480, True))
-        .unionByName(lines(items.where("k % 5 = 3"), F.col("k") * 10 + 4, F.col("top") + 9, put(F.lit("and more of it"), 120)))
-        .unionByName(lines(pages, F.lit(400), 82 + 17 * (F.col("page") % 9), put(F.lit("Date"), 50), put(F.lit("Details"), 120), put(F.lit("Paid"), 380), put(F.lit("Balance"), 445)))
-        .unionByName(lines(pages, F.lit(500), F.lit(60), put(F.lit("All that was paid to and by this account up to the day of this statement"), 50)))
-    )
+    # Each page begins with its item 0, which brings the page's own lines, so that items are numbered once.
+    line = lambda seq, y, *texts: F.array(*[F.struct(seq.cast("long").alias("seq"), y.cast("double").alias("y"), s.alias("s")) for s in texts])
+    some = lambda on, spans: F.when(on, spans).otherwise(F.slice(spans, 1, 0))
+    k, top = F.col("k"), F.col("top")
+    own = line(k * 10, top, put(F.col("a"), 50), put(F.col("b"), 120), put(F.col("c"), 400, True), put(F.col("d"), 480, True))
+    more = line(k * 10 + 4, top + 9, put(F.lit("and more of it"), 120))
+    head = line(F.lit(400), 82 + 17 * (F.col("page") % 9), put(F.lit("Date"), 50), put(F.lit("Details"), 120), put(F.lit("Paid"), 380), put(F.lit("Balance"), 445))
+    title = line(F.lit(500), F.lit(60), put(F.lit("All that was paid to and by this account up to the day of this statement"), 50))
+    every = items.select("doc", "page", F.explode(F.concat(own, some(k % 5 == 3, more), some(k == 0, F.concat(head, title)))).alias("l")).select("doc", "page", "l.*")
     return every.select("doc", "page", "seq", F.col("s.t").alias("text"), F.col("s.x").alias("x"), "y", (5.0 * F.length("s.t")).alias("w"), F.lit(10.0).alias("size"), F.lit(10.0).alias("body"))
 
 

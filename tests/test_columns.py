@@ -242,3 +242,23 @@ def test_text_columns_equal_plain_recursion(spark, tmp_path):
     assert set(got) == set(wanted)
     for key, some in wanted.items():
         assert [x for pair in got[key] for x in pair] == pytest.approx([x for pair in some for x in pair]), key
+
+
+def test_spans_are_gathered_once(spark, tmp_path, monkeypatch):
+    """All looks at lines are at one gathering of their spans."""
+    made, _ = statement(0, 3, 20, 0, 0)
+    calls, real = [], columns._spans
+    monkeypatch.setattr(columns, "_spans", lambda: calls.append(1) or real())
+    tables, _ = columns.column_tables(frame(spark, made), ["doc"], "body", f"file://{tmp_path}/once")
+    assert tables.count() > 0 and len(calls) == 1
+
+
+def test_median_and_mode_of_like_values(spark):
+    """One value of all spans is both; else the weights tell, as they did."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.layout import median_of, mode_of
+
+    rows = spark.createDataFrame([(0, [(5.005, 1.0), (5.005, 3.0)]), (1, [(9.0, 1.0), (2.0, 1.0), (4.0, 5.0)]), (2, [(7.0, 2.0), (1.0, 2.0)])], "k int, s array<struct<y:double,weight:double>>")
+    got = {r.k: (r.m, r.o) for r in rows.select("k", median_of("s", "y").alias("m"), mode_of("s", "y").alias("o")).collect()}
+    assert got == {0: (5.005, got[0][1]), 1: (4.0, 4.0), 2: (1.0, 7.0)} and abs(got[0][1] - 5.005) <= 0.0051
