@@ -31,19 +31,23 @@ def _items(spark, sf_dir):
     )
 
 
+def _some(on, values):
+    """An array, empty where a condition doesn't hold."""
+    return F.when(on, values).otherwise(F.slice(values, 1, 0))
+
+
 def _statements(spark, sf_dir):
     """doc, page, seq, text, x, y, w, size, body."""
     items = _items(spark, sf_dir)
     put = lambda text, x, right=False: F.struct(text.alias("t"), (F.lit(x) - 5 * F.length(text) if right else F.lit(x)).cast("double").alias("x"))
     # Each page begins with its item 0, which brings the page's own lines, so that items are numbered once.
     line = lambda seq, y, *texts: F.array(*[F.struct(seq.cast("long").alias("seq"), y.cast("double").alias("y"), s.alias("s")) for s in texts])
-    some = lambda on, spans: F.when(on, spans).otherwise(F.slice(spans, 1, 0))
     k, top = F.col("k"), F.col("top")
     own = line(k * 10, top, put(F.col("a"), 50), put(F.col("b"), 120), put(F.col("c"), 400, True), put(F.col("d"), 480, True))
     more = line(k * 10 + 4, top + 9, put(F.lit("and more of it"), 120))
     head = line(F.lit(400), 82 + 17 * (F.col("page") % 9), put(F.lit("Date"), 50), put(F.lit("Details"), 120), put(F.lit("Paid"), 380), put(F.lit("Balance"), 445))
     title = line(F.lit(500), F.lit(60), put(F.lit("All that was paid to and by this account up to the day of this statement"), 50))
-    every = items.select("doc", "page", F.explode(F.concat(own, some(k % 5 == 3, more), some(k == 0, F.concat(head, title)))).alias("l")).select("doc", "page", "l.*")
+    every = items.select("doc", "page", F.explode(F.concat(own, _some(k % 5 == 3, more), _some(k == 0, F.concat(head, title)))).alias("l")).select("doc", "page", "l.*")
     return every.select("doc", "page", "seq", F.col("s.t").alias("text"), F.col("s.x").alias("x"), "y", (5.0 * F.length("s.t")).alias("w"), F.lit(10.0).alias("size"), F.lit(10.0).alias("body"))
 
 
@@ -186,15 +190,18 @@ _REPORT = f"SELECT doc, page + 1 AS page, count(*) OVER (PARTITION BY doc) AS to
 def _report(spark, sf_dir):
     """Lines and pages of reports."""
     items = _items(spark, sf_dir)
-    pages = items.select("doc", (F.col("page") + 1).alias("page")).distinct().withColumn("total", F.count("*").over(Window.partitionBy("doc")))
+    # Each page begins with its item 0, which brings the page's own lines; pages count from 1, so a document's last is their number.
+    items = items.withColumn("page", F.col("page") + 1).withColumn("total", F.max("page").over(Window.partitionBy("doc")))
     page, n = F.col("page"), F.col("page").cast("string")
-    line = lambda rows, y, x0, x1, text: rows.select("doc", "page", y.cast("double").alias("y"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), (y - 9).cast("double").alias("top"), (y + 2).cast("double").alias("bottom"), text.alias("text"), F.lit(False).alias("artifact"))
-    lines = (
-        line(pages, 30 + page % 3 * 0.5, F.lit(100), F.lit(500), F.concat(F.lit("Supplier "), F.col("doc").cast("string"), F.lit(", page "), n, F.lit(" of "), F.col("total").cast("string")))
-        .unionByName(line(pages, F.lit(760), F.lit(400), F.lit(560), F.when(page % 4 == 0, "Note").otherwise(F.concat(F.lit("Printed for you on day "), n))))
-        .unionByName(line(pages.where("page % 2 = 0"), F.lit(775), F.lit(40), F.lit(90), F.lit("even")))
-        .unionByName(line(items.withColumn("page", F.col("page") + 1), 100 + 18 * F.col("k"), 71 + F.col("k") % 3, 300 + F.length("b"), F.col("b")))
-    )
+    line = lambda y, x0, x1, text: F.array(F.struct(y.cast("double").alias("y"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), text.alias("text")))
+    head = line(30 + page % 3 * 0.5, F.lit(100), F.lit(500), F.concat(F.lit("Supplier "), F.col("doc").cast("string"), F.lit(", page "), n, F.lit(" of "), F.col("total").cast("string")))
+    foot = line(F.lit(760), F.lit(400), F.lit(560), F.when(page % 4 == 0, "Note").otherwise(F.concat(F.lit("Printed for you on day "), n)))
+    even = line(F.lit(775), F.lit(40), F.lit(90), F.lit("even"))
+    own = line(100 + 18 * F.col("k"), 71 + F.col("k") % 3, 300 + F.length("b"), F.col("b"))
+    first = F.col("k") == 0
+    every = F.concat(own, _some(first, F.concat(head, foot)), _some(first & (page % 2 == 0), even))
+    lines = items.select("doc", "page", F.explode(every).alias("l")).select("doc", "page", "l.y", "l.x0", "l.x1", (F.col("l.y") - 9).alias("top"), (F.col("l.y") + 2).alias("bottom"), "l.text", F.lit(False).alias("artifact"))
+    pages = items.where(first)
     return lines, pages.select("doc", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
 
 
@@ -297,13 +304,13 @@ UNION ALL SELECT doc, record::INT, false, a || '|' || b || CASE WHEN k % 5 = 3 T
 (page * 1000 + k * 10 + 10) || CASE WHEN k % 5 = 3 THEN ',' || (page * 1000 + k * 10 + 11) ELSE '' END FROM n""")
 def made_sheets(spark, sf_dir):
     items = _items(spark, sf_dir)
-    line = lambda rows, row, *cells: rows.select("doc", row.cast("long").alias("row"), "page", F.array(*cells).alias("cells"))
+    line = lambda row, *cells: F.array(F.struct(row.cast("long").alias("row"), F.array(*cells).alias("cells")))
     at, none = F.col("page") * 1000 + F.col("k") * 10 + 10, F.lit("")
-    lines = (
-        line(items, at, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d")))
-        .unionByName(line(items.where("k % 5 = 3"), at + 1, none, F.lit("and more of it"), none, none))
-        .unionByName(line(items.select("doc", "page").distinct(), F.col("page") * 1000, F.lit("Date"), F.lit(" Details"), F.lit("Paid"), F.lit("Balance")))
-    )
+    own = line(at, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d")))
+    more = line(at + 1, none, F.lit("and more of it"), none, none)
+    head = line(F.col("page") * 1000, F.lit("Date"), F.lit(" Details"), F.lit("Paid"), F.lit("Balance"))
+    every = F.concat(own, _some(F.col("k") % 5 == 3, more), _some(F.col("k") == 0, head))
+    lines = items.select("doc", "page", F.explode(every).alias("l")).select("doc", "l.row", "page", "l.cells")
     made = sheets.sheets(lines, ["doc"])
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return made.rows.select("doc", F.col("record").cast("int").alias("record"), "is_header", F.array_join("cells", "|").alias("cells"), F.array_join(F.transform("typed", lambda x: x["kind"]), " ").alias("kinds"), "reasons", text("sources").alias("sources"))
@@ -312,9 +319,10 @@ def made_sheets(spark, sf_dir):
 @query("q_S69_A23_sheet_summaries", f"""WITH i AS MATERIALIZED ({_ITEMS}) SELECT doc, count(*) + 1 AS "rows", count(DISTINCT page) - 1 AS dropped, 1 - count(*) FILTER (k = 7) / (count(*) + 1)::DOUBLE AS confidence FROM i GROUP BY 1""")
 def sheet_summaries(spark, sf_dir):
     items = _items(spark, sf_dir)
-    line = lambda rows, row, *cells: rows.select("doc", row.cast("long").alias("row"), "page", F.array(*cells).alias("cells"))
-    lines = line(items, F.col("page") * 100 + F.col("k") + 1, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d"))).unionByName(
-        line(items.select("doc", "page").distinct(), F.col("page") * 100, F.lit("Date"), F.lit("Details"), F.lit("Paid"), F.lit("Balance")))
+    line = lambda row, *cells: F.array(F.struct(row.cast("long").alias("row"), F.array(*cells).alias("cells")))
+    own = line(F.col("page") * 100 + F.col("k") + 1, F.col("a"), F.col("b"), F.col("c"), F.when(F.col("k") == 7, "none").otherwise(F.col("d")))
+    head = line(F.col("page") * 100, F.lit("Date"), F.lit("Details"), F.lit("Paid"), F.lit("Balance"))
+    lines = items.select("doc", "page", F.explode(F.concat(own, _some(F.col("k") == 0, head))).alias("l")).select("doc", "l.row", "page", "l.cells")
     return sheets.sheets(lines, ["doc"]).sheets.select("doc", "rows", "dropped", "confidence")
 
 
