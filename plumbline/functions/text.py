@@ -269,8 +269,8 @@ def html_unescape(c: Column, named: dict[str, str] = NAMED) -> Column:
     """Named and numeric references become characters, in one pass; unknown ones stay."""
     table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
     reference = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});"
-    found = F.regexp_extract_all(c, F.lit(reference), F.lit(0))
-    between = F.split(c, reference, -1)
+    # What stands between references and those themselves, side by side: a lambda that named the whole text would read it again for each.
+    between = F.arrays_zip(F.split(c, reference, -1).alias("text"), F.regexp_extract_all(c, F.lit(reference), F.lit(0)).alias("found"))
 
     def one(p: Column) -> Column:
         name = F.substring(p, F.lit(2), F.length(p) - 2)
@@ -282,7 +282,7 @@ def html_unescape(c: Column, named: dict[str, str] = NAMED) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         return F.when(name.startswith("#"), F.when(real, char).otherwise(p)).otherwise(F.coalesce(F.element_at(table, name), p))
 
-    pieces = F.transform(between, lambda text, i: F.concat(text, F.coalesce(one(F.get(found, i)), F.lit(""))))
+    pieces = F.transform(between, lambda x: F.concat(x["text"], F.coalesce(one(x["found"]), F.lit(""))))
     return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
 
 
