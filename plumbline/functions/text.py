@@ -568,7 +568,8 @@ def jwt_part(c: Column, part: int) -> Column:
 def line_and_column(text: Column, offset: Column) -> Column:
     """line and column, from 1, of an offset from 0."""
     before = F.substring(text, F.lit(1), offset)
-    return F.struct((F.regexp_count(before, F.lit("\n")) + 1).cast("long").alias("line"), (F.length(F.regexp_extract(before, r"([^\n]*)\z", 1)) + 1).cast("long").alias("column"))
+    lines, rest = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))), F.length(F.substring_index(before, "\n", -1))
+    return F.struct((lines + 1).cast("long").alias("line"), (rest + 1).cast("long").alias("column"))
 
 
 # ---- pages, formats, notes

@@ -17,3 +17,13 @@ def test_references_are_read_once(spark):
     got = [r.out for r in rows.select(t.html_unescape(F.col("v")).alias("out")).collect()]
     assert got == ["<aA &bogus; " * 10_000, "&\U0001f600x", "none", None]
     assert time.monotonic() - began < 20
+
+
+def test_long_last_lines(spark):
+    """The column was sought from each character of the text anew."""
+    texts = ["a\n" * 3 + "x" * 400_000, "a\nb", "", "\n", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "k int, v string")
+    began = time.monotonic()
+    got = [r.p for r in rows.select("k", t.line_and_column(F.col("v"), F.length("v")).alias("p")).orderBy("k").collect()]
+    assert [(p.line, p.column) for p in got] == [(4, 400_001), (2, 2), (1, 1), (2, 1), (None, None)]
+    assert time.monotonic() - began < 20
