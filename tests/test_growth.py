@@ -27,3 +27,20 @@ def test_long_last_lines(spark):
     got = [r.p for r in rows.select("k", t.line_and_column(F.col("v"), F.length("v")).alias("p")).orderBy("k").collect()]
     assert [(p.line, p.column) for p in got] == [(4, 400_001), (2, 2), (1, 1), (2, 1), (None, None)]
     assert time.monotonic() - began < 20
+
+
+def test_wide_spans_are_no_rows(spark):
+    """Every point of every span was a row."""
+    rows = [(1, 0.0, 400.0)] * 3 + [(1, 10.5, 5.0), (1, 15.5, 1.0), (2, -5.0, 1.0), (2, 500.0, 9.0), (2, 7.0, 0.0), (3, None, 2.0)]
+    spans = spark.createDataFrame(rows, "page int, x double, w double")
+    found = layout.coverage(spans, "page", 400)
+    got = {(r.page, r.point): r.n for r in found.collect()}
+    want = {}
+    for page, x, w in rows:
+        low = max(0, min(399, int(x // 1))) if x is not None else 399
+        high = min(400, max(low + 1, int(-(-(x + w) // 1)))) if x is not None else 400
+        for point in range(low, high):
+            want[page, point] = want.get((page, point), 0) + 1
+    assert got == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence") < plan.index("Window")  # points are made after all sums
