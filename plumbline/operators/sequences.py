@@ -57,19 +57,21 @@ def balance_shapes(rows: DataFrame, sheet: list[str], row: str, balance: str, le
     texts: an empty one adds nothing, an unreadable one leaves its row untested. Sheets with too few balances have no row.
     """
     value = lambda c: amount(F.col(c))["value"]
-    read = rows.select(*sheet, row, value(balance).alias("_b"), *[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", 0.0).otherwise(value(c)).alias(f"_v{i}") for i, c in enumerate(left)], *[value(c).alias(f"_n{i}") for i, c in enumerate(left)])
-    last = len(left) - 1
-    deltas = {"signed": F.col(f"_v{last}")} if last >= 0 else {}
-    if last >= 1:
-        deltas = {"debit-credit": F.abs(F.col(f"_v{last}")) - F.abs(F.col(f"_v{last - 1}")), **deltas}
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    # Each cell is read once, and all shapes are told in one pass over a sheet's rows.
+    read = rows.select(*sheet, row, value(balance).alias("_b"), *[value(c).alias(f"_n{i}") for i, c in enumerate(left)], *[blank(c).alias(f"_e{i}") for i, c in enumerate(left)])
+    added = [F.when(F.col(f"_e{i}"), 0.0).otherwise(F.col(f"_n{i}")) for i in range(len(left))]
+    deltas = {"signed": added[-1]} if left else {}
+    if len(left) > 1:
+        deltas = {"debit-credit": F.abs(added[-1]) - F.abs(added[-2]), **deltas}
     some = F.greatest(F.lit(False), F.col("_b").isNotNull(), *[F.col(f"_n{i}").isNotNull() for i in range(len(left))])
-    covered = read.groupBy(*sheet).agg(F.count_if(some).alias("_a"), F.count_if(F.col("_b").isNotNull()).alias("_c")).where((F.col("_a") > 0) & (F.col("_c") >= COVERED * F.col("_a"))).select(*sheet)
-    told = None
-    for k, (shape, delta) in enumerate(deltas.items()):
-        by = reconciled(read, sheet, row, delta, F.col("_b"), decimals).groupBy(*sheet).agg(F.count_if("tested").alias("transitions"), F.count_if("broken").alias("breaks"))
-        one = by.select(*sheet, F.struct((F.col("transitions") == 0).alias("idle"), "breaks", F.lit(k).alias("k"), F.lit(shape).alias("shape"), "transitions").alias("_s"))
-        told = one if told is None else told.unionByName(one)
-    best = told.groupBy(*sheet).agg(F.min("_s").alias("_s")).join(covered, sheet)
+    told, counts = read, [F.count_if(some).alias("_a"), F.count_if(F.col("_b").isNotNull()).alias("_c")]
+    for k, delta in enumerate(deltas.values()):
+        told = reconciled(told, sheet, row, delta, F.col("_b"), decimals).withColumnsRenamed({"tested": f"_t{k}", "broken": f"_x{k}"})
+        counts += [F.count_if(f"_t{k}").alias(f"_t{k}"), F.count_if(f"_x{k}").alias(f"_x{k}")]
+    covered = told.groupBy(*sheet).agg(*counts).where((F.col("_a") > 0) & (F.col("_c") >= COVERED * F.col("_a")))
+    each = [F.struct((F.col(f"_t{k}") == 0).alias("idle"), F.col(f"_x{k}").alias("breaks"), F.lit(k).alias("k"), F.lit(shape).alias("shape"), F.col(f"_t{k}").alias("transitions")) for k, shape in enumerate(deltas)]
+    best = covered.withColumn("_s", F.array_min(F.array(*each)))
     return best.select(*sheet, "_s.shape", "_s.transitions", "_s.breaks")
 
 

@@ -44,3 +44,14 @@ def test_wide_spans_are_no_rows(spark):
     assert got == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(sequence") < plan.index("Window")  # points are made after all sums
+
+
+def test_shapes_in_one_pass(spark):
+    rows = spark.createDataFrame([("s", i, "" if i % 2 else "5.00", "5.00" if i % 2 else " ", f"{95 if i % 2 else 100}.00") for i in range(1, 8)], "s string, r int, debit string, credit string, balance string")
+    found = sequences.balance_shapes(rows, ["s"], "r", "balance", ["debit", "credit"])
+    assert [tuple(r) for r in found.collect()] == [("s", "debit-credit", 6, 6)]
+    found = sequences.balance_shapes(rows, ["s"], "r", "balance", ["credit", "debit"])
+    assert [tuple(r) for r in found.collect()] == [("s", "debit-credit", 6, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert sequences.balance_shapes(rows, ["s"], "r", "balance", ["debit"]).first().shape == "signed"
