@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from plumbline.session import small_batches
+
 #: White space, characters that show nothing (tab and line ends aside), and spaces that aren't U+0020.
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE_IN_LINE = r"\t\x0B\f \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -174,8 +176,10 @@ def _folded(texts: pd.Series) -> pd.Series:
 
 
 def fold_accents(c: Column) -> Column:
-    """An Arrow batch function: apply it to distinct values."""
-    return _folded(c)
+    """An Arrow batch function, on batches of few texts: apply it to distinct values. ASCII texts don't go there at all."""
+    small_batches(SparkSession.active())
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, _folded(F.when(odd, c))).otherwise(c)
 
 
 def words(c: Column) -> Column:

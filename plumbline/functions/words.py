@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import SMALL_WORDS
+from plumbline.session import small_batches
 
 _WORD = regex.compile(r"[\p{L}\p{N}_'’]+")
 _LINE_END = regex.compile(r"(\r\n|\n|\r)")
@@ -71,11 +72,17 @@ def _sentenced(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _by_line(t, _sentence_line))
 
 
+def _batched(function: Callable[[pd.Series], pd.Series], c: Column) -> Column:
+    """function on batches of few texts, as each is held several times over; made where it is used, as making it needs a session."""
+    small_batches(SparkSession.active())
+    return F.pandas_udf(function, "string")(c)
+
+
 def title_case(c: Column) -> Column:
     """Words capitalised, small words kept small but at a line's edges; punctuation and spacing stay."""
-    return F.pandas_udf(_titled, "string")(c)  # made here, as making it needs a session
+    return _batched(_titled, c)
 
 
 def sentence_case(c: Column) -> Column:
     """Lower case, but for the first letter of each line and after . ! ? and an ellipsis."""
-    return F.pandas_udf(_sentenced, "string")(c)
+    return _batched(_sentenced, c)

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import scratch, settled, spread
+from plumbline.session import ROWS, scratch, settled, small_batches, spread
 
 __all__ = ["WORD", "held_out", "scratch", "settled", "slices", "small_batches", "table", "with_results"]
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows, and bytes of their texts, that a Python worker makes objects of at a time.
-ROWS, BYTES = 256, 4 << 20
+#: Bytes of the texts of at most ROWS rows that a Python worker makes objects of at a time.
+BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to ROWS rows where the session has Spark's own default, which is for short rows; a caller's own setting stays.
-
-    Spark knows no other place for this bound than the session, and what it sends at once is held twice, in the JVM and in the worker.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ROWS))
-
-
 def slices(values: pa.Array) -> Iterator[tuple[int, int]]:
     """Where a batch is parted: at so many rows, or where its values come to so many bytes. Spark bounds the batch itself."""
     sizes = pc.fill_null(pc.binary_length(values), 0) if pa.types.is_string(values.type) or pa.types.is_binary(values.type) else None

@@ -55,3 +55,17 @@ def test_shapes_in_one_pass(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
     assert sequences.balance_shapes(rows, ["s"], "r", "balance", ["debit"]).first().shape == "signed"
+
+
+def test_batches_of_few_texts(spark):
+    """A worker holds some hundreds of whole texts at a time, not ten thousand."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(3000).repartition(1).select(F.lit("Ab, ça. d").alias("v"), "id")
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+    for made, want in ((words.sentence_case, "Ab, ça. D"), (words.title_case, "Ab, Ça. D"), (t.fold_accents, "Ab, ca. d")):
+        spark.conf.set(key, "10000")
+        try:
+            got = rows.select(made(F.col("v")).alias("v"), size("id").alias("n")).distinct().collect()
+            assert {r.v for r in got} == {want} and max(r.n for r in got) <= 256
+        finally:
+            spark.conf.unset(key)
