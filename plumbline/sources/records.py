@@ -23,6 +23,8 @@ from plumbline.sources.delimited import SNIFF, decoded, sniff_encoding, sniff_se
 
 #: Files at most whose form is told apart; for more, name the form. A line `sep=;` before the records.
 FILES, SAID = 20_000, re.compile(r"sep=(.)\r?", re.IGNORECASE)
+#: Bytes of text that are worth a task.
+TASK = 16 << 20
 
 
 @cache
@@ -99,7 +101,10 @@ def read_records(spark: SparkSession, path: str, separator: str | None = None, e
     Files in UTF-16 and UTF-32 can't be split by lines: `read_grid` reads those whole. The value of an unclosed record holds the rest of its file.
     """
     folder = folder or scratch(spark)
-    raw = spark.read.option("lineSep", line_end).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").cast("binary").alias("_b"))
+    text = spark.read.option("lineSep", line_end).text(path)
+    # Blocks may be much smaller than what is worth a task or a file of its own; a task reads several, each from its own start.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // TASK))
+    raw = text.coalesce(tasks).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").cast("binary").alias("_b"))
     forms = None if separator and encoding else _forms(raw)
     if any(e.startswith(("utf-16", "utf-32")) for e in ([encoding] if forms is None else [f[0] for f in forms.values()])):
         raise ValueError("files of wide characters can't be split by lines: use read_grid")
@@ -133,7 +138,7 @@ def read_records(spark: SparkSession, path: str, separator: str | None = None, e
     names = [x.split()[0] for x in shape.split(", ")]
     lines = settled(raw.mapInArrow(told, shape), folder, "lines")
     last = F.max_by(F.struct("_out0", "_out1", "_r0", "_r1"), "_nth").alias("_last")
-    blocks = settled(lines.groupBy("path", "_block").agg(last).select("path", "_block", "_last.*"), folder, "blocks")  # a row a block
+    blocks = settled(lines.coalesce(tasks).groupBy("path", "_block").agg(last).select("path", "_block", "_last.*"), folder, "blocks")  # a row a block
     order = Window.partitionBy("path").orderBy("_block")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     # A block whose end is the same either way settles the state; one whose end differs as its start does keeps it or, if turned round, flips it.

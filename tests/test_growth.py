@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input, nor hold more of it at once than they need."""
 
+import random
 import time
 
 import pandas as pd
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.functions import words
-from plumbline.operators import layout, sequences
+from plumbline.operators import geometry, layout, sequences
+from plumbline.sources import records
 
 
 def test_references_are_read_once(spark):
@@ -69,3 +71,18 @@ def test_batches_of_few_texts(spark):
             assert {r.v for r in got} == {want} and max(r.n for r in got) <= 256
         finally:
             spark.conf.unset(key)
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    """Each block of a file was a task and a file of its own, however small."""
+    (tmp_path / "a.csv").write_text("".join(f'{i},"x\n{i}"\n' for i in range(20_000)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2048")
+    try:
+        rows = records.read_records(spark, f"file://{tmp_path}/a.csv", ",", "utf-8", folder=f"file://{tmp_path}/out")
+    finally:
+        spark.conf.set(key, before)
+    got = rows.select("_row", F.get("cells", F.lit(0)).alias("a"), F.get("cells", F.lit(1)).alias("b")).orderBy("_row").collect()
+    assert [tuple(r) for r in got] == [(i, str(i), f"x\n{i}") for i in range(20_000)]
+    assert len(list((tmp_path / "out" / "lines").glob("part-*"))) <= spark.sparkContext.defaultParallelism
