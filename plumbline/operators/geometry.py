@@ -67,16 +67,18 @@ def column_kinds(rows: DataFrame, row: str, columns: list[str]) -> DataFrame:
     """name, samples, kind (date, money, number, text) and decimals of each column.
 
     A kind holds if 60 % of at least three values have it; numbers are money if one of them has a currency, a
-    marker, brackets or two decimals.
+    marker, brackets or two decimals. Values are counted first and each is read once, by as many tasks as a shuffle has, however few files hold the rows.
     """
     value = F.coalesce(F.col("value"), F.lit(""))
-    read = cells(rows, row, columns).where(~t.is_blank(value)).select(
-        "name", numbers.amount(F.col("value")).alias("a"), (dates.inspect(F.col("value"))["kind"] != "not-a-date").alias("d"), F.col("value").rlike(r"^\s*\(").alias("bracketed"),
+    counted = cells(rows, row, columns).where(~t.is_blank(value)).groupBy("name", "value").agg(F.count("*").alias("_n"))
+    read = counted.select(
+        "name", "_n", numbers.amount(F.col("value")).alias("a"), (dates.inspect(F.col("value"))["kind"] != "not-a-date").alias("d"), F.col("value").rlike(r"^\s*\(").alias("bracketed"),
     )
     a = F.col("a")
     rich = a.isNotNull() & (a["currency"].isNotNull() | a["marker"].isNotNull() | F.col("bracketed") | (a["decimals"] >= 2))
+    share = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0)) / F.sum("_n")
     by = read.groupBy("name").agg(
-        F.count("name").alias("samples"), F.avg(F.col("d").cast("double")).alias("dated"), F.avg(a.isNotNull().cast("double")).alias("counted"), F.max(F.coalesce(rich, F.lit(False))).alias("rich"),
+        F.sum("_n").alias("samples"), share(F.col("d")).alias("dated"), share(a.isNotNull()).alias("counted"), F.max(F.coalesce(rich, F.lit(False))).alias("rich"),
         F.max(F.coalesce(a["decimals"], F.lit(0))).alias("decimals"),
     )
     enough = F.col("samples") >= 3

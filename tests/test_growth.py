@@ -86,3 +86,11 @@ def test_small_blocks_share_tasks(spark, tmp_path):
     got = rows.select("_row", F.get("cells", F.lit(0)).alias("a"), F.get("cells", F.lit(1)).alias("b")).orderBy("_row").collect()
     assert [tuple(r) for r in got] == [(i, str(i), f"x\n{i}") for i in range(20_000)]
     assert len(list((tmp_path / "out" / "lines").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+
+
+def test_values_are_read_once(spark):
+    """A column's values were read in the task that read its file, each as often as it stands there."""
+    rows = spark.range(1000).select("id", F.lit("$1.50").alias("a"), F.when(F.col("id") % 4 == 0, "x").otherwise("7").alias("b"), F.when(F.col("id") < 2, "1").alias("c"))
+    found = geometry.column_kinds(rows, "id", ["a", "b", "c"])
+    assert sorted(map(tuple, found.collect())) == [("a", 1000, "money", 2), ("b", 1000, "number", 0), ("c", 2, "text", 0)]
+    assert "Aggregate [name" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate [") == 2
