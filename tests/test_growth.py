@@ -88,6 +88,19 @@ def test_small_blocks_share_tasks(spark, tmp_path):
     assert len(list((tmp_path / "out" / "lines").glob("part-*"))) <= spark.sparkContext.defaultParallelism
 
 
+def test_justified_of_gathered_lines(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(b, k, r.choice([0.0, 1.0, 1.5, 3.0, None]), r.choice([90.0, 91.5, 93.1])) for b in range(80) for k in range(r.randrange(1, 9))]
+    lines = spark.createDataFrame(rows, "b int, k int, x0 double, x1 double")
+    want = {r.b: r.justified for r in layout._justified(lines, ["b"], "k", "x0", "x1").collect()} if hasattr(layout, "_justified") else None
+    found = layout.justified(lines, ["b"], "k", "x0", "x1")
+    assert {r.b: r.justified for r in found.collect()} == want and {True, False} == set(want.values())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    monkeypatch.setattr(layout, "MANY", 4)
+    assert {r.b: r.justified for r in layout.justified(lines, ["b"], "k", "x0", "x1").collect()} == want
+
+
 def test_values_are_read_once(spark):
     """A column's values were read in the task that read its file, each as often as it stands there."""
     rows = spark.range(1000).select("id", F.lit("$1.50").alias("a"), F.when(F.col("id") % 4 == 0, "x").otherwise("7").alias("b"), F.when(F.col("id") < 2, "1").alias("c"))
