@@ -88,6 +88,22 @@ def test_small_blocks_share_tasks(spark, tmp_path):
     assert len(list((tmp_path / "out" / "lines").glob("part-*"))) <= spark.sparkContext.defaultParallelism
 
 
+def test_areas_of_gathered_boxes(spark, monkeypatch):
+    """A page's boxes were joined with its strips, through five sorts."""
+    r = random.Random(3)
+    rows = [(p, float(r.randrange(12)), float(r.randrange(12)), float(r.randrange(5)), float(r.randrange(1, 5))) for p in range(40) for _ in range(r.randrange(1, 9))]
+    boxes = spark.createDataFrame([*rows, (99, 1.0, 1.0, 0.0, 3.0)], "page int, x double, y double, w double, h double")
+    want = {}
+    for p, x, y, w, h in rows:
+        want.setdefault(p, set()).update((a, b) for a in range(int(x), int(x + w)) for b in range(int(y), int(y + h)))
+    want = {p: float(len(cells)) for p, cells in want.items() if cells}
+    found = layout.union_area(boxes, "page")
+    assert {r.page: r.area for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(layout, "MANY", 3)
+    assert {r.page: r.area for r in layout.union_area(boxes, "page").collect()} == want
+
+
 def test_justified_of_gathered_lines(spark, monkeypatch):
     r = random.Random(4)
     rows = [(b, k, r.choice([0.0, 1.0, 1.5, 3.0, None]), r.choice([90.0, 91.5, 93.1])) for b in range(80) for k in range(r.randrange(1, 9))]
