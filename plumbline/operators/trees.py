@@ -35,8 +35,9 @@ def tree_paths(nodes: DataFrame, tree: Sequence[str], folder: str | None = None,
     ended = -1
     for k in range(1, rounds + 1):
         above = now.select(*tree, F.col("id").alias("_up"), F.col("_up").alias("_far"), F.col("path").alias("_path"))
-        further = now.join(above, [*tree, "_up"], "left").select(*tree, "id", F.col("_far").alias("_up"), "role", F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
-        now = shuffled(settled(further, folder, f"paths{k}"))
+        # Nodes that have reached a root stay out of the join: a key that is null would bring them all to one task.
+        further = now.where("_up is not null").join(above, [*tree, "_up"], "left").select(*tree, "id", F.col("_far").alias("_up"), "role", F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
+        now = shuffled(settled(further.unionByName(now.where("_up is null").select(further.columns)), folder, f"paths{k}"))
         drop(now.sparkSession, f"{folder}/paths{k - 1}")
         done = now.where("_up is null").count()
         if done == ended:  # all that a root reaches; what goes on runs in circles

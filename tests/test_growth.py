@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.functions import words
-from plumbline.operators import geometry, layout, sequences
+from plumbline.operators import geometry, layout, sequences, trees
 from plumbline.sources import records
 
 
@@ -123,3 +123,14 @@ def test_values_are_read_once(spark):
     found = geometry.column_kinds(rows, "id", ["a", "b", "c"])
     assert sorted(map(tuple, found.collect())) == [("a", 1000, "money", 2), ("b", 1000, "number", 0), ("c", 2, "text", 0)]
     assert "Aggregate [name" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate [") == 2
+
+
+def test_finished_nodes_are_not_joined(spark, monkeypatch, tmp_path):
+    """Nodes that had reached a root were joined by a null key, all in one task."""
+    nodes = spark.createDataFrame([(1, i, i // 2 if i > 1 else None, i, "a") for i in range(1, 200)], "tree int, id int, parent int, ord int, role string")
+    plans, settled = [], trees.settled
+    monkeypatch.setattr(trees, "settled", lambda frame, folder, name: (plans.append(frame._jdf.queryExecution().optimizedPlan().toString()), settled(frame, folder, name))[1])
+    got = {r.id: [n.id for n in r.path] for r in trees.tree_paths(nodes, ["tree"], f"file://{tmp_path}/t").collect()}
+    up = lambda i: [*up(i // 2), i] if i else []
+    assert got == {i: up(i) for i in range(1, 200)}
+    assert len(plans) > 2 and all("Union" in p and "isnotnull(_up" in p.split("Join LeftOuter")[1] for p in plans[1:])
