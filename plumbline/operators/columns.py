@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.functions.numbers import amount
-from plumbline.operators.layout import NO_SPACE, anchored, fill_ratio, gap_kind, leading, lines, median_of, mode_of
+from plumbline.operators.layout import NO_SPACE, anchored, fill_ratio, leading, lines, median_of, mode_of
 from plumbline.session import scratch, settled
 
 #: The width of a place in points, the least gutter in points and in sizes of type, how near edges line up, the share of them that must.
@@ -39,6 +39,34 @@ def runs_of(spans: DataFrame, page: Sequence[str], body: str) -> DataFrame:
     return anchored(ink, page, "y", line_tolerance(F.col(body))).withColumnRenamed("anchor", "line")
 
 
+def page_lines(spans: DataFrame, page: Sequence[str], body: str) -> DataFrame:
+    """page, line (its anchor), _s (its spans, from left to right), _body of the lines with ink: runs_of and what gathers its lines, from a page's spans gathered once."""
+    page = [*page]
+    ink = spans.where(F.length(t.js_trim(F.col("text"))) > 0).dropna(subset=[*page, "y"])
+    pages = ink.groupBy(*page).agg(F.sort_array(_spans()).alias("_p"), F.max(line_tolerance(F.col(body))).alias("_tolerance"), F.max(body).cast("double").alias("_body"))
+    start = F.expr("named_struct('anchor', cast(null as double), 'i', 0, 'out', cast(array() as array<struct<line:double,at:int>>))")
+
+    def put(s: Column, v: Column) -> Column:
+        begins = s["anchor"].isNull() | (v["y"] - s["anchor"] > F.col("_tolerance"))
+        out = F.when(begins, F.array_append(s["out"], F.struct(v["y"].alias("line"), s["i"].alias("at")))).otherwise(s["out"])
+        return F.struct(F.when(begins, v["y"]).otherwise(s["anchor"]).alias("anchor"), (s["i"] + 1).alias("i"), out.alias("out"))
+
+    def told(a: Column, i: Column) -> Column:
+        until = F.coalesce(F.get("_a", i + 1)["at"], F.size("_p"))
+        return F.struct(a["line"].alias("line"), F.slice("_p", a["at"] + 1, until - a["at"]).alias("_s"))
+
+    # Heights further apart than the tolerance part lines; only on pages where what lies between is wider than it are spans folded one by one.
+    y = lambda i: F.get("_p", i)["y"]
+    parted = pages.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | (y(i) - y(i - 1) > F.col("_tolerance"))))
+    wide = F.exists(F.transform("_i", lambda i, n: y(F.coalesce(F.get("_i", n + 1), F.size("_p")) - 1) - y(i) > F.col("_tolerance")), lambda w: w)
+    plain = F.transform("_i", lambda i: F.struct(y(i).alias("line"), i.alias("at")))
+    begun = parted.withColumn("_a", F.when(wide, F.aggregate("_p", start, put, lambda s: s["out"])).otherwise(plain))
+    each = begun.select(*page, "_body", F.explode(F.transform("_a", told)).alias("_l")).select(*page, "_l.line", "_l._s", "_body")
+    # Spans of one height are in order by now.
+    level = F.get("_s", F.lit(0))["y"] == F.element_at("_s", -1)["y"]
+    return each.withColumn("_s", F.when(level, F.col("_s")).otherwise(_across(F.col("_s"))))
+
+
 def _covered(changes: DataFrame, group: Sequence[str], at: str, change: str, most: Column) -> DataFrame:
     """group, low, high: stretches of places that more than `most` things cover, told by what begins and ends where."""
     order = Window.partitionBy(*group).orderBy(at)
@@ -59,16 +87,33 @@ def profile(runs: DataFrame, doc: Sequence[str], body: str, share: float) -> Dat
     Columns lie between gutters: stretches of places that no more lines than a share cross. Values line up on the left or right edge if enough of them end
     within the tolerance of their neighbours; both: on the right one.
     """
-    doc = [*doc]
+    gathered = runs.groupBy(*doc, "page", "line").agg(F.collect_list(F.struct("x", "w")).alias("_s"), F.max(body).alias("_body"))
+    return profile_of_lines(gathered, doc, share)
+
+
+def profile_of_lines(gathered: DataFrame, doc: Sequence[str], share: float, folder: str | None = None) -> DataFrame:
+    """profile of gathered lines, whose places are counted once."""
+    folder = folder or scratch(gathered.sparkSession)
+    return _profile(settled(_places(gathered, doc), folder, "places"), doc, share, folder)
+
+
+def _places(gathered: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """doc, x, w, _n (runs that lie there), _lines (those that are their line's first), _body: a document has few places and many runs, so these are partial sums."""
+    runs = gathered.select(*doc, "_body", F.posexplode(F.transform("_s", lambda s: F.struct(s["x"].alias("x"), s["w"].alias("w")))).alias("_i", "_r"))
+    return runs.groupBy(*doc, F.col("_r.x").alias("x"), F.col("_r.w").alias("w")).agg(F.count("*").alias("_n"), F.count_if(F.col("_i") == 0).alias("_lines"), F.max("_body").alias("_body"))
+
+
+def _profile(places: DataFrame, doc: Sequence[str], share: float, folder: str | None = None) -> DataFrame:
+    """profile of counted places. Its steps are settled, as all go by the document and would else be one task, with the memory of all of them."""
+    doc, folder = [*doc], folder or scratch(places.sparkSession)
     right = F.col("x") + F.col("w")
-    extent = (
-        runs.groupBy(*doc, "page", "line").agg(F.min("x").alias("_lo"), F.max(right).alias("_hi"), F.max(body).alias("_body"))
-        .groupBy(*doc).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_body").alias("_body"), F.floor(F.count("*") * share).alias("_most"))
-    )
+    extent = places.groupBy(*doc).agg(F.min("x").alias("_lo"), F.max(right).alias("_hi"), F.max("_body").alias("_body"), F.floor(F.sum("_lines") * share).alias("_most"))
+    extent = settled(extent, folder, "extent")
+    runs = places.drop("_body", "_lines")
     place = lambda x: (x - F.col("_lo")) / PLACE
     ends = F.array(
-        F.struct(F.greatest(F.lit(0), F.floor(place(F.col("x")))).alias("at"), F.lit(1).alias("change")),
-        F.struct((F.least(F.ceil(place(F.col("_hi"))), F.ceil(place(right))) + 1).alias("at"), F.lit(-1).alias("change")),
+        F.struct(F.greatest(F.lit(0), F.floor(place(F.col("x")))).alias("at"), F.col("_n").alias("change")),
+        F.struct((F.least(F.ceil(place(F.col("_hi"))), F.ceil(place(right))) + 1).alias("at"), (-F.col("_n")).alias("change")),
     )
     changes = runs.join(extent, doc).select(*doc, "_most", F.explode(ends).alias("_e")).select(*doc, "_most", "_e.*")
     free = _between(_covered(changes, doc, "at", "change", F.col("_most")), doc, F.lit(0)).join(extent, doc)
@@ -77,18 +122,18 @@ def profile(runs: DataFrame, doc: Sequence[str], body: str, share: float) -> Dat
     laid = extent.join(gaps, doc, "left").withColumn("gutters", F.coalesce("gutters", F.expr("cast(array() as array<struct<low:double,high:double>>)")))
     n = F.size("gutters")
     columns = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, F.col("_lo")).otherwise(F.get("gutters", i - 1)["high"]).alias("x0"), F.when(i == n, F.col("_hi")).otherwise(F.get("gutters", i)["low"]).alias("x1")))
-    laid = laid.select(*doc, "gutters", F.filter(columns, lambda c: c["x1"] - c["x0"] > 0.01).alias("_columns"))
+    laid = settled(laid.select(*doc, "gutters", F.filter(columns, lambda c: c["x1"] - c["x0"] > 0.01).alias("_columns")), folder, "laid")
     middle = F.col("x") + F.col("w") / 2
     mine = runs.join(laid, doc).withColumn("_k", F.array_position(F.transform("_columns", lambda c: middle.between(c["x0"], c["x1"])), True)).where("_k > 0")
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("x").cast("double").alias("v")), F.struct(F.lit("r").alias("side"), right.cast("double").alias("v"))))
     by = [*doc, "_k", "side"]
-    edges = mine.select(*doc, "_k", sides.alias("_s")).select(*doc, "_k", "_s.*").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    edges = mine.select(*doc, "_k", "_n", sides.alias("_s")).select(*doc, "_k", "_n", "_s.*").groupBy(*by, "v").agg(F.sum("_n").alias("n"))
     order = Window.partitionBy(*by).orderBy("v")
     chained = edges.withColumn("_new", F.coalesce((F.col("v") - F.lag("v").over(order) > EDGE).cast("int"), F.lit(0))).withColumn("_chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     clusters = chained.groupBy(*by, "_chain").agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("at"))
     best = clusters.groupBy(*by).agg(F.max_by(F.struct("n", "at"), F.struct("n", -F.col("at"))).alias("best"), F.sum("n").alias("support"))
     pick = lambda side, f: F.max(F.when(F.col("side") == side, F.col("best")[f]))
-    told = best.groupBy(*doc, "_k").agg(F.max("support").alias("support"), *[pick(s, f).alias(f"_{s}{f}") for s in "lr" for f in ("n", "at")])
+    told = settled(best.groupBy(*doc, "_k").agg(F.max("support").alias("support"), *[pick(s, f).alias(f"_{s}{f}") for s in "lr" for f in ("n", "at")]), folder, "told")
     left_share, right_share = F.col("_ln") / F.col("support"), F.col("_rn") / F.col("support")
     align = F.when((right_share >= left_share) & (right_share >= ALIGNED), "right").when((left_share > right_share) & (left_share >= ALIGNED), "left").otherwise("ragged")
     place_of = told.join(laid, doc).withColumn("_c", F.get("_columns", F.col("_k") - 1))
@@ -101,17 +146,24 @@ def profile(runs: DataFrame, doc: Sequence[str], body: str, share: float) -> Dat
 
 
 def _spans() -> Column:
-    """The spans of a group, from left to right."""
-    number = [F.col(c).cast("double").alias(c) for c in ("w", "size", "y")]
-    return F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "seq", *number, "text", F.greatest(F.lit(1), F.length(t.js_trim(F.col("text")))).cast("double").alias("weight"))))
+    """The spans of a group, in no order; compared, they go by height, then from left to right."""
+    fields = {c: F.col(c).cast("double").alias(c) for c in ("y", "x", "w", "size")}
+    return F.collect_list(F.struct(fields["y"], fields["x"], "seq", fields["w"], fields["size"], "text", F.greatest(F.lit(1), F.length(t.js_trim(F.col("text")))).cast("double").alias("weight")))
+
+
+def _across(spans: Column) -> Column:
+    """spans from left to right."""
+    put = lambda fields: lambda s: F.struct(*[s[f].alias(f) for f in fields])
+    rest = ("x", "seq", "w", "size")
+    return F.transform(F.sort_array(F.transform(spans, put((*rest, "y", "text", "weight")))), put(("y", *rest, "text", "weight")))
 
 
 def joined(spans: Column, body: Column) -> Column:
     """The text of spans (x, w, size, text, in order): a space where the gap is as wide as one, white space as single spaces. body is the size where spans have none."""
     def told(s: Column, i: Column, every: Column) -> Column:
         before = F.get(every, i - 1)
-        sized = gap_kind(before["x"] + before["w"], s["x"], before["size"], s["size"]) == "none"
-        close = F.when(F.greatest(before["size"], s["size"]) > 0, sized).otherwise(s["x"] - before["x"] - before["w"] < NO_SPACE * body)
+        gap, size = s["x"] - (before["x"] + before["w"]), F.greatest(before["size"], s["size"])
+        close = F.when(size > 0, gap / size < NO_SPACE).otherwise(s["x"] - before["x"] - before["w"] < NO_SPACE * body)
         return F.when((i == 0) | close, s["text"]).otherwise(F.concat(F.lit(" "), s["text"]))
 
     whole = F.transform(F.array(spans), lambda every: F.array_join(F.transform(every, lambda s, i: told(s, i, every)), ""))[0]
@@ -135,7 +187,7 @@ def rows_of(runs: DataFrame, columns: DataFrame, doc: Sequence[str], body: str)
 
 def _gathered(runs: DataFrame, line: Sequence[str], body: str) -> DataFrame:
     """line, _s (its spans, from left to right), _body."""
-    return runs.groupBy(*line).agg(_spans().alias("_s"), F.max(body).cast("double").alias("_body"))
+    return runs.groupBy(*line).agg(_across(_spans()).alias("_s"), F.max(body).cast("double").alias("_body"))
 
 
 def _rows(gathered: DataFrame, columns: DataFrame, doc: Sequence[str]) -> DataFrame:
@@ -200,17 +252,16 @@ def column_tables(spans: DataFrame, doc: Sequence[str], body: str, folder: str |
     doc, folder = [*doc], folder or scratch(spans.sparkSession)
     line = [*doc, "page", "line"]
     # A line's spans are gathered once; all later looks are at lines.
-    every = _gathered(runs_of(spans, [*doc, "page"], body), line, body)
+    every = page_lines(spans, [*doc, "page"], body)
     told = settled(every.select("*", median_of("_s", "y").alias("y"), t.line_shape(joined(F.col("_s"), F.lit(0.0))).alias("shape")), folder, "lines")
     running = settled(_running(told, doc), folder, "running")
     gathered = settled(told.join(running, [*doc, "shape"], "left_anti").select(*line, "_s", "_body"), folder, "kept")
-    kept = gathered.select(*line, F.col("_body").alias(body), F.explode("_s").alias("_r")).select(*line, body, "_r.x", "_r.w")
-    scout = settled(profile(kept, doc, body, SCOUT), folder, "scout")
+    scout = settled(profile_of_lines(gathered, doc, SCOUT, f"{folder}/scouted"), folder, "scout")
     scout = scout.join(scout.groupBy(*doc).agg(F.count("*").alias("_n")).where("_n >= 2").select(*doc), doc, "left_semi")
     first = settled(band(_rows(gathered, scout, doc), doc), folder, "first")
     many = first.groupBy(*doc).agg(F.count("*").alias("_n1"))
-    inside = kept.join(first.select(*line), line, "left_semi").join(many.where("_n1 >= 3").select(*doc), doc, "left_semi")
-    strict = profile(inside, doc, body, STRICT)
+    inside = gathered.join(first.select(*line), line, "left_semi").join(many.where("_n1 >= 3").select(*doc), doc, "left_semi")
+    strict = profile_of_lines(inside, doc, STRICT, f"{folder}/strict")
     final = settled(strict.unionByName(scout.join(many.where("_n1 >= 3").select(*doc), doc, "left_anti")), folder, "final")
     second = settled(band(_rows(gathered, final, doc), doc), folder, "second")
     counts = many.join(second.groupBy(*doc).agg(F.count("*").alias("_n2")), doc, "left").select(*doc, (F.coalesce("_n2", F.lit(0)) >= 0.5 * F.col("_n1")).alias("_again"))
@@ -218,7 +269,8 @@ def column_tables(spans: DataFrame, doc: Sequence[str], body: str, folder: str |
     again = second.join(counts.where("_again").select(*doc), doc, "left_semi")
     chosen = first.select(*line).join(counts.where(~F.col("_again")).select(*doc), doc, "left_semi")
     table = again.unionByName(_rows(gathered.join(chosen, line, "left_semi"), final, doc))
-    fits = misfit(kept.join(table.select(*line), line, "left_semi"), final, doc).where(F.col("inside") <= MISFIT).select(*doc, "page")
+    kept = gathered.join(table.select(*line), line, "left_semi").select(*doc, "page", F.explode("_s").alias("_r")).select(*doc, "page", "_r.x", "_r.w")
+    fits = misfit(kept, final, doc).where(F.col("inside") <= MISFIT).select(*doc, "page")
     table = settled(table.join(fits, [*doc, "page"], "left_semi"), folder, "table")
     hits = table.select(*doc, "page", F.col("_cols"), F.posexplode(F.transform("amounts", lambda a, i: a & F.array_contains("_right", i))).alias("col", "hit")).where("hit").groupBy(*doc, "col").agg(F.count("*").alias("_hits"))
     single = table.groupBy(*doc).agg(F.count_distinct("page").alias("_pages"), F.count("*").alias("_rows"), F.max("_cols").alias("_cols")).join(hits.groupBy(*doc).agg(F.max("_hits").alias("_hits")), doc, "left")
@@ -231,7 +283,11 @@ def column_tables(spans: DataFrame, doc: Sequence[str], body: str, folder: str |
 
 def lines_text(runs: DataFrame, doc: Sequence[str]) -> DataFrame:
     """doc, page, line, y, text of the lines that runs make."""
-    gathered = runs.groupBy(*doc, "page", "line").agg(_spans().alias("_s"))
+    return texts_of_lines(runs.groupBy(*doc, "page", "line").agg(_across(_spans()).alias("_s")), doc)
+
+
+def texts_of_lines(gathered: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """lines_text of gathered lines."""
     return gathered.select(*doc, "page", "line", median_of("_s", "y").alias("y"), joined(F.col("_s"), F.lit(0.0)).alias("text"))
 
 

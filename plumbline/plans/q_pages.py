@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fold, wrap
 from plumbline.operators import columns, grids, paragraphs, running, sheets, trees
-from plumbline.plans.base import query, table
+from plumbline.plans.base import keyed, query, table
 from plumbline.session import scratch
 
 #: Statements: a document a supplier, 30 of its line items a page, each a line of four columns; some go on in a line below.
@@ -24,7 +24,7 @@ _CELLS = """s AS (
 def _items(spark, sf_dir):
     keys = "l_orderkey l_linenumber l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
     n = (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)) - 1).alias("n")
-    return table(spark, sf_dir, "lineitem").select("*", n).select(
+    return keyed(spark, sf_dir, "lineitem", "l_suppkey").select("*", n).select(
         F.col("l_suppkey").alias("doc"), F.expr("n div 30").alias("page"), (F.col("n") % 30).alias("k"), F.expr("100 + 17 * (n div 30 % 9) + 18 * (n % 30)").alias("top"),
         F.date_format("l_shipdate", "dd/MM/yyyy").alias("a"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("b"),
         F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".50")).alias("c"), F.concat((1000 + F.col("n")).cast("string"), F.lit(".00")).alias("d"),
@@ -64,13 +64,13 @@ o AS (SELECT doc, x0, x1, max(support) AS support, max(b.n) FILTER (s = 'l') / m
 SELECT doc, (row_number() OVER w - 1)::INT AS col, x0, x1, CASE WHEN rs >= ls AND rs >= 0.8 THEN 'right' WHEN ls > rs AND ls >= 0.8 THEN 'left' ELSE 'ragged' END AS align, round(CASE WHEN rs >= ls AND rs >= 0.8 THEN ra ELSE la END, 6) AS anchor, ls AS left_share, rs AS right_share, support, (x1 + lead(x0) OVER w) / 2 AS until
 FROM o WINDOW w AS (PARTITION BY doc ORDER BY x0)""")
 def profiles(spark, sf_dir):
-    runs = columns.runs_of(_statements(spark, sf_dir), ["doc", "page"], "body")
-    return columns.profile(runs, ["doc"], "body", columns.SCOUT).withColumn("anchor", F.round("anchor", 6)).drop("gutters")
+    lines = columns.page_lines(_statements(spark, sf_dir), ["doc", "page"], "body")
+    return columns.profile_of_lines(lines, ["doc"], columns.SCOUT, scratch(spark)).withColumn("anchor", F.round("anchor", 6)).drop("gutters")
 
 
 @query("q_F47_F48_joined_spans", f"WITH i AS MATERIALIZED ({_ITEMS}), {_CELLS} SELECT doc, page, y AS line, y, string_agg(text, ' ' ORDER BY x) AS text FROM runs GROUP BY 1, 2, 3")
 def joined(spark, sf_dir):
-    return columns.lines_text(columns.runs_of(_statements(spark, sf_dir), ["doc", "page"], "body"), ["doc"])
+    return columns.texts_of_lines(columns.page_lines(_statements(spark, sf_dir), ["doc", "page"], "body"), ["doc"])
 
 
 @query("q_P04_P09_P10_P11_W25_column_tables", f"""WITH i AS MATERIALIZED ({_ITEMS})
@@ -91,7 +91,7 @@ SELECT page, col::INT AS col, min(x) AS x0, max(x + w) AS x1 FROM s WHERE NOT ce
 def text_columns(spark, sf_dir):
     keys = "l_orderkey l_linenumber l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
     n = (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)) - 1).alias("n")
-    rows = table(spark, sf_dir, "lineitem").select("*", n).withColumn("cols", F.least(F.lit(3), 1 + F.col("l_suppkey") % 4)).withColumn("k", F.expr("n div cols"))
+    rows = keyed(spark, sf_dir, "lineitem", "l_suppkey").select("*", n).withColumn("cols", F.least(F.lit(3), 1 + F.col("l_suppkey") % 4)).withColumn("k", F.expr("n div cols"))
     w = F.when(F.col("l_suppkey") % 4 == 3, 20 + F.col("l_partkey") % 150).when(F.col("k") % 5 == 4, 80).when(F.col("l_partkey") % 5 == 0, 166).otherwise(168)
     spans = rows.select(
         F.col("l_suppkey").alias("page"), F.col("n").cast("long").alias("seq"), F.lit("words").alias("text"), (50 + 190 * (F.col("n") % F.col("cols"))).cast("double").alias("x"), (60 + 12 * F.col("k")).cast("double").alias("y"),
@@ -229,7 +229,7 @@ _TYPED = f"SELECT l_suppkey AS doc, n // 40 AS page, n % 40 AS k, (50 + 12 * (n
 def _typed(spark, sf_dir):
     keys = "l_orderkey l_linenumber l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
     n, part = F.col("n"), F.col("l_partkey").cast("string")
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)) - 1).alias("n"))
+    rows = keyed(spark, sf_dir, "lineitem", "l_suppkey").select("l_suppkey", "l_partkey", (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*keys)) - 1).alias("n"))
     text = F.when(n % 20 == 10, F.concat(F.lit("Heading "), part)).otherwise(F.concat(F.lit("part "), part, F.when(n % 5 == 4, ".").otherwise("")))
     none = F.lit(None).cast("double")
     return rows.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dates, numbers
 from plumbline.functions import text as t
 from plumbline.operators import clean, sequences, tally
-from plumbline.plans.base import DIRTIED, S, dirtied, query, quote, sql_scrub, sql_trim, table
+from plumbline.plans.base import DIRTIED, S, dirtied, keyed, query, quote, sql_scrub, sql_trim, table
 
 # ---- dates
 
@@ -209,7 +209,7 @@ def intervals(spark, sf_dir):
 
 @query("q_A25_chains", "SELECT l_suppkey, cluster::BIGINT AS cluster, round(avg(pos), 6) AS mean, count(*)::BIGINT AS size FROM (SELECT *, sum(st) OVER (PARTITION BY l_suppkey ORDER BY pos, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY l_suppkey ORDER BY pos, l_orderkey, l_linenumber) <= 20 THEN 0 ELSE 1 END AS st FROM (SELECT l_suppkey, l_partkey AS pos, l_orderkey, l_linenumber FROM lineitem))) GROUP BY 1, 2")
 def chains(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("at"))
+    rows = keyed(spark, sf_dir, "lineitem", "l_suppkey").select("l_suppkey", F.col("l_partkey").alias("at"))
     return sequences.chained(rows, ["l_suppkey"], "at", 20).withColumn("mean", F.round("mean", 6))
 
 

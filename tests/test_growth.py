@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.functions import words
-from plumbline.operators import geometry, layout, sequences, trees
+from plumbline.operators import columns, geometry, layout, sequences, trees
+from plumbline.plans import base, q_tables
 from plumbline.sources import records
 
 
@@ -134,3 +135,37 @@ def test_finished_nodes_are_not_joined(spark, monkeypatch, tmp_path):
     up = lambda i: [*up(i // 2), i] if i else []
     assert got == {i: up(i) for i in range(1, 200)}
     assert len(plans) > 2 and all("Union" in p and "isnotnull(_up" in p.split("Join LeftOuter")[1] for p in plans[1:])
+
+
+def test_lines_of_gathered_pages(spark):
+    """A page's spans were joined with their lines and shuffled once more to gather them."""
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.randrange(6), i, r.choice(["x", " y ", "  "]), float(r.randrange(9)), r.choice([None, *[k / 2 for k in range(60)]]), 4.0, 6.0, 6.0) for i in range(600)]
+    spans = spark.createDataFrame(rows, "doc string, page int, seq int, text string, x double, y double, w double, size double, body double")
+    told = lambda found: sorted((x.doc, x.page, x.line, x._body, tuple((s.x, s.seq, s.w, s.size, s.y, s.text, s.weight) for s in x._s)) for x in found.collect())
+    want = told(columns._gathered(columns.runs_of(spans, ["doc", "page"], "body"), ["doc", "page", "line"], "body"))
+    found = columns.page_lines(spans, ["doc", "page"], "body")
+    assert told(found) == want and max(len({s[4] for s in x[4]}) for x in want) > 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [") == 1
+
+
+def test_profiles_of_counted_places(spark, monkeypatch, tmp_path):
+    """Each run of a document was sorted and joined several times, all in one task."""
+    rows = [("d", i // 10, float(i % 10), float(50 + 100 * (i % 2)), 40.0, 10.0) for i in range(4000)]
+    runs = spark.createDataFrame(rows, "doc string, page int, line double, x double, w double, body double")
+    sizes, settled = {}, columns.settled
+    monkeypatch.setattr(columns, "settled", lambda frame, folder, name: sizes.setdefault(name, settled(frame, folder, name)))
+    found = columns.profile(runs, ["doc"], "body", columns.SCOUT).orderBy("col").collect()
+    assert [(x.x0, x.x1, x.align, x.support) for x in found] == [(50.0, 90.5, "right", 2000), (150.0, 190.0, "right", 2000)]
+    assert sizes["places"].count() == 2 and {"extent", "laid", "told"} <= set(sizes)
+
+
+def test_larger_tables_make_more_tasks(spark, monkeypatch):
+    """A window's tasks were as many as the session's partitions, or fewer, however large the table."""
+    made = lambda: base.keyed(spark, "/root/testdata/sf0.01", "lineitem", "l_suppkey").rdd.getNumPartitions()
+    assert made() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(base, "PART", 1 << 15)
+    assert made() > 20
+    plan = q_tables.chains(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_suppkey") == 1 and "REPARTITION_BY_NUM" in plan
