@@ -79,7 +79,10 @@ def segmented(lines_: DataFrame, column: Sequence[str]) -> DataFrame:
         usual = F.greatest(F.coalesce(lower_median(recent(alike(s, i))), F.lit(0.0)), LEADING * own)
         start = F.coalesce(before["text_x"], before["x0"])
         indent = F.when(start == before["x0"], INDENT * size).otherwise(HANGING)
-        return (i > 0) & ((s["y"] - before["y"] > GAP * usual) | (F.abs(before["size"] - s["size"]) > SIZES) | (F.abs(s["x0"] - start) > indent) | marked(s))
+        gap = s["y"] - before["y"]
+        # No usual gap is less than the least, so the gaps before are looked through for wider ones only.
+        wide = F.coalesce(gap > GAP * (LEADING * own), F.lit(True)) & (gap > GAP * usual)
+        return (i > 0) & ((F.abs(before["size"] - s["size"]) > SIZES) | (F.abs(s["x0"] - start) > indent) | marked(s) | wide)
 
     rows = rows.withColumn("_g", gap).withColumn("_hard", F.transform("_l", hard))
     # How far the paragraph reaches, its lines so far, and its number for each line.
@@ -120,10 +123,12 @@ def alignment(rows: Column, left: Column, right: Column, size: Column) -> Column
 def joined_lines(texts: Column) -> Column:
     """Texts of lines as one: a space between them, but a word that a hyphen parts over two lines is put together, and a hyphen that isn't taken off joins as it is."""
     def put(whole: Column, line: Column) -> Column:
-        hyphen, stem = whole.rlike("[-‐­]$"), F.substring(whole, F.lit(1), F.length(whole) - 1)
+        # What ends a text is sought in its last letters, not from each on.
+        end = F.right(whole, F.lit(3))
+        hyphen, stem = end.rlike("[-‐­]$"), F.substring(whole, F.lit(1), F.length(whole) - 1)
         word, begins = F.regexp_extract(stem, r"(\S*)$", 1), t.js_trim(line)
         whole_word = begins.rlike(r"^\p{Ll}") & (F.length(word) >= 2) & ~word.rlike(r"^\p{Lu}") & ~word.rlike(r"[0-9]$")
-        apart = F.when(whole.rlike(r"\s$"), F.concat(whole, line)).otherwise(F.concat(whole, F.lit(" "), line))
+        apart = F.when(end.rlike(r"\s$"), F.concat(whole, line)).otherwise(F.concat(whole, F.lit(" "), line))
         joined = F.when(whole.endswith("­") | whole_word, F.concat(stem, line)).otherwise(F.concat(whole, line))
         return F.when(whole == "", line).when(~hyphen | (word == ""), apart).otherwise(joined)
 
