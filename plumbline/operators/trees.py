@@ -29,7 +29,7 @@ def tree_paths(nodes: DataFrame, tree: Sequence[str], folder: str | None = None,
     tree, folder = [*tree], folder or scratch(nodes.sparkSession)
     own = F.array(F.struct("ord", "id", "role"))
     known = nodes.select(*tree, F.col("id").alias("_parent")).distinct()
-    now = nodes.select(*tree, "id", F.col("parent").alias("_parent"), "role", own.alias("path")).join(known.withColumn("_known", F.lit(True)), [*tree, "_parent"], "left")
+    now = shuffled(nodes.select(*tree, "id", F.col("parent").alias("_parent"), "role", own.alias("path"))).join(shuffled(known.withColumn("_known", F.lit(True))), [*tree, "_parent"], "left")
     now = settled(now.select(*tree, "id", F.when(F.col("_known"), F.col("_parent")).alias("_up"), "role", "path"), folder, "paths0")
     now = shuffled(now)
     ended = -1
@@ -72,10 +72,11 @@ def tagged_cells(spans: DataFrame, marks: DataFrame, paths: DataFrame, page: Seq
     """spans (mark, …) with table, row, col: of the nearest cell around the node that their mark (mark, node) belongs to; only those in a cell."""
     page = [*page]
     cells = tree_cells(paths, page)
-    around = paths.select(*page, F.col("id").alias("node"), F.posexplode(F.transform("path", lambda n: n["id"])).alias("_depth", "cell")).join(cells, [*page, "cell"])
+    # What is made of a small file, many rows from each of its own, is taken for as small as the file.
+    around = shuffled(paths).select(*page, F.col("id").alias("node"), F.posexplode(F.transform("path", lambda n: n["id"])).alias("_depth", "cell")).join(shuffled(cells), [*page, "cell"])
     owner = around.groupBy(*page, "node").agg(F.max_by(F.struct("table", "row", "col"), "_depth").alias("_c")).select(*page, "node", "_c.*")
-    of_mark = marks.join(owner, [*page, "node"]).select(*page, "mark", "table", "row", "col")
-    return spans.where(F.length(t.js_trim(F.col("text"))) > 0).join(of_mark, [*page, "mark"])
+    of_mark = shuffled(marks).join(shuffled(owner), [*page, "node"]).select(*page, "mark", "table", "row", "col")
+    return shuffled(spans.where(F.length(t.js_trim(F.col("text"))) > 0)).join(shuffled(of_mark), [*page, "mark"])
 
 
 def tagged_tables(spans: DataFrame, nodes: DataFrame, marks: DataFrame, doc: Sequence[str], body: str, folder: str | None = None) -> DataFrame:
@@ -98,7 +99,7 @@ def tagged_tables(spans: DataFrame, nodes: DataFrame, marks: DataFrame, doc: Seq
     lines = lined.groupBy(*cell, "anchor").agg(F.array_sort(F.collect_list(F.struct("x", "seq", span.alias("s")))).alias("_s"), F.max(body).alias("_body"))
     texts = lines.select(*cell, "anchor", joined(F.transform("_s", lambda s: s["s"]), F.col("_body")).alias("text")).groupBy(*cell).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("anchor", "text"))), lambda s: s["text"]), " ").alias("text"))
     row = [*page, "table", "row"]
-    in_band = texts.join(banded, cell).groupBy(*row, "_band", "_cols").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]), " ").alias("text"))
+    in_band = texts.join(shuffled(banded), cell).groupBy(*row, "_band", "_cols").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"]), " ").alias("text"))
     rows = in_band.groupBy(*row, "_cols").agg(F.map_from_entries(F.collect_list(F.struct("_band", "text"))).alias("_m"))
     rows = shuffled(settled(rows.select(*row, F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: F.coalesce(F.element_at("_m", c), F.lit(""))).alias("cells")), folder, "rows"))
     pages = rows.select(*page, "table").distinct()
@@ -107,4 +108,4 @@ def tagged_tables(spans: DataFrame, nodes: DataFrame, marks: DataFrame, doc: Seq
     sized = rows.join(parts, [*page, "table"]).groupBy(*doc, "table", "_part").agg(F.count("*").alias("_rows"), F.max(F.size("cells")).alias("_cols"), F.sum(F.size(F.filter("cells", lambda c: t.js_trim(c) != ""))).alias("_filled"), F.min("page").alias("_first"))
     kept = sized.where((F.col("_rows") >= 2) & (F.col("_cols") >= 2) & (F.col("_filled") > 1))
     numbered = kept.withColumn("_number", F.row_number().over(Window.partitionBy(*doc).orderBy("_first", "table", "_part"))).select(*doc, "table", "_part", "_number")
-    return rows.join(parts, [*page, "table"]).join(numbered, [*doc, "table", "_part"]).select(*doc, F.col("_number").alias("table"), "page", "row", "cells")
+    return rows.join(parts, [*page, "table"]).join(shuffled(numbered), [*doc, "table", "_part"]).select(*doc, F.col("_number").alias("table"), "page", "row", "cells")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as t
 from plumbline.functions import words
 from plumbline.operators import columns, geometry, layout, sequences, trees
-from plumbline.plans import base, q_tables
+from plumbline.plans import base, q_pages, q_tables
 from plumbline.sources import records
 
 
@@ -169,3 +169,12 @@ def test_larger_tables_make_more_tasks(spark, monkeypatch):
     assert made() > 20
     plan = q_tables.chains(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_suppkey") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_many_rows_of_a_small_file_are_shuffled(spark, monkeypatch):
+    """Marks and spans, some ten a customer, were taken for as small as the customers' file and sent through the driver."""
+    plans, settled = [], trees.settled
+    seen = lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(trees, "settled", lambda frame, folder, name: (seen(frame), settled(frame, folder, name))[1])
+    seen(q_pages.tagged(spark, "/root/testdata/sf0.001"))
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
