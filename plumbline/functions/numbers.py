@@ -33,6 +33,11 @@ def amount(c: Column) -> Column:
     return _bound(s, lambda x: F.when(x.rlike(BARE), _bare(x)).when(x.rlike(FOREIGN), None).when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished)))
 
 
+def is_amount(c: Column) -> Column:
+    """True where amount has a value, false else; digits alone are told at once."""
+    return F.coalesce(F.when(c.rlike(BARE), True).otherwise((c != "") & amount(c)["value"].isNotNull()), F.lit(False))
+
+
 def _bare(x: Column) -> Column:
     none, point = F.lit(None).cast("string"), F.instr(x, ".")
     decimals = F.when(point > 0, F.length(x) - point).otherwise(0)

@@ -49,6 +49,16 @@ def squash(c: Column) -> Column:
     return js_trim(F.regexp_replace(c, f"[{_NOT_PLAIN}][{SPACE}]*| [{SPACE}]+", " "))
 
 
+def is_squashed(c: Column) -> Column:
+    """True for texts that squash leaves as they are."""
+    return ~(c.startswith(" ") | c.endswith(" ") | c.contains("  ") | c.rlike(f"[{_NOT_PLAIN}]"))
+
+
+def has_ink(c: Column) -> Column:
+    """True for texts that aren't white space alone; most are told by their first letter."""
+    return F.when(F.ascii(c).between(33, 126), True).otherwise(F.length(js_trim(c)) > 0)
+
+
 def has_invisible(c: Column) -> Column:
     return c.rlike(_RARE)
 

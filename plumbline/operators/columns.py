@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
-from plumbline.functions.numbers import amount
+from plumbline.functions.numbers import is_amount
 from plumbline.operators.layout import NO_SPACE, anchored, fill_ratio, leading, lines, median_of, mode_of
 from plumbline.session import scratch, settled
 
@@ -42,7 +42,7 @@ def runs_of(spans: DataFrame, page: Sequence[str], body: str) -> DataFrame:
 def page_lines(spans: DataFrame, page: Sequence[str], body: str) -> DataFrame:
     """page, line (its anchor), _s (its spans, from left to right), _body of the lines with ink: runs_of and what gathers its lines, from a page's spans gathered once."""
     page = [*page]
-    ink = spans.where(F.length(t.js_trim(F.col("text"))) > 0).dropna(subset=[*page, "y"])
+    ink = spans.where(t.has_ink(F.col("text"))).dropna(subset=[*page, "y"])
     pages = ink.groupBy(*page).agg(F.sort_array(_spans()).alias("_p"), F.max(line_tolerance(F.col(body))).alias("_tolerance"), F.max(body).cast("double").alias("_body"))
     start = F.expr("named_struct('anchor', cast(null as double), 'i', 0, 'out', cast(array() as array<struct<line:double,at:int>>))")
 
@@ -146,28 +146,43 @@ def _profile(places: DataFrame, doc: Sequence[str], share: float, folder: str |
 
 
 def _spans() -> Column:
-    """The spans of a group, in no order; compared, they go by height, then from left to right."""
+    """The spans of a group, in no order; compared, they go by height, then from left to right. plain tells that there is no white space to squash."""
     fields = {c: F.col(c).cast("double").alias(c) for c in ("y", "x", "w", "size")}
-    return F.collect_list(F.struct(fields["y"], fields["x"], "seq", fields["w"], fields["size"], "text", F.greatest(F.lit(1), F.length(t.js_trim(F.col("text")))).cast("double").alias("weight")))
+    plain = t.is_squashed(F.col("text"))
+    weight = F.greatest(F.lit(1), F.when(plain, F.length("text")).otherwise(F.length(t.js_trim(F.col("text"))))).cast("double")
+    return F.collect_list(F.struct(fields["y"], fields["x"], "seq", fields["w"], fields["size"], "text", weight.alias("weight"), plain.alias("plain")))
 
 
 def _across(spans: Column) -> Column:
     """spans from left to right."""
     put = lambda fields: lambda s: F.struct(*[s[f].alias(f) for f in fields])
     rest = ("x", "seq", "w", "size")
-    return F.transform(F.sort_array(F.transform(spans, put((*rest, "y", "text", "weight")))), put(("y", *rest, "text", "weight")))
+    return F.transform(F.sort_array(F.transform(spans, put((*rest, "y", "text", "weight", "plain")))), put(("y", *rest, "text", "weight", "plain")))
 
 
-def joined(spans: Column, body: Column) -> Column:
-    """The text of spans (x, w, size, text, in order): a space where the gap is as wide as one, white space as single spaces. body is the size where spans have none."""
-    def told(s: Column, i: Column, every: Column) -> Column:
+def _spaced(every: Column, body: Column) -> Column:
+    """The texts of spans (x, w, size, text, in order), a space where the gap is as wide as one."""
+    def told(s: Column, i: Column) -> Column:
         before = F.get(every, i - 1)
         gap, size = s["x"] - (before["x"] + before["w"]), F.greatest(before["size"], s["size"])
         close = F.when(size > 0, gap / size < NO_SPACE).otherwise(s["x"] - before["x"] - before["w"] < NO_SPACE * body)
         return F.when((i == 0) | close, s["text"]).otherwise(F.concat(F.lit(" "), s["text"]))
 
-    whole = F.transform(F.array(spans), lambda every: F.array_join(F.transform(every, lambda s, i: told(s, i, every)), ""))[0]
-    return t.squash(whole)
+    return F.array_join(F.transform(every, told), "")
+
+
+def joined(spans: Column, body: Column) -> Column:
+    """The text of spans (x, w, size, text, in order): a space where the gap is as wide as one, white space as single spaces. body is the size where spans have none."""
+    return t.squash(F.transform(F.array(spans), lambda every: _spaced(every, body))[0])
+
+
+def _joined(spans: Column, body: Column) -> Column:
+    """joined of gathered spans: white space is sought only where one of them isn't plain, as plain texts with single spaces between have none to squash."""
+    def told(every: Column) -> Column:
+        odd = F.exists(every, lambda s: ~s["plain"])
+        return F.when(F.size(every) == 0, "").when(odd, t.squash(_spaced(every, body))).when(F.size(every) == 1, F.get(every, F.lit(0))["text"]).otherwise(_spaced(every, body))
+
+    return F.transform(F.array(spans), told)[0]
 
 
 def _shape(columns: DataFrame, doc: Sequence[str]) -> DataFrame:
@@ -180,9 +195,9 @@ def _shape(columns: DataFrame, doc: Sequence[str]) -> DataFrame:
 
 
 def rows_of(runs: DataFrame, columns: DataFrame, doc: Sequence[str], body: str) -> DataFrame:
-    """doc, page, line, y, size, cells (a text a column, by where the middle of a run lies), overflow (a run reaches over a bound) of each line; money and amounts tell of its cells."""
+    """doc, page, line, y, size, cells (a text a column, by where the middle of a run lies), overflow (a run reaches over a bound) of each line; hits (right-aligned columns that hold amounts), money and counted (any cell is an amount) tell of its cells."""
     doc = [*doc]
-    return _rows(_gathered(runs, [*doc, "page", "line"], body), columns, doc)
+    return _rows(_sized(_gathered(runs, [*doc, "page", "line"], body)), columns, doc)
 
 
 def _gathered(runs: DataFrame, line: Sequence[str], body: str) -> DataFrame:
@@ -190,18 +205,29 @@ def _gathered(runs: DataFrame, line: Sequence[str], body: str) -> DataFrame:
     return runs.groupBy(*line).agg(_across(_spans()).alias("_s"), F.max(body).cast("double").alias("_body"))
 
 
+def _places_of(spans: str) -> Column:
+    """Where the spans of a line lie, without their texts."""
+    return F.transform(spans, lambda s: F.struct(s["x"].alias("x"), s["w"].alias("w")))
+
+
+def _sized(gathered: DataFrame) -> DataFrame:
+    """gathered lines with y and size."""
+    return gathered.select("*", median_of("_s", "y").alias("y"), mode_of("_s", "size").alias("size"))
+
+
 def _rows(gathered: DataFrame, columns: DataFrame, doc: Sequence[str]) -> DataFrame:
-    """rows_of gathered lines."""
+    """rows_of gathered and sized lines, with _p (x and w of their spans)."""
     gathered = gathered.join(_shape(columns, doc), [*doc])
     of = lambda s: F.size(F.filter("_until", lambda u: s["x"] + s["w"] / 2 >= u))
     # Each span's column is told once: an array of one, transformed.
     placed = F.array(F.transform("_s", lambda s: F.struct(of(s).alias("k"), s.alias("s"))))
     of_column = lambda every, c: F.transform(F.filter(every, lambda p: p["k"] == c), lambda p: p["s"])
-    cells = F.transform(placed, lambda every: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: joined(of_column(every, c), F.col("_body"))))[0]
+    cells = F.transform(placed, lambda every: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: _joined(of_column(every, c), F.col("_body"))))[0]
     over = F.exists("_s", lambda s: F.exists("_until", lambda u: (s["x"] < u) & (s["x"] + s["w"] > u)))
-    rows = gathered.select(*doc, "page", "line", median_of("_s", "y").alias("y"), mode_of("_s", "size").alias("size"), cells.alias("cells"), over.alias("overflow"), "_right", "_cols", "_body")
-    rows = rows.withColumn("amounts", F.transform("cells", lambda c: (c != "") & amount(c)["value"].isNotNull()))
-    return rows.withColumn("money", F.exists("_right", lambda c: F.get("amounts", c)))
+    rows = gathered.select(*doc, "page", "line", "y", "size", cells.alias("cells"), over.alias("overflow"), "_right", "_cols", "_body", _places_of("_s").alias("_p"))
+    rows = rows.withColumn("hits", F.filter("_right", lambda c: is_amount(F.get("cells", c)))).withColumn("money", F.size("hits") > 0)
+    # The other cells matter for what may be a header only, which has no money.
+    return rows.withColumn("counted", F.col("money") | F.exists("cells", is_amount))
 
 
 def band(rows: DataFrame, doc: Sequence[str]) -> DataFrame:
@@ -213,7 +239,7 @@ def band(rows: DataFrame, doc: Sequence[str]) -> DataFrame:
     begins = (F.get("cells", F.lit(0)) != "") | F.exists("_right", lambda c: F.get("cells", c) != "")
     told = rows.withColumn("_n", F.row_number().over(order)).withColumn("_stop", begins | F.coalesce(far, F.lit(False)))
     told = told.withColumn("_first", F.min(F.when(F.col("money"), F.col("_n"))).over(page)).withColumn("_last", F.max(F.when(F.col("money"), F.col("_n"))).over(page)).where("_first is not null")
-    header = (F.col("_n") < F.col("_first")) & (F.col("_n") >= F.col("_first") - HEADER_LINES) & ~F.exists("amounts", lambda a: a) & (filled >= F.ceil(HEADER_FILL * F.col("_cols")))
+    header = (F.col("_n") < F.col("_first")) & (F.col("_n") >= F.col("_first") - HEADER_LINES) & ~F.col("counted") & (filled >= F.ceil(HEADER_FILL * F.col("_cols")))
     told = told.withColumn("_start", F.coalesce(F.max(F.when(header, F.col("_n"))).over(page), F.col("_first")))
     stops = F.sum(F.when((F.col("_n") > F.col("_last")) & F.col("_stop"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     kept = told.withColumn("_stops", stops).where((F.col("_n") >= F.col("_start")) & ((F.col("_n") <= F.col("_last")) | (F.col("_stops") == 0)))
@@ -253,26 +279,41 @@ def column_tables(spans: DataFrame, doc: Sequence[str], body: str, folder: str |
     line = [*doc, "page", "line"]
     # A line's spans are gathered once; all later looks are at lines.
     every = page_lines(spans, [*doc, "page"], body)
-    told = settled(every.select("*", median_of("_s", "y").alias("y"), t.line_shape(joined(F.col("_s"), F.lit(0.0))).alias("shape")), folder, "lines")
+    # A joined text's shape needs no more squashing.
+    told = settled(_sized(every).withColumn("shape", F.regexp_replace(_joined(F.col("_s"), F.lit(0.0)), "[0-9]+", "#")), folder, "lines")
     running = settled(_running(told, doc), folder, "running")
-    gathered = settled(told.join(running, [*doc, "shape"], "left_anti").select(*line, "_s", "_body"), folder, "kept")
-    scout = settled(profile_of_lines(gathered, doc, SCOUT, f"{folder}/scouted"), folder, "scout")
+    # A document's running lines come to its lines as what is known of its columns does, by the document.
+    gone = running.groupBy(*doc).agg(F.collect_list("shape").alias("_gone"))
+    without = lambda lines_: lines_.join(gone, doc, "left").where(~F.coalesce(F.array_contains("_gone", F.col("shape")), F.lit(False))).drop("shape", "_gone")
+    gathered = without(told)
+    scout = settled(profile_of_lines(without(told.select(*line, _places_of("_s").alias("_s"), "_body", "shape")), doc, SCOUT, f"{folder}/scouted"), folder, "scout")
     scout = scout.join(scout.groupBy(*doc).agg(F.count("*").alias("_n")).where("_n >= 2").select(*doc), doc, "left_semi")
     first = settled(band(_rows(gathered, scout, doc), doc), folder, "first")
-    many = first.groupBy(*doc).agg(F.count("*").alias("_n1"))
-    inside = gathered.join(first.select(*line), line, "left_semi").join(many.where("_n1 >= 3").select(*doc), doc, "left_semi")
+    many = settled(first.groupBy(*doc).agg(F.count("*").alias("_n1")), folder, "many")
+    # What lies where on a line goes with its row, so that lines and rows need no join.
+    inside = first.select(*line, "_body", F.col("_p").alias("_s")).join(many.where("_n1 >= 3").select(*doc), doc, "left_semi")
     strict = profile_of_lines(inside, doc, STRICT, f"{folder}/strict")
     final = settled(strict.unionByName(scout.join(many.where("_n1 >= 3").select(*doc), doc, "left_anti")), folder, "final")
-    second = settled(band(_rows(gathered, final, doc), doc), folder, "second")
+    # Where the columns stay the same the rows do; others are told anew.
+    shape = ("_until", "_right", "_cols")
+    before = _shape(scout, doc).select(*doc, F.struct(*shape).alias("_before"))
+    changed = _shape(final, doc).join(before, doc, "left").select(*doc, F.struct(*shape).eqNullSafe(F.col("_before")).alias("_same"))
+    changed = settled(changed, folder, "changed")
+    second = first.join(changed.where("_same").select(*doc), doc, "left_semi")
+    turned = changed.where("not _same").select(*doc)
+    if not turned.isEmpty():
+        second = settled(second.unionByName(band(_rows(gathered.join(turned, doc, "left_semi"), final, doc), doc)), folder, "second")
     counts = many.join(second.groupBy(*doc).agg(F.count("*").alias("_n2")), doc, "left").select(*doc, (F.coalesce("_n2", F.lit(0)) >= 0.5 * F.col("_n1")).alias("_again"))
     # Lines of the first finding, where that is taken, are still told by the final columns.
-    again = second.join(counts.where("_again").select(*doc), doc, "left_semi")
-    chosen = first.select(*line).join(counts.where(~F.col("_again")).select(*doc), doc, "left_semi")
-    table = again.unionByName(_rows(gathered.join(chosen, line, "left_semi"), final, doc))
-    kept = gathered.join(table.select(*line), line, "left_semi").select(*doc, "page", F.explode("_s").alias("_r")).select(*doc, "page", "_r.x", "_r.w")
+    once = settled(counts.where(~F.col("_again")).select(*doc), folder, "once")
+    table = second
+    if not once.isEmpty():
+        chosen = first.select(*line).join(once, doc, "left_semi")
+        table = second.join(once, doc, "left_anti").unionByName(_rows(gathered.join(chosen, line, "left_semi"), final, doc))
+    kept = table.select(*doc, "page", F.explode("_p").alias("_r")).select(*doc, "page", "_r.x", "_r.w")
     fits = misfit(kept, final, doc).where(F.col("inside") <= MISFIT).select(*doc, "page")
-    table = settled(table.join(fits, [*doc, "page"], "left_semi"), folder, "table")
-    hits = table.select(*doc, "page", F.col("_cols"), F.posexplode(F.transform("amounts", lambda a, i: a & F.array_contains("_right", i))).alias("col", "hit")).where("hit").groupBy(*doc, "col").agg(F.count("*").alias("_hits"))
+    table = settled(table.drop("_p").join(fits, [*doc, "page"], "left_semi"), folder, "table")
+    hits = table.select(*doc, F.explode("hits").alias("col")).groupBy(*doc, "col").agg(F.count("*").alias("_hits"))
     single = table.groupBy(*doc).agg(F.count_distinct("page").alias("_pages"), F.count("*").alias("_rows"), F.max("_cols").alias("_cols")).join(hits.groupBy(*doc).agg(F.max("_hits").alias("_hits")), doc, "left")
     safe = single.where((F.col("_pages") > 1) | ((F.col("_rows") >= 3) & (F.col("_cols") >= 2) & (F.coalesce("_hits", F.lit(0)) >= 3))).select(*doc)
     rows = table.join(safe, doc, "left_semi").select(*doc, "page", "line", "cells", "overflow", "money")
@@ -288,7 +329,7 @@ def lines_text(runs: DataFrame, doc: Sequence[str]) -> DataFrame:
 
 def texts_of_lines(gathered: DataFrame, doc: Sequence[str]) -> DataFrame:
     """lines_text of gathered lines."""
-    return gathered.select(*doc, "page", "line", median_of("_s", "y").alias("y"), joined(F.col("_s"), F.lit(0.0)).alias("text"))
+    return gathered.select(*doc, "page", "line", median_of("_s", "y").alias("y"), _joined(F.col("_s"), F.lit(0.0)).alias("text"))
 
 
 def text_columns(spans: DataFrame, page: Sequence[str], body: str, width: str, folder: str | None = None) -> DataFrame:

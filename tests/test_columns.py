@@ -253,6 +253,40 @@ def test_spans_are_gathered_once(spark, tmp_path, monkeypatch):
     assert tables.count() > 0 and len(calls) == 1
 
 
+def test_rows_are_told_anew_where_columns_change(spark, tmp_path, monkeypatch):
+    """All rows were told three times over; now those of documents whose final columns are others than the first."""
+    same, wanted = statement(0, 3, 9, 0, 0)
+    other, cells = statement(1, 3, 9, 0, 1000)
+    same, other = ([r for r in rows if not r[3].startswith(("Dear", "Thank"))] for rows in (same, other))  # by prose the first columns are others
+    long = next(i for i, r in enumerate(other) if r[3].startswith("item"))
+    other[long] = (*other[long][:3], "item " + "z" * 30, *other[long][4:6], 175.0, 10.0, 10.0)
+    cells = [(p, [*c[:1], "item " + "z" * 30, *c[2:]]) if k == 1 else (p, c) for k, (p, c) in enumerate(cells)]
+    told, real, names, settled = [], columns._rows, [], columns.settled
+    monkeypatch.setattr(columns, "_rows", lambda *a: told.append(1) or real(*a))
+    monkeypatch.setattr(columns, "settled", lambda frame, folder, name: names.append(name) or settled(frame, folder, name))
+    for k, (rows, want) in enumerate(((same, {0: wanted}), (same + other, {0: wanted, 1: cells}))):
+        told.clear(), names.clear()
+        tables, _ = columns.column_tables(frame(spark, rows).repartition(4), ["doc"], "body", f"file://{tmp_path}/anew{k}")
+        got = {}
+        for r in tables.orderBy("doc", "page", "line").collect():
+            got.setdefault(r.doc, []).append((r.page, r.cells))
+        assert got == want and len(told) == 1 + k and ("second" in names) == bool(k)
+
+
+def test_plain_texts_and_amounts_at_once(spark):
+    """What is told without patterns is what the patterns tell."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import numbers
+    from plumbline.functions import text as t
+
+    texts = ["", " ", "a", "a b", "a  b", " a", "a ", "a\tb", "a\nb", "\n", "\u00a0", "a\u00a0b", "\u3000é", "é", "\ufeff", "\u200b", "12", "-3.50", " 4 ", "1,234.00", "−5", "£2", "x", "1" * 400, "1.234", None]
+    rows = spark.createDataFrame([(v,) for v in texts], "v string")
+    c = F.col("v")
+    got = rows.select(t.is_squashed(c), c == t.squash(c), F.coalesce(t.has_ink(c), F.lit(False)), F.coalesce(F.length(t.js_trim(c)) > 0, F.lit(False)), numbers.is_amount(c), F.coalesce((c != "") & numbers.amount(c)["value"].isNotNull(), F.lit(False))).collect()
+    assert all(tuple(r[::2]) == tuple(r[1::2]) for r in got) and all({True, False} <= {r[k] for r in got} for k in (0, 2, 4))
+
+
 def test_median_and_mode_of_like_values(spark):
     """One value of all spans is both; else the weights tell, as they did."""
     from pyspark.sql import functions as F
