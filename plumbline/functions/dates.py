@@ -132,31 +132,78 @@ def _placed_year(raw: Column) -> Column:
     return F.when(n >= 100, n).when(n >= 70, 1900 + n).otherwise(2000 + n)
 
 
+def _placed(c: Column, read) -> Column:
+    """read of the parts of a date in a table; null for what is none."""
+    # The forms are 6 to 18 characters long.
+    value = F.translate(js_trim(c), "\u00a0", " ")
+    return _bound(value, lambda v: F.when(F.length(v).between(6, 18) & v.rlike(PLACED), _bound(F.split(F.regexp_replace(v, PLACED, PLACED_PARTS), r"\|", -1), read)))
+
+
+def _placed_as(p: Column, asked: Column) -> Column:
+    """iso, order and ambiguous of a date's parts, read in an order where they leave it open."""
+    number = lambda k: p[k].try_cast("int")
+
+    def out(y: Column, m: Column, d: Column, order: str, ambiguous: bool) -> Column:
+        iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+        return F.when(is_real(y, m, d), F.struct(iso.alias("iso"), F.lit(order).alias("order"), F.lit(ambiguous).alias("ambiguous")))
+
+    a, b, y = number(9), number(10), _placed_year(p[11])
+    free = (
+        F.when((a > 12) & (b <= 12), out(y, b, a, "dmy", False)).when((b > 12) & (a <= 12), out(y, a, b, "mdy", False))
+        .when((a > 12) & (b > 12), None).when(asked == "dmy", out(y, b, a, "dmy", True)).when(asked == "mdy", out(y, a, b, "mdy", True))
+        .otherwise(F.struct(F.lit(None).cast("string").alias("iso"), F.lit(None).cast("string").alias("order"), F.lit(True).alias("ambiguous")))
+    )
+    return (
+        F.when(F.size(p) != 12, None).when(p[0] != "", out(number(0), number(1), number(2), "ymd", False))
+        .when(p[3] != "", out(_placed_year(p[5]), short_month(p[4]), number(3), "dmy", False)).when(p[6] != "", out(_placed_year(p[8]), short_month(p[6]), number(7), "mdy", False)).otherwise(free)
+    )
+
+
 def placed_date(c: Column, order: Column | str | None = None) -> Column:
     """iso, order (ymd, dmy, mdy) and ambiguous of a date in a table; null for what is none. Two digits from 70 on are of the last century."""
     asked = F.lit(order).cast("string") if order is None or isinstance(order, str) else order
-    value = F.translate(js_trim(c), "\u00a0", " ")
+    return _placed(c, lambda p: _placed_as(p, asked))
 
-    def read(p: Column) -> Column:
-        number = lambda k: p[k].try_cast("int")
 
-        def out(y: Column, m: Column, d: Column, order: str, ambiguous: bool) -> Column:
-            iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-            return F.when(is_real(y, m, d), F.struct(iso.alias("iso"), F.lit(order).alias("order"), F.lit(ambiguous).alias("ambiguous")))
+def placed_parts(c: Column) -> Column:
+    """y, m, d, order and ambiguous of a date in a trimmed cell of a table; null for what is none. Of an ambiguous one m and d are its numbers as written."""
+    def put(x: Column, m: str, d: str, order: str | None) -> Column:
+        return F.struct(x["y"].alias("y"), x[m].alias("m"), x[d].alias("d"), F.lit(order).cast("string").alias("order"), F.lit(order is None).alias("ambiguous"))
 
-        a, b, y = number(9), number(10), _placed_year(p[11])
-        free = (
-            F.when((a > 12) & (b <= 12), out(y, b, a, "dmy", False)).when((b > 12) & (a <= 12), out(y, a, b, "mdy", False))
-            .when((a > 12) & (b > 12), None).when(asked == "dmy", out(y, b, a, "dmy", True)).when(asked == "mdy", out(y, a, b, "mdy", True))
-            .otherwise(F.struct(F.lit(None).cast("string").alias("iso"), F.lit(None).cast("string").alias("order"), F.lit(True).alias("ambiguous")))
-        )
+    def sure(x: Column, m: str, d: str, order: str) -> Column:
+        return F.when(is_real(x["y"], x[m], x[d]), put(x, m, d, order))
+
+    def free(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        return F.when((a > 12) & (b <= 12), sure(x, "b", "a", "dmy")).when((b > 12) & (a <= 12), sure(x, "a", "b", "mdy")).when((a > 12) & (b > 12), None).otherwise(put(x, "a", "b", None))
+
+    def read(p: Column) -> Column:
+        of = lambda y, a, b: F.struct(y.alias("y"), a.try_cast("int").alias("a"), b.try_cast("int").alias("b"))
+        year = lambda k: _bound(p[k], _placed_year)
         return (
-            F.when(F.size(p) != 12, None).when(p[0] != "", out(number(0), number(1), number(2), "ymd", False))
-            .when(p[3] != "", out(_placed_year(p[5]), short_month(p[4]), number(3), "dmy", False)).when(p[6] != "", out(_placed_year(p[8]), short_month(p[6]), number(7), "mdy", False)).otherwise(free)
+            F.when(F.size(p) != 12, None).when(p[0] != "", _bound(of(p[0].try_cast("int"), p[1], p[2]), lambda x: sure(x, "a", "b", "ymd")))
+            .when(p[3] != "", _bound(of(year(5), short_month(p[4]), p[3]), lambda x: sure(x, "a", "b", "dmy"))).when(p[6] != "", _bound(of(year(8), short_month(p[6]), p[7]), lambda x: sure(x, "a", "b", "mdy")))
+            .otherwise(_bound(of(year(11), p[9], p[10]), free))
         )
 
-    # The forms are 6 to 18 characters long.
-    return _bound(value, lambda v: F.when(F.length(v).between(6, 18) & v.rlike(PLACED), _bound(F.split(F.regexp_replace(v, PLACED, PLACED_PARTS), r"\|", -1), read)))
+    spaced = F.when(c.contains("\u00a0"), F.translate(c, "\u00a0", " ")).otherwise(c)
+    return F.when(F.length(c).between(6, 18), _bound(spaced, lambda v: F.when(v.rlike(PLACED), _bound(F.split(F.regexp_replace(v, PLACED, PLACED_PARTS), r"\|", -1), read))))
+
+
+def parts_iso(parts: Column, order: Column) -> Column:
+    """iso of the parts of a date, in its column's order if it is ambiguous."""
+    def told(m: Column, d: Column) -> Column:
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        return F.concat_ws("-", F.lpad(parts["y"].cast("string"), 4, "0"), two(m), two(d))
+
+    return F.when(parts_fit(parts, order), F.when(parts["ambiguous"] & (order == "dmy"), told(parts["d"], parts["m"])).otherwise(told(parts["m"], parts["d"])))
+
+
+def parts_fit(parts: Column, order: Column) -> Column:
+    """True if parts are a date in their column's order."""
+    y, m, d = parts["y"], parts["m"], parts["d"]
+    asked = F.when(order == "dmy", is_real(y, d, m)).when(order == "mdy", is_real(y, m, d)).otherwise(False)
+    return F.coalesce(F.when(parts["ambiguous"], asked).otherwise(y.isNotNull()), F.lit(False))
 
 
 def column_order(dmy: Column, mdy: Column, ambiguous: Column) -> Column:

@@ -14,9 +14,12 @@ GAPS = " \t\n\x0b\f\r\u00a0\u2009\u202f"
 SPACED = r"^\d{1,3}(?:[ \x{A0}\x{2009}\x{202F}]\d{3})+(?:[.,]\d{1,2})?$"
 PLAIN, INDIAN, EUROPEAN = r"^\d{1,3}(?:,\d{3})+$", r"^\d{1,2}(?:,\d{2})+,\d{3}$", r"^\d{1,3}(?:\.\d{3})+$"
 CREDIT = r"(^|[\s\d.])(CR|DR|Cr|Dr|cr|dr)\.?(\s|$)"
+#: Fixed value: decimals that make money.
+MONEY = 2
 #: Digits alone, with a sign and decimals at most; and what no amount holds: anything but digits, points, commas, brackets, signs, white space and letters of codes and markers.
 BARE = r"^-?[0-9]+(?:\.[0-9]{1,2})?$"
-FOREIGN = rf"[^0-9.,()+\-{SIGNS}{SPACE}ABCDEGINPRSUabcdeginprsu]"
+DASHES = "−–—"
+FOREIGN = rf"[^0-9.,()+\-{DASHES}{SIGNS}{SPACE}ABCDEGINPRSUabcdeginprsu]"
 
 
 def _bound(value: Column, f) -> Column:
@@ -29,8 +32,13 @@ def amount(c: Column) -> Column:
 
     Signs, gaps and brackets are taken off without patterns; currency codes and markers are sought where there are letters. Digits alone, and texts that no amount can be, are told at once.
     """
-    s = js_trim(F.translate(c, "−–—", "---"))
-    return _bound(s, lambda x: F.when(x.rlike(BARE), _bare(x)).when(x.rlike(FOREIGN), None).when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished)))
+    return _bound(c, lambda v: F.when(v.rlike(BARE), _bare(v)).otherwise(_written(v)))
+
+
+def _written(v: Column) -> Column:
+    """amount of what isn't digits alone."""
+    found = lambda x: F.when(x.rlike(BARE), _bare(x)).when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished))
+    return F.when(v.rlike(FOREIGN), None).otherwise(_bound(js_trim(F.translate(v, DASHES, "---")), found))
 
 
 def is_amount(c: Column) -> Column:
@@ -153,20 +161,52 @@ def coerced(c: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "number", js_trim(c).try_cast("double")).alias("number"), F.when(kind.isin("text", "blank"), c).alias("text"))
 
 
-def typed_cell(raw: Column, column_kind: Column, order: Column) -> Column:
-    """kind (empty, date, number, text), iso, number, text and off_type: what a cell is in a column of a kind. One that doesn't fit keeps its text."""
+def reading(c: Column) -> Column:
+    """some (not blank), value, decimals and rich (written as money is) of the amount that a trimmed cell may be, and y, m, d, order, ambiguous of the date: all that doesn't hang on its column."""
+    from plumbline.functions import dates
+
+    def told(a: Column, rich: Column, d: Column, some: Column) -> Column:
+        return F.struct(some.alias("some"), a["value"].alias("value"), a["decimals"].alias("decimals"), rich.alias("rich"), *[d[f].alias(f) for f in ("y", "m", "d", "order", "ambiguous")])
+
+    def worded(v: Column, x: Column) -> Column:
+        a = x["a"]
+        rich = a.isNotNull() & (a["currency"].isNotNull() | a["marker"].isNotNull() | (a["decimals"] >= MONEY) | v.rlike(r"^\(.*\)$"))
+        return told(a, rich, x["d"], F.coalesce(v != "", F.lit(False)))
+
+    # Digits alone are no date.
+    none = F.lit(None).cast("struct<y:int,m:int,d:int,order:string,ambiguous:boolean>")
+    bare = lambda v: _bound(_bare(v), lambda a: told(a, a["decimals"] >= MONEY, none, F.lit(True)))
+    long = lambda v: _bound(F.struct(_written(v).alias("a"), dates.placed_parts(v).alias("d")), lambda x: worded(v, x))
+    return _bound(c, lambda v: F.when(v.rlike(BARE), bare(v)).otherwise(long(v)))
+
+
+def fits(read: Column, column_kind: Column, order: Column) -> Column:
+    """True if what was read of a cell is of its column's kind."""
     from plumbline.functions import dates
 
-    def told(x: Column) -> Column:
-        text, iso, number = x["text"], x["iso"], x["number"]
-        kind = F.when(text == "", "empty").when(iso.isNotNull(), "date").when(number.isNotNull(), "number").otherwise("text")
-        off = (text != "") & (column_kind != "text") & iso.isNull() & number.isNull()
-        return F.struct(kind.alias("kind"), iso.alias("iso"), number.alias("number"), F.when(kind == "text", text).alias("text"), off.alias("off_type"))
+    return F.when(column_kind == "date", dates.parts_fit(read, order)).otherwise(read["value"].isNotNull())
 
+
+def typed_reading(text: Column, read: Column, column_kind: Column, order: Column) -> Column:
+    """typed_cell of a trimmed text that was read."""
+    from plumbline.functions import dates
+
+    iso = F.when(column_kind == "date", dates.parts_iso(read, order))
+    number = F.when(column_kind.isin("money", "number"), read["value"])
+    return _bound(F.struct(text.alias("text"), iso.alias("iso"), number.alias("number")), lambda x: _typed(x, column_kind))
+
+
+def _typed(x: Column, column_kind: Column) -> Column:
+    text, iso, number = x["text"], x["iso"], x["number"]
+    kind = F.when(text == "", "empty").when(iso.isNotNull(), "date").when(number.isNotNull(), "number").otherwise("text")
+    off = (text != "") & (column_kind != "text") & iso.isNull() & number.isNull()
+    return F.struct(kind.alias("kind"), iso.alias("iso"), number.alias("number"), F.when(kind == "text", text).alias("text"), off.alias("off_type"))
+
+
+def typed_cell(raw: Column, column_kind: Column, order: Column) -> Column:
+    """kind (empty, date, number, text), iso, number, text and off_type: what a cell is in a column of a kind. One that doesn't fit keeps its text."""
     text = js_trim(raw)
-    iso = F.when(column_kind == "date", dates.placed_date(text, order)["iso"])
-    number = F.when(column_kind.isin("money", "number"), amount(text)["value"])
-    return _bound(F.struct(text.alias("text"), iso.alias("iso"), number.alias("number")), told)
+    return _bound(F.struct(text.alias("text"), reading(text).alias("read")), lambda x: typed_reading(x["text"], x["read"], column_kind, order))
 
 
 def sums_match(value: Column, total: Column) -> Column:

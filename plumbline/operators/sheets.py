@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import dates
 from plumbline.functions import text as t
-from plumbline.functions.numbers import amount, typed_cell
+from plumbline.functions.numbers import fits, reading, typed_reading
 from plumbline.session import scratch, settled
 
-#: Values of a column at least, the share of one kind that types it, decimals that make money, decimals shown at most.
-SAMPLES, SHARE, MONEY, DECIMALS = 3, 0.6, 2, 4
+#: Values of a column at least, the share of one kind that types it, decimals shown at most.
+SAMPLES, SHARE, DECIMALS = 3, 0.6, 4
 #: What flags say.
 SAID = {"balance": "Balance doesn’t add up", "type": "Something here isn’t a number", "overflow": "Text wider than its column", "sparse": "Almost nothing on this row", "pageBreak": "Split across two pages"}
 
@@ -38,17 +38,20 @@ def _filled(cells: Column) -> Column:
     return F.size(F.filter(cells, lambda c: c != ""))
 
 
+def _read(cells: str) -> Column:
+    return F.transform(cells, lambda c: reading(t.js_trim(c)))
+
+
 def column_types(rows: DataFrame, table: Sequence[str]) -> DataFrame:
-    """table, col (from 0), kind (date, money, number, text), decimals, order (of days and months), samples, ambiguous of the columns of rows' cells."""
+    """table, col (from 0), kind (date, money, number, text), decimals, order (of days and months), samples, ambiguous of the columns of rows' cells, or of what was read of them (read)."""
     table = [*table]
-    values = rows.select(*table, F.posexplode("cells").alias("col", "_raw")).select(*table, "col", t.js_trim(F.col("_raw")).alias("_v"))
-    told = values.select(*table, "col", "_v", amount(F.col("_v")).alias("_a"), dates.placed_date(F.col("_v")).alias("_d"))
-    rich = F.col("_a").isNotNull() & (F.col("_a.currency").isNotNull() | F.col("_a.marker").isNotNull() | (F.col("_a.decimals") >= MONEY) | F.col("_v").rlike(r"^\(.*\)$"))
-    vote = lambda order: F.count_if((F.col("_d.order") == order) & ~F.col("_d.ambiguous"))
+    read = F.col("read") if "read" in rows.columns else _read("cells")
+    told = rows.select(*table, F.posexplode(read).alias("col", "_r"))
+    vote = lambda order: F.count_if((F.col("_r.order") == order) & ~F.col("_r.ambiguous"))
     # Blank cells are no samples, but tell that there is a column.
     by = told.groupBy(*table, "col").agg(
-        F.count_if(F.col("_v") != "").alias("samples"), F.count_if(F.col("_a.value").isNotNull()).alias("_amounts"), F.coalesce(F.max(F.col("_a.decimals")), F.lit(0)).alias("_decimals"), F.coalesce(F.max(rich), F.lit(False)).alias("_rich"),
-        vote("dmy").alias("_days"), vote("mdy").alias("_months"), F.count_if("_d.ambiguous").alias("_either"), F.count_if(F.col("_d.iso").isNotNull() | F.col("_d.ambiguous")).alias("_dates"),
+        F.count_if("_r.some").alias("samples"), F.count_if(F.col("_r.value").isNotNull()).alias("_amounts"), F.coalesce(F.max(F.col("_r.decimals")), F.lit(0)).alias("_decimals"), F.coalesce(F.max("_r.rich"), F.lit(False)).alias("_rich"),
+        vote("dmy").alias("_days"), vote("mdy").alias("_months"), F.count_if("_r.ambiguous").alias("_either"), F.count_if(F.col("_r.y").isNotNull()).alias("_dates"),
     ).withColumn("order", dates.column_order(F.col("_days"), F.col("_months"), F.col("_either")))
     enough = F.col("samples") >= SAMPLES
     share = lambda c: F.try_divide(F.col(c), F.col("samples"))
@@ -76,6 +79,8 @@ def sheets(lines: DataFrame, table: Sequence[str], money: DataFrame | None = Non
     table, folder = [*table], folder or scratch(lines.sparkSession)
     over = F.coalesce(F.col("overflow"), F.lit(False)) if "overflow" in lines.columns else F.lit(False)
     rows = lines.select(*table, "row", "page", F.transform("cells", lambda c: t.js_trim(F.coalesce(c, F.lit("")))).alias("cells"), over.alias("overflow"))
+    # A cell is read once; what was read goes with it to its record, its column's type and its own.
+    rows = rows.withColumn("read", _read("cells"))
     if money is None:
         rows = settled(rows, folder, "rows")
         money = column_types(rows, table).where(F.col("kind").isin("money", "number")).groupBy(*table).agg(F.collect_list("col").alias("cols"))
@@ -83,42 +88,53 @@ def sheets(lines: DataFrame, table: Sequence[str], money: DataFrame | None = Non
     order = Window.partitionBy(*table).orderBy("row")
     begins = (F.row_number().over(order) == 1) | (F.coalesce(F.get("cells", F.lit(0)), F.lit("")) != "") | F.exists("cols", lambda c: F.coalesce(F.get("cells", c), F.lit("")) != "")
     numbered = told.withColumn("_begins", begins.cast("int")).withColumn("_record", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    gathered = numbered.groupBy(*table, "_record").agg(F.array_sort(F.collect_list(F.struct("row", "cells", "page"))).alias("_l"), F.max("overflow").alias("overflow"))
+    gathered = numbered.groupBy(*table, "_record").agg(F.array_sort(F.collect_list(F.struct("row", "cells", "page", "read"))).alias("_l"), F.max("overflow").alias("overflow"))
     width = F.array_max(F.transform("_l", lambda x: F.size(x["cells"])))
     cell = lambda c: F.array_join(F.filter(F.transform("_l", lambda x: F.coalesce(F.get(x["cells"], c), F.lit(""))), lambda v: v != ""), " ")
     pages = F.transform("_l", lambda x: x["page"])
+    first, one = F.get("_l", F.lit(0)), F.size("_l") == 1
+    several = F.when(width > 0, F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), cell)).otherwise(F.expr("cast(array() as array<string>)"))
     records = gathered.select(
-        *table, "_record", "overflow", F.when(width > 0, F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), cell)).otherwise(F.expr("cast(array() as array<string>)")).alias("cells"),
+        *table, "_record", "overflow", "_l", F.when(one, first["cells"]).otherwise(several).alias("cells"),
         F.get(pages, F.lit(0)).alias("page"), F.array_max(pages).alias("end_page"), F.transform("_l", lambda x: x["row"]).alias("sources"),
     )
+    # Only a cell that other lines add to is read again.
+    again = F.transform("cells", lambda v, c: F.when(F.get(first["cells"], c) == v, F.get(first["read"], c)).otherwise(reading(v)))
+    records = records.withColumn("read", F.when(one, first["read"]).otherwise(again)).drop("_l")
     key = F.array_join(F.filter("cells", lambda c: c != ""), "")
-    filled = records.withColumn("_key", key).withColumn("_first", F.min(F.when(F.col("_key") != "", F.col("_record"))).over(Window.partitionBy(*table)))
-    filled = settled(filled, folder, "records")
-    heads = filled.where(F.col("_record") == F.col("_first")).select(*table, F.col("_key").alias("_head"), ((_filled(F.col("cells")) >= 2) & ~F.exists("cells", lambda c: (c != "") & amount(c)["value"].isNotNull())).alias("_is_head"))
-    judged = filled.join(heads, table, "left").withColumn("reason", F.when(F.col("_key") == "", "blank").when((F.col("_key") == F.col("_head")) & (F.col("_record") != F.col("_first")), "header-repeated"))
-    kept = judged.where("reason is null").withColumn("record", F.row_number().over(Window.partitionBy(*table).orderBy("_record"))).withColumn("is_header", F.col("_is_head") & (F.col("record") == 1))
-    kept = settled(kept.drop("_key", "_first", "_head", "_is_head", "reason", "_record"), folder, "kept")
+    every = Window.partitionBy(*table)
+    filled = records.withColumn("_key", key).withColumn("_first", F.min(F.when(F.col("_key") != "", F.col("_record"))).over(every))
+    is_head = (_filled(F.col("cells")) >= 2) & ~F.exists("read", lambda r: r["value"].isNotNull())
+    judged = filled.withColumn("_head", F.max(F.when(F.col("_record") == F.col("_first"), F.struct(F.col("_key").alias("key"), is_head.alias("is_head")))).over(every))
+    judged = judged.withColumn("reason", F.when(F.col("_key") == "", "blank").when((F.col("_key") == F.col("_head.key")) & (F.col("_record") != F.col("_first")), "header-repeated"))
+    upto = Window.partitionBy(*table).orderBy("_record").rowsBetween(Window.unboundedPreceding, 0)
+    judged = judged.withColumn("record", F.count_if(F.col("reason").isNull()).over(upto).cast("int")).withColumn("is_header", F.col("_head.is_head") & (F.col("record") == 1))
+    judged = settled(judged.drop("_key", "_first", "_head", "_record"), folder, "records")
+    kept = judged.where("reason is null").drop("reason")
     types = column_types(kept.where("not is_header"), table)
     named = kept.where("is_header").select(*table, F.posexplode("cells").alias("col", "header"))
     typed = types.join(named, [*table, "col"], "full").select(*table, "col", "header", F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("decimals", F.lit(0)).alias("decimals"), "order", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
     typed = settled(typed, folder, "columns")
-    # A record's cells are read where they lie; only what a table's columns are comes to them.
+    # A record's cells are typed where they lie; only what a table's columns are comes to them.
     shape = typed.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("col", "kind", "order"))).alias("_shape"))
+    blank = reading(F.lit(""))
 
-    def read(c: Column) -> Column:
+    def typed_as(c: Column) -> Column:
         raw = F.coalesce(F.get("cells", c["col"]), F.lit(""))
         as_text = F.struct(F.when(raw == "", "empty").otherwise("text").alias("kind"), F.lit(None).cast("string").alias("iso"), F.lit(None).cast("double").alias("number"), F.when(raw != "", raw).alias("text"), F.lit(False).alias("off_type"))
-        return F.when(F.col("is_header"), as_text).otherwise(typed_cell(raw, c["kind"], c["order"]))
+        as_read = F.transform(F.array(F.coalesce(F.get("read", c["col"]), blank)), lambda r: typed_reading(raw, r, c["kind"], c["order"]))[0]
+        return F.when(F.col("is_header"), as_text).otherwise(as_read)
 
-    out = kept.join(shape, table).withColumn("typed", F.transform("_shape", read)).drop("_shape")
+    off = F.exists("_shape", lambda c: (c["kind"] != "text") & (F.coalesce(F.get("cells", c["col"]), F.lit("")) != "") & ~fits(F.get("read", c["col"]), c["kind"], c["order"]))
+    out = kept.join(shape, table).withColumn("typed", F.transform("_shape", typed_as)).withColumn("_off", ~F.col("is_header") & off).drop("_shape", "read")
     flag = lambda on, name: F.when(on, F.array(F.lit(name))).otherwise(F.expr("cast(array() as array<string>)"))
-    flags = F.concat(flag(F.col("overflow"), "overflow"), flag(F.col("end_page") > F.col("page"), "pageBreak"), flag(_filled(F.col("cells")) < 2, "sparse"), flag(F.exists("typed", lambda c: c["off_type"]), "type"))
+    flags = F.concat(flag(F.col("overflow"), "overflow"), flag(F.col("end_page") > F.col("page"), "pageBreak"), flag(_filled(F.col("cells")) < 2, "sparse"), flag(F.col("_off"), "type"))
     out = out.withColumn("flags", flags).withColumn("ok", F.size("flags") == 0)
-    final = settled(out.select(*table, "record", "is_header", "cells", "typed", "page", "end_page", "flags", reasons(F.col("flags"), F.col("page"), F.col("end_page")).alias("reasons"), "ok", "sources"), folder, "sheets")
+    final = out.select(*table, "record", "is_header", "cells", "typed", "page", "end_page", "flags", reasons(F.col("flags"), F.col("page"), F.col("end_page")).alias("reasons"), "ok", "sources")
     gone = judged.where("reason is not null").select(*table, "sources", "reason")
     dropped = gone.where("reason = 'header-repeated'").groupBy(*table).agg(F.count("*").alias("dropped"))
     votes = typed.where("ambiguous and kind = 'date'").groupBy(*table).agg(F.lit(True).alias("ambiguous"))
-    whole = final.groupBy(*table).agg(F.count("*").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("page", "end_page"))))).alias("pages")).join(confidence(final, table), table)
+    whole = final.groupBy(*table).agg(F.count("*").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("page", "end_page"))))).alias("pages"), F.avg(F.col("ok").cast("double")).alias("confidence"))
     whole = whole.join(dropped, table, "left").join(votes, table, "left").withColumn("dropped", F.coalesce("dropped", F.lit(0))).withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
     return Sheets(final, typed, gone, whole)
 

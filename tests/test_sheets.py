@@ -91,3 +91,39 @@ def test_short_ways_of_amounts_and_dates(spark):
         "7": ((7.0, False, "none", 0), None), "-0.5": ((-0.5, True, "none", 1), None), "12.345": (None, None), "+7.50": ((7.5, False, "none", 2), None), "7-": ((-7.0, True, "none", 0), None),
         "£7.50": ((7.5, False, "none", 2), None), "part 7": (None, None), "7 CR": ((7.0, False, "none", 0), None), "1/2": (None, None), "1.": (None, None), None: (None, None),
     }
+
+
+def test_cells_are_read_once(spark, monkeypatch, tmp_path):
+    """Amounts and dates were sought in each cell three times: for its table's money, its column's type and its own."""
+    rows = [(1, k, 0, ["Date", "Details", "Paid"] if k % 9 == 0 else [f"{k % 28 + 1:02}/03/2024", "", "x" if k == 5 else f"{k}.50"] if k % 4 else ["", "goes on", ""], False) for k in range(60)]
+    plans, settled = {}, sheets.settled
+    monkeypatch.setattr(sheets, "settled", lambda frame, folder, name: (plans.update({name: frame._jdf.queryExecution().optimizedPlan().toString()}), settled(frame, folder, name))[1])
+    made = sheets.sheets(spark.createDataFrame(rows, LINES), ["doc"], folder=f"file://{tmp_path}/once")
+    patterns = {name for name, plan in plans.items() if "RLIKE" in plan.upper()}
+    assert patterns == {"rows", "records"} and set(plans) == {"rows", "records", "columns"}
+    assert "regexp_replace" not in made.sheets._jdf.queryExecution().optimizedPlan().toString()
+    kept = made.rows.orderBy("record").collect()
+    assert kept[1].typed[0].iso == "2024-03-02" and [r.flags for r in kept].count(["type"]) == 2  # one is a header that a line below goes on
+    assert made.sheets.first().rows == len(kept)
+
+
+def test_what_is_read_is_what_is_typed(spark):
+    """A cell that was read is typed in any column as its amount and date say."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import dates, numbers
+
+    texts = ["", "7", "-0.5", "12.345", "+7.50", "−5.00", "£7.50", "(3.20)", "(x)", "7 CR", "1,234.00", "part 7", "1/2", "01/02/2024", "13/02/2024", "02/13/2024", "13/13/2024", "31/02/2024", "0/5/2024", "2024-02-30", "2024-02-29", "3 Mar 99", "3\u00a0March\u00a02001", "Mar 3, 24", "1.2.70", "1.2.7", "12-11-10", "1 2 3", "none", None]
+    rows = spark.createDataFrame([(v, k, o) for v in texts for k in ("date", "money", "number", "text") for o in ("dmy", "mdy", None)], "v string, k string, o string")
+    v, k, o = F.col("v"), F.col("k"), F.col("o")
+    r = numbers.reading(v)
+    a, d = numbers.amount(v), dates.placed_date(v)
+    rich = F.coalesce(a.isNotNull() & (a["currency"].isNotNull() | a["marker"].isNotNull() | (a["decimals"] >= 2) | v.rlike(r"^\(.*\)$")), F.lit(False))
+    iso, number = F.when(k == "date", dates.placed_date(v, o)["iso"]), F.when(k.isin("money", "number"), a["value"])
+    got = rows.select(
+        "v", "k", "o", F.struct(r["value"], r["decimals"], F.coalesce(r["rich"], F.lit(False)), r["order"], r["ambiguous"], r["y"].isNotNull()).alias("r"), F.struct(a["value"], a["decimals"], rich, d["order"], d["ambiguous"], d.isNotNull()).alias("rw"),
+        F.struct(numbers.typed_cell(v, k, o)["iso"], numbers.typed_cell(v, k, o)["number"], numbers.fits(r, k, o) | (k == "text")).alias("t"), F.struct(iso, number, iso.isNotNull() | number.isNotNull() | (k == "text")).alias("tw"),
+    ).collect()
+    assert len(got) == 12 * len(texts)
+    for x in got:
+        assert tuple(x.r) == tuple(x.rw) and tuple(x.t) == tuple(x.tw), x
