@@ -118,6 +118,7 @@ def spreadsheet_serial(iso: Column) -> Column:
 
 #: The forms of dates in tables of a page, three parts each.
 PLACED = r"^(?:(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})|(\d{1,2})[-/. ]([A-Za-z]{3,9})[-/. ](\d{2,4})|([A-Za-z]{3,9})[-/. ](\d{1,2}),?[-/. ](\d{2,4})|(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4}))$"
+NUMERIC = r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$"
 PLACED_PARTS = "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10|$11|$12"
 
 
@@ -128,7 +129,10 @@ def short_month(name: Column) -> Column:
 
 
 def _placed_year(raw: Column) -> Column:
-    n = raw.try_cast("int")
+    return _full_placed(raw.try_cast("int"))
+
+
+def _full_placed(n: Column) -> Column:
     return F.when(n >= 100, n).when(n >= 70, 1900 + n).otherwise(2000 + n)
 
 
@@ -166,7 +170,7 @@ def placed_date(c: Column, order: Column | str | None = None) -> Column:
 
 
 def placed_parts(c: Column) -> Column:
-    """y, m, d, order and ambiguous of a date in a trimmed cell of a table; null for what is none. Of an ambiguous one m and d are its numbers as written."""
+    """y, m, d, order and ambiguous of a date in a trimmed cell of a table; null for what is none. Of an ambiguous one m and d are its numbers as written, null if they are no date in either order."""
     def put(x: Column, m: str, d: str, order: str | None) -> Column:
         return F.struct(x["y"].alias("y"), x[m].alias("m"), x[d].alias("d"), F.lit(order).cast("string").alias("order"), F.lit(order is None).alias("ambiguous"))
 
@@ -175,11 +179,17 @@ def placed_parts(c: Column) -> Column:
 
     def free(x: Column) -> Column:
         a, b = x["a"], x["b"]
-        return F.when((a > 12) & (b <= 12), sure(x, "b", "a", "dmy")).when((b > 12) & (a <= 12), sure(x, "a", "b", "mdy")).when((a > 12) & (b > 12), None).otherwise(put(x, "a", "b", None))
+        # Every month has twelve days, so either order is a date or none is.
+        real = (a >= 1) & (b >= 1) & x["y"].between(1, 9999)
+        none = F.struct(x["y"].alias("y"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("int").alias("d"), F.lit(None).cast("string").alias("order"), F.lit(True).alias("ambiguous"))
+        return F.when((a <= 12) & (b <= 12), F.when(real, put(x, "a", "b", None)).otherwise(none)).when(b <= 12, sure(x, "b", "a", "dmy")).when(a <= 12, sure(x, "a", "b", "mdy"))
+
+    of = lambda y, a, b: F.struct(y.alias("y"), a.try_cast("int").alias("a"), b.try_cast("int").alias("b"))
+    of_year = lambda raw: _bound(raw.try_cast("int"), _full_placed)
+    numeric = lambda p: _bound(of(of_year(p[2]), p[0], p[1]), free)
 
     def read(p: Column) -> Column:
-        of = lambda y, a, b: F.struct(y.alias("y"), a.try_cast("int").alias("a"), b.try_cast("int").alias("b"))
-        year = lambda k: _bound(p[k], _placed_year)
+        year = lambda k: of_year(p[k])
         return (
             F.when(F.size(p) != 12, None).when(p[0] != "", _bound(of(p[0].try_cast("int"), p[1], p[2]), lambda x: sure(x, "a", "b", "ymd")))
             .when(p[3] != "", _bound(of(year(5), short_month(p[4]), p[3]), lambda x: sure(x, "a", "b", "dmy"))).when(p[6] != "", _bound(of(year(8), short_month(p[6]), p[7]), lambda x: sure(x, "a", "b", "mdy")))
@@ -187,7 +197,8 @@ def placed_parts(c: Column) -> Column:
         )
 
     spaced = F.when(c.contains("\u00a0"), F.translate(c, "\u00a0", " ")).otherwise(c)
-    return F.when(F.length(c).between(6, 18), _bound(spaced, lambda v: F.when(v.rlike(PLACED), _bound(F.split(F.regexp_replace(v, PLACED, PLACED_PARTS), r"\|", -1), read))))
+    short = F.split(F.translate(c, "-.", "//"), "/", -1)
+    return F.when(~F.length(c).between(6, 18), None).when(c.rlike(NUMERIC), _bound(short, numeric)).otherwise(_bound(spaced, lambda v: F.when(v.rlike(PLACED), _bound(F.split(F.regexp_replace(v, PLACED, PLACED_PARTS), r"\|", -1), read))))
 
 
 def parts_iso(parts: Column, order: Column) -> Column:
@@ -201,9 +212,7 @@ def parts_iso(parts: Column, order: Column) -> Column:
 
 def parts_fit(parts: Column, order: Column) -> Column:
     """True if parts are a date in their column's order."""
-    y, m, d = parts["y"], parts["m"], parts["d"]
-    asked = F.when(order == "dmy", is_real(y, d, m)).when(order == "mdy", is_real(y, m, d)).otherwise(False)
-    return F.coalesce(F.when(parts["ambiguous"], asked).otherwise(y.isNotNull()), F.lit(False))
+    return F.coalesce(parts["m"].isNotNull() & (~parts["ambiguous"] | order.isin("dmy", "mdy")), F.lit(False))
 
 
 def column_order(dmy: Column, mdy: Column, ambiguous: Column) -> Column:

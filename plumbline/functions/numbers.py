@@ -20,6 +20,8 @@ MONEY = 2
 BARE = r"^-?[0-9]+(?:\.[0-9]{1,2})?$"
 DASHES = "−–—"
 FOREIGN = rf"[^0-9.,()+\-{DASHES}{SIGNS}{SPACE}ABCDEGINPRSUabcdeginprsu]"
+#: Those of them that are printable ASCII, one by one, which Java looks up in a table.
+FOREIGN_ASCII = "[" + "".join(f"\\x{k:02x}" for k in range(33, 127) if chr(k) not in "0123456789.,()+-$ABCDEGINPRSUabcdeginprsu") + "]"
 
 
 def _bound(value: Column, f) -> Column:
@@ -38,7 +40,7 @@ def amount(c: Column) -> Column:
 def _written(v: Column) -> Column:
     """amount of what isn't digits alone."""
     found = lambda x: F.when(x.rlike(BARE), _bare(x)).when(x.rlike("[0-9]"), _bound(_bound(_bound(_bound(x, _money), _marked), _digits), _finished))
-    return F.when(v.rlike(FOREIGN), None).otherwise(_bound(js_trim(F.translate(v, DASHES, "---")), found))
+    return F.when(v.rlike(FOREIGN_ASCII), None).when(v.rlike(FOREIGN), None).otherwise(_bound(js_trim(F.translate(v, DASHES, "---")), found))
 
 
 def is_amount(c: Column) -> Column:

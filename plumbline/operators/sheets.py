@@ -39,13 +39,14 @@ def _filled(cells: Column) -> Column:
 
 
 def _read(cells: str) -> Column:
-    return F.transform(cells, lambda c: reading(t.js_trim(c)))
+    """What is read of trimmed cells."""
+    return F.transform(cells, reading)
 
 
 def column_types(rows: DataFrame, table: Sequence[str]) -> DataFrame:
     """table, col (from 0), kind (date, money, number, text), decimals, order (of days and months), samples, ambiguous of the columns of rows' cells, or of what was read of them (read)."""
     table = [*table]
-    read = F.col("read") if "read" in rows.columns else _read("cells")
+    read = F.col("read") if "read" in rows.columns else F.transform("cells", lambda c: reading(t.js_trim(c)))
     told = rows.select(*table, F.posexplode(read).alias("col", "_r"))
     vote = lambda order: F.count_if((F.col("_r.order") == order) & ~F.col("_r.ambiguous"))
     # Blank cells are no samples, but tell that there is a column.
@@ -123,7 +124,7 @@ def sheets(lines: DataFrame, table: Sequence[str], money: DataFrame | None = Non
         raw = F.coalesce(F.get("cells", c["col"]), F.lit(""))
         as_text = F.struct(F.when(raw == "", "empty").otherwise("text").alias("kind"), F.lit(None).cast("string").alias("iso"), F.lit(None).cast("double").alias("number"), F.when(raw != "", raw).alias("text"), F.lit(False).alias("off_type"))
         as_read = F.transform(F.array(F.coalesce(F.get("read", c["col"]), blank)), lambda r: typed_reading(raw, r, c["kind"], c["order"]))[0]
-        return F.when(F.col("is_header"), as_text).otherwise(as_read)
+        return F.when(F.col("is_header") | (c["kind"] == "text"), as_text).otherwise(as_read)
 
     off = F.exists("_shape", lambda c: (c["kind"] != "text") & (F.coalesce(F.get("cells", c["col"]), F.lit("")) != "") & ~fits(F.get("read", c["col"]), c["kind"], c["order"]))
     out = kept.join(shape, table).withColumn("typed", F.transform("_shape", typed_as)).withColumn("_off", ~F.col("is_header") & off).drop("_shape", "read")
