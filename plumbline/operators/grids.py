@@ -165,6 +165,8 @@ def ruled_tables(spans: DataFrame, rules: DataFrame, page: Sequence[str], body:
     A cell's text are the spans whose middle lies in it, line by line. key tells grids of equal columns; missing is how many lines of text there are beyond the rows.
     """
     page, folder = [*page], folder or scratch(spans.sparkSession)
+    # Only spans of pages with rules can lie in a grid; the others, mostly many more, are read once and left.
+    spans = settled(spans.join(rules.select(*page).distinct(), page, "left_semi"), folder, "spans")
     bodies = spans.groupBy(*page).agg(F.max(body).alias("_body"))
     parts = joined_rules(rules.join(bodies, page), page, join_gap(F.col("_body")))
     found = settled(whole_grids(grids(parts, page, MEETS, folder)).drop("rules"), folder, "grids")

@@ -169,6 +169,17 @@ def test_ruled_tables_and_ladder(spark, tmp_path):
     assert {(r.doc, r.page): r.path for r in pages.collect()} == {(7, 0): "ruled", (7, 1): "tagged", (7, 2): "ruled", (7, 5): "ruled", (8, 0): "columns", (8, 1): "columns", (8, 2): "columns", (9, 0): None}
 
 
+def test_pages_without_rules_are_left(spark, tmp_path, monkeypatch):
+    """Spans of pages without a rule went through all the steps of grids."""
+    rules, spans, wanted = ruled_page(7, 1, random.Random(5), [50.0, 100.0, 150.0], [60.0, 90.0, 120.0], lambda r, c: f"p{r} {c}", 0)
+    plain = [(7, 2, 100 + k, "words", 50.0, 60.0 + 12 * k, 20.0, 8.0, 8.0) for k in range(50)]
+    sizes, settled = {}, grids.settled
+    monkeypatch.setattr(grids, "settled", lambda frame, folder, name: sizes.setdefault(name, settled(frame, folder, name)))
+    tables, rows = grids.ruled_tables(spark.createDataFrame(spans + plain, SPANS), spark.createDataFrame(rules, RULES), PAGE, "body", f"file://{tmp_path}/left")
+    assert [r.cells for r in rows.orderBy("row").collect()] == wanted and [(r.page, r.missing) for r in tables.collect()] == [(1, 0)]
+    assert sizes["spans"].count() == sizes["runs"].count() == len(spans)
+
+
 def test_nothing(spark, tmp_path):
     none = spark.createDataFrame([], RULES)
     assert grids.grids(none, PAGE, folder=f"file://{tmp_path}/none").collect() == []
